@@ -82,15 +82,16 @@ def encode(df: DataFrame, vocab: DataFrame, fields: Sequence[tuple[str, str, int
 def decode(df: DataFrame, vocab: DataFrame, ids_col: str, key_cols: Sequence[str],
            out: str = "text", skip_special: bool = True, vocab_size: int = 8000,
            n_special: int = len(SPECIAL_TOKENS)) -> DataFrame:
-    """T5: ids back to space-joined words, special tokens skipped."""
+    """T5: ids back to space-joined words, special tokens skipped. A row whose
+    ids are all special decodes to the empty string (it is kept)."""
     ex = df.select(*key_cols, F.posexplode_outer(ids_col).alias("pos", "id"))
-    if skip_special:
-        ex = ex.filter(F.col("id").isNull() | (F.col("id") >= F.lit(n_special)))
     v = broadcast_bounded(vocab.select("token", "id"), vocab_size)
     j = ex.join(v, "id", "left")
+    keep = F.col("pos").isNotNull()
+    if skip_special:
+        keep = keep & (F.col("id") >= F.lit(n_special))
     g = j.groupBy(*key_cols).agg(F.array_sort(F.collect_list(
-        F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("token", F.lit("<unk>")).alias("token")))
-    )).alias("_s"))
+        F.when(keep, F.struct("pos", F.coalesce("token", F.lit("<unk>")).alias("token"))))).alias("_s"))
     return g.select(*key_cols, F.array_join(F.transform("_s", lambda s: s["token"]), " ").alias(out))
 
 
