@@ -66,10 +66,12 @@ def average_rank(df: DataFrame, col: str, out: str, partition_cols: Sequence[str
 
     Works on the table of distinct values with their counts (map-side combined,
     so a value held by a third of all rows costs one row here), ranks that
-    table with sharded offsets and joins the ranks back on the value.
+    table with sharded offsets and joins the ranks back on the value. Null
+    values get a null rank and do not count.
     """
     pcols = _cols(partition_cols)
-    vals = df.groupBy(*pcols, col).agg(F.count(F.lit(1)).alias("_ties"))
+    vals = (df.filter(F.col(col).isNotNull())
+            .groupBy(*pcols, col).agg(F.count(F.lit(1)).alias("_ties")))
     shard = numeric_shard(vals, col, n_shards)
     vals = vals.withColumn("_vshard", shard)
     w = (Window.partitionBy(*pcols, "_vshard").orderBy(col)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from textpairs.functions.text import lm_tokens
 from textpairs.operators.metrics import background_counts, background_p
 from textpairs.operators.ranking import average_rank
+from textpairs.session import cut_lineage
 
 # fixed values: scoring batch sizes of the reference (function default, script)
 SCORE_BATCH = 8
@@ -93,13 +94,15 @@ def multi_ref_score(expanded: DataFrame, lm: LM, agg: str = "max", key: str = "c
 
 
 def compare_systems(scores: DataFrame, pair_col: str = "pair_id", system_col: str = "system",
-                    score_col: str = "score") -> DataFrame:
+                    score_col: str = "score", digits: int = 9) -> DataFrame:
     """A system wins a pair when its score is strictly the highest there.
-    Per system: pairs, mean score, wins, ties for first, win rate."""
+    Per system: pairs, mean score, wins, ties for first, win rate. Scores are
+    compared at ``digits`` decimals, so equal texts tie however the sums ran."""
     w = Window.partitionBy(pair_col)
-    s = (scores.withColumn("_best", F.max(score_col).over(w))
-         .withColumn("_n_best", F.sum(F.when(F.col(score_col) == F.col("_best"), 1).otherwise(0)).over(w)))
-    top = F.col(score_col) == F.col("_best")
+    s = scores.withColumn("_cmp", F.round(score_col, digits))
+    s = (s.withColumn("_best", F.max("_cmp").over(w))
+         .withColumn("_n_best", F.sum(F.when(F.col("_cmp") == F.col("_best"), 1).otherwise(0)).over(w)))
+    top = F.col("_cmp") == F.col("_best")
     return s.groupBy(system_col).agg(
         F.count(F.lit(1)).alias("pairs"), F.avg(score_col).alias("mean_score"),
         F.sum(F.when(top & (F.col("_n_best") == 1), 1).otherwise(0)).cast("bigint").alias("wins"),
@@ -109,7 +112,11 @@ def compare_systems(scores: DataFrame, pair_col: str = "pair_id", system_col: st
 
 def correlate(df: DataFrame, score_col: str, judgements: Sequence[str]) -> DataFrame:
     """Pearson and Spearman (Pearson on average ranks) of the score with
-    each human judgement column; one row per (judgement, method)."""
+    each human judgement column; one row per (judgement, method).
+
+    The (score, judgements) table is checkpointed once in the shared folder,
+    so the rank steps read it instead of recomputing the scores."""
+    df = cut_lineage(df.select(score_col, *judgements))
     ranked = average_rank(df, score_col, "_rank_score")
     for j in judgements:
         ranked = average_rank(ranked, j, f"_rank_{j}")

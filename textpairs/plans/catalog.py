@@ -98,3 +98,5 @@ def q_prepare_pairs(spark: SparkSession, sf: str) -> DataFrame:
 # Query modules register themselves on import.
 from textpairs.plans import q_ingest  # noqa: E402,F401
 from textpairs.plans import q_tokens  # noqa: E402,F401
+from textpairs.plans import q_eval  # noqa: E402,F401
+from textpairs.plans import q_score  # noqa: E402,F401
