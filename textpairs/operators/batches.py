@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 
 from textpairs.functions.hashing import u
 from textpairs.functions.text import LABEL_IGNORE, PAD_ID, SPECIAL_TOKENS, words
+from textpairs.session import spread
 
 # fixed values: per-device batch sizes of the reference (train, evaluation)
 TRAIN_BATCH = 4
@@ -86,7 +87,7 @@ def infill_bernoulli(df: DataFrame, text_col: str, key_col: str, ratio: float =
     key = F.col(key_col).cast("string")
     flags = F.transform(w, lambda x, i: u(seed, F.concat(key, F.lit(":"), (i + 1).cast("string")))
                         < F.lit(ratio))
-    df = df.withColumn("_w", w).withColumn("_m", flags)
+    df = spread(df).withColumn("_w", w).withColumn("_m", flags)
     kept = F.transform("_w", lambda x, i: F.when(
         F.col("_m")[i],
         F.when((i > 0) & F.coalesce(F.col("_m")[i - 1], F.lit(False)), F.lit(None)).otherwise(F.lit(MASK_TOKEN))
@@ -142,4 +143,4 @@ def infill_poisson(df: DataFrame, text_col: str, key_col: str, ratio: float = 0.
         return pd.Series([_poisson_infill(t or "", str(k), ratio, lam, seed)
                           for t, k in zip(texts, keys)])
 
-    return df.withColumn(out, _infill(F.col(text_col), F.col(key_col).cast("string")))
+    return spread(df).withColumn(out, _infill(F.col(text_col), F.col(key_col).cast("string")))

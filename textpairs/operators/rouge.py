@@ -21,6 +21,7 @@ from textpairs.functions.hashing import poisson1, u
 from textpairs.functions.lcs import rouge_l as _rouge_l
 from textpairs.functions.lcs import rouge_lsum as _rouge_lsum
 from textpairs.functions.stem import stem_token
+from textpairs.session import spread
 from textpairs.functions.text import (LABEL_IGNORE, PAD_ID, ngrams, rouge_tokens, sentences)
 
 PRF = StructType([StructField("precision", DoubleType()), StructField("recall", DoubleType()),
@@ -99,7 +100,7 @@ def rouge_l(df: DataFrame, cand_tokens: str = "cand_tokens", ref_tokens: str = "
             prefix: str = "rougeL") -> DataFrame:
     """ROUGE-L from the LCS length (bit-parallel, in an Arrow UDF)."""
     s = _rouge_l_udf(F.col(cand_tokens), F.col(ref_tokens))
-    return (df.withColumn("_l", s).withColumn(f"{prefix}_p", F.col("_l.precision"))
+    return (spread(df).withColumn("_l", s).withColumn(f"{prefix}_p", F.col("_l.precision"))
             .withColumn(f"{prefix}_r", F.col("_l.recall"))
             .withColumn(f"{prefix}_f", F.col("_l.fmeasure")).drop("_l"))
 
@@ -115,7 +116,7 @@ def rouge_lsum(df: DataFrame, cand_col: str, ref_col: str, prefix: str = "rougeL
     """ROUGE-Lsum over newline-separated sentences (E2 output)."""
     s = _rouge_lsum_udf(sentence_tokens(cand_col, ascii_only=ascii_only),
                         sentence_tokens(ref_col, ascii_only=ascii_only))
-    return (df.withColumn("_l", s).withColumn(f"{prefix}_p", F.col("_l.precision"))
+    return (spread(df).withColumn("_l", s).withColumn(f"{prefix}_p", F.col("_l.precision"))
             .withColumn(f"{prefix}_r", F.col("_l.recall"))
             .withColumn(f"{prefix}_f", F.col("_l.fmeasure")).drop("_l"))
 

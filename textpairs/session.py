@@ -85,6 +85,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer partitions than the cluster has cores.
+
+    For CPU-heavy per-row work (hashing, LCS, normalisation) on a table stored
+    in few files. A large input already has many splits and passes through
+    untouched, so this never adds a shuffle at scale. The check reads only the
+    planned partition count.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
+
+
 def broadcast_bounded(df: DataFrame, bound_rows: int | None) -> DataFrame:
     """Broadcast ``df`` only when its row count has a proven bound.
 
