@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textpairs.functions.text import strip_ws, words
-from textpairs.session import spread
+from textpairs.session import cut_lineage, spread
 
 # fixed values: quality rules (words >= 20; mean word length 2..12; symbol
 # share <= 0.3; digit share <= 0.2; repeated-line share <= 0.3) and the common
@@ -66,17 +66,20 @@ def dedup_exact(df: DataFrame, col: str = "text", id_col: str = "doc_id") -> Dat
 def quality_signals(df: DataFrame, col: str = "text") -> DataFrame:
     """C4 signals: words, mean word length, symbol share, digit share and the
     share of non-empty lines that repeat an earlier line of the same text."""
-    w = words(col)
+    df = (df.withColumn("_w", words(col))
+          .withColumn("_lines", F.filter(F.transform(F.split(F.col(col), "\n"), lambda x: strip_ws(x)),
+                                         lambda x: x != F.lit(""))))
+    w, lines = F.col("_w"), F.col("_lines")
     n = F.size(w)
     chars = F.length(col)
-    lines = F.filter(F.transform(F.split(F.col(col), "\n"), lambda x: strip_ws(x)), lambda x: x != F.lit(""))
     share = lambda num: F.when(chars > 0, num / chars).otherwise(F.lit(0.0))
     return (df.withColumn("n_words", n.cast("bigint"))
             .withColumn("mean_word_len", F.when(n > 0, F.aggregate(w, F.lit(0), lambda a, x: a + F.length(x)) / n))
             .withColumn("symbol_share", share(F.length(F.regexp_replace(col, r"[\p{L}\p{N}\s]", ""))))
             .withColumn("digit_share", share(F.length(F.regexp_replace(col, r"[^0-9]", ""))))
             .withColumn("repeated_line_share", F.when(F.size(lines) > 0, F.lit(1.0) - F.size(F.array_distinct(lines))
-                                                      / F.size(lines)).otherwise(F.lit(0.0))))
+                                                      / F.size(lines)).otherwise(F.lit(0.0)))
+            .drop("_w", "_lines"))
 
 
 def quality_reasons(df: DataFrame) -> DataFrame:
@@ -127,9 +130,11 @@ def funnel(df: DataFrame, col: str = "text", id_col: str = "doc_id") -> DataFram
     normalise -> exact dedup -> quality filter -> common lines (a document
     left empty by line removal is removed). Near-duplicate removal (C3)
     follows as its own iterative job. One job evaluates all step counts."""
-    norm = normalise(df.select(id_col, col), col)
-    dedup = dedup_exact(norm, col, id_col).drop("copies")
-    qual = quality_filter(dedup, col).select(id_col, col)
+    # each step is written once to the shared checkpoint folder, so the
+    # counts read it instead of recomputing the steps before it
+    norm = cut_lineage(normalise(df.select(id_col, col), col))
+    dedup = cut_lineage(dedup_exact(norm, col, id_col).drop("copies"))
+    qual = cut_lineage(quality_filter(dedup, col).select(id_col, col))
     lines = drop_common_lines(qual, col, id_col).filter(F.length(col) > 0)
     steps = [("0_input", df), ("1_normalise", norm), ("2_dedup_exact", dedup),
              ("3_quality", qual), ("4_common_lines", lines)]

@@ -27,12 +27,14 @@ N_BANDS = 8
 THRESHOLD = 0.7
 
 
-def shingles(col, k: int = SHINGLE) -> Column:
+def with_shingles(df: DataFrame, col: str, out: str = "sh", k: int = SHINGLE) -> DataFrame:
     """Distinct k-word shingles of the lower-cased text; a text of fewer than k
-    words is one shingle (the whole text)."""
-    w = words(F.lower(F.col(col) if isinstance(col, str) else col))
-    return F.when(F.size(w) >= F.lit(k), F.array_distinct(ngrams(w, k))) \
-            .otherwise(F.array(F.array_join(w, " ")))
+    words is one shingle (the whole text). The word array is a column of its
+    own first, so the n-gram lambda reads it instead of re-splitting the text."""
+    df = df.withColumn("_w", words(F.lower(F.col(col))))
+    w = F.col("_w")
+    return df.withColumn(out, F.when(F.size(w) >= F.lit(k), F.array_distinct(ngrams(w, k)))
+                         .otherwise(F.array(F.array_join(w, " ")))).drop("_w")
 
 
 def minhash_md5(df: DataFrame, sh: str = "sh", n_hashes: int = N_HASHES) -> tuple[DataFrame, list[str]]:
@@ -71,7 +73,7 @@ def minhash_xx(df: DataFrame, sh: str = "sh", n_hashes: int = N_HASHES) -> tuple
 def band_keys(df: DataFrame, col: str = "text", id_col: str = "doc_id", hash_kind: str = "md5",
               n_hashes: int = N_HASHES, n_bands: int = N_BANDS) -> DataFrame:
     """One row per (document, band) with the band's key."""
-    base = spread(df.select(id_col, col)).select(id_col, shingles(col).alias("sh"))
+    base = with_shingles(spread(df.select(id_col, col)), col).select(id_col, "sh")
     sig, names = (minhash_md5 if hash_kind == "md5" else minhash_xx)(base, "sh", n_hashes)
     r = n_hashes // n_bands
     bands = F.array(*[F.struct(F.lit(b).alias("band"),
@@ -110,7 +112,7 @@ def dedup_near(df: DataFrame, col: str = "text", id_col: str = "doc_id", hash_ki
                threshold: float = THRESHOLD, max_rounds: int = 50) -> DataFrame:
     """Every document with its component (lowest id of its near-duplicate
     group) and ``keep`` (true for the lowest id of each group)."""
-    base = cut_lineage(spread(df.select(id_col, col)).select(id_col, shingles(col).alias("sh")))
+    base = cut_lineage(with_shingles(spread(df.select(id_col, col)), col).select(id_col, "sh"))
     keys = band_keys(df.select(id_col, col), col, id_col, hash_kind)
     reps = keys.groupBy("band", "band_key").agg(F.min(id_col).alias("rep"))
     cand = (keys.join(reps, ["band", "band_key"]).filter(F.col(id_col) != F.col("rep"))

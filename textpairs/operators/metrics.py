@@ -62,9 +62,12 @@ def perplexity(train: DataFrame, held: DataFrame, text_col: str = "text", by: Se
                                             F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))).alias("w"))).alias("b"))
     cvw = bigr.groupBy(F.col("b.v").alias("v"), F.col("b.w").alias("w")).agg(F.count(F.lit(1)).alias("cvw"))
     cv = cvw.groupBy("v").agg(F.sum("cvw").alias("cv"))
-    ho = held.select(*by, F.posexplode(lm_tokens(text_col)).alias("pos", "w"),
-                     lm_tokens(text_col).alias("_t"))
-    ho = ho.withColumn("v", F.when(F.col("pos") > 0, F.col("_t")[F.col("pos") - 1])).drop("_t")
+    # (history, word) per held-out token, zipped in-row: no token row carries
+    # the whole text
+    ht = held.select(*by, lm_tokens(text_col).alias("_t"))
+    prev = F.concat(F.array(F.lit(None).cast("string")), F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0))))
+    ho = ht.select(*by, F.explode(F.arrays_zip(prev.alias("v"), F.col("_t").alias("w"))).alias("z"))
+    ho = ho.select(*by, F.col("z.v").alias("v"), F.col("z.w").alias("w"))
     j = (ho.join(bg, "w", "left").join(cv, "v", "left").join(cvw, ["v", "w"], "left"))
     p = F.coalesce(F.col("p"), F.lit(floor))
     q = F.when(F.col("v").isNull() | F.col("cv").isNull(), p).otherwise(

@@ -56,8 +56,9 @@ def lm_score(df: DataFrame, lm: LM, key: str | Sequence[str], source_col: str =
     keys = [key] if isinstance(key, str) else list(key)
     src_t, tgt_t = lm_tokens(source_col), lm_tokens(target_col)
     base = df.select(*keys, src_t.alias("_d"), tgt_t.alias("_s"))
+    base = base.withColumn("_sd", F.array_distinct("_s"))
     base = base.select(*keys, F.size("_d").alias("_len"), "_s",
-                       F.filter("_d", lambda x: F.array_contains(F.array_distinct(F.col("_s")), x)).alias("_hits"))
+                       F.filter("_d", lambda x: F.array_contains(F.col("_sd"), x)).alias("_hits"))
     ex = base.select(*keys, "_len", "_hits", F.explode_outer("_s").alias("w"))
     ex = ex.withColumn("_tf", F.when(F.col("w").isNotNull(),
                                      F.size(F.filter("_hits", lambda x: x == F.col("w"))))).drop("_hits")

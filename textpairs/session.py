@@ -112,4 +112,7 @@ def broadcast_bounded(df: DataFrame, bound_rows: int | None) -> DataFrame:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One table of a data folder. Text tables stored as one row group scan as
+    one task; ``spread`` hands such a scan to every core (a no-op for inputs
+    that already have at least that many splits)."""
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
