@@ -45,7 +45,8 @@ def pad_batch(df: DataFrame, ids_col: str = "input_ids", pad_id: int = PAD_ID,
     """Pad every row to the longest row of its batch (rounded up to a
     multiple when given); the attention mask marks real tokens. Labels are
     padded with ``-100`` by passing ``pad_id=-100, mask_col=None`` (B3)."""
-    n = F.size(ids_col)
+    df = df.withColumn("_real_len", F.size(ids_col))
+    n = F.col("_real_len")
     longest = F.max(n).over(Window.partitionBy(*batch_cols))
     if multiple:
         longest = F.ceil(longest / F.lit(multiple)).cast("int") * F.lit(multiple)
@@ -54,7 +55,7 @@ def pad_batch(df: DataFrame, ids_col: str = "input_ids", pad_id: int = PAD_ID,
     df = df.withColumn(out or ids_col, F.concat(F.col(ids_col), F.array_repeat(F.lit(pad_id), fill)))
     if mask_col:
         df = df.withColumn(mask_col, F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), fill)))
-    return df.drop("_target_len")
+    return df.drop("_target_len", "_real_len")
 
 
 def pad_labels(df: DataFrame, labels_col: str = "labels",
