@@ -101,3 +101,4 @@ from textpairs.plans import q_tokens  # noqa: E402,F401
 from textpairs.plans import q_eval  # noqa: E402,F401
 from textpairs.plans import q_score  # noqa: E402,F401
 from textpairs.plans import q_clean  # noqa: E402,F401
+from textpairs.plans import q_io  # noqa: E402,F401

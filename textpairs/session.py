@@ -93,6 +93,8 @@ def spread(df: DataFrame) -> DataFrame:
     untouched, so this never adds a shuffle at scale. The check reads only the
     planned partition count.
     """
+    if df.isStreaming:
+        return df
     want = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < want:
         return df.repartition(want)
