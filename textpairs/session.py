@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,8 +47,34 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``textpairs`` importable in the Python workers of this application.
+
+    UDFs defined in the package are pickled by reference, so executors need the
+    package itself; ``addPyFile`` hands a zip of it to every executor through
+    Spark's own file server (once per application)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    out = os.path.join(tempfile.mkdtemp(prefix="textpairs-pkg-"), "textpairs.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _subdirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(sc.applicationId)
+
+
 def apply_job_conf(spark: SparkSession) -> None:
     """Set the SQL settings the operators rely on, on an existing session."""
+    ship_package(spark)
     key = "spark.sql.optimizer.windowGroupLimitThreshold"
     if int(spark.conf.get(key, "0")) < int(DEFAULT_CONF[key]):
         spark.conf.set(key, DEFAULT_CONF[key])
