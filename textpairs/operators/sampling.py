@@ -27,26 +27,34 @@ def _ensure_group_limit(df: DataFrame, cap: int) -> None:
 
 
 def cap(df: DataFrame, caps: Mapping[str, int | None], order: Sequence[str] = ("row_no",),
-        by: Sequence[str] = ("source", "split"), split_col: str = "split") -> DataFrame:
+        by: Sequence[str] = ("source", "split"), split_col: str = "split",
+        fanout: int = 256) -> DataFrame:
     """Keep the first ``min(cap, n)`` rows of each (source, split) by ``order``.
 
-    Splits sharing a cap are handled by one window with a *literal* limit, so
-    the optimizer turns ``row_number() <= cap`` into a per-task group limit:
-    each map task ships at most ``cap`` rows per group to the shuffle, which is
-    what keeps a few huge (source, split) groups from landing in one task.
-    Splits whose cap is None pass through untouched.
+    Splits sharing a cap are handled by windows with a *literal* limit, so the
+    optimizer turns ``row_number() <= cap`` into per-task group limits. Two
+    levels: first per (group, bucket of input tasks), then per group, so the
+    last reducer of a huge group receives at most ``fanout * cap`` rows instead
+    of ``cap`` rows from every input task. Membership in a bucket does not
+    change the result (the first ``cap`` rows of a group are among the first
+    ``cap`` of their bucket), so the cap is exact. Splits whose cap is None
+    pass through untouched.
     """
     by_cap: dict[int | None, list[str]] = {}
     for split, c in caps.items():
         by_cap.setdefault(c, []).append(split)
     parts = []
     w = Window.partitionBy(*by).orderBy(*order)
+    w_sub = Window.partitionBy(*by, "_task_bucket").orderBy(*order)
     for c, splits in by_cap.items():
         part = df.filter(F.col(split_col).isin(splits))
         if c is not None:
             _ensure_group_limit(df, c)
-            part = (part.withColumn("_rn", F.row_number().over(w))
-                    .filter(F.col("_rn") <= F.lit(c)).drop("_rn"))
+            part = (part.withColumn("_task_bucket", F.spark_partition_id() % F.lit(fanout))
+                    .withColumn("_rn", F.row_number().over(w_sub)).filter(F.col("_rn") <= F.lit(c))
+                    .drop("_rn", "_task_bucket")
+                    .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.lit(c))
+                    .drop("_rn"))
         parts.append(part)
     out = parts[0]
     for p in parts[1:]:
