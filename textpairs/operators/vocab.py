@@ -32,8 +32,9 @@ def build_vocab(df: DataFrame, col: str = "text", size: int = 8000, min_freq: in
               .groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
               .filter((F.col("cnt") >= F.lit(min_freq)) & ~F.col("token").isin(list(specials))))
     n_words = max(size - len(specials), 0)
-    # top-k: per-partition top n_words, then one merge of bounded size
-    top = counts.orderBy(F.desc("cnt"), F.asc("token")).limit(n_words)
+    top = counts.filter(F.col("cnt") >= F.lit(_count_threshold(counts, n_words)))
+    # top-k over the tokens at or above the k-th count only
+    top = top.orderBy(F.desc("cnt"), F.asc("token")).limit(n_words)
     ranked = top.select("token", "cnt", (F.row_number().over(
         Window.orderBy(F.desc("cnt"), F.asc("token"))) + F.lit(len(specials) - 1)).alias("id"))
     sp = spark.createDataFrame([(t, i, None) for i, t in enumerate(specials)],
@@ -41,6 +42,20 @@ def build_vocab(df: DataFrame, col: str = "text", size: int = 8000, min_freq: in
     return sp.unionByName(ranked.select("token", F.col("id").cast("int").alias("id"), "cnt"))
 
 
+def _count_threshold(counts: DataFrame, k: int) -> int:
+    """The count of the k-th most frequent token (exact), from the histogram of
+    count values: one row per distinct count, far fewer than tokens. Tokens
+    below it can never enter the top k, so they are dropped before the final
+    ordered merge. One number comes back to the driver."""
+    if k <= 0:
+        return 1 << 62
+    hist = counts.groupBy("cnt").agg(F.count(F.lit(1)).alias("n_tok"))
+    w = Window.orderBy(F.desc("cnt")).rowsBetween(Window.unboundedPreceding, 0)
+    row = (hist.withColumn("at_least", F.sum("n_tok").over(w))
+           .filter(F.col("at_least") >= F.lit(k)).agg(F.max("cnt").alias("t")).first())
+    return int(row["t"]) if row and row["t"] is not None else 0
+
+
 def _token_struct(field_no: int, arr):
     return F.transform(arr, lambda t, i: F.struct(F.lit(field_no).alias("f"),
                                                    i.alias("pos"), t.alias("token")))
