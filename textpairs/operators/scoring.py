@@ -54,8 +54,7 @@ def lm_score(df: DataFrame, lm: LM, key: str | Sequence[str], source_col: str =
     the reason instead of dropping the pair.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    src_t, tgt_t = lm_tokens(source_col), lm_tokens(target_col)
-    base = df.select(*keys, src_t.alias("_d"), tgt_t.alias("_s"))
+    base = df.select(*keys, lm_tokens(source_col).alias("_d"), lm_tokens(target_col).alias("_s"))
     base = base.withColumn("_sd", F.array_distinct("_s"))
     base = base.select(*keys, F.size("_d").alias("_len"), "_s",
                        F.filter("_d", lambda x: F.array_contains(F.col("_sd"), x)).alias("_hits"))
