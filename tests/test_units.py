@@ -244,3 +244,27 @@ def test_load_report_and_faults(spark):
     broken = [SourceSpec(name="x", document_col="nope", summary_col="summary", loader=specs[0].loader)]
     with pytest.raises(RuntimeError):
         load_with_report(spark, broken)
+
+
+def test_results_independent_of_partitioning(spark):
+    """Shuffle rank and the two-level cap are functions of the data, not of
+    how the input happens to be split (so re-planned or retried tasks agree)."""
+    from textpairs.operators.sampling import cap, shuffle
+    base = spark.range(0, 2000).select(
+        F.lit("s").alias("source"), F.when(F.col("id") % 4 == 0, "test").otherwise("train").alias("split"),
+        F.col("id").alias("row_no"), F.col("id").cast("string").alias("row_key"))
+    runs = []
+    for n in (1, 3, 7):
+        df = base.repartition(n)
+        capped = cap(df, {"train": 50, "test": 20})
+        ranked = shuffle(capped)
+        runs.append(sorted((r["split"], r["row_key"], r["shuffle_rank"]) for r in ranked.collect()))
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 70
+
+
+def test_spread_is_noop_on_many_partitions(spark):
+    from textpairs.session import spread
+    many = spark.range(0, 100).repartition(spark.sparkContext.defaultParallelism + 3)
+    assert spread(many) is many
+    few = spark.range(0, 100).coalesce(1)
+    assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
