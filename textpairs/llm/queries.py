@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpairs.llm import simhash
-from textpairs.session import apply_job_conf
+from textpairs.llm import quality_rules, sharding, simhash, url_filters
+from textpairs.session import apply_job_conf, cut_lineage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +22,66 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+SHARDS = 24
+
+
+def op3_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    digest = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"),
+                         F.crc32(text.cast("binary")).alias("text_crc32"))
+    placed = sharding.assign_shards(digest, ["doc_id"], SHARDS)
+    return sharding.with_slots(placed.withColumn("law", F.lit("key")), ["doc_id"], SHARDS)
+
+
+#: The site rules of the query.
+SITE_RULES = [
+    url_filters.SiteRule("block", "net", "/"),
+    url_filters.SiteRule("allow", "example.net", "/en/"),
+    url_filters.SiteRule("block", "example.com", "/de/"),
+    url_filters.SiteRule("allow", "org", "/fr/"),
+]
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filters.judge_urls(pages, SITE_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op5_sql() -> str:
+    host = "translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fits = " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.host}{r.path}'"
+                    for r in sorted(SITE_RULES, key=lambda r: -len(r.host + r.path)))
+    verdicts = " ".join(f"WHEN '{r.host}{r.path}' THEN '{r.verdict}'" for r in SITE_RULES)
+
+    def any_of(verdict: str) -> str:
+        regexes = [url_filters.pattern_regex(p.pattern).replace("'", "''") for p in url_filters.DEFAULT_PATTERNS if p.verdict == verdict]
+        return "contains(url, '://') AND (" + " OR ".join(f"regexp_matches(lower(url), '{r}')" for r in regexes) + ")"
+
+    return f"""
+WITH parts AS (
+  SELECT page_id, url, {host} AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+ruled AS (SELECT *, CASE {fits} END AS rule FROM parts)
+SELECT page_id, host, path, rule,
+  coalesce(CASE rule {verdicts} END, CASE WHEN {any_of('allow')} THEN 'allow' WHEN {any_of('block')} THEN 'block' END, 'allow') AS verdict
+FROM ruled"""
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = cut_lineage(quality_rules.measure(_table(spark, sf_dir, "documents")))
+    good = quality_rules.good_documents(measured, _table(spark, sf_dir, "labels"))
+    judged = quality_rules.verdict(measured, quality_rules.thresholds(good))
+    return judged.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                         "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_jump_hash": op3_jump_hash,
+    "op5_url_filters": op5_url_filters,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_url_filters": _op5_sql(),
+}
