@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpairs.llm import quality_rules, sharding, simhash, url_filters
-from textpairs.session import apply_job_conf, cut_lineage
+from textpairs.llm import bpe_codec, quality_rules, sharding, simhash, token_files, url_filters
+from textpairs.session import apply_job_conf, cut_lineage, scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,30 @@ SELECT page_id, host, path, rule,
 FROM ruled"""
 
 
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer file (installed on every machine, never copied)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "token-files")
+    token_files.write_token_files(docs, path, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    return (token_files.read_token_files(spark, path)
+            .select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32")))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = tokenizer_path("byte_bpe_50k.json")
+    out = bpe_codec.decode(bpe_codec.encode(docs, path), path)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = cut_lineage(quality_rules.measure(_table(spark, sf_dir, "documents")))
     good = quality_rules.good_documents(measured, _table(spark, sf_dir, "labels"))
@@ -79,6 +103,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_jump_hash": op3_jump_hash,
     "op5_url_filters": op5_url_filters,
+    "op7_token_planes": op7_token_planes,
+    "op8_bpe": op8_bpe,
     "op10_quality_rules": op10_quality_rules,
 }
 
