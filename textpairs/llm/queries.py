@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpairs.llm import bpe_codec, quality_rules, sharding, simhash, token_files, url_filters
+from textpairs.llm import bpe_codec, quality_rules, sharding, simhash, token_files, toxicity, url_filters
 from textpairs.session import apply_job_conf, cut_lineage, scratch_path
 
 
@@ -34,6 +34,14 @@ def op3_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_slots(placed.withColumn("law", F.lit("key")), ["doc_id"], SHARDS)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(toxicity.in_training_fold(F.col("doc_id"))))
+    scored = docs.select("doc_id", toxicity.score(F.col("text"), model).alias("score"))
+    return scored.select("doc_id", F.coalesce(~toxicity.in_training_fold(F.col("doc_id")), F.lit(False)).alias("held_out"),
+                         "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 #: The site rules of the query.
 SITE_RULES = [
     url_filters.SiteRule("block", "net", "/"),
@@ -102,6 +110,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_jump_hash": op3_jump_hash,
+    "op4_toxicity": op4_toxicity,
     "op5_url_filters": op5_url_filters,
     "op7_token_planes": op7_token_planes,
     "op8_bpe": op8_bpe,
