@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpairs.llm import bpe_codec, quality_rules, sharding, simhash, token_files, toxicity, url_filters
+from textpairs.llm import bpe_codec, decontaminate, quality_rules, sharding, simhash, token_files, toxicity, url_filters
 from textpairs.session import apply_job_conf, cut_lineage, scratch_path
 
 
@@ -75,6 +75,12 @@ SELECT page_id, host, path, rule,
 FROM ruled"""
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return (decontaminate.contaminated(docs, benchmark)
+            .select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "run_words", "item_words"))
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer file (installed on every machine, never copied)."""
     import public_tokenizers
@@ -112,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_jump_hash": op3_jump_hash,
     "op4_toxicity": op4_toxicity,
     "op5_url_filters": op5_url_filters,
+    "op6_decontaminate": op6_decontaminate,
     "op7_token_planes": op7_token_planes,
     "op8_bpe": op8_bpe,
     "op10_quality_rules": op10_quality_rules,
