@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpairs.llm import bpe_codec, decontaminate, quality_rules, sharding, simhash, token_files, toxicity, url_filters
+from textpairs.llm import bpe_codec, decontaminate, html_extract, quality_rules, sharding, simhash, token_files, toxicity, url_filters
 from textpairs.session import apply_job_conf, cut_lineage, scratch_path
 
 
@@ -105,6 +105,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return (html_extract.extract(pages.select("page_id", "url", "html"))
+            .select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = cut_lineage(quality_rules.measure(_table(spark, sf_dir, "documents")))
     good = quality_rules.good_documents(measured, _table(spark, sf_dir, "labels"))
@@ -121,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_token_planes": op7_token_planes,
     "op8_bpe": op8_bpe,
+    "op9_html": op9_html,
     "op10_quality_rules": op10_quality_rules,
 }
 
