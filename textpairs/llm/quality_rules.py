@@ -31,6 +31,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textpairs.session import scratch_path
+
 WINDOW = 5
 #: Cutoffs of every ratio, from the most lenient to the strictest.
 GRID = [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.015, 0.01]
@@ -201,3 +203,20 @@ def verdict(measured: DataFrame, cuts: DataFrame) -> DataFrame:
             .withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
             .withColumn("kept", ~F.col("base_failed") & ~over)
             .drop(*[f"cut_{r}" for r in RULES]))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+              stratum_col: str = "lang", **control: float) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns.
+
+    Cutoffs come from a narrow table of metrics; the texts themselves are then
+    filtered where they are, and never shuffled."""
+    cuts = thresholds(good_documents(measure(docs, id_col, text_col, stratum_col), labels), **control)
+    path = scratch_path(docs.sparkSession, "quality-cutoffs")
+    cuts.write.parquet(path)  # written so that Spark knows its size: a row per stratum
+    cuts = docs.sparkSession.read.schema("stratum string, " + ", ".join(f"cut_{r} double" for r in RULES)).parquet(path)
+    row = docs.select(F.struct(*docs.columns).alias("_row"), metrics(F.col(text_col)).alias("_m"),
+                      F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"))
+    flat = row.select("_row", "stratum", *[metric(c).alias(c) for c in METRIC_COLUMNS])
+    judged = verdict(flat.select("*", *[c.alias(r) for r, c in ratios(F.col).items()]), cuts)
+    return judged.filter("kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])

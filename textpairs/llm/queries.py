@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpairs.llm import bpe_codec, decontaminate, html_extract, quality_rules, sharding, simhash, token_files, toxicity, url_filters
+from textpairs.llm import bpe_codec, decontaminate, html_extract, masked_lm, quality_rules, sharding, simhash, token_files, toxicity, url_filters
 from textpairs.session import apply_job_conf, cut_lineage, scratch_path
 
 
@@ -22,6 +22,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return masked_lm.score(docs, masked_lm.fit(docs)).drop("text")
+
+
 SHARDS = 24
 
 
@@ -121,6 +126,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_masked_lm": op2_masked_lm,
     "op3_jump_hash": op3_jump_hash,
     "op4_toxicity": op4_toxicity,
     "op5_url_filters": op5_url_filters,

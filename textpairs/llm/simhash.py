@@ -153,29 +153,25 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 shingle: int = 4, max_bits: int = 4) -> DataFrame:
-    """``docs`` with one row of each group: the row with the group's smallest id.
+    """``docs`` with one row of each group: the row with the group's smallest id
+    (a group without any id keeps the row with the smallest hash of its text).
 
-    Rows that repeat that very id stay only once (the smallest text); rows of a
-    group without any id keep one row. All columns pass through."""
-    fps = cut_lineage(docs.select(F.col(id_col).alias("id"),
-                                  F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"),
+    Rows that share that id and text keep the smallest of the rows by their
+    other columns, compared in order. All columns pass through."""
+    fps = cut_lineage(docs.select(*_identity(id_col, text_col), F.col(id_col).alias("id"),
                                   fingerprint(F.col(text_col), shingle).alias("fp")))
-    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash"))
-    distinct = cut_lineage(fps.groupBy("fp").agg(least.alias("first")))
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "_text", "_id")
+    distinct = cut_lineage(fps.groupBy("fp").agg(F.min(first).alias("first")))
     roots = connected_components(links(distinct, max_bits))
     kept = (distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
             .groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-            .select(F.col("first.id").alias("_keep_id"), F.col("first.text_hash").alias("_keep_hash"))
-            .groupBy("_keep_id", "_keep_hash").agg(F.lit(1).alias("_one")).drop("_one"))
-    same = ((docs[id_col].eqNullSafe(F.col("_keep_id")))
-            & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_keep_hash")))
-    return _one_each(docs.join(kept, same, "left_semi"), id_col, text_col)
-
-
-def _one_each(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per (id, text): true repeats of a row are the only ties left."""
-    other = [c for c in docs.columns if c not in (id_col, text_col)]
-    if not other:
-        return docs.dropDuplicates()
-    first = docs.groupBy(id_col, text_col).agg(F.min(F.struct(*other)).alias("_first"))
-    return first.select(*[F.col(c) if c in (id_col, text_col) else F.col(f"_first.{c}").alias(c) for c in docs.columns])
+            .select("first._id", "first._text"))
+    keyed = docs.select(*_identity(id_col, text_col), F.struct(*docs.columns).alias("_row"))
+    one = keyed.join(kept, ["_id", "_text"], "left_semi").groupBy("_id", "_text").agg(F.min("_row").alias("_row"))
+    return one.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+
+
+def _identity(id_col: str, text_col: str) -> list[Column]:
+    """A row's id (null spelt out) and the hash of its text."""
+    return [F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("null")).alias("_id"),
+            F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_text")]

@@ -294,3 +294,10 @@ def score(text: Column, model: ToxicityModel) -> Column:
 def in_training_fold(id_col: Column) -> Column:
     """Rows that may teach: crc32 of the id as text is not divisible by 5."""
     return F.crc32(id_col.cast("string").cast("binary")) % 5 != 0
+
+
+def remove_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 threshold: float = 0.5, **bounds: int) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``."""
+    model = fit(docs, labels, id_col, text_col, **bounds)
+    return docs.filter(score(F.col(text_col), model) < threshold)
