@@ -22,6 +22,6 @@ def spark():
 def duck():
     import duckdb
     con = duckdb.connect()
-    for t in ["documents", "labels", "conversations", "benchmark"]:
+    for t in ["documents", "labels", "conversations", "benchmark", "pages"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMALL}/{t}.parquet')")
     return con

@@ -240,7 +240,7 @@ def test_load_report_and_faults(spark):
     specs = fixture_specs(SMALL, with_failing=True)
     pairs, report = load_with_report(spark, specs)
     st = {r["source"]: r["status"] for r in report.collect()}
-    assert st["set_d"] == "error" and st["set_a"] == "ok"
+    assert st["set_e"] == "error" and st["set_a"] == st["set_d"] == "ok"
     broken = [SourceSpec(name="x", document_col="nope", summary_col="summary", loader=specs[0].loader)]
     with pytest.raises(RuntimeError):
         load_with_report(spark, broken)
@@ -262,9 +262,103 @@ def test_results_independent_of_partitioning(spark):
     assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 70
 
 
-def test_spread_is_noop_on_many_partitions(spark):
-    from textpairs.session import spread
-    many = spark.range(0, 100).repartition(spark.sparkContext.defaultParallelism + 3)
-    assert spread(many) is many
-    few = spark.range(0, 100).coalesce(1)
-    assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_cap_passes_unnamed_splits(spark):
+    from textpairs.operators.sampling import cap
+    df = spark.createDataFrame([("s", sp, i) for sp in ("train", "test", None) for i in range(5)], "source string, split string, row_no long")
+    assert cap(df, {}).count() == 15
+    got = Counter(r["split"] for r in cap(df, {"train": 3, "other": 1}).collect())
+    assert got == {"train": 3, "test": 5, None: 5}
+
+
+def test_pairs_with_a_missing_side_are_rejected_not_emptied(spark):
+    from textpairs.operators.pairs import align, split_pairs
+    from textpairs.operators.vocab import build_vocab, encode
+    rows = [("s", "train", 1, "s:1", "a b", "c"), ("s", "train", 2, "s:2", "a b", None), ("s", "train", 3, "s:3", None, "c"),
+            ("s", "train", 4, "s:4", " \n", "c"), ("s", "train", 5, "s:5", "a", ""), ("s", "train", 6, "s:6", "a", "c"),
+            ("s", "train", 6, "s:6", "b", "c"), ("s", "test", 6, "s:6", "b", "c"), ("s", "train", 7, None, "b", "c")]
+    pairs = spark.createDataFrame(rows, "source string, split string, row_no long, row_key string, input_text string, target_text string")
+    valid, rejects = split_pairs(pairs)
+    assert sorted((r["split"], r["row_key"]) for r in valid.collect()) == [("test", "s:6"), ("train", "s:1")]
+    assert Counter(r["reason"] for r in rejects.collect()) == {"missing_summary": 1, "missing_document": 1, "blank_document": 1,
+                                                               "blank_summary": 1, "duplicate_key": 2, "missing_key": 1}
+    vocab = build_vocab(pairs, "input_text", 50, 1)
+    ids = {r["row_no"]: r for r in encode(pairs, vocab, [("input_text", "i", 10), ("target_text", "l", 10)], ["row_no"], vocab_size=50).collect()}
+    assert len(ids[2]["i"]) == 4 and ids[2]["l"] == [0, 2]  # the null side is empty, the other one whole
+    left = spark.createDataFrame([(1, "x"), (None, "y"), (2, "z")], "k long, a string")
+    right = spark.createDataFrame([(1, "p"), (None, "q")], "k long, b string")
+    aligned, left_out = align(left, right, "k")
+    assert aligned.count() == 1
+    assert Counter((r["side"], r["reason"]) for r in left_out.collect()) == {("left", "missing_key"): 1, ("right", "missing_key"): 1}
+
+
+def test_blank_text_has_no_lead_sentence(spark):
+    from textpairs.functions.text import lead_sentence
+    rows = spark.createDataFrame([("One. Two.",), ("",), (" \n",), (None,)], "text string").select(lead_sentence("text").alias("l")).collect()
+    assert [r["l"] for r in rows] == ["One.", None, None, None]
+
+
+def test_unknown_split_has_no_batch(spark):
+    from textpairs.operators.batches import assign_batches
+    df = spark.createDataFrame([("extra", 1)], "split string, shuffle_rank long")
+    with pytest.raises(Exception, match="no batch size for split extra"):
+        assign_batches(df).collect()
+
+
+def test_declared_schema_must_be_in_the_files(spark, tmp_path):
+    from pyspark.sql.types import StringType, StructField, StructType
+    from textpairs.operators.pairs import ColumnMappingError
+    from textpairs.sources.registry import read_with_schema
+    spark.createDataFrame([("a", 1)], "text string, n long").write.parquet(str(tmp_path / "t"))
+    for bad in (StructField("other", StringType()), StructField("n", StringType())):
+        with pytest.raises(ColumnMappingError):
+            read_with_schema(spark, [str(tmp_path / "t")], StructType([bad]))
+
+
+def test_text_sink_keeps_one_record_per_line(spark, tmp_path):
+    from textpairs.sources.sinks import write_text
+    write_text(spark.createDataFrame([("a\rb",), ("c\r\nd\ne",)], "text string"), str(tmp_path / "t"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "t")).collect()) == ["a b", "c d e"]
+
+
+def test_outliers_do_not_fill_one_shard(spark):
+    from textpairs.operators.ranking import numeric_shard
+    df = spark.range(0, 9999).union(spark.createDataFrame([(10 ** 12,)], "id long"))
+    sizes = [r["count"] for r in df.groupBy(numeric_shard(df, "id", 64).alias("s")).count().collect()]
+    assert len(sizes) >= 60 and max(sizes) < 400
+
+
+def test_components_of_a_long_chain(spark):
+    from textpairs.operators.dedup import components
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (101, 102)], "src long, dst long")
+    assert {r["node"]: r["label"] for r in components(edges).collect()} == {**{i: 0 for i in range(61)}, 101: 101, 102: 101}
+
+
+def test_near_dedup_loses_no_link_of_a_bucket(spark):
+    """A chain in one bucket: neighbours are similar, ends are not."""
+    from textpairs.operators.dedup import verified_components
+    sets = spark.createDataFrame([(i, list(range(10 * i, 10 * i + 100))) for i in range(60)], "id long, sh array<long>")
+    members = spark.createDataFrame([(1, i) for i in range(60)] + [(2, 0), (2, 59)], "bucket long, id long")
+    got = {r["node"]: r["label"] for r in verified_components(members, sets, 0.8).collect()}
+    assert got == {i: 0 for i in range(60)}
+
+
+def test_near_dedup_joins_every_verified_bucket_pair(spark):
+    from textpairs.operators.dedup import band_keys, dedup_near, with_shingles
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    sh = {r["doc_id"]: set(r["sh"]) for r in with_shingles(docs, "text").collect()}
+    buckets = {}
+    for r in band_keys(docs).collect():
+        buckets.setdefault((r["band"], r["band_key"]), []).append(r["doc_id"])
+    parent = {d: d for d in sh}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for ids in buckets.values():
+        for i in ids:
+            for j in ids:
+                if i < j and len(sh[i] & sh[j]) / len(sh[i] | sh[j]) >= 0.7:
+                    a, b = find(i), find(j)
+                    parent[max(a, b)] = min(a, b)
+    assert {r["doc_id"]: r["component"] for r in dedup_near(docs, hash_kind="md5").collect()} == {d: find(d) for d in sh}

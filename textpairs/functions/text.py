@@ -40,13 +40,9 @@ def sentences(c) -> Column:
     return F.filter(F.transform(parts, lambda x: strip_ws(x)), lambda x: x != F.lit(""))
 
 
-def sentence_text(c) -> Column:
-    """Sentences joined by newlines (what the ROUGE-Lsum step consumes)."""
-    return F.array_join(sentences(c), "\n")
-
-
 def lead_sentence(c) -> Column:
-    return F.element_at(sentences(c), 1)
+    """First sentence; null for a blank text."""
+    return F.get(sentences(c), 0)
 
 
 def rouge_tokens(c, ascii_only: bool = True) -> Column:

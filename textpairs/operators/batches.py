@@ -14,7 +14,6 @@ from pyspark.sql.types import StringType
 
 from textpairs.functions.hashing import u
 from textpairs.functions.text import LABEL_IGNORE, PAD_ID, SPECIAL_TOKENS, words
-from textpairs.session import spread
 
 # fixed values: per-device batch sizes of the reference (train, evaluation)
 TRAIN_BATCH = 4
@@ -34,9 +33,12 @@ def batch_size_col(sizes: Mapping[str, int], split_col: str = "split") -> Column
 
 def assign_batches(df: DataFrame, sizes: Mapping[str, int] = REFERENCE_BATCHES,
                    rank_col: str = "shuffle_rank") -> DataFrame:
-    """B1: consecutive shuffle ranks form a batch: ``batch_id = (rank-1) div size``."""
-    return df.withColumn("batch_id", F.floor((F.col(rank_col) - F.lit(1)) / batch_size_col(sizes))
-                         .cast("bigint"))
+    """B1: consecutive shuffle ranks form a batch: ``batch_id = (rank-1) div size``.
+
+    A split without a batch size fails the job instead of getting null ids."""
+    size = F.coalesce(batch_size_col(sizes), F.raise_error(
+        F.concat(F.lit("no batch size for split "), F.coalesce(F.col("split"), F.lit("null")))).cast("int"))
+    return df.withColumn("batch_id", F.floor((F.col(rank_col) - F.lit(1)) / size).cast("bigint"))
 
 
 def pad_batch(df: DataFrame, ids_col: str = "input_ids", pad_id: int = PAD_ID,
@@ -88,7 +90,7 @@ def infill_bernoulli(df: DataFrame, text_col: str, key_col: str, ratio: float =
     key = F.col(key_col).cast("string")
     flags = F.transform(w, lambda x, i: u(seed, F.concat(key, F.lit(":"), (i + 1).cast("string")))
                         < F.lit(ratio))
-    df = spread(df).withColumn("_w", w).withColumn("_m", flags)
+    df = df.withColumn("_w", w).withColumn("_m", flags)
     kept = F.transform("_w", lambda x, i: F.when(
         F.col("_m")[i],
         F.when((i > 0) & F.coalesce(F.col("_m")[i - 1], F.lit(False)), F.lit(None)).otherwise(F.lit(MASK_TOKEN))
@@ -107,16 +109,13 @@ def _poisson_infill(text: str, key: str, ratio: float, lam: float, seed: int) ->
     rng = np.random.default_rng(int.from_bytes(hashlib.md5(f"{seed}|{key}".encode()).digest()[:8], "big"))
     budget = int(round(n * ratio))
     masked = np.zeros(n, dtype=bool)
-    spans = []
-    while masked.sum() < budget:
-        length = int(rng.poisson(lam))
+    spans, left = [], budget
+    while left > 0:
+        length = min(int(rng.poisson(lam)), left)
         start = int(rng.integers(0, n))
-        length = min(length, budget - int(masked.sum()))
         spans.append((start, length))
-        if length > 0:
-            masked[start:start + length] = True
-        elif len(spans) > 4 * n:
-            break
+        left -= int((~masked[start:start + length]).sum())
+        masked[start:start + length] = True
     out, i = [], 0
     zero_at = {s for s, ln in spans if ln == 0}
     while i < n:
@@ -144,4 +143,4 @@ def infill_poisson(df: DataFrame, text_col: str, key_col: str, ratio: float = 0.
         return pd.Series([_poisson_infill(t or "", str(k), ratio, lam, seed)
                           for t, k in zip(texts, keys)])
 
-    return spread(df).withColumn(out, _infill(F.col(text_col), F.col(key_col).cast("string")))
+    return df.withColumn(out, _infill(F.col(text_col), F.col(key_col).cast("string")))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from textpairs.functions.text import words
-from textpairs.session import cut_lineage, spread
+from textpairs.session import cut_lineage
 
 
 def byte_symbols(word: Column) -> Column:
@@ -48,7 +48,7 @@ def learn_bpe(types: DataFrame, n_merges: int, min_freq: int = 2,
     """``rank, left, right, cnt`` of the first ``n_merges`` merges (exact
     BPE: one merge per round; ties broken by the pair string)."""
     spark = types.sparkSession
-    state = cut_lineage(spread(types.select("sym", "cnt")))
+    state = cut_lineage(types.select("sym", "cnt"))
     merges = []
     for r in range(n_merges):
         top = pair_counts(state).orderBy(F.desc("cnt"), F.asc("pair")).first()
@@ -112,4 +112,4 @@ def bpe_encode(df: DataFrame, merges: Sequence[tuple[str, str]], col: str = "tex
             res.append(toks[:max_tokens] if max_tokens else toks)
         return pd.Series(res)
 
-    return spread(df).withColumn(out, enc(words(col)))
+    return df.withColumn(out, enc(words(col)))

@@ -2,23 +2,24 @@
 verified Jaccard, connected components.
 
 Signatures are computed in-row with higher-order functions (no explode, no
-shuffle). A bucket of b members yields b-1 candidate edges to the bucket's
-lowest id (a star), never all pairs; each edge is verified with the exact
-shingle Jaccard. Components come from min-label propagation, checkpointed in
-the shared folder every round, until no label changes.
+shuffle). Documents with equal shingle sets are one class, so exact copies never
+meet as pairs. Inside an LSH bucket, candidates are compared in rounds: round r
+elects about 2^r members by hash, each is compared (exact shingle Jaccard) with
+the bucket's members that are not yet in its component, and components are
+merged. Members that a round has joined need no comparison any more, so a large
+group of near copies costs about one comparison per member instead of all
+pairs, and no link between two components is ever left out: a bucket is done
+only when all its members were elected or stand in one component. Components
+come from large-star / small-star rounds until nothing changes.
 """
 
 from __future__ import annotations
 
-import logging
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textpairs.functions.text import ngrams, words
-from textpairs.session import cut_lineage, spread
-
-log = logging.getLogger(__name__)
+from textpairs.session import cut_lineage
 
 # fixed values: 3-word shingles, 32 hashes in 8 bands of 4, Jaccard >= 0.7
 SHINGLE = 3
@@ -73,7 +74,7 @@ def minhash_xx(df: DataFrame, sh: str = "sh", n_hashes: int = N_HASHES) -> tuple
 def band_keys(df: DataFrame, col: str = "text", id_col: str = "doc_id", hash_kind: str = "md5",
               n_hashes: int = N_HASHES, n_bands: int = N_BANDS) -> DataFrame:
     """One row per (document, band) with the band's key."""
-    base = with_shingles(spread(df.select(id_col, col)), col).select(id_col, "sh")
+    base = with_shingles(df.select(id_col, col), col).select(id_col, "sh")
     sig, names = (minhash_md5 if hash_kind == "md5" else minhash_xx)(base, "sh", n_hashes)
     r = n_hashes // n_bands
     bands = F.array(*[F.struct(F.lit(b).alias("band"),
@@ -84,44 +85,92 @@ def band_keys(df: DataFrame, col: str = "text", id_col: str = "doc_id", hash_kin
 
 
 def _jaccard(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
-
-
-def components(edges: DataFrame, max_rounds: int = 50) -> tuple[DataFrame, bool]:
-    """Min-label propagation over undirected edges ``(src, dst)``. Returns
-    (node, label) and whether it converged within ``max_rounds``."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = cut_lineage(both.distinct())
-    labels = cut_lineage(both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
-    for _ in range(max_rounds):
-        prop = (both.join(labels.withColumnRenamed("node", "src"), "src")
-                .groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("cand")))
-        new = (labels.join(prop, "node", "left")
-               .select("node", F.least("label", F.coalesce("cand", "label")).alias("label"),
-                       (F.coalesce("cand", "label") < F.col("label")).alias("_changed")))
-        new = cut_lineage(new)
-        changed = new.filter("_changed").limit(1).count()
-        labels = new.drop("_changed")
-        if changed == 0:
-            return labels, True
-    log.warning("near-duplicate components did not converge in %d rounds", max_rounds)
-    return labels, False
+    shared = F.size(F.array_intersect(a, b))
+    return shared / (F.size(a) + F.size(b) - shared)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, label) of the undirected edges ``(src, dst)``: label is the smallest
+    node of the component. Large-star and small-star rounds, without a limit,
+    until the edge table no longer changes."""
+    now = cut_lineage(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+                      .distinct())
+    state = None
+    while True:
+        found = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+        if found == state or found[0] == 0:
+            break
+        state = found
+        both = now.union(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        least = both.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
+        large = both.filter("dst > src").join(least, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
+        first = large.groupBy("src").agg(F.min("dst").alias("m"))
+        rest = large.join(first, "src").filter("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+        rest = rest.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
+        now = cut_lineage(rest.union(first.select("src", F.col("m").alias("dst"))).filter("src <> dst").distinct())
+    roots = now.select(F.col("dst").alias("node"), F.col("dst").alias("label")).distinct()
+    return now.select(F.col("src").alias("node"), F.col("dst").alias("label")).union(roots)
+
+
+def _classes(df: DataFrame, col: str, id_col: str) -> DataFrame:
+    """(id, class, sh): the class is the smallest id with the same shingle set;
+    ``sh`` holds the sorted hashes of the shingles."""
+    sh = with_shingles(df.select(id_col, col), col).select(
+        F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.transform("sh", lambda s: F.xxhash64(s)))).alias("sh"))
+    keyed = cut_lineage(sh.withColumn("k", F.struct(F.xxhash64("sh"), F.xxhash64(F.lit("again"), "sh"))))
+    least = keyed.groupBy("k").agg(F.min("id").alias("class"))
+    return keyed.join(least, "k").select("id", "class", "sh")
+
+
+def verified_components(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(node, label) over all pairs that share a bucket and reach the Jaccard threshold.
+
+    ``members``: (bucket, id); ``sets``: (id, sh). See the module's docstring."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # a member's draw in (0, 1]: round r elects those with draw * n <= 2^r
+    draw = (F.pmod(F.xxhash64("bucket", "id"), F.lit(1 << 30)).cast("double") + 1) / float(1 << 30)
+    open_ = cut_lineage(members.join(sizes, "bucket").withColumn("turn", draw * F.col("n")))
+    edges = labels = None
+    turn = 1.0
+    while True:
+        label = labels if labels is not None else open_.select(F.col("id").alias("node")).limit(0).withColumn("label", F.col("node"))
+        now = open_.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
+        # buckets that hold one component only are done
+        split = now.groupBy("bucket").agg((F.min("comp") != F.max("comp")).alias("open")).filter("open").select("bucket")
+        now = cut_lineage(now.join(split, "bucket", "left_semi"))
+        if now.isEmpty():
+            break
+        elected = now.filter((F.col("turn") <= turn) & (F.col("turn") > (turn / 2 if turn > 1 else 0)))
+        a = elected.select("bucket", F.col("id").alias("src"), F.col("comp").alias("src_comp"))
+        b = now.select("bucket", F.col("id").alias("dst"), F.col("comp").alias("dst_comp"))
+        pairs = a.join(b, "bucket").filter("src_comp <> dst_comp").select("src", "dst").distinct()
+        near = (pairs.join(sets.select(F.col("id").alias("src"), F.col("sh").alias("sa")), "src")
+                .join(sets.select(F.col("id").alias("dst"), F.col("sh").alias("sb")), "dst")
+                .filter(_jaccard(F.col("sa"), F.col("sb")) >= F.lit(threshold)).select("src", "dst"))
+        edges = near if labels is None else near.union(labels.select(F.col("node").alias("src"), F.col("label").alias("dst")))
+        labels = cut_lineage(components(edges))
+        open_ = now.drop("comp")
+        if now.filter(F.col("turn") > turn).isEmpty():
+            break
+        turn *= 2
+    return labels if labels is not None else members.select(F.col("id").alias("node")).limit(0).withColumn("label", F.col("node"))
 
 
 def dedup_near(df: DataFrame, col: str = "text", id_col: str = "doc_id", hash_kind: str = "xxhash64",
-               threshold: float = THRESHOLD, max_rounds: int = 50) -> DataFrame:
+               threshold: float = THRESHOLD) -> DataFrame:
     """Every document with its component (lowest id of its near-duplicate
     group) and ``keep`` (true for the lowest id of each group)."""
-    base = cut_lineage(with_shingles(spread(df.select(id_col, col)), col).select(id_col, "sh"))
-    keys = band_keys(df.select(id_col, col), col, id_col, hash_kind)
-    reps = keys.groupBy("band", "band_key").agg(F.min(id_col).alias("rep"))
-    cand = (keys.join(reps, ["band", "band_key"]).filter(F.col(id_col) != F.col("rep"))
-            .select(F.col(id_col).alias("src"), F.col("rep").alias("dst")).distinct())
-    a = base.select(F.col(id_col).alias("src"), F.col("sh").alias("sa"))
-    b = base.select(F.col(id_col).alias("dst"), F.col("sh").alias("sb"))
-    edges = (cand.join(a, "src").join(b, "dst")
-             .filter(_jaccard(F.col("sa"), F.col("sb")) >= F.lit(threshold)).select("src", "dst"))
-    labels, _ok = components(edges, max_rounds)
-    out = df.select(id_col).join(labels.withColumnRenamed("node", id_col), id_col, "left")
-    comp = F.coalesce(F.col("label"), F.col(id_col))
-    return out.select(id_col, comp.alias("component"), (comp == F.col(id_col)).alias("keep"))
+    docs = cut_lineage(_classes(df, col, id_col))
+    sets = docs.filter("id = class").select("id", "sh")
+    if hash_kind == "md5":
+        of_class = df.select(F.col(id_col).alias("id"), F.col(col)).join(sets.select("id"), "id", "left_semi")
+        keys = band_keys(of_class, col, "id", "md5").select(F.xxhash64("band", "band_key").alias("bucket"), "id")
+    else:
+        sig, names = minhash_xx(sets, "sh")
+        r = N_HASHES // N_BANDS
+        bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(n) for n in names[b * r:(b + 1) * r]]) for b in range(N_BANDS)])
+        keys = sig.select(F.explode(bands).alias("bucket"), "id")
+    labels = verified_components(keys.distinct(), sets, threshold)
+    comp = (docs.select("id", "class").join(labels.withColumnRenamed("node", "class"), "class", "left")
+            .withColumn("component", F.coalesce("label", "class")))
+    return comp.select(F.col("id").alias(id_col), "component", (F.col("component") == F.col("id")).alias("keep"))

@@ -71,9 +71,26 @@ def validate_pairs(docs: DataFrame, sums: DataFrame, key: str, doc_col: str = "d
     return j.withColumn("status", status)
 
 
-def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return (validated.filter(F.col("status") == "ok"),
-            validated.filter(F.col("status") != "ok"))
+def split_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid canonical pairs, rejects ``source, split, row_key, reason``).
+
+    A pair is rejected when a side is missing or blank, when it has no row key,
+    or when its row key stands more than once in its split (encoding groups by
+    that key and would merge the rows). The key count is a map-side combined
+    aggregate; the texts are joined on the key only to the keys that repeat."""
+    blank = lambda c: strip_ws(F.col(c)) == F.lit("")
+    repeated = (pairs.filter(F.col("row_key").isNotNull()).groupBy("split", "row_key").agg(F.count(F.lit(1)).alias("_key_n"))
+                .filter(F.col("_key_n") > 1))
+    reason = (F.when(F.col("row_key").isNull(), F.lit("missing_key"))
+              .when(F.col("_key_n").isNotNull(), F.lit("duplicate_key"))
+              .when(F.col("input_text").isNull(), F.lit("missing_document"))
+              .when(F.col("target_text").isNull(), F.lit("missing_summary"))
+              .when(blank("input_text"), F.lit("blank_document"))
+              .when(blank("target_text"), F.lit("blank_summary")))
+    marked = pairs.join(repeated, ["split", "row_key"], "left").withColumn("_reason", reason).drop("_key_n")
+    valid = marked.filter(F.col("_reason").isNull()).select(*pairs.columns)
+    rejects = marked.filter(F.col("_reason").isNotNull())
+    return valid, rejects.select("source", "split", "row_key", F.col("_reason").alias("reason"))
 
 
 def _mark_duplicates(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -87,9 +104,18 @@ def align(left: DataFrame, right: DataFrame, key: str | Sequence[str], how: str
     """Align two tables on a key (the zip of two lists, made a join).
 
     Keys duplicated on either side are rejected first: a join would multiply
-    them where a positional zip would not. Returns (aligned, rejects).
+    them where a positional zip would not. Rows with a null key are rejected
+    too. Returns (aligned, rejects).
     """
     keys = [key] if isinstance(key, str) else list(key)
+    whole = F.lit(True)
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    keyless = None
+    for side, df in (("left", left), ("right", right)):
+        part = df.filter(~whole).select(*keys, F.lit(side).alias("side"), F.lit("missing_key").alias("reason"))
+        keyless = part if keyless is None else keyless.unionByName(part)
+    left, right = left.filter(whole), right.filter(whole)
     lm, rm = _mark_duplicates(left, keys), _mark_duplicates(right, keys)
     rejects = (lm.filter(F.col("_key_n") > 1).select(*keys).withColumn("side", F.lit("left"))
                .unionByName(rm.filter(F.col("_key_n") > 1).select(*keys)
@@ -97,7 +123,7 @@ def align(left: DataFrame, right: DataFrame, key: str | Sequence[str], how: str
                .dropDuplicates([*keys, "side"]).withColumn("reason", F.lit("duplicate_key")))
     aligned = (lm.filter(F.col("_key_n") == 1).drop("_key_n")
                .join(rm.filter(F.col("_key_n") == 1).drop("_key_n"), keys, how))
-    return aligned, rejects
+    return aligned, rejects.unionByName(keyless)
 
 
 def expand_references(df: DataFrame, refs_col: str = "references",
@@ -111,7 +137,7 @@ def concat_sources(dfs: Sequence[DataFrame], split_col: str = "split") -> DataFr
     """Bag union by column name (strict: same columns), never distinct."""
     dfs = [d for d in dfs if d is not None]
     if not dfs:
-        raise RuntimeError("no datasets could be loaded or processed")
+        raise RuntimeError("every source failed or is empty: nothing to concatenate")
     out = dfs[0]
     for d in dfs[1:]:
         out = out.unionByName(d)

@@ -2,7 +2,7 @@
 
 A global ``row_number()`` over an unpartitioned window moves every row into one
 task. Instead rows are cut into *shards* whose order agrees with the sort order
-(a prefix of the sort key, or a value range); each shard is numbered in its own
+(a prefix of the sort key, or a range between quantiles); each shard is numbered in its own
 task and shifted by the number of rows in all earlier shards. The shard-count
 table has at most (groups x shards) rows, so it is broadcast.
 """
@@ -46,22 +46,22 @@ def sharded_row_number(df: DataFrame, order: Sequence, shard_col: str,
             .drop("_offset", "_local_no"))
 
 
-def numeric_shard(df: DataFrame, col: str, n_shards: int = 1024) -> Column:
-    """Equal-width value bins of a numeric column: a shard column monotone in it.
+def numeric_shard(df: DataFrame, col: str, n_shards: int = 256) -> Column:
+    """A shard column monotone in a numeric column, cut at its approximate
+    quantiles, so outliers and skew leave the shards about equally full.
 
-    One small aggregate (min, max) is read on the driver: two numbers.
+    One aggregate is read on the driver: at most ``n_shards - 1`` numbers.
     """
-    row = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    lo, hi = row["lo"], row["hi"]
-    if lo is None or hi is None or hi == lo:
+    shares = [i / n_shards for i in range(1, n_shards)]
+    cuts = df.agg(F.percentile_approx(F.col(col).cast("double"), shares, 10 * n_shards).alias("q")).first()["q"]
+    if not cuts:
         return F.lit(0)
-    width = (float(hi) - float(lo)) / n_shards
-    return F.least(F.floor((F.col(col).cast("double") - F.lit(float(lo))) / F.lit(width)),
-                   F.lit(n_shards - 1)).cast("int")
+    bounds = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))])
+    return F.size(F.filter(bounds, lambda b: b < F.col(col).cast("double")))
 
 
 def average_rank(df: DataFrame, col: str, out: str, partition_cols: Sequence[str] = (),
-                 n_shards: int = 1024) -> DataFrame:
+                 n_shards: int = 256) -> DataFrame:
     """Average rank (1-based, ties share ``rank + (ties-1)/2``) of ``col``.
 
     Works on the table of distinct values with their counts (map-side combined,

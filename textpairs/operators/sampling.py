@@ -17,45 +17,38 @@ EVAL_CAP = 200
 REFERENCE_CAPS = {"train": TRAIN_CAP, "validation": EVAL_CAP, "test": EVAL_CAP}
 
 
-def _ensure_group_limit(df: DataFrame, cap: int) -> None:
-    """Let Catalyst insert a map-side WindowGroupLimit for this cap."""
-    spark = df.sparkSession
-    key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    cur = int(spark.conf.get(key, "1000"))
-    if cap > cur:
-        spark.conf.set(key, str(cap))
-
-
 def cap(df: DataFrame, caps: Mapping[str, int | None], order: Sequence[str] = ("row_no",),
         by: Sequence[str] = ("source", "split"), split_col: str = "split",
         fanout: int = 256) -> DataFrame:
     """Keep the first ``min(cap, n)`` rows of each (source, split) by ``order``.
 
     Splits sharing a cap are handled by windows with a *literal* limit, so the
-    optimizer turns ``row_number() <= cap`` into per-task group limits. Two
+    optimizer turns ``row_number() <= cap`` into per-task group limits (up to
+    the session's spark.sql.optimizer.windowGroupLimitThreshold). Two
     levels: first per (group, bucket of input tasks), then per group, so the
     last reducer of a huge group receives at most ``fanout * cap`` rows instead
     of ``cap`` rows from every input task. Membership in a bucket does not
     change the result (the first ``cap`` rows of a group are among the first
-    ``cap`` of their bucket), so the cap is exact. Splits whose cap is None
-    pass through untouched.
+    ``cap`` of their bucket), so the cap is exact. Splits whose cap is None or
+    that ``caps`` does not name pass through untouched, as do null splits.
     """
-    by_cap: dict[int | None, list[str]] = {}
+    by_cap: dict[int, list[str]] = {}
     for split, c in caps.items():
-        by_cap.setdefault(c, []).append(split)
-    parts = []
+        if c is not None:
+            by_cap.setdefault(c, []).append(split)
+    capped = [s for splits in by_cap.values() for s in splits]
+    if not capped:
+        return df
+    parts = [df.filter(~F.coalesce(F.col(split_col).isin(capped), F.lit(False)))]
     w = Window.partitionBy(*by).orderBy(*order)
     w_sub = Window.partitionBy(*by, "_task_bucket").orderBy(*order)
     for c, splits in by_cap.items():
         part = df.filter(F.col(split_col).isin(splits))
-        if c is not None:
-            _ensure_group_limit(df, c)
-            part = (part.withColumn("_task_bucket", F.spark_partition_id() % F.lit(fanout))
-                    .withColumn("_rn", F.row_number().over(w_sub)).filter(F.col("_rn") <= F.lit(c))
-                    .drop("_rn", "_task_bucket")
-                    .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.lit(c))
-                    .drop("_rn"))
-        parts.append(part)
+        parts.append(part.withColumn("_task_bucket", F.spark_partition_id() % F.lit(fanout))
+                     .withColumn("_rn", F.row_number().over(w_sub)).filter(F.col("_rn") <= F.lit(c))
+                     .drop("_rn", "_task_bucket")
+                     .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.lit(c))
+                     .drop("_rn"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

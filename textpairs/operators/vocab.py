@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpairs.functions.text import (BOS_ID, EOS_ID, SPECIAL_TOKENS, UNK_ID, words)
-from textpairs.session import broadcast_bounded
+from textpairs.session import broadcast_bounded, cut_lineage
 
 # fixed values: token limits of the reference (inputs, targets)
 MAX_INPUT_LENGTH = 1024
@@ -28,9 +28,10 @@ def build_vocab(df: DataFrame, col: str = "text", size: int = 8000, min_freq: in
     """``token, id, cnt``. Specials first (ids 0..k-1), then words by count
     desc, token asc; count >= ``min_freq``; at most ``size`` entries in all."""
     spark = df.sparkSession
-    counts = (df.select(F.explode(words(col)).alias("token"))
-              .groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
-              .filter((F.col("cnt") >= F.lit(min_freq)) & ~F.col("token").isin(list(specials))))
+    # counted once: the threshold and the top list both read the written counts
+    counts = cut_lineage(df.select(F.explode(words(col)).alias("token"))
+                         .groupBy("token").agg(F.count(F.lit(1)).alias("cnt"))
+                         .filter((F.col("cnt") >= F.lit(min_freq)) & ~F.col("token").isin(list(specials))))
     n_words = max(size - len(specials), 0)
     top = counts.filter(F.col("cnt") >= F.lit(_count_threshold(counts, n_words)))
     # top-k over the tokens at or above the k-th count only
@@ -63,12 +64,14 @@ def _token_struct(field_no: int, arr):
 
 def encode(df: DataFrame, vocab: DataFrame, fields: Sequence[tuple[str, str, int]],
            key_cols: Sequence[str], carry_cols: Sequence[str] = (), vocab_size: int = 8000,
-           prefix: dict[str, str] | None = None) -> DataFrame:
+           prefix: dict[str, str] | None = None, keyed: bool = False) -> DataFrame:
     """T3 + T4 in one pass: for each (text column, output column, max length)
     emit ``<s> ids </s>``, truncated so the whole array fits ``max length``.
 
     Unknown words map to ``<unk>``. Only keys, small carried columns and the
     truncated token arrays are exploded (texts are not carried per token).
+    ``keyed`` says that ``df`` is hash-partitioned on a prefix of ``key_cols``;
+    otherwise its rows are, before the explode, so tokens are never shuffled.
     """
     prefix = prefix or {}
     arrays = []
@@ -76,8 +79,13 @@ def encode(df: DataFrame, vocab: DataFrame, fields: Sequence[tuple[str, str, int
         c = F.col(src)
         if src in prefix:
             c = F.concat(F.lit(prefix[src]), c)
-        arrays.append(_token_struct(i, F.slice(words(c), 1, max_len - 2)))
+        # a null side has no tokens; without the empty array it would void the other sides
+        taken = F.coalesce(F.slice(words(c), 1, max_len - 2), F.array().cast("array<string>"))
+        arrays.append(_token_struct(i, taken))
     toks = F.flatten(F.array(*arrays)) if len(arrays) > 1 else arrays[0]
+    if not keyed:
+        # rows, not tokens, go to the partition in which the tokens meet again
+        df = df.repartition(*key_cols)
     ex = df.select(*key_cols, *carry_cols, F.explode_outer(toks).alias("t"))
     ex = ex.select(*key_cols, *carry_cols, F.col("t.f").alias("f"), F.col("t.pos").alias("pos"),
                    F.col("t.token").alias("token"))
@@ -99,7 +107,7 @@ def decode(df: DataFrame, vocab: DataFrame, ids_col: str, key_cols: Sequence[str
            n_special: int = len(SPECIAL_TOKENS)) -> DataFrame:
     """T5: ids back to space-joined words, special tokens skipped. A row whose
     ids are all special decodes to the empty string (it is kept)."""
-    ex = df.select(*key_cols, F.posexplode_outer(ids_col).alias("pos", "id"))
+    ex = df.repartition(*key_cols).select(*key_cols, F.posexplode_outer(ids_col).alias("pos", "id"))
     v = broadcast_bounded(vocab.select("token", "id"), vocab_size)
     j = ex.join(v, "id", "left")
     keep = F.col("pos").isNotNull()
@@ -176,7 +184,3 @@ def vocab_check(vocab: DataFrame, size: int, specials: Sequence[str] = SPECIAL_T
         F.sum(F.when(F.element_at(sp, F.col("token")) == F.col("id"), 1).otherwise(0)).cast("bigint")
         .alias("specials_in_place"),
         (F.count(F.lit(1)) <= F.lit(size)).alias("within_size"))
-
-
-def _spark(df: DataFrame) -> SparkSession:
-    return df.sparkSession

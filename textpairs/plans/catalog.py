@@ -77,19 +77,19 @@ def _vocab(spark: SparkSession, sf: str, size: int = VOCAB_SIZE, min_freq: int =
 
 
 PAIRS_SQL = FX.sql_pairs()
-PREP_CTES = f"""{PAIRS_SQL}, {FX.sql_capped(1000, 200)}, {sql_vocab()},
-{sql_encode_ids('capped', 'split, row_key', "'summarize: ' || input_text", 1024, 'enc_in')},
-{sql_encode_ids('capped', 'split, row_key', 'target_text', 128, 'enc_lab')},
+PREP_CTES = f"""{PAIRS_SQL}, {FX.sql_valid()}, {sql_vocab()},
+{sql_encode_ids('valid', 'split, row_key', "'summarize: ' || input_text", 1024, 'enc_in')},
+{sql_encode_ids('valid', 'split, row_key', 'target_text', 128, 'enc_lab')},
 prep AS (SELECT c.split, c.source, c.row_key,
        row_number() OVER (PARTITION BY c.split ORDER BY md5('42|' || c.row_key), c.row_key) AS shuffle_rank,
        i.ids AS input_ids, l.ids AS labels
-FROM capped c JOIN enc_in i USING (split, row_key) JOIN enc_lab l USING (split, row_key))"""
+FROM valid c JOIN enc_in i USING (split, row_key) JOIN enc_lab l USING (split, row_key))"""
 PREPARE_SQL = f"WITH {PREP_CTES} SELECT split, source, row_key, shuffle_rank, input_ids, labels FROM prep"
 
 
 @register("prepare_pairs", PREPARE_SQL)
 def q_prepare_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Flagship: three sources -> canonical -> cap -> prefix -> encode -> concat -> shuffle."""
+    """Flagship: all sources -> canonical -> rejects out -> prefix -> encode -> concat -> shuffle."""
     from textpairs.plans.prepare import joined_ids, prepare_pairs
     out = prepare_pairs(spark, FX.fixture_specs(sf), _vocab(spark, sf), VOCAB_SIZE)
     return joined_ids(out)

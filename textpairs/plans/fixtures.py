@@ -14,14 +14,16 @@ from textpairs.plans import sqlbits as S
 from textpairs.session import read_table
 from textpairs.sources.registry import IDENTITY_SPLITS, VALIDATION_FROM_TEST, SourceSpec
 
-# Stand-ins for the reference's three sources: (name, lang, document column,
-# summary column, split map). A fourth has no column mapping and must fail.
+# Sources: (name, lang, document column, summary column, split map). The column
+# names are fixed values of the reference's sources. One more source has no
+# column mapping and must fail.
 FIXTURE_SOURCES = [
     ("set_a", "en", "document", "summary", IDENTITY_SPLITS),
     ("set_b", "fr", "article", "summary", VALIDATION_FROM_TEST),
     ("set_c", "de", "text", "summary", VALIDATION_FROM_TEST),
+    ("set_d", "es", "body", "summary", IDENTITY_SPLITS),
 ]
-FAILING_SOURCE = ("set_d", "es", "body", "summary")
+FAILING_SOURCE = ("set_e", "it", "body", "summary")
 
 
 # ---------------------------------------------------------------- Spark side
@@ -67,16 +69,6 @@ def fx_pair(spark: SparkSession, sf: str) -> DataFrame:
                                                F.col("turn").cast("string"))))
 
 
-def fx_leads(spark: SparkSession, sf: str) -> DataFrame:
-    """Per document with 2+ sentences: candidate = lead sentence, reference =
-    first three sentences (space-joined)."""
-    d = read_table(spark, sf, "documents").select("doc_id", "text", sentences("text").alias("_s"))
-    return (d.filter(F.size("_s") >= 2)
-            .select(F.col("doc_id").cast("string").alias("pair_id"), "doc_id",
-                    F.element_at("_s", 1).alias("candidate"),
-                    F.array_join(F.slice("_s", 1, 3), " ").alias("reference")))
-
-
 def fx_multi(spark: SparkSession, sf: str) -> DataFrame:
     """Candidate = first assistant turn of a conversation; references = its
     other assistant turns in turn order (ragged). Conversations with 2+
@@ -127,7 +119,7 @@ def sql_mapping(splits=("train", "validation", "test")) -> str:
 
 
 def sql_pairs() -> str:
-    """All three canonical fixture sources resolved to splits."""
+    """All canonical fixture sources resolved to splits."""
     return ", ".join([
         sql_stored(), sql_sources(), sql_mapping(),
         "fx_pairs AS (SELECT s.source, m.split, s.row_no, s.source || ':' || CAST(s.row_no AS VARCHAR) "
@@ -141,6 +133,13 @@ def sql_capped(train_cap: int, eval_cap: int, src: str = "fx_pairs", name: str =
             f"ELSE {eval_cap} END)")
 
 
+def sql_valid(src: str = "fx_pairs", name: str = "valid") -> str:
+    """Pairs with two sides that are not blank and a row key that no other row of the split has."""
+    ok = " AND ".join(f"{c} IS NOT NULL AND {S.strip(c)} <> ''" for c in ("input_text", "target_text"))
+    return (f"{name} AS (SELECT * EXCLUDE (n) FROM (SELECT *, count(*) OVER (PARTITION BY split, row_key) AS n "
+            f"FROM {src}) WHERE n = 1 AND {ok})")
+
+
 def sql_pair() -> str:
     return ("fx_pair AS (SELECT * FROM (SELECT conv_id, turn, text AS candidate, "
             "lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reference, "
@@ -149,12 +148,6 @@ def sql_pair() -> str:
             "WHERE next_turn IS NOT NULL)")
 
 
-def sql_leads() -> str:
-    return (f"fx_leads AS (SELECT CAST(doc_id AS VARCHAR) AS pair_id, doc_id, s[1] AS candidate, "
-            f"array_to_string(list_slice(s, 1, 3), ' ') AS reference FROM "
-            f"(SELECT doc_id, {S.sentences('text')} AS s FROM documents) WHERE len(s) >= 2)")
-
-
 def sql_multi() -> str:
     return ("fx_multi AS (SELECT CAST(conv_id AS VARCHAR) AS candidate_id, t[1].text AS candidate, "
             "list_transform(list_slice(t, 2, len(t)), lambda x: x.text) AS refs FROM "

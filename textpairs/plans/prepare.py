@@ -1,12 +1,13 @@
 """The reference's data preparation as one Spark plan:
 
-read sources -> canonical pair -> split resolution -> head cap -> task prefix
--> encode inputs and targets -> concatenate splits -> seeded shuffle rank.
-
-Shuffles: the cap window (map side pre-limited to ``cap`` rows per group), the
-shuffle-rank window on (split, md5 shard), and the token re-collect, which
-groups by (split, shard, row_key) and therefore reuses the window's
-partitioning instead of shuffling tokens again.
+read sources -> canonical pair -> split resolution -> rejects out -> (head cap,
+only where one is asked for) -> task prefix -> encode inputs and targets ->
+concatenate splits -> seeded shuffle rank.
+
+Shuffles: the row-identity check on the row key, the shuffle-rank window on
+(split, md5 shard), and the token re-collect, which groups by (split, shard,
+row_key) and therefore reuses the window's partitioning instead of shuffling
+tokens again.
 """
 
 from __future__ import annotations
@@ -16,22 +17,24 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpairs.operators.pairs import SUMMARIZATION_PREFIX
+from textpairs.operators.pairs import SUMMARIZATION_PREFIX, split_pairs
 from textpairs.operators.ranking import sharded_row_number
-from textpairs.operators.sampling import REFERENCE_CAPS, cap, with_shuffle_key
+from textpairs.operators.sampling import cap, with_shuffle_key
 from textpairs.operators.vocab import MAX_INPUT_LENGTH, MAX_TARGET_LENGTH, encode
 from textpairs.sources.registry import SourceSpec, read_sources
 
 
 def prepare_pairs(spark: SparkSession, specs: Sequence[SourceSpec], vocab: DataFrame,
-                  vocab_size: int, caps: Mapping[str, int | None] = REFERENCE_CAPS,
+                  vocab_size: int, caps: Mapping[str, int | None] | None = None,
                   seed: int = 42, prefix: str = SUMMARIZATION_PREFIX,
                   max_input: int = MAX_INPUT_LENGTH, max_target: int = MAX_TARGET_LENGTH,
                   shard_digits: int = 3) -> DataFrame:
     """Tokenised, shuffled splits: ``split, source, row_key, shuffle_rank,
-    input_ids array<int>, labels array<int>``."""
-    pairs = read_sources(spark, specs)
-    capped = cap(pairs, caps)
+    input_ids array<int>, labels array<int>``. Every valid pair is kept unless
+    ``caps`` asks for a head of each (source, split); ``rejected_pairs`` lists
+    the others with their reasons."""
+    pairs, _rejects = split_pairs(read_sources(spark, specs))
+    capped = cap(pairs, caps) if caps else pairs
     keyed = with_shuffle_key(capped, seed, "row_key", shard_digits)
     ranked = sharded_row_number(keyed, ["shuffle_key", "row_key"], "shuffle_shard", ["split"],
                                 out="shuffle_rank", max_shards=(16 ** shard_digits) * 8)
@@ -39,10 +42,15 @@ def prepare_pairs(spark: SparkSession, specs: Sequence[SourceSpec], vocab: DataF
                  [("input_text", "input_ids", max_input), ("target_text", "labels", max_target)],
                  key_cols=["split", "shuffle_shard", "row_key"],
                  carry_cols=["source", "shuffle_rank"], vocab_size=vocab_size,
-                 prefix={"input_text": prefix})
+                 prefix={"input_text": prefix}, keyed=True)
     return enc.select("split", "source", "row_key", "shuffle_rank", "input_ids", "labels")
 
 
+def rejected_pairs(spark: SparkSession, specs: Sequence[SourceSpec]) -> DataFrame:
+    """``source, split, row_key, reason`` of every pair that ``prepare_pairs`` leaves out."""
+    return split_pairs(read_sources(spark, specs))[1]
+
+
 def joined_ids(df: DataFrame, cols: Sequence[str] = ("input_ids", "labels")) -> DataFrame:
     """Arrays as space-joined strings (stable to hash and compare)."""
     for c in cols:

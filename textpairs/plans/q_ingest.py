@@ -24,7 +24,7 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("s1_read_sources", f"WITH {PAIRS} SELECT source, split, row_no, row_key, input_text, target_text FROM fx_pairs")
 def q_s1(spark: SparkSession, sf: str) -> DataFrame:
-    """Registry-driven read of three sources into one canonical table."""
+    """Registry-driven read of all sources into one canonical table."""
     return _pairs(spark, sf)
 
 
@@ -52,7 +52,7 @@ def q_s4(spark: SparkSession, sf: str) -> DataFrame:
 SELECT source, split, 'ok' AS status, count(*)::BIGINT AS rows, NULL::VARCHAR AS error
 FROM fx_pairs GROUP BY source, split
 UNION ALL
-SELECT 'set_d', split, 'error', 0::BIGINT, 'source ''set_d'': no column mapping registered'
+SELECT 'set_e', split, 'error', 0::BIGINT, 'source ''set_e'': no column mapping registered'
 FROM (VALUES ('train'), ('validation'), ('test')) t(split)""")
 def q_s5(spark: SparkSession, sf: str) -> DataFrame:
     """The failing source is reported and skipped; the rest is loaded."""
@@ -81,15 +81,17 @@ def q_s7(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("doc_id", "lang", F.length("text").cast("bigint").alias("chars"))
 
 
-@register("p2_canonicalise", f"""WITH {FX.sql_stored()}
-SELECT doc_id AS row_no, text AS input_text, {S.lead('text')} AS target_text
-FROM fx_stored WHERE lang = 'fr'""")
+@register("p2_canonicalise", f"""WITH {FX.sql_stored()}, {FX.sql_sources()}
+SELECT source, row_no, input_text, target_text FROM fx_src""")
 def q_p2(spark: SparkSession, sf: str) -> DataFrame:
-    """A source's own columns (article, summary) to input_text/target_text."""
-    spec = FX.fixture_specs(sf)[1]
-    stored = spec.loader(spark)
-    P.require_columns(stored, spec.name, spec.document_col, spec.summary_col)
-    return P.canonicalise(stored, spec.document_col, spec.summary_col, keep=["row_no"])
+    """Every source's own columns (document, article, ...) to input_text/target_text."""
+    parts = []
+    for spec in FX.fixture_specs(sf):
+        stored = spec.loader(spark)
+        P.require_columns(stored, spec.name, spec.document_col, spec.summary_col)
+        one = P.canonicalise(stored, spec.document_col, spec.summary_col, keep=["row_no"])
+        parts.append(one.withColumn("source", F.lit(spec.name)))
+    return P.concat_sources(parts)
 
 
 @register("p3_with_prefix", f"WITH {PAIRS} SELECT split, row_key, 'summarize: ' || input_text AS input_text FROM fx_pairs")
@@ -98,6 +100,32 @@ def q_p3(spark: SparkSession, sf: str) -> DataFrame:
     return P.with_prefix(_pairs(spark, sf)).select("split", "row_key", "input_text")
 
 
+def _messy_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs with some sides and keys removed, blanked or repeated, by expression."""
+    n = F.col("row_no")
+    return _pairs(spark, sf).select(
+        "source", "split",
+        F.when(n % 17 == 0, F.lit(None)).when(n % 10 < 2, F.concat(F.lit("k"), F.floor(n / 10).cast("string")))
+        .otherwise(F.col("row_key")).alias("row_key"),
+        F.when(n % 7 == 0, F.lit(None)).when(n % 11 == 0, F.lit(" \n ")).otherwise(F.col("input_text")).alias("input_text"),
+        F.when(n % 13 == 0, F.lit(None)).when(n % 9 == 0, F.lit("")).otherwise(F.col("target_text")).alias("target_text"))
+
+
+@register("p4_rejects", f"""WITH {PAIRS}, messy AS (SELECT source, split,
+  CASE WHEN row_no % 17 = 0 THEN NULL WHEN row_no % 10 < 2 THEN 'k' || CAST(row_no // 10 AS VARCHAR) ELSE row_key END AS row_key,
+  CASE WHEN row_no % 7 = 0 THEN NULL WHEN row_no % 11 = 0 THEN ' ' ELSE input_text END AS input_text,
+  CASE WHEN row_no % 13 = 0 THEN NULL WHEN row_no % 9 = 0 THEN '' ELSE target_text END AS target_text FROM fx_pairs),
+counted AS (SELECT *, count(*) OVER (PARTITION BY split, row_key) AS n FROM messy),
+judged AS (SELECT source, split, row_key, CASE WHEN row_key IS NULL THEN 'missing_key' WHEN n > 1 THEN 'duplicate_key'
+  WHEN input_text IS NULL THEN 'missing_document' WHEN target_text IS NULL THEN 'missing_summary'
+  WHEN {S.strip('input_text')} = '' THEN 'blank_document' WHEN {S.strip('target_text')} = '' THEN 'blank_summary' END AS reason
+  FROM counted)
+SELECT * FROM judged WHERE reason IS NOT NULL""")
+def q_p4_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair that preparation leaves out, with the reason."""
+    return P.split_pairs(_messy_pairs(spark, sf))[1]
+
+
 def _labelled_leads(spark: SparkSession, sf: str) -> DataFrame:
     d = read_table(spark, sf, "documents")
     lab = read_table(spark, sf, "labels").select("doc_id")

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from textpairs.operators import batches as B
 from textpairs.operators import vocab as V
-from textpairs.operators.pairs import SUMMARIZATION_PREFIX
-from textpairs.operators.sampling import REFERENCE_CAPS, cap
+from textpairs.operators.pairs import SUMMARIZATION_PREFIX, split_pairs
 from textpairs.plans import fixtures as FX
 from textpairs.plans import sqlbits as S
 from textpairs.plans.catalog import (MIN_FREQ, PAIRS_SQL, PREP_CTES, VOCAB_SIZE, _vocab, r6,
@@ -22,8 +21,8 @@ def _prep(spark: SparkSession, sf: str) -> DataFrame:
     return prepare_pairs(spark, FX.fixture_specs(sf), _vocab(spark, sf), VOCAB_SIZE)
 
 
-def _capped(spark: SparkSession, sf: str) -> DataFrame:
-    return cap(R.read_sources(spark, FX.fixture_specs(sf)), REFERENCE_CAPS)
+def _valid(spark: SparkSession, sf: str) -> DataFrame:
+    return split_pairs(R.read_sources(spark, FX.fixture_specs(sf)))[0]
 
 
 IDS = "string_split({c}, ' ')::BIGINT[]"
@@ -39,7 +38,7 @@ def q_t1(spark: SparkSession, sf: str) -> DataFrame:
 @register("t3_encode", f"WITH {PREP_CTES} SELECT split, row_key, ids AS input_ids FROM enc_in")
 def q_t3(spark: SparkSession, sf: str) -> DataFrame:
     """Prefixed inputs to ids, truncated to 1024 including <s> and </s>."""
-    e = V.encode(_capped(spark, sf), _vocab(spark, sf), [("input_text", "input_ids", V.MAX_INPUT_LENGTH)],
+    e = V.encode(_valid(spark, sf), _vocab(spark, sf), [("input_text", "input_ids", V.MAX_INPUT_LENGTH)],
                  key_cols=["split", "row_key"], vocab_size=VOCAB_SIZE,
                  prefix={"input_text": SUMMARIZATION_PREFIX})
     return joined_ids(e, ["input_ids"])
@@ -48,21 +47,21 @@ def q_t3(spark: SparkSession, sf: str) -> DataFrame:
 @register("t4_encode_labels", f"WITH {PREP_CTES} SELECT split, row_key, ids AS labels FROM enc_lab")
 def q_t4(spark: SparkSession, sf: str) -> DataFrame:
     """T4: targets to label ids, truncated to 128."""
-    e = V.encode(_capped(spark, sf), _vocab(spark, sf), [("target_text", "labels", V.MAX_TARGET_LENGTH)],
+    e = V.encode(_valid(spark, sf), _vocab(spark, sf), [("target_text", "labels", V.MAX_TARGET_LENGTH)],
                  key_cols=["split", "row_key"], vocab_size=VOCAB_SIZE)
     return joined_ids(e, ["labels"])
 
 
 @register("t5_decode", f"""WITH {PREP_CTES},
 dt AS (SELECT split, row_key, unnest(range(1, len(a) + 1)) AS pos, unnest(a) AS token
-       FROM (SELECT split, row_key, list_slice({S.words('target_text')}, 1, 126) AS a FROM capped)),
+       FROM (SELECT split, row_key, list_slice({S.words('target_text')}, 1, 126) AS a FROM valid)),
 dg AS (SELECT t.split, t.row_key, string_agg(t.token, ' ' ORDER BY t.pos) AS s
        FROM dt t JOIN vocab v ON t.token = v.token AND v.id >= 5 GROUP BY ALL)
-SELECT c.split, c.row_key, coalesce(g.s, '') AS text FROM capped c LEFT JOIN dg g USING (split, row_key)""")
+SELECT c.split, c.row_key, coalesce(g.s, '') AS text FROM valid c LEFT JOIN dg g USING (split, row_key)""")
 def q_t5(spark: SparkSession, sf: str) -> DataFrame:
     """T5: label ids back to words, special (and unknown) tokens skipped."""
     vocab = _vocab(spark, sf)
-    e = V.encode(_capped(spark, sf), vocab, [("target_text", "labels", V.MAX_TARGET_LENGTH)],
+    e = V.encode(_valid(spark, sf), vocab, [("target_text", "labels", V.MAX_TARGET_LENGTH)],
                  key_cols=["split", "row_key"], vocab_size=VOCAB_SIZE)
     return V.decode(e, vocab, "labels", ["split", "row_key"], vocab_size=VOCAB_SIZE)
 

@@ -112,22 +112,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer partitions than the cluster has cores.
-
-    For CPU-heavy per-row work (hashing, LCS, normalisation) on a table stored
-    in few files. A large input already has many splits and passes through
-    untouched, so this never adds a shuffle at scale. The check reads only the
-    planned partition count.
-    """
-    if df.isStreaming:
-        return df
-    want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
-
-
 def broadcast_bounded(df: DataFrame, bound_rows: int | None) -> DataFrame:
     """Broadcast ``df`` only when its row count has a proven bound.
 
@@ -141,7 +125,6 @@ def broadcast_bounded(df: DataFrame, bound_rows: int | None) -> DataFrame:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data folder. Text tables stored as one row group scan as
-    one task; ``spread`` hands such a scan to every core (a no-op for inputs
-    that already have at least that many splits)."""
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    """One table of a data folder. The number of scan tasks follows the files'
+    row groups and ``spark.sql.files.maxPartitionBytes``."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

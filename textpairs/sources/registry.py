@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from textpairs.operators.pairs import canonicalise, concat_sources, require_columns
+from textpairs.operators.pairs import ColumnMappingError, canonicalise, concat_sources, require_columns
 from textpairs.session import broadcast_bounded
 
 log = logging.getLogger(__name__)
@@ -55,9 +55,17 @@ def read_with_schema(spark: SparkSession, paths: Sequence[str], schema: StructTy
                      fmt: str = "parquet", options: Mapping[str, str] | None = None) -> DataFrame:
     """S3: many files to one table under a declared schema.
 
-    Parquet checks the declared columns against the files when the scan runs;
-    missing or mistyped columns fail instead of turning into nulls silently.
+    Each path's own schema is read first (file footers, no job over the rows):
+    a declared column that is missing or has another type is an error, where a
+    plain read would give nulls.
     """
+    if fmt == "parquet":
+        for path in paths:
+            found = {f.name: f.dataType for f in spark.read.parquet(path).schema.fields}
+            wrong = [f.name for f in schema.fields if found.get(f.name) != f.dataType]
+            if wrong:
+                raise ColumnMappingError(f"'{path}' lacks declared columns {wrong} or has them with another type; "
+                                         f"found {sorted(found)}")
     reader = spark.read.format(fmt).schema(schema).options(**(options or {}))
     if fmt == "parquet":
         reader = reader.option("mergeSchema", "false")

@@ -21,8 +21,9 @@ def write_metrics(df: DataFrame, path: str, fmt: str = "json") -> None:
 
 
 def write_text(df: DataFrame, path: str, col: str = "text") -> None:
-    """K3: plain text, one record per line: inner newlines become spaces first."""
-    df.select(F.regexp_replace(F.col(col), "\n", " ").alias("value")).write.mode("overwrite").text(path)
+    """K3: plain text, one record per line: inner line ends (``\\r\\n``, ``\\n`` and a
+    lone ``\\r``, which readers also split at) become one space first."""
+    df.select(F.regexp_replace(F.col(col), "\r\n|\r|\n", " ").alias("value")).write.mode("overwrite").text(path)
 
 
 def write_vocab(vocab: DataFrame, merges: DataFrame | None, path: str) -> None:
