@@ -107,21 +107,22 @@ def drop_common_lines(df: DataFrame, col: str = "text", id_col: str = "doc_id",
 
     Document frequency is a two-level aggregate (line, doc) then line, both
     map-side combined, so boilerplate present in a third of the corpus does
-    not gather in one task. Flagging is a join on the line; AQE splits a hot
-    line's partition when it is skewed.
+    not gather in one task. Only lines long enough to be common take part in the
+    join (blank and short lines never leave their row); the few that hit come
+    back per document and are filtered out of the text in its own row. AQE
+    splits a hot line's partition.
     """
-    ex = df.select(id_col, F.posexplode_outer(F.split(F.col(col), "\n")).alias("pos", "line"))
-    ex = ex.withColumn("key", strip_ws(F.col("line")))
-    common = (ex.filter(F.length("key") >= F.lit(min_len)).select("key", id_col).distinct()
-              .groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"))
-              .filter(F.col("n_docs") >= F.lit(min_docs)).select("key", F.lit(True).alias("_common")))
-    f = ex.join(common, "key", "left")
-    g = f.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(F.when(F.col("_common").isNull() & F.col("pos").isNotNull(),
-                                           F.struct("pos", "line")))).alias("_kept"),
-        F.sum(F.when(F.col("_common"), 1).otherwise(0)).cast("bigint").alias("lines_removed"))
-    return g.select(id_col, F.array_join(F.transform("_kept", lambda s: s["line"]), "\n").alias(col),
-                    "lines_removed")
+    lines = F.split(F.col(col), "\n")
+    keys = F.array_distinct(F.filter(F.transform(lines, lambda x: strip_ws(x)), lambda x: F.length(x) >= F.lit(min_len)))
+    long_lines = df.select(id_col, F.explode(keys).alias("key"))
+    common = (long_lines.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"))
+              .filter(F.col("n_docs") >= F.lit(min_docs)).select("key"))
+    hits = long_lines.join(common, "key").groupBy(id_col).agg(F.collect_set("key").alias("_hits"))
+    none = F.array().cast("array<string>")
+    kept = F.filter("_lines", lambda x: ~F.array_contains("_hits", strip_ws(x)))
+    return (df.select(id_col, F.coalesce(lines, none).alias("_lines")).join(hits, id_col, "left")
+            .select(id_col, "_lines", F.coalesce("_hits", none).alias("_hits")).withColumn("_kept", kept)
+            .select(id_col, F.array_join("_kept", "\n").alias(col), (F.size("_lines") - F.size("_kept")).cast("bigint").alias("lines_removed")))
 
 
 def funnel(df: DataFrame, col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpairs.functions.text import LABEL_IGNORE, PAD_ID, lm_tokens
+from textpairs.session import cut_lineage
 
 
 def gen_len(df: DataFrame, ids_col: str = "pred_ids", pad_id: int = PAD_ID,
@@ -36,9 +37,10 @@ def finish_metrics(df: DataFrame, metrics: Sequence[str], prefix: str, keys: Seq
 def background_counts(corpus: DataFrame, text_col: str = "text") -> tuple[DataFrame, int, int]:
     """Unigram counts of a corpus and its totals C (tokens) and V (types).
 
-    The two totals come back to the driver as two numbers."""
-    cf = (corpus.select(F.explode(lm_tokens(text_col)).alias("w"))
-          .groupBy("w").agg(F.count(F.lit(1)).alias("cf")))
+    The corpus is counted once: the totals and every later use read the written
+    counts. The two totals come back to the driver as two numbers."""
+    cf = cut_lineage(corpus.select(F.explode(lm_tokens(text_col)).alias("w"))
+                     .groupBy("w").agg(F.count(F.lit(1)).alias("cf")))
     tot = cf.agg(F.sum("cf").alias("C"), F.count(F.lit(1)).alias("V")).first()
     return cf, int(tot["C"] or 0), int(tot["V"] or 0)
 
@@ -53,7 +55,10 @@ def perplexity(train: DataFrame, held: DataFrame, text_col: str = "text", by: Se
     """exp(-mean ln q(w | v)) over held-out tokens, where
     q = lam * c(v,w)/c(v) + (1-lam) * p(w) from training counts; the first word
     of a text, and any word whose history v never starts a training bigram,
-    uses p(w) alone."""
+    uses p(w) alone.
+
+    Held-out tokens are counted per (group, v, w) before any join, so stop words
+    join as one row per type, not once per token."""
     cf, C, V = background_counts(train, text_col)
     bg = background_p(cf, C, V)
     floor = 1.0 / float(C + V + 1)
@@ -61,6 +66,7 @@ def perplexity(train: DataFrame, held: DataFrame, text_col: str = "text", by: Se
     bigr = tr.select(F.explode(F.arrays_zip(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))).alias("v"),
                                             F.slice("t", 2, F.greatest(F.size("t") - 1, F.lit(0))).alias("w"))).alias("b"))
     cvw = bigr.groupBy(F.col("b.v").alias("v"), F.col("b.w").alias("w")).agg(F.count(F.lit(1)).alias("cvw"))
+    cvw = cut_lineage(cvw)
     cv = cvw.groupBy("v").agg(F.sum("cvw").alias("cv"))
     # (history, word) per held-out token, zipped in-row: no token row carries
     # the whole text
@@ -68,12 +74,13 @@ def perplexity(train: DataFrame, held: DataFrame, text_col: str = "text", by: Se
     prev = F.concat(F.array(F.lit(None).cast("string")), F.slice("_t", 1, F.greatest(F.size("_t") - 1, F.lit(0))))
     ho = ht.select(*by, F.explode(F.arrays_zip(prev.alias("v"), F.col("_t").alias("w"))).alias("z"))
     ho = ho.select(*by, F.col("z.v").alias("v"), F.col("z.w").alias("w"))
+    ho = ho.groupBy(*by, "v", "w").agg(F.count(F.lit(1)).alias("n"))
     j = (ho.join(bg, "w", "left").join(cv, "v", "left").join(cvw, ["v", "w"], "left"))
     p = F.coalesce(F.col("p"), F.lit(floor))
     q = F.when(F.col("v").isNull() | F.col("cv").isNull(), p).otherwise(
         F.lit(lam) * F.coalesce(F.col("cvw"), F.lit(0)) / F.col("cv") + F.lit(1.0 - lam) * p)
-    return j.groupBy(*by).agg(F.count(F.lit(1)).alias("n_tokens"),
-                              F.exp(-F.avg(F.log(q))).alias("perplexity"))
+    return j.groupBy(*by).agg(F.sum("n").alias("n_tokens"),
+                              F.exp(-F.sum(F.col("n") * F.log(q)) / F.sum("n")).alias("perplexity"))
 
 
 def rank_runs(metrics: DataFrame, name: str = "loss", greater_is_better: bool = False,

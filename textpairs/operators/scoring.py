@@ -48,26 +48,27 @@ def lm_score(df: DataFrame, lm: LM, key: str | Sequence[str], source_col: str =
              target_col: str = "summary", lam: float = LAMBDA, out: str = "score") -> DataFrame:
     """G2 (score): one row per pair with ``score`` and ``score_error``.
 
-    Per pair, only the document words that occur in the summary are kept
-    (in-row, JVM side) before anything is exploded; then one row per summary
-    word joins the background table. An empty summary gives a null score and
-    the reason instead of dropping the pair.
+    Rows are dealt by pair first; then both sides are exploded to (pair, word)
+    and counted where they are, which is linear in the words of either side. One
+    row per distinct target word joins the background table. An empty summary
+    gives a null score and the reason instead of dropping the pair.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    base = df.select(*keys, lm_tokens(source_col).alias("_d"), lm_tokens(target_col).alias("_s"))
-    base = base.withColumn("_sd", F.array_distinct("_s"))
-    base = base.select(*keys, F.size("_d").alias("_len"), "_s",
-                       F.filter("_d", lambda x: F.array_contains(F.col("_sd"), x)).alias("_hits"))
-    ex = base.select(*keys, "_len", "_hits", F.explode_outer("_s").alias("w"))
-    ex = ex.withColumn("_tf", F.when(F.col("w").isNotNull(),
-                                     F.size(F.filter("_hits", lambda x: x == F.col("w"))))).drop("_hits")
-    j = ex.join(lm.p, "w", "left")
+    base = df.select(*keys, lm_tokens(source_col).alias("_d"), lm_tokens(target_col).alias("_s")).repartition(*keys)
+    tagged = F.concat(F.transform(F.coalesce("_d", F.array().cast("array<string>")), lambda x: F.struct(x.alias("w"), F.lit(1).alias("d"), F.lit(0).alias("s"))),
+                      F.transform(F.coalesce("_s", F.array().cast("array<string>")), lambda x: F.struct(x.alias("w"), F.lit(0).alias("d"), F.lit(1).alias("s"))))
+    ex = base.select(*keys, F.greatest(F.coalesce(F.size("_d"), F.lit(0)), F.lit(0)).alias("_len"), F.explode_outer(tagged).alias("z"))
+    counted = ex.groupBy(*keys, F.col("z.w").alias("w")).agg(
+        F.max("_len").alias("_len"), F.sum("z.d").alias("_tf"), F.sum("z.s").alias("_ns"))
+    # a pair whose target has no word keeps its rows, with weight 0
+    j = counted.join(lm.p, "w", "left")
     p = F.coalesce(F.col("p"), F.lit(lm.floor))
     rel = F.when(F.col("_len") > 0, F.col("_tf") / F.col("_len")).otherwise(F.lit(0.0))
-    ll = F.when(F.col("w").isNotNull(), F.log(F.lit(lam) * rel + F.lit(1.0 - lam) * p))
-    g = j.groupBy(*keys).agg(F.avg(ll).alias(out), F.count("w").alias("_n"))
-    return g.select(*keys, out, F.when(F.col("_n") == 0, F.lit("empty_target"))
-                    .otherwise(F.lit(None).cast("string")).alias("score_error"))
+    n = F.coalesce(F.col("_ns"), F.lit(0))
+    ll = F.when(n > 0, n * F.log(F.lit(lam) * rel + F.lit(1.0 - lam) * p))
+    g = j.groupBy(*keys).agg(F.sum(ll).alias("_ll"), F.sum(n).alias("_n"))
+    return g.select(*keys, (F.col("_ll") / F.when(F.col("_n") > 0, F.col("_n"))).alias(out),
+                    F.when(F.col("_n") == 0, F.lit("empty_target")).otherwise(F.lit(None).cast("string")).alias("score_error"))
 
 
 def directed(df: DataFrame, direction: str, document_col: str = "document",
@@ -83,13 +84,13 @@ def directed(df: DataFrame, direction: str, document_col: str = "document",
     return df.withColumn("_src", F.col(src)).withColumn("_tgt", F.col(tgt))
 
 
-def multi_ref_score(expanded: DataFrame, lm: LM, agg: str = "max", key: str = "candidate_id",
+def multi_ref_score(expanded: DataFrame, lm: LM, aggs: Sequence[str] = ("max",), key: str = "candidate_id",
                     candidate_col: str = "candidate", reference_col: str = "reference") -> DataFrame:
     """Score every (candidate, reference) row (reference given candidate, as
     the plan's call passes candidates first) and aggregate per candidate."""
     scored = lm_score(expanded, lm, [key, "ref_no"], candidate_col, reference_col)
-    f = {"max": F.max, "mean": F.avg}[agg]
-    return scored.groupBy(key).agg(f("score").alias(f"score_{agg}"),
+    known = {"max": F.max, "mean": F.avg}
+    return scored.groupBy(key).agg(*[known[a]("score").alias(f"score_{a}") for a in aggs],
                                    F.count(F.lit(1)).alias("n_refs"))
 
 

@@ -76,11 +76,8 @@ FROM ek e JOIN sc s USING (k) GROUP BY e.candidate_id""")
 def q_g4(spark: SparkSession, sf: str) -> DataFrame:
     """Each reference scored given its candidate; max and mean per candidate."""
     lm = G.fit_lm(read_table(spark, sf, "conversations"))
-    ex = expand_references(FX.fx_multi(spark, sf))
-    scored = G.lm_score(ex, lm, ["candidate_id", "ref_no"], "candidate", "reference")
-    return scored.groupBy("candidate_id").agg(r6(F.max("score")).alias("score_max"),
-                                              r6(F.avg("score")).alias("score_mean"),
-                                              F.count(F.lit(1)).alias("n_refs"))
+    g = G.multi_ref_score(expand_references(FX.fx_multi(spark, sf)), lm, ["max", "mean"])
+    return g.select("candidate_id", r6(F.col("score_max")).alias("score_max"), r6(F.col("score_mean")).alias("score_mean"), "n_refs")
 
 
 @register("g5_compare_systems", f"""WITH {sql_bg('documents')}, {FX.sql_systems()},
