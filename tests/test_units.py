@@ -236,7 +236,7 @@ def test_bpe_matches_brute_force(spark):
 def test_load_report_and_faults(spark):
     from textpairs.plans.fixtures import fixture_specs
     from textpairs.sources.registry import SourceSpec, load_with_report
-    from conftest import SMALL
+    SMALL = "/root/testdata/sf0.001"
     specs = fixture_specs(SMALL, with_failing=True)
     pairs, report = load_with_report(spark, specs)
     st = {r["source"]: r["status"] for r in report.collect()}
@@ -362,3 +362,37 @@ def test_near_dedup_joins_every_verified_bucket_pair(spark):
                     a, b = find(i), find(j)
                     parent[max(a, b)] = min(a, b)
     assert {r["doc_id"]: r["component"] for r in dedup_near(docs, hash_kind="md5").collect()} == {d: find(d) for d in sh}
+
+
+def test_compute_metrics_by_hand(spark):
+    from textpairs.functions.lcs import rouge_l, rouge_lsum
+    from textpairs.operators.rouge import compute_metrics
+    vocab = spark.createDataFrame([(w, 5 + i, 1) for i, w in enumerate(["the", "cat", "sat.", "on", "mat.", "dog"])], "token string, id int, cnt long")
+    rows = [(1, [0, 5, 6, 7, 8, 5, 9, 2, 1, 1], [0, 5, 10, 7, 8, 5, 9, 2, -100, -100]), (2, [0, 5, 6, 2], [0, 10, 2, -100])]
+    df = spark.createDataFrame(rows, "k long, pred_ids array<int>, labels array<int>")
+    got = {r["name"]: r["value"] for r in compute_metrics(df, vocab, ["k"]).collect()}
+    one = ([["the", "cat", "sat"], ["on", "the", "mat"]], [["the", "dog", "sat"], ["on", "the", "mat"]])
+    flat = [[w for s in side for w in s] for side in one]
+    assert got["test_rouge1"] == round(100 * (5 / 6 + 0) / 2, 4)
+    assert got["test_rouge2"] == round(100 * (3 / 5 + 0) / 2, 4)
+    assert got["test_rougeL"] == round(100 * rouge_l(*flat)[2] / 2, 4)
+    assert got["test_rougeLsum"] == round(100 * rouge_lsum(*one)[2] / 2, 4)
+    assert got["test_gen_len"] == 6.0
+
+
+def test_sources_by_path(spark, tmp_path):
+    from textpairs.sources.registry import SourceSpec, load_with_report
+    rows = spark.createDataFrame([(i, f"doc {i}", f"sum {i}") for i in range(20)], "row_no long, document string, summary string")
+    rows.repartition(3).write.parquet(str(tmp_path / "a" / "train"))
+    dirs = {"train": "train", "validation": "dev", "test": "test"}
+    spec = SourceSpec(name="a", document_col="document", summary_col="summary", split_map={s: s for s in dirs},
+                      path=str(tmp_path / "a"), format="parquet", split_dirs=dirs)
+    pairs, report = load_with_report(spark, [spec])
+    assert pairs.count() == 20
+    assert {(r["split"], r["status"], r["rows"]) for r in report.collect()} == {("train", "ok", 20), ("validation", "missing", 0), ("test", "missing", 0)}
+    nowhere = SourceSpec(name="b", document_col="document", summary_col="summary", split_map={s: s for s in dirs},
+                         path=str(tmp_path / "b"), format="parquet", split_dirs=dirs)
+    _, report = load_with_report(spark, [spec, nowhere])
+    assert {r["source"] for r in report.filter("status = 'error'").collect()} == {"b"}
+    with pytest.raises(RuntimeError):
+        load_with_report(spark, [nowhere])

@@ -22,6 +22,9 @@ from textpairs.functions.lcs import rouge_l as _rouge_l
 from textpairs.functions.lcs import rouge_lsum as _rouge_lsum
 from textpairs.functions.stem import stem_token
 from textpairs.functions.text import (LABEL_IGNORE, PAD_ID, ngrams, rouge_tokens, sentences)
+from textpairs.operators.metrics import finish_metrics, gen_len
+from textpairs.operators.vocab import decode
+from textpairs.session import cut_lineage
 
 PRF = StructType([StructField("precision", DoubleType()), StructField("recall", DoubleType()),
                   StructField("fmeasure", DoubleType())])
@@ -39,6 +42,30 @@ def with_sentences(df: DataFrame, col: str, out: str | None = None) -> DataFrame
     return df.withColumn(out or col, F.array_join(sentences(col), "\n"))
 
 
+def compute_metrics(df: DataFrame, vocab: DataFrame, key_cols: Sequence[str], pred_col: str = "pred_ids",
+                    label_col: str = "labels", prefix: str = "test", vocab_size: int = 8000) -> DataFrame:
+    """The evaluation of one set of predictions as one flow, ``(name, value)``.
+
+    Masked labels back to the pad id, both sides decoded, sentences on lines
+    (E1, E2), ROUGE-1/2/L/Lsum F-measures (E3-E7, unstemmed), their corpus mean
+    times 100 (E8), the mean generated length (E10), names prefixed and values
+    rounded to four places (E11)."""
+    keys = list(key_cols)
+    given = cut_lineage(unmask_labels(df, label_col).select(*keys, pred_col, label_col))
+    cand = with_sentences(decode(given, vocab, pred_col, keys, out="candidate", vocab_size=vocab_size), "candidate")
+    ref = with_sentences(decode(given, vocab, label_col, keys, out="reference", vocab_size=vocab_size), "reference")
+    pairs = cut_lineage(cand.join(ref, keys).select(*keys, "candidate", "reference", tokens("candidate").alias("cand_tokens"),
+                                                    tokens("reference").alias("ref_tokens")))
+    scored = rouge_lsum(rouge_l(pairs), "candidate", "reference").select(*keys, "rougeL_f", "rougeLsum_f")
+    for n in (1, 2):
+        scored = scored.join(rouge_n(pairs, n, keys).select(*keys, f"rouge{n}_f"), keys)
+    names = ["rouge1", "rouge2", "rougeL", "rougeLsum"]
+    means = rouge_summary(scored.select(*[F.col(f"{m}_f").alias(m) for m in names]), names)
+    # one row of means and one of the mean length
+    wide = means.withColumn("_one", F.lit(1)).join(gen_len(given, pred_col).withColumn("_one", F.lit(1)), "_one")
+    return finish_metrics(wide, [*names, "gen_len"], prefix)
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def _stem_arrays(tokens: pd.Series) -> pd.Series:
     return pd.Series([[stem_token(t) for t in toks] if toks is not None else None

@@ -13,7 +13,7 @@ from textpairs.operators import metrics as M
 from textpairs.operators import rouge as RG
 from textpairs.plans import fixtures as FX
 from textpairs.plans import sqlbits as S
-from textpairs.plans.catalog import PREP_CTES, r6, register
+from textpairs.plans.catalog import PREP_CTES, VOCAB_SIZE, _vocab, r6, register
 from textpairs.plans.prepare import joined_ids
 from textpairs.plans.q_tokens import B1_CTE, _batched
 from textpairs.session import read_table
@@ -167,6 +167,14 @@ def q_e11(spark: SparkSession, sf: str) -> DataFrame:
     return M.finish_metrics(RG.rouge_summary(j, ["rouge1", "rouge2"]), ["rouge1", "rouge2"], "test")
 
 
+@register("compute_metrics")
+def q_compute_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """E1-E11 as one flow over the padded batches: the first 128 input ids stand
+    in for generated ids, the labels are the reference (tested by brute force)."""
+    batched = B.pad_labels(_batched(spark, sf)).withColumn("pred_ids", F.slice("input_ids", 1, 128))
+    return RG.compute_metrics(batched, _vocab(spark, sf), ["split", "row_key"], vocab_size=VOCAB_SIZE)
+
+
 @register("e12_perplexity", f"""WITH {FX.sql_stored()},
 tr AS (SELECT {S.lm_tokens('text')} AS t FROM fx_stored WHERE stored_split = 'train'),
 cf AS (SELECT w, count(*) AS cf FROM (SELECT unnest(t) AS w FROM tr) GROUP BY w),

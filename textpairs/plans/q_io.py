@@ -15,12 +15,25 @@ from textpairs.plans.prepare import joined_ids, prepare_pairs
 from textpairs.plans.q_clean import NORM
 from textpairs.plans.q_eval import q_e11
 from textpairs.session import read_table, scratch_path
-from textpairs.sources import arrow_ipc, sinks
+from textpairs.sources import arrow_ipc, registry, sinks
 
 # fixed values: split directory names of the Arrow-file source layout
 SPLIT_DIRS = {"train": "traindataset", "validation": "devdataset", "test": "testdataset"}
 
 
+@register("s1_read_split_dirs", ORACLES["s1_read_sources"])
+def q_s1_dirs(spark: SparkSession, sf: str) -> DataFrame:
+    """Each source stored as one folder per split with several files, read by path."""
+    base = scratch_path(spark, "sources")
+    specs = []
+    for s in FX.fixture_specs(sf):
+        s.loader(spark).repartition(3, "row_no").write.partitionBy("stored_split").parquet(f"{base}/{s.name}")
+        specs.append(registry.SourceSpec(
+            name=s.name, document_col=s.document_col, summary_col=s.summary_col, split_map=s.split_map,
+            path=f"{base}/{s.name}", format="parquet", split_dirs={sp: f"stored_split={sp}" for sp in registry.SPLITS}))
+    return registry.read_sources(spark, specs)
+
+
 @register("s2_arrow_scan", f"WITH {FX.sql_stored()} SELECT doc_id, stored_split, text FROM fx_stored")
 def q_s2(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written as Arrow IPC files, one directory per stored split,
