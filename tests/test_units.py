@@ -233,6 +233,15 @@ def test_bpe_matches_brute_force(spark):
     assert got == brute_bpe(counts, 6)
 
 
+def test_bpe_rounds_equal_one_merge_at_a_time(spark):
+    from textpairs.operators.bpe import learn_bpe, word_types
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    text = " ".join(r["text"] for r in docs.collect())
+    one = spark.createDataFrame([(text,)], "text string")
+    got = [r["left"] + r["right"] for r in learn_bpe(word_types(one), 40).orderBy("rank").collect()]
+    assert got == brute_bpe(Counter(text.split()), 40)
+
+
 def test_load_report_and_faults(spark):
     from textpairs.plans.fixtures import fixture_specs
     from textpairs.sources.registry import SourceSpec, load_with_report

@@ -4,10 +4,10 @@ mode ``bpe``).
 The loop state is the table of word *types* with counts, not the corpus.
 A word is its UTF-8 bytes as hex symbols, each in its own brackets
 (``<61><62>``): merging a pair is a plain left-to-right ``replace`` of
-``<61><62>`` by ``<6162>``, which also merges runs correctly. Each merge is
-one aggregate over the word types; the winning pair (count desc, pair asc)
-is the one row the driver reads. The table is checkpointed in the shared
-folder every ``checkpoint_every`` merges.
+``<61><62>`` by ``<6162>``, which also merges runs correctly. Each round is
+one aggregate over the word types; the driver reads the ``_TOP`` best pairs
+(count desc, pair asc) and applies all merges that are certain from them. The
+table is checkpointed in the shared folder after every round.
 """
 
 from __future__ import annotations
@@ -43,24 +43,54 @@ def pair_counts(types: DataFrame) -> DataFrame:
             .groupBy("pair").agg(F.sum("cnt").cast("bigint").alias("cnt")))
 
 
-def learn_bpe(types: DataFrame, n_merges: int, min_freq: int = 2,
-              checkpoint_every: int = 20) -> DataFrame:
-    """``rank, left, right, cnt`` of the first ``n_merges`` merges (exact
-    BPE: one merge per round; ties broken by the pair string)."""
+_TOP = 64
+
+
+def _independent(top: list[tuple[str, int]], complete: bool) -> list[tuple[str, int]]:
+    """The pairs of an ordered (count desc, pair asc) list that one round may merge.
+
+    Pairs without a common symbol leave each other's counts as they are. A pair
+    that a merge creates holds a merged symbol, so its count is at most that of
+    a pair that shares a symbol with the round. Hence every pair before the first
+    one that shares a symbol, and counted strictly more often, would come next
+    in the same order if merged one at a time."""
+    used: set[str] = set()
+    bound = 0 if complete else top[-1][1]
+    chosen: list[tuple[str, int]] = []
+    for pair, cnt in top:
+        left, right = _sides(pair)
+        if {left, right} & used:
+            bound = max(bound, cnt)
+            break
+        used |= {left, right}
+        chosen.append((pair, cnt))
+    return [c for k, c in enumerate(chosen) if k == 0 or c[1] > bound]
+
+
+def _sides(pair: str) -> tuple[str, str]:
+    cut = pair.index(">") + 1
+    return pair[:cut], pair[cut:]
+
+
+def learn_bpe(types: DataFrame, n_merges: int, min_freq: int = 2) -> DataFrame:
+    """``rank, left, right, cnt`` of the first ``n_merges`` merges (exact BPE;
+    ties broken by the pair string). One round counts the pairs of all word types
+    once and applies every merge that is certain from those counts."""
     spark = types.sparkSession
     state = cut_lineage(types.select("sym", "cnt"))
-    merges = []
-    for r in range(n_merges):
-        top = pair_counts(state).orderBy(F.desc("cnt"), F.asc("pair")).first()
-        if top is None or top["cnt"] < min_freq:
+    merges: list[tuple[int, str, str, int]] = []
+    while len(merges) < n_merges:
+        top = [(r["pair"], int(r["cnt"])) for r in
+               pair_counts(state).orderBy(F.desc("cnt"), F.asc("pair")).limit(_TOP).collect()]
+        kept = [t for t in top if t[1] >= min_freq]
+        if not kept:
             break
-        pair = top["pair"]
-        left, right = pair[: pair.index(">") + 1], pair[pair.index(">") + 1:]
-        merged = "<" + left[1:-1] + right[1:-1] + ">"
-        merges.append((r + 1, left, right, int(top["cnt"])))
-        state = state.withColumn("sym", F.replace(F.col("sym"), F.lit(pair), F.lit(merged)))
-        if (r + 1) % checkpoint_every == 0:
-            state = cut_lineage(state)
+        sym = F.col("sym")
+        for pair, cnt in _independent(kept, len(top) < _TOP)[:n_merges - len(merges)]:
+            left, right = _sides(pair)
+            merges.append((len(merges) + 1, left, right, cnt))
+            sym = F.replace(sym, F.lit(pair), F.lit("<" + left[1:-1] + right[1:-1] + ">"))
+        state = cut_lineage(state.withColumn("sym", sym))
     return spark.createDataFrame(merges, "rank int, left string, right string, cnt bigint")
 
 

@@ -84,7 +84,8 @@ def q_e3(spark: SparkSession, sf: str) -> DataFrame:
 def q_e3s(spark: SparkSession, sf: str) -> DataFrame:
     """E3 (stemmed): Porter stems of tokens longer than 3 (unit-tested, no SQL)."""
     p = FX.fx_pair(spark, sf)
-    return p.select("pair_id", F.array_join(RG.tokens("candidate", stem=True), " ").alias("cand_tokens"))
+    return p.select("pair_id", F.array_join(RG.tokens("candidate", stem=True), " ").alias("cand_tokens"),
+                    F.array_join(RG.tokens("reference", stem=True), " ").alias("ref_tokens"))
 
 
 @register("e4_rouge1", f"WITH {PAIR_TOKENS}, {sql_rouge_n(1, 'r1')} "

@@ -139,18 +139,30 @@ def q_g7(spark: SparkSession, sf: str) -> DataFrame:
     return G.score_report(j, "pair_no", "document", "summary", "score", 50)
 
 
-@register("g1_score_pairs")
+def sql_overlap(pairs: str, doc: str, summary: str, max_words: int | None) -> str:
+    """CTEs ending in ``ov(pair_id, score, score_error)``: the overlap scorer's formula and errors."""
+    long = f"len(d) > {max_words}" if max_words is not None else "false"
+    return (f"ov_b AS (SELECT pair_id, {S.lm_tokens(doc)} AS d, {S.lm_tokens(summary)} AS s FROM {pairs}), "
+            f"ov_x AS (SELECT pair_id, d, len(d) AS n, unnest(s) AS w FROM ov_b WHERE NOT {long}), "
+            f"ov_a AS (SELECT pair_id, avg(ln(0.5::DOUBLE * (CASE WHEN n > 0 THEN len(list_filter(d, lambda x: x = w))::DOUBLE / n ELSE 0.0::DOUBLE END) "
+            f"+ 0.5::DOUBLE / (n + 1))) AS score FROM ov_x GROUP BY pair_id), "
+            f"ov AS (SELECT b.pair_id, {S.r6('a.score')} AS score, CASE WHEN {long} THEN 'ValueError: input of ' || len(d) || ' words exceeds {max_words}' "
+            f"WHEN len(s) = 0 THEN 'ValueError: empty target' END AS score_error FROM ov_b b LEFT JOIN ov_a a USING (pair_id))")
+
+
+@register("g1_score_pairs", f"WITH {FX.sql_pair()}, {sql_overlap('fx_pair', 'candidate', 'reference', None)} SELECT * FROM ov")
 def q_g1(spark: SparkSession, sf: str) -> DataFrame:
     """G1: user scorer (deterministic Python scorer) in batches of 8 via mapInPandas."""
     p = FX.fx_pair(spark, sf).select("pair_id", F.col("candidate").alias("document"),
                                      F.col("reference").alias("summary"))
-    return G.score_pairs(p, lambda: G.OverlapScorer(), "pair_id", batch_size=G.SCORE_BATCH)
+    return G.score_pairs(p, lambda: G.OverlapScorer(), "pair_id", batch_size=G.SCORE_BATCH).withColumn("score", r6(F.col("score")))
 
 
-@register("g8_quarantine")
+@register("g8_quarantine", f"WITH {LEAD_PAIRS}, {sql_overlap('lp', 'document', 'summary', 500)} SELECT * FROM ov")
 def q_g8(spark: SparkSession, sf: str) -> DataFrame:
     """A scorer with a 500-word input limit: long documents are quarantined
     (null score + reason), every other pair keeps its score."""
     lp = _lead_pairs(spark, sf).select("pair_id", "document", "summary")
-    return G.score_pairs(lp, lambda: G.OverlapScorer(max_words=500), "pair_id",
-                         batch_size=G.SCRIPT_SCORE_BATCH)
+    scored = G.score_pairs(lp, lambda: G.OverlapScorer(max_words=500), "pair_id",
+                           batch_size=G.SCRIPT_SCORE_BATCH)
+    return scored.withColumn("score", r6(F.col("score")))
