@@ -48,7 +48,7 @@ DIM = 12
 HIDDEN = 24
 MASKED = 0.1
 ROUNDS = 2
-_BATCH = 2048
+_BATCH = 512
 _FLUSH = 300_000
 _MEMO = 500_000
 
@@ -163,7 +163,7 @@ class Network:
         self.matrix = matrix
         self.embedding = matrix[:n_symbols + 1]
         self.w1, self.b1, self.w2, self.b2 = _layers(matrix, n_symbols)
-        self.squares = np.full_like(matrix, 1e-3)
+        self.squares = np.full_like(matrix, 1e-8)
         self.square_parts = _layers(self.squares, n_symbols)
 
     def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,7 +252,7 @@ def train_round(docs: DataFrame, model: MaskedLM, turn: int, text_col: str = "te
                 contexts.append(model.contexts(ids, at))
                 targets.append(ids[at])
                 held += len(at)
-                learn(16 * _BATCH)
+                learn(64 * _BATCH)
         learn(1)
         rows = np.flatnonzero(touched)
         yield pa.record_batch([pa.array(rows, pa.int32()), pa.array(touched[rows], pa.float64()),

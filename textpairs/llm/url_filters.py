@@ -155,16 +155,14 @@ def judge_urls(df: DataFrame, site_rules: list[SiteRule], patterns: list[Pattern
     """``df`` with host, path, rule (like ``net/``; else null) and verdict (allow or block)."""
     patterns = DEFAULT_PATTERNS if patterns is None else patterns
     urls = df.select(F.col(url_col).alias("url")).filter("url is not null").groupBy("url").agg(F.count("*").alias("n"))
-    out = df.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url_col])
-    site = site_rules_of(urls, site_rules).withColumnRenamed("url", "_site_url")
-    out = out.join(site, F.col(url_col) == F.col("_site_url"), "left").drop("_site_url")
+    out = df.select(F.struct(*df.columns).alias("_row"), F.col(url_col).alias("_url"))
+    site = site_rules_of(urls, site_rules).withColumnRenamed("url", "_url")
+    out = out.join(site, "_url", "left")
     verdict = F.col("rule_verdict")
     if patterns:
-        found = pattern_verdicts(urls, patterns).withColumnRenamed("url", "_pattern_url")
-        out = out.join(found, F.col(url_col) == F.col("_pattern_url"), "left").drop("_pattern_url")
+        out = out.join(pattern_verdicts(urls, patterns).withColumnRenamed("url", "_url"), "_url", "left")
         # a URL without "://" is not judged by patterns
-        verdict = F.coalesce(verdict, F.when(F.contains(F.col(url_col), F.lit("://")), F.col("pattern_verdict")))
-        out = out.withColumn("verdict", F.coalesce(verdict, F.lit("allow"))).drop("pattern_verdict")
-    else:
-        out = out.withColumn("verdict", F.coalesce(verdict, F.lit("allow")))
-    return out.select("*", host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path")).drop("rule_verdict")
+        verdict = F.coalesce(verdict, F.when(F.contains(F.col("_url"), F.lit("://")), F.col("pattern_verdict")))
+    kept = [F.col("_row")[c].alias(c) for c in df.columns if c not in ("host", "path", "rule", "verdict")]
+    return out.select(*kept, host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"), "rule",
+                      F.coalesce(verdict, F.lit("allow")).alias("verdict"))
