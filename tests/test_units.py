@@ -405,3 +405,34 @@ def test_sources_by_path(spark, tmp_path):
     assert {r["source"] for r in report.filter("status = 'error'").collect()} == {"b"}
     with pytest.raises(RuntimeError):
         load_with_report(spark, [nowhere])
+
+
+def test_poisson_infilling_masks_the_budget():
+    from textpairs.operators.batches import _poisson_infill
+    for n in (1, 7, 100, 3000):
+        words = [f"w{i}" for i in range(n)]
+        out = _poisson_infill(" ".join(words), "key", 0.3, 3.0, 42)
+        kept = [t for t in out.split() if t != "[MASK]"]
+        assert len(kept) == n - round(0.3 * n)
+        assert kept == [w for w in words if w in set(kept)]  # order unchanged
+        assert out == _poisson_infill(" ".join(words), "key", 0.3, 3.0, 42)
+    assert _poisson_infill("", "key", 0.3, 3.0, 42) == ""
+
+
+def test_bpe_ids_by_joins(spark):
+    from textpairs.operators.bpe import _apply_merges, bpe_encode_ids, bpe_vocab, learn_segments, word_types
+    texts = ["low lower lowest low", "new newer né newest wide", "", None, "low " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    merges, segments = learn_segments(word_types(df), 12)
+    pairs = [(r["left"], r["right"]) for r in merges.orderBy("rank").collect()]
+    vocab = {r["token"]: r["id"] for r in bpe_vocab(merges).collect()}
+    assert sorted(vocab.values()) == list(range(5 + 256 + len(pairs)))
+    ranks = {p: i for i, p in enumerate(pairs)}
+    back = {i: t for t, i in vocab.items()}
+    got = {r["doc_id"]: r for r in bpe_encode_ids(df, segments, bpe_vocab(merges), 12, ["doc_id"], max_len=20).collect()}
+    for i, t in enumerate(texts):
+        want = [vocab[s] for w in (t or "").split() for s in _apply_merges(w, ranks)][:18]
+        assert got[i]["input_ids"] == [0, *want, 2]
+        assert got[i]["attention_mask"] == [1] * (len(want) + 2)
+    whole = "".join(back[i].strip("<>") for i in got[0]["input_ids"][1:-1])
+    assert bytes.fromhex(whole).decode() == "lowlowerlowestlow"

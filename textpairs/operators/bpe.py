@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from textpairs.functions.text import words
-from textpairs.session import cut_lineage
+from textpairs.functions.text import BOS_ID, EOS_ID, SPECIAL_TOKENS, UNK_ID, words
+from textpairs.session import broadcast_bounded, cut_lineage
 
 
 def byte_symbols(word: Column) -> Column:
@@ -74,10 +74,16 @@ def _sides(pair: str) -> tuple[str, str]:
 
 def learn_bpe(types: DataFrame, n_merges: int, min_freq: int = 2) -> DataFrame:
     """``rank, left, right, cnt`` of the first ``n_merges`` merges (exact BPE;
-    ties broken by the pair string). One round counts the pairs of all word types
-    once and applies every merge that is certain from those counts."""
+    ties broken by the pair string)."""
+    return learn_segments(types, n_merges, min_freq)[0]
+
+
+def learn_segments(types: DataFrame, n_merges: int, min_freq: int = 2) -> tuple[DataFrame, DataFrame]:
+    """T2 with its by-product: the merges, and ``word, sym``, every word type (as
+    byte symbols) with the symbols it ends in. One round counts the pairs of all
+    word types once and applies every merge that is certain from those counts."""
     spark = types.sparkSession
-    state = cut_lineage(types.select("sym", "cnt"))
+    state = cut_lineage(types.select(F.col("sym").alias("word"), "sym", "cnt"))
     merges: list[tuple[int, str, str, int]] = []
     while len(merges) < n_merges:
         top = [(r["pair"], int(r["cnt"])) for r in
@@ -91,7 +97,44 @@ def learn_bpe(types: DataFrame, n_merges: int, min_freq: int = 2) -> DataFrame:
             merges.append((len(merges) + 1, left, right, cnt))
             sym = F.replace(sym, F.lit(pair), F.lit("<" + left[1:-1] + right[1:-1] + ">"))
         state = cut_lineage(state.withColumn("sym", sym))
-    return spark.createDataFrame(merges, "rank int, left string, right string, cnt bigint")
+    learned = spark.createDataFrame(merges, "rank int, left string, right string, cnt bigint")
+    return learned, state.select("word", "sym")
+
+
+def bpe_vocab(merges: DataFrame) -> DataFrame:
+    """``token, id``: the special tokens, the 256 bytes, then the merges in order."""
+    spark = merges.sparkSession
+    specials = spark.createDataFrame([(t, i) for i, t in enumerate(SPECIAL_TOKENS)], "token string, id int")
+    first = len(SPECIAL_TOKENS)
+    of_bytes = spark.range(256).select(F.format_string("<%02X>", "id").alias("token"), (F.col("id") + first).cast("int").alias("id"))
+    inner = F.concat(F.regexp_replace("left", "[<>]", ""), F.regexp_replace("right", "[<>]", ""))
+    merged = merges.select(F.concat(F.lit("<"), inner, F.lit(">")).alias("token"), (F.col("rank") + (first + 255)).cast("int").alias("id"))
+    return specials.unionByName(of_bytes).unionByName(merged)
+
+
+def bpe_encode_ids(df: DataFrame, segments: DataFrame, vocab: DataFrame, n_merges: int, key_cols: Sequence[str],
+                   col: str = "text", max_len: int = 1024, out: str = "input_ids") -> DataFrame:
+    """T3 (mode ``bpe``) as joins: ``key_cols``, ``out`` = ``<s> ids </s>`` of at most
+    ``max_len`` ids and its attention mask.
+
+    Learning has already split every word type, so a word's ids are one join away
+    (a word it has not seen is ``<unk>``). Texts are cut to ``max_len - 2`` words
+    before the join: a word has at least one id. A very frequent word is a skewed
+    join key, which AQE splits."""
+    keys = list(key_cols)
+    symbols = segments.select("word", F.posexplode(F.regexp_extract_all(F.col("sym"), F.lit("<[^>]*>"), 0)).alias("at", "token"))
+    known = broadcast_bounded(vocab.select("token", "id"), n_merges + 256 + len(SPECIAL_TOKENS))
+    ids_of = (symbols.join(known, "token").groupBy("word")
+              .agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("s"))
+              .select("word", F.transform("s", lambda x: x["id"]).alias("ids")))
+    cut = F.coalesce(F.slice(words(col), 1, max_len - 2), F.array().cast("array<string>"))
+    ex = df.select(*keys, F.posexplode_outer(cut).alias("pos", "w")).withColumn("word", byte_symbols(F.col("w")))
+    found = ex.join(ids_of, "word", "left")
+    ids = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("ids", F.array(F.lit(UNK_ID))).alias("ids")))
+    whole = found.groupBy(*keys).agg(F.array_sort(F.collect_list(ids)).alias("s"))
+    body = F.slice(F.flatten(F.transform("s", lambda x: x["ids"])), 1, max_len - 2)
+    return (whole.select(*keys, F.concat(F.array(F.lit(BOS_ID)), body, F.array(F.lit(EOS_ID))).alias(out))
+            .withColumn("attention_mask", F.array_repeat(F.lit(1), F.size(out))))
 
 
 def _apply_merges(word: str, ranks: dict) -> list[str]:

@@ -148,3 +148,14 @@ def q_t3b(spark: SparkSession, sf: str) -> DataFrame:
     e = BP.bpe_encode(docs, merges, max_tokens=1022)
     return e.select("doc_id", F.size("bpe_tokens").cast("bigint").alias("n_tokens"),
                     F.array_join("bpe_tokens", " ").alias("bpe_tokens"))
+
+
+@register("t3_encode_bpe_ids")
+def q_t3b_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """T3 (bpe mode) to ids: bytes and 40 learned merges, at most 1024 ids with
+    <s> and </s>; joins only, no Python (tested by brute force)."""
+    docs = _docs(spark, sf)
+    merges, segments = BP.learn_segments(BP.word_types(docs), 40)
+    e = BP.bpe_encode_ids(docs, segments, BP.bpe_vocab(merges), 40, ["doc_id"])
+    return e.select("doc_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
+                    F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"))
