@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textpairs.llm.pieces import by_size
+from textpairs.session import cut_lineage
 
 VOCABULARY = 4096
 OTHERS = 256
@@ -201,8 +202,17 @@ def _rows_of(n_symbols: int) -> int:
 
 
 def initial_model(counts: DataFrame, vocabulary: int = VOCABULARY, seed: int = 5) -> MaskedLM:
-    """Vocabulary, classes and random parameters from the corpus counts."""
-    top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+    """Vocabulary, classes and random parameters from the corpus counts.
+
+    A histogram over the counts' logarithm (a few hundred rows) tells which words
+    can be among the most frequent; only those are ordered."""
+    counts = counts.withColumn("size", F.floor(F.log2("n") * 8).cast("int"))
+    sizes = counts.groupBy("size").agg(F.count("*").alias("words")).orderBy(F.desc("size")).collect()
+    held, least = 0, 0
+    for r in sizes:
+        if held < vocabulary:
+            held, least = held + r["words"], r["size"]
+    top = counts.filter(F.col("size") >= least).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
     words = [r["word"] for r in top]
     mass = np.ones(len(words) + OTHERS)
     mass[:len(words)] += [r["n"] for r in top]
@@ -271,7 +281,7 @@ def train_round(docs: DataFrame, model: MaskedLM, turn: int, text_col: str = "te
 
 def fit(docs: DataFrame, text_col: str = "text", vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> MaskedLM:
     """Count, then train ``rounds`` rounds over all documents."""
-    model = initial_model(word_counts(docs, text_col), vocabulary)
+    model = initial_model(cut_lineage(word_counts(docs, text_col)), vocabulary)
     for turn in range(rounds):
         matrix = train_round(docs, model, turn, text_col, rate=0.1 / (turn + 1))
         model = MaskedLM(model.words, model.class_of, model.log_share, matrix)
