@@ -54,7 +54,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, their digest and that of the text they decode to."""
     apply_job_conf(spark)
     path = tokenizer_path("byte_bpe_50k.json")
-    out = bpe_codec.decode(bpe_codec.encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    out = bpe_codec.round_trip(docs.select("doc_id", "lang", "source", "text"), path)
     return out.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -104,7 +104,7 @@ def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     path = tokenizer_path("byte_bpe_50k.json")
-    out = bpe_codec.decode(bpe_codec.encode(docs, path), path)
+    out = bpe_codec.round_trip(docs, path)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))
