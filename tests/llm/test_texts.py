@@ -145,6 +145,35 @@ def test_scores_are_brute_force(spark, docs, small_dir):
         assert got[r.doc_id].log_likelihood == pytest.approx(total, rel=1e-2)
 
 
+def test_every_word_has_its_own_share(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    counts = {r.word: r.n for r in masked_lm.word_counts(docs).collect()}
+    rare = sorted((w for w, n in counts.items() if n in (2, 3)), key=lambda w: (-counts[w], w))[:200]
+    unseen = [f"{w}~{k}~" for k, w in enumerate(rare)]
+    assert not set(unseen) & set(counts)
+    some = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").limit(30).collect()]
+    own = spark.createDataFrame([*some, some[0], (-1, " ".join(rare)), (-2, " ".join(unseen)), (-3, None)], docs.schema)
+    model = masked_lm.fit(docs)
+    net = masked_lm.Network(model.matrix, model.n_symbols)
+    words = set(model.words)
+    assert 0 < len(words) < len(counts) and not words & set(rare)
+    got = masked_lm.score(own, model).collect()
+    assert len(got) == len(some) + 4
+    for r in got:
+        tail = sum(np.log(counts.get(w, 1)) for w in masked_lm.tokens_of(r.text or "") if w not in words)
+        assert r.log_likelihood == pytest.approx(model.score(r.text or "", net)[1] + tail, rel=1e-6)
+    mean = {r.doc_id: r.mean_log_likelihood for r in got}
+    assert mean[-2] < mean[-1] < min(mean[i] for i, t in some if len(t.split()) > 20)
+    # the shares of a hash symbol: its words and one count for all others
+    other = {w: model.ids(w)[0] for w in counts if w not in words}
+    mass = np.full(model.n_symbols, 1.0)
+    for w, s in other.items():
+        mass[s] += counts[w]
+    mass[:len(words)] += [counts[w] for w in model.words]
+    in_class = np.bincount(model.class_of, weights=mass)
+    assert np.allclose(np.exp(model.log_share[len(words):]) * in_class[model.class_of[len(words):]], 1.0, rtol=1e-4)
+
+
 def test_gradient_step_by_finite_difference():
     rng = np.random.default_rng(1)
     symbols = 20

@@ -7,9 +7,11 @@ its class comes from the corpus counts. The sum of the conditional log
 probabilities of all tokens is a document's pseudo-log-likelihood.
 
 *Counts.* Word counts cover all documents (counted per task, summed in one
-shuffle). The ``vocabulary`` most frequent words are symbols of their own; any
-other word is one of ``OTHERS`` symbols by its hash. Symbols are cut into
-``CLASSES`` classes of about equal mass in order of frequency.
+shuffle). A word that makes up at least ``SHARE`` of the corpus is a symbol of
+its own, so there are at most ``1 / SHARE`` of them; any other word is one of
+``OTHERS`` symbols by its hash. Symbols are cut into ``CLASSES`` classes of about
+equal mass in order of frequency. Inside a hash symbol every word has its own
+share, its count over the symbol's mass: the counts stay a Spark table.
 
 *Training.* Every document takes part in every round: a masked share of its
 positions, drawn from a generator seeded by the text, are targets. Each task
@@ -19,7 +21,12 @@ averages the rows over all tasks. What is gathered grows with the number of
 tasks, and so with the input; the driver holds one averaged matrix, whose size
 the parameters bound.
 
-*Scores.* A narrow map over whole texts.
+*Scores.* A narrow map over whole texts gives every word of a hash symbol the
+share of a word counted once, which is also the floor of words that were never
+counted. The documents' words of hash symbols, counted per document, are joined
+with the counts, and the logarithms of those are added. None of these words is a
+hot key: each makes up less than ``SHARE`` of the corpus. Texts and words meet by
+their 64-bit hashes.
 
 Defined results: null and empty texts have no tokens and score 0 with a null
 mean; repeated rows get equal scores; an empty table gives an empty result;
@@ -28,21 +35,23 @@ extra columns pass through.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textpairs.llm.pieces import by_size
 from textpairs.session import cut_lineage
 
-VOCABULARY = 4096
-OTHERS = 256
+SHARE = 1e-5
+OTHERS = 256  # divides 2^64: the signed and the unsigned hash agree
 CLASSES = 64
 SIDE = 2
 DIM = 12
@@ -52,6 +61,7 @@ ROUNDS = 2
 _BATCH = 512
 _FLUSH = 300_000
 _MEMO = 500_000
+_SEED = 42  # of Spark's xxhash64
 
 
 def tokens_of(text: str) -> list[str]:
@@ -88,7 +98,7 @@ class _Symbols(dict):
         self.first_other = len(words)
 
     def __missing__(self, word: str) -> int:
-        s = self.first_other + xxhash.xxh64_intdigest(word, 3) % OTHERS
+        s = self.first_other + xxhash.xxh64_intdigest(word, _SEED) % OTHERS
         if len(self) < self.first_other + _MEMO:
             self[word] = s
         return s
@@ -98,18 +108,19 @@ class _Symbols(dict):
 class MaskedLM:
     words: list[str]
     class_of: np.ndarray  # of each symbol
-    log_share: np.ndarray  # log p(symbol | class)
+    log_share: np.ndarray  # log p(word | class); of a hash symbol, for a word counted once
     matrix: np.ndarray  # all parameters, DIM to a row
+    tail: DataFrame | None = None  # (word_hash, n) of the words of hash symbols; stays on the driver
 
     def __post_init__(self) -> None:
         self._symbols: _Symbols | None = None
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "_symbols"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_symbols", "tail")}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self._symbols = None
+        self._symbols = self.tail = None
 
     @property
     def n_symbols(self) -> int:
@@ -201,31 +212,26 @@ def _rows_of(n_symbols: int) -> int:
     return -(-((n_symbols + 1) * DIM + sum(a * b for a, b in _SHAPES)) // DIM)
 
 
-def initial_model(counts: DataFrame, vocabulary: int = VOCABULARY, seed: int = 5) -> MaskedLM:
-    """Vocabulary, classes and random parameters from the corpus counts.
-
-    A histogram over the counts' logarithm (a few hundred rows) tells which words
-    can be among the most frequent; only those are ordered."""
-    counts = counts.withColumn("size", F.floor(F.log2("n") * 8).cast("int"))
-    sizes = counts.groupBy("size").agg(F.count("*").alias("words")).orderBy(F.desc("size")).collect()
-    held, least = 0, 0
-    for r in sizes:
-        if held < vocabulary:
-            held, least = held + r["words"], r["size"]
-    top = counts.filter(F.col("size") >= least).orderBy(F.desc("n"), "word").limit(vocabulary).collect()
+def initial_model(counts: DataFrame, share: float = SHARE, seed: int = 5) -> MaskedLM:
+    """Vocabulary, classes and random parameters from the corpus counts."""
+    least = max(1, math.ceil((counts.agg(F.sum("n").alias("n")).first()["n"] or 0) * share))
+    top = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").collect()  # at most 1 / share words
     words = [r["word"] for r in top]
     mass = np.ones(len(words) + OTHERS)
     mass[:len(words)] += [r["n"] for r in top]
-    rest = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    mass[len(words):] += max(0, rest - sum(r["n"] for r in top)) / OTHERS  # the hash deals them evenly
+    rest = counts.filter(F.col("n") < least).select(F.xxhash64("word").alias("word_hash"), "n")
+    for r in rest.groupBy(F.pmod("word_hash", F.lit(OTHERS)).alias("other")).agg(F.sum("n").alias("n")).collect():
+        mass[len(words) + r["other"]] += r["n"]
     order = np.argsort(-mass, kind="stable")
     middle = np.cumsum(mass[order]) - mass[order] / 2
     class_of = np.zeros(len(mass), dtype=np.int64)
     class_of[order] = np.minimum((middle / mass.sum() * CLASSES).astype(np.int64), CLASSES - 1)
-    log_share = np.log(mass) - np.log(np.bincount(class_of, weights=mass, minlength=CLASSES)[class_of])
+    count = np.where(np.arange(len(mass)) < len(words), mass, 1.0)
+    log_share = np.log(count) - np.log(np.bincount(class_of, weights=mass, minlength=CLASSES)[class_of])
     rnd = np.random.default_rng(seed)
     matrix = (rnd.standard_normal((_rows_of(len(mass)), DIM)) * 0.1).astype(np.float32)
-    return MaskedLM(words, class_of, log_share.astype(np.float32), matrix)
+    tail = rest.filter(F.col("n") > 1).groupBy("word_hash").agg(F.sum("n").alias("n"))  # a count of 1 adds log 1
+    return MaskedLM(words, class_of, log_share.astype(np.float32), matrix, tail)
 
 
 def train_round(docs: DataFrame, model: MaskedLM, turn: int, text_col: str = "text",
@@ -279,15 +285,56 @@ def train_round(docs: DataFrame, model: MaskedLM, turn: int, text_col: str = "te
     return matrix
 
 
-def fit(docs: DataFrame, text_col: str = "text", vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> MaskedLM:
+def fit(docs: DataFrame, text_col: str = "text", share: float = SHARE, rounds: int = ROUNDS) -> MaskedLM:
     """Count, then train ``rounds`` rounds over all documents."""
-    model = initial_model(cut_lineage(word_counts(docs, text_col)), vocabulary)
+    model = initial_model(cut_lineage(word_counts(docs, text_col)), share)
     for turn in range(rounds):
         matrix = train_round(docs, model, turn, text_col, rate=0.1 / (turn + 1))
-        model = MaskedLM(model.words, model.class_of, model.log_share, matrix)
+        model = replace(model, matrix=matrix)
     return model
 
 
+def rare_words(docs: DataFrame, model: MaskedLM, text_col: str = "text") -> DataFrame:
+    """(text_hash, word_hash, times, first): the distinct words of hash symbols in every
+    document. ``first`` is 1 in one row of each, so its sum counts equal texts."""
+    known = docs.sparkSession.sparkContext.broadcast(frozenset(model.words))
+    schema = pa.schema([("text_hash", pa.int64()), ("word_hash", pa.int64()), ("times", pa.int32()), ("first", pa.int32())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, digest = known.value, xxhash.xxh64_intdigest
+        for batch in batches:
+            of_text, at = batch.column(0).to_numpy(), 0
+            for texts in by_size(batch.column(1).to_pylist()):
+                rare = [[digest(w, _SEED) for w in tokens_of(t) if w not in words] for t in texts]
+                owner = np.repeat(np.arange(len(rare)), [len(r) for r in rare])
+                hashes = np.fromiter(chain.from_iterable(rare), dtype=np.uint64, count=len(owner))
+                order = np.lexsort((hashes, owner))
+                owner, hashes = owner[order], hashes[order]
+                first = np.ones(len(owner), dtype=bool)
+                first[1:] = owner[1:] != owner[:-1]
+                new = first.copy()
+                new[1:] |= hashes[1:] != hashes[:-1]
+                starts = np.flatnonzero(new)
+                yield pa.record_batch([pa.array(of_text[at + owner[starts]]), pa.array(hashes[starts].view(np.int64)),
+                                       pa.array(np.diff(starts, append=len(owner)).astype(np.int32)), pa.array(first[starts].astype(np.int32))], schema=schema)
+                at += len(texts)
+
+    return (docs.select(_text_hash(text_col).alias("text_hash"), F.coalesce(text_col, F.lit("")).alias("text"))
+            .mapInArrow(rows, "text_hash long, word_hash long, times int, first int"))
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _counted(docs: DataFrame, model: MaskedLM, text_col: str) -> DataFrame:
+    """(_counted_hash, _counted): what the counts of its words of hash symbols add to a text."""
+    found = rare_words(docs, model, text_col).join(model.tail, "word_hash", "left")
+    adds = F.coalesce(F.col("times") * F.log("n"), F.lit(0.0))
+    return (found.groupBy(F.col("text_hash").alias("_counted_hash"))
+            .agg((F.sum(adds) / F.sum("first")).alias("_counted")))
+
+
 def score(docs: DataFrame, model: MaskedLM, text_col: str = "text") -> DataFrame:
     """``docs`` with n_tokens, log_likelihood (sum over tokens) and mean_log_likelihood."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by vocabulary x DIM
@@ -301,7 +348,9 @@ def score(docs: DataFrame, model: MaskedLM, text_col: str = "text") -> DataFrame
             yield pa.StructArray.from_arrays([pa.array([s[0] for s in scores], pa.int64()), pa.array([s[1] for s in scores], pa.float64())],
                                              names=["n_tokens", "log_likelihood"])
 
-    scored = docs.withColumn("_lm", likelihood(F.coalesce(F.col(text_col), F.lit(""))))
+    scored = docs.withColumn("_lm", likelihood(F.coalesce(F.col(text_col), F.lit("")))).withColumn("_text_hash", _text_hash(text_col))
+    scored = scored.join(_counted(docs, model, text_col), F.col("_text_hash") == F.col("_counted_hash"), "left")
+    total = F.col("_lm.log_likelihood") + F.coalesce("_counted", F.lit(0.0))
     kept = [c for c in docs.columns if c not in ("n_tokens", "log_likelihood", "mean_log_likelihood")]
-    return scored.select(*kept, F.col("_lm.n_tokens").alias("n_tokens"), F.col("_lm.log_likelihood").alias("log_likelihood"),
-                         F.try_divide(F.col("_lm.log_likelihood"), F.col("_lm.n_tokens")).alias("mean_log_likelihood"))
+    return scored.select(*kept, F.col("_lm.n_tokens").alias("n_tokens"), total.alias("log_likelihood"),
+                         F.try_divide(total, F.col("_lm.n_tokens")).alias("mean_log_likelihood"))
