@@ -41,6 +41,21 @@ def test_slots_must_agree(spark):
     assert runs[1] == len(ITEM.split()) > runs[2]
 
 
+def test_windows_of_few_literal_words(spark):
+    dense = "Anna Maria Kowalski paid 12 euros, Ben Luc Moreau paid 15 euros and Eva Ruiz paid 9 euros."
+    middle = "the old man said that Anna Maria Kowalski Ben Luc Moreau Eva Ruiz would come home soon"
+    names = "Anna Maria Kowalski Ben Luc Moreau Eva Ruiz Carla Emil Dan Tom Ina Olga Pia"
+    bench = spark.createDataFrame([(1, dense), (2, middle), (3, names), (4, "12 13 14 15 16"), (5, "Paris")], "item_id long, text string")
+    other = dense.replace("Anna", "Carla").replace("Moreau", "Dupont").replace("12", "40")
+    mixed = dense.replace("Ben Luc", "Zed Zed")  # one name for two
+    swapped = middle.replace("Anna Maria Kowalski", "Tom Jan Novak")
+    many = " ".join(f"Name{k}" for k in range(40)) + " 12 13 14 15 16 Paris"
+    texts = [dense, other, mixed, middle, swapped, names, many, "we read " + dense + " twice", "so " + names + " came", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {(r.id, r.item): r.run_words for r in decontaminate.contaminated(docs, bench).collect()}
+    assert got == {(0, 1): 18, (1, 1): 18, (3, 2): 17, (4, 2): 17, (5, 3): 15, (7, 1): 18, (8, 3): 15}
+
+
 def test_consistent_run_by_hand():
     assert decontaminate.consistent_run([(0, ["a"], ["x"]), (1, ["a"], ["x"]), (3, [], [])], 4) == 5
     assert decontaminate.consistent_run([(0, ["a"], ["x"]), (1, ["a"], ["y"])], 4) == 4
