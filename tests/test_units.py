@@ -242,6 +242,24 @@ def test_bpe_rounds_equal_one_merge_at_a_time(spark):
     assert got == brute_bpe(Counter(text.split()), 40)
 
 
+def test_bpe_of_production_size(spark):
+    from textpairs.operators.bpe import learn_segments, word_types
+    from textpairs.plans.catalog import QUERIES
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40)
+    counts = Counter(" ".join(r["text"] or "" for r in docs.collect()).split())
+    want = brute_bpe(counts, 400)
+    types = word_types(docs)
+    merges, ends = learn_segments(types, 400)
+    assert [r["left"] + r["right"] for r in merges.orderBy("rank").collect()] == want
+    rounds, ends_of_rounds = learn_segments(types, 25, local_types=0)
+    local, ends_local = learn_segments(types, 25)
+    assert sorted(rounds.collect()) == sorted(local.collect())
+    assert sorted(ends_of_rounds.collect()) == sorted(ends_local.collect())
+    learned = QUERIES["t2_learn_bpe"](spark, "/root/testdata/sf0.001").orderBy("rank").collect()
+    assert [r["rank"] for r in learned] == list(range(1, 4001))
+    assert all(a["cnt"] >= b["cnt"] for a, b in zip(learned, learned[1:]))
+
+
 def test_load_report_and_faults(spark):
     from textpairs.plans.fixtures import fixture_specs
     from textpairs.sources.registry import SourceSpec, load_with_report

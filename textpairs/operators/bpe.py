@@ -7,14 +7,20 @@ A word is its UTF-8 bytes as hex symbols, each in its own brackets
 ``<61><62>`` by ``<6162>``, which also merges runs correctly. Each round is
 one aggregate over the word types; the driver reads the ``_TOP`` best pairs
 (count desc, pair asc) and applies all merges that are certain from them. The
-table is checkpointed in the shared folder after every round.
+table is checkpointed in the shared folder after every round. A table of at most
+``LOCAL_TYPES`` word types (counted first) is merged on the driver instead, where a
+merge costs no Spark job; the merges are the same.
 """
 
 from __future__ import annotations
 
+import heapq
+import re
+from collections import defaultdict
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -45,6 +51,11 @@ def pair_counts(types: DataFrame) -> DataFrame:
 
 _TOP = 64
 
+#: Merges of the registered queries.
+N_MERGES = 4000
+
+LOCAL_TYPES = 500_000
+
 
 def _independent(top: list[tuple[str, int]], complete: bool) -> list[tuple[str, int]]:
     """The pairs of an ordered (count desc, pair asc) list that one round may merge.
@@ -78,13 +89,75 @@ def learn_bpe(types: DataFrame, n_merges: int, min_freq: int = 2) -> DataFrame:
     return learn_segments(types, n_merges, min_freq)[0]
 
 
-def learn_segments(types: DataFrame, n_merges: int, min_freq: int = 2) -> tuple[DataFrame, DataFrame]:
+def _merge_word(syms: list[str], left: str, right: str, merged: str) -> list[str]:
+    out, i = [], 0
+    while i < len(syms):
+        if syms[i] == left and i + 1 < len(syms) and syms[i + 1] == right:
+            out.append(merged)
+            i += 2
+        else:
+            out.append(syms[i])
+            i += 1
+    return out
+
+
+def _merge_locally(syms: list[str], counts: list[int], n_merges: int, min_freq: int) -> tuple[list[tuple[int, str, str, int]], list[str]]:
+    """The merges of word types one at a time, touching only the types with the pair."""
+    words = [re.findall("<[^>]*>", s) for s in syms]
+    total: dict[tuple[str, str], int] = defaultdict(int)
+    where: dict[tuple[str, str], set[int]] = defaultdict(set)
+    for k, w in enumerate(words):
+        for pair in zip(w, w[1:]):
+            total[pair] += counts[k]
+            where[pair].add(k)
+    heap = [(-n, a + b, a, b) for (a, b), n in total.items()]
+    heapq.heapify(heap)
+    merges: list[tuple[int, str, str, int]] = []
+    while heap and len(merges) < n_merges:
+        n, _, left, right = heapq.heappop(heap)
+        now = total.get((left, right), 0)
+        if now != -n:  # counted anew since; a higher count has an entry of its own
+            if 0 < now < -n:
+                heapq.heappush(heap, (-now, left + right, left, right))
+            continue
+        if now < min_freq:
+            break
+        merged = "<" + left[1:-1] + right[1:-1] + ">"
+        merges.append((len(merges) + 1, left, right, now))
+        grown = set()
+        for k in where.pop((left, right)):
+            old = words[k]
+            new = _merge_word(old, left, right, merged)
+            if len(new) == len(old):
+                continue
+            for pair in zip(old, old[1:]):
+                total[pair] -= counts[k]
+            for pair in zip(new, new[1:]):
+                total[pair] += counts[k]
+                if merged in pair:
+                    where[pair].add(k)
+                    grown.add(pair)
+            words[k] = new
+        total.pop((left, right), None)
+        for a, b in grown:
+            heapq.heappush(heap, (-total[a, b], a + b, a, b))
+    return merges, ["".join(w) for w in words]
+
+
+def learn_segments(types: DataFrame, n_merges: int, min_freq: int = 2,
+                   local_types: int = LOCAL_TYPES) -> tuple[DataFrame, DataFrame]:
     """T2 with its by-product: the merges, and ``word, sym``, every word type (as
     byte symbols) with the symbols it ends in. One round counts the pairs of all
     word types once and applies every merge that is certain from those counts."""
     spark = types.sparkSession
     state = cut_lineage(types.select(F.col("sym").alias("word"), "sym", "cnt"))
-    merges: list[tuple[int, str, str, int]] = []
+    schema = "rank int, left string, right string, cnt bigint"
+    if state.count() <= local_types:
+        held = state.toArrow()
+        merges, syms = _merge_locally(held.column("sym").to_pylist(), held.column("cnt").to_pylist(), n_merges, min_freq)
+        ends = pa.table({"word": held.column("word"), "sym": pa.array(syms, pa.string())})
+        return spark.createDataFrame(merges, schema), cut_lineage(spark.createDataFrame(ends))
+    merges = []
     while len(merges) < n_merges:
         top = [(r["pair"], int(r["cnt"])) for r in
                pair_counts(state).orderBy(F.desc("cnt"), F.asc("pair")).limit(_TOP).collect()]
@@ -97,7 +170,7 @@ def learn_segments(types: DataFrame, n_merges: int, min_freq: int = 2) -> tuple[
             merges.append((len(merges) + 1, left, right, cnt))
             sym = F.replace(sym, F.lit(pair), F.lit("<" + left[1:-1] + right[1:-1] + ">"))
         state = cut_lineage(state.withColumn("sym", sym))
-    learned = spark.createDataFrame(merges, "rank int, left string, right string, cnt bigint")
+    learned = spark.createDataFrame(merges, schema)
     return learned, state.select("word", "sym")
 
 

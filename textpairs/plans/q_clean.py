@@ -135,15 +135,15 @@ def q_t2p(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("t2_learn_bpe")
 def q_t2(spark: SparkSession, sf: str) -> DataFrame:
-    """The first 20 exact BPE merges over the corpus's word types."""
-    return BP.learn_bpe(BP.word_types(_docs(spark, sf)), 20)
+    """The first ``N_MERGES`` exact BPE merges over the corpus's word types."""
+    return BP.learn_bpe(BP.word_types(_docs(spark, sf)), BP.N_MERGES)
 
 
 @register("t3_encode_bpe")
 def q_t3b(spark: SparkSession, sf: str) -> DataFrame:
     """T3 (bpe mode): documents split by the learned merges (first 1022 tokens)."""
     docs = _docs(spark, sf)
-    m = BP.learn_bpe(BP.word_types(docs), 20)
+    m = BP.learn_bpe(BP.word_types(docs), BP.N_MERGES)
     merges = [(r["left"], r["right"]) for r in m.orderBy("rank").collect()]
     e = BP.bpe_encode(docs, merges, max_tokens=1022)
     return e.select("doc_id", F.size("bpe_tokens").cast("bigint").alias("n_tokens"),
@@ -152,10 +152,10 @@ def q_t3b(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("t3_encode_bpe_ids")
 def q_t3b_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """T3 (bpe mode) to ids: bytes and 40 learned merges, at most 1024 ids with
+    """T3 (bpe mode) to ids: bytes and ``N_MERGES`` learned merges, at most 1024 ids with
     <s> and </s>; joins only, no Python (tested by brute force)."""
     docs = _docs(spark, sf)
-    merges, segments = BP.learn_segments(BP.word_types(docs), 40)
-    e = BP.bpe_encode_ids(docs, segments, BP.bpe_vocab(merges), 40, ["doc_id"])
+    merges, segments = BP.learn_segments(BP.word_types(docs), BP.N_MERGES)
+    e = BP.bpe_encode_ids(docs, segments, BP.bpe_vocab(merges), BP.N_MERGES, ["doc_id"])
     return e.select("doc_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
                     F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpairs.operators import clean as C
-from textpairs.operators.bpe import learn_bpe, word_types
+from textpairs.operators.bpe import N_MERGES, learn_bpe, word_types
 from textpairs.plans import fixtures as FX
 from textpairs.plans.catalog import ORACLES, PREPARE_SQL, VOCAB_SIZE, _vocab, register, sql_vocab
 from textpairs.plans.prepare import joined_ids, prepare_pairs
@@ -82,6 +82,6 @@ def q_k4(spark: SparkSession, sf: str) -> DataFrame:
     """K4: vocabulary and BPE merges written as tables; the vocabulary read back."""
     path = scratch_path(spark, "vocab")
     docs = read_table(spark, sf, "documents").select("text")
-    sinks.write_vocab(_vocab(spark, sf), learn_bpe(word_types(docs), 5), path)
+    sinks.write_vocab(_vocab(spark, sf), learn_bpe(word_types(docs), N_MERGES), path)
     v = spark.read.parquet(f"{path}/vocab")
     return v.select("token", F.col("id").cast("bigint").alias("id"), "cnt")
