@@ -18,6 +18,11 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(scope="session")
+def small():
+    return SMALL
+
+
 @pytest.fixture(scope="session")
 def duck():
     import duckdb

@@ -47,18 +47,17 @@ def test_arrow_write_roundtrip(spark):
     assert spark.read.format("arrow_ipc").load(d).count() == 10
 
 
-def test_streaming_clean_equals_batch(spark):
+def test_streaming_clean_equals_batch(spark, small):
     import shutil
     from pyspark.sql import functions as F
     from textpairs.streaming.cleaning import clean_rows, start_clean_stream
-    from conftest import SMALL
     src = tempfile.mkdtemp(prefix="tp-stream-src-", dir="/tmp")
-    shutil.copy(f"{SMALL}/documents.parquet", os.path.join(src, "part-0.parquet"))
+    shutil.copy(f"{small}/documents.parquet", os.path.join(src, "part-0.parquet"))
     sink = os.path.join(tempfile.mkdtemp(prefix="tp-stream-out-", dir="/tmp"), "out")
     q = start_clean_stream(spark, src, sink)
     q.awaitTermination(120)
     streamed = spark.read.parquet(sink)
-    batch = clean_rows(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    batch = clean_rows(spark.read.parquet(f"{small}/documents.parquet"))
     a = sorted((r["doc_id"], r["reasons"]) for r in streamed.collect())
     b = sorted((r["doc_id"], r["reasons"]) for r in batch.select("doc_id", "reasons").collect())
     assert a == b and len(a) == 200
