@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpairs.llm import bpe_codec, decontaminate, html_extract, masked_lm, quality_rules, sharding, simhash, token_files, toxicity, url_filters
+from textpairs.llm import bpe_codec, decontaminate, html_extract, importance, masked_lm, minhash, prefix_trie, quality_rules, sharding, simhash, token_files, toxicity, url_filters
 from textpairs.session import apply_job_conf, cut_lineage, scratch_path
 
 
@@ -124,6 +124,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "n_repeat_words", "base_failed", "kept")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return importance.resample(docs, target).withColumnRenamed("id", "doc_id")
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = minhash.near_duplicate_groups(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return groups.withColumnRenamed("id", "doc_id")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    nodes = prefix_trie.conversation_trie(
+        _table(spark, sf_dir, "conversations"), base=conv - conv % 100,
+        shared=(F.crc32(conv.cast("string").cast("binary")) % 6).cast("int"), most_shared=5)
+    return nodes.select(F.col("conv").alias("conv_id"), "depth", F.col("parent_conv").alias("parent_conv_id"), "n_convs",
+                        "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_masked_lm": op2_masked_lm,
@@ -135,6 +154,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_html": op9_html,
     "op10_quality_rules": op10_quality_rules,
+    "op11_importance": op11_importance,
+    "op12_minhash": op12_minhash,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
