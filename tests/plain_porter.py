@@ -1,7 +1,4 @@
-"""English suffix stripping (Porter, 1980: "An algorithm for suffix
-stripping", Program 14(3)). A per-token helper; the ROUGE operator applies it
-inside an Arrow-batched UDF with a per-worker memo, so each distinct token is
-stemmed once per worker."""
+"""English suffix stripping (Porter, 1980), one word at a time: what the SQL rules are tested against."""
 
 from __future__ import annotations
 

@@ -1,26 +1,39 @@
 """Hand-computed cases, brute-force checks and properties."""
 
 import random
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from textpairs.functions.lcs import lcs_length, lcs_length_dp, rouge_l, rouge_lsum
-from textpairs.functions.stem import porter_stem, stem_token
+from plain_lcs import lcs_length_dp, lcs_positions_dp, rouge_l
+from plain_porter import porter_stem, stem_token
+
+from textpairs.functions.lcs import lcs_positions, rouge_lsum
 
 
 # ---------------------------------------------------------------- LCS / ROUGE
 
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from("abcde"), max_size=40), st.lists(st.sampled_from("abcde"), max_size=40))
-def test_bit_parallel_lcs_equals_dp(a, b):
-    assert lcs_length(a, b) == lcs_length_dp(a, b)
-    assert lcs_length(a, b) <= min(len(a), len(b))
-    assert lcs_length(a, b) == lcs_length(b, a)
+def test_lcs_positions_are_those_of_the_table(a, b):
+    assert lcs_positions(a, b) == lcs_positions_dp(a, b)
+
+
+def test_lcs_positions_of_long_texts():
+    rng = random.Random(1)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    a, b = rng.choices(vocabulary, k=20_000), rng.choices(vocabulary, k=20_000)
+    began = time.time()
+    at = lcs_positions(a, b)
+    assert time.time() - began < 20 and len(at) > 500
+    rest = iter(b)
+    assert at == sorted(set(at)) and all(a[i] in rest for i in at)  # a common subsequence
 
 
 def test_rouge_l_hand_case():
@@ -46,11 +59,14 @@ def test_rouge_n_counts_clip(spark):
     assert got["q"]["rouge1_f"] == 0.0
 
 
-def test_rouge_l_udf_matches_python(spark):
+def test_rouge_l_expression_is_the_table(spark):
+    """Up to 60 tokens, at the edges of the words of a row, and far beyond."""
     from textpairs.operators.rouge import rouge_l as spark_rouge_l
     rng = random.Random(7)
-    rows = [(str(i), [rng.choice("abcdef") for _ in range(rng.randint(0, 60))],
-             [rng.choice("abcdef") for _ in range(rng.randint(0, 60))]) for i in range(200)]
+    sizes = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(200)]
+    sizes += [(n, m) for n in (61, 62, 63, 124, 125, 400) for m in (61, 62, 63, 124, 125, 400)]
+    rows = [(str(i), rng.choices("abcdefgh", k=n), rng.choices("abcdefgh", k=m)) for i, (n, m) in enumerate(sizes)]
+    rows += [("same", ["a"] * 200, ["a"] * 130), ("none", ["a"] * 70, ["b"] * 70)]
     df = spark.createDataFrame(rows, "pair_id string, cand_tokens array<string>, ref_tokens array<string>")
     got = {r["pair_id"]: r["rougeL_f"] for r in spark_rouge_l(df).collect()}
     for k, c, r in rows:
@@ -59,19 +75,34 @@ def test_rouge_l_udf_matches_python(spark):
 
 # ---------------------------------------------------------------- stemming
 
-@pytest.mark.parametrize("w,s", [
+PORTER = [
     ("caresses", "caress"), ("ponies", "poni"), ("cats", "cat"), ("feed", "feed"), ("agreed", "agre"),
     ("plastered", "plaster"), ("motoring", "motor"), ("sing", "sing"), ("hopping", "hop"),
     ("falling", "fall"), ("hissing", "hiss"), ("happy", "happi"), ("sky", "sky"),
     ("relational", "relat"), ("hopeful", "hope"), ("goodness", "good"), ("adjustment", "adjust"),
     ("adoption", "adopt"), ("controlling", "control"), ("generalizations", "gener"),
-])
-def test_porter_published_examples(w, s):
-    assert porter_stem(w) == s
+]
 
 
-def test_short_tokens_not_stemmed():
-    assert stem_token("cats") == "cat" and stem_token("was") == "was"
+def test_porter_published_examples(spark):
+    """The SQL rules on the published examples, and on made-up words against one-word-at-a-time code."""
+    from textpairs.operators.stems import STEP2, STEP3, STEP4, stem_table
+    rng = random.Random(3)
+    ends = [s for s, _ in [*STEP2, *STEP3]] + STEP4 + ["s", "sses", "ies", "ed", "ing", "eed", "y", "e", "ll", ""]
+    made = {"".join(rng.choices("abeilosty", k=rng.randint(1, 6))) + "".join(rng.choices(ends, k=rng.randint(1, 2))) for _ in range(3000)}
+    words = sorted(made | {w for w, _ in PORTER} - {""})
+    got = {r["token"]: r["stem"] for r in stem_table(spark.createDataFrame([(w,) for w in words], "token string")).collect()}
+    assert {w: got[w] for w, _ in PORTER} == dict(PORTER)
+    assert {w: g for w, g in got.items() if porter_stem(w) != g} == {}
+
+
+def test_stems_join_back_in_order(spark):
+    from textpairs.operators.stems import stemmed
+    rows = [(1, ["cats", "was", "running", "cats"], ["ponies"]), (2, [], None), (3, None, ["running", "was"])]
+    df = spark.createDataFrame(rows, "k long, a array<string>, b array<string>")
+    got = {r["k"]: (r["a"], r["b"]) for r in stemmed(df, ["k"], ["a", "b"]).collect()}
+    plain = lambda ts: None if ts is None else [stem_token(t) for t in ts]
+    assert got == {k: (plain(a), plain(b)) for k, a, b in rows}
 
 
 # ---------------------------------------------------------------- ranking, cap, shuffle
@@ -224,6 +255,53 @@ def brute_bpe(counts, n):
     return merges
 
 
+def plain_bpe(word, ranks):
+    """The symbols of one word: the lowest-ranked pair first, one merge at a time."""
+    syms = [f"<{b:02X}>" for b in word.encode()]
+    while True:
+        known = [(ranks[p], i) for i, p in enumerate(zip(syms, syms[1:])) if p in ranks]
+        if not known:
+            return syms
+        i = min(known)[1]
+        syms[i:i + 2] = ["<" + syms[i][1:-1] + syms[i + 1][1:-1] + ">"]
+
+
+def test_merged_runs_count_every_pair():
+    from textpairs.functions.symbols import PAIR, SymbolRuns
+    rnd = random.Random(2)
+    for _ in range(200):
+        words = [[rnd.randrange(3) for _ in range(rnd.randint(1, 9))] for _ in range(rnd.randint(1, 8))]
+        cnt = [rnd.randint(1, 5) for _ in words]
+        runs = SymbolRuns(np.array([s for w in words for s in w]), np.array([len(w) for w in words]), np.array(cnt))
+        for new in range(3, 9):
+            a, b = rnd.randrange(new), rnd.randrange(new)
+            before = Counter(p for w, c in zip(words, cnt) for p in list(zip(w, w[1:])) * c)
+            for w in words:
+                i = 0
+                while i + 1 < len(w):
+                    if w[i] == a and w[i + 1] == b:
+                        w[i:i + 2] = [new]
+                    i += 1
+            after = Counter(p for w, c in zip(words, cnt) for p in list(zip(w, w[1:])) * c)
+            want = {p[0] * PAIR + p[1]: after[p] - before[p] for p in before | after if after[p] != before[p]}
+            keys, change = runs.merge(a, b, new)
+            assert {k: c for k, c in zip(keys.tolist(), change.tolist()) if c} == want
+            flat, lengths = runs.words()
+            assert flat.tolist() == [s for w in words for s in w] and lengths.tolist() == [len(w) for w in words]
+
+
+def test_bpe_order_of_close_merges(spark):
+    """Ties and near ties in any order of guessing give plain BPE's order."""
+    from textpairs.operators.bpe import learn_segments, word_types
+    rnd = random.Random(11)
+    words = ["".join(rnd.choices("abcdé", k=rnd.randint(2, 7))) for _ in range(300)]
+    text = " ".join(rnd.choices(words, k=2000))
+    df = spark.createDataFrame([(text,)], "text string")
+    for head in (1, 40, 1000):
+        got = learn_segments(word_types(df), 80, head_types=head)[0].orderBy("rank").collect()
+        assert [r["left"] + r["right"] for r in got] == brute_bpe(Counter(text.split()), 80)
+
+
 def test_bpe_matches_brute_force(spark):
     from textpairs.operators.bpe import learn_bpe, word_types
     text = "ababaaa aaa abab ba ba aab " * 3 + "héllo hé"
@@ -251,10 +329,11 @@ def test_bpe_of_production_size(spark):
     types = word_types(docs)
     merges, ends = learn_segments(types, 400)
     assert [r["left"] + r["right"] for r in merges.orderBy("rank").collect()] == want
-    rounds, ends_of_rounds = learn_segments(types, 25, local_types=0)
-    local, ends_local = learn_segments(types, 25)
-    assert sorted(rounds.collect()) == sorted(local.collect())
-    assert sorted(ends_of_rounds.collect()) == sorted(ends_local.collect())
+    few, ends_of_few = learn_segments(types, 60, head_types=5)  # poor guesses: more rounds, the same merges
+    assert [r["left"] + r["right"] for r in few.orderBy("rank").collect()] == want[:60]
+    ranks = {(r["left"], r["right"]): r["rank"] for r in few.collect()}
+    spelt = {"".join(f"<{b:02X}>" for b in w.encode()): "".join(plain_bpe(w, ranks)) for w in counts}
+    assert {r["word"]: r["sym"] for r in ends_of_few.collect()} == spelt
     learned = QUERIES["t2_learn_bpe"](spark, "/root/testdata/sf0.001").orderBy("rank").collect()
     assert [r["rank"] for r in learned] == list(range(1, 4001))
     assert all(a["cnt"] >= b["cnt"] for a, b in zip(learned, learned[1:]))
@@ -392,7 +471,7 @@ def test_near_dedup_joins_every_verified_bucket_pair(spark):
 
 
 def test_compute_metrics_by_hand(spark):
-    from textpairs.functions.lcs import rouge_l, rouge_lsum
+    from textpairs.functions.lcs import rouge_lsum
     from textpairs.operators.rouge import compute_metrics
     vocab = spark.createDataFrame([(w, 5 + i, 1) for i, w in enumerate(["the", "cat", "sat.", "on", "mat.", "dog"])], "token string, id int, cnt long")
     rows = [(1, [0, 5, 6, 7, 8, 5, 9, 2, 1, 1], [0, 5, 10, 7, 8, 5, 9, 2, -100, -100]), (2, [0, 5, 6, 2], [0, 10, 2, -100])]
@@ -400,6 +479,9 @@ def test_compute_metrics_by_hand(spark):
     got = {r["name"]: r["value"] for r in compute_metrics(df, vocab, ["k"]).collect()}
     one = ([["the", "cat", "sat"], ["on", "the", "mat"]], [["the", "dog", "sat"], ["on", "the", "mat"]])
     flat = [[w for s in side for w in s] for side in one]
+    stemmed = compute_metrics(spark.createDataFrame([(1, [0, 5, 2], [0, 6, 2])], df.schema), spark.createDataFrame(
+        [("running", 5, 1), ("runs", 6, 1)], "token string, id int, cnt long"), ["k"])
+    assert {r["name"]: r["value"] for r in stemmed.collect()}["test_rouge1"] == 100.0
     assert got["test_rouge1"] == round(100 * (5 / 6 + 0) / 2, 4)
     assert got["test_rouge2"] == round(100 * (3 / 5 + 0) / 2, 4)
     assert got["test_rougeL"] == round(100 * rouge_l(*flat)[2] / 2, 4)
@@ -425,32 +507,40 @@ def test_sources_by_path(spark, tmp_path):
         load_with_report(spark, [nowhere])
 
 
-def test_poisson_infilling_masks_the_budget():
-    from textpairs.operators.batches import _poisson_infill
-    for n in (1, 7, 100, 3000):
-        words = [f"w{i}" for i in range(n)]
-        out = _poisson_infill(" ".join(words), "key", 0.3, 3.0, 42)
-        kept = [t for t in out.split() if t != "[MASK]"]
-        assert len(kept) == n - round(0.3 * n)
-        assert kept == [w for w in words if w in set(kept)]  # order unchanged
-        assert out == _poisson_infill(" ".join(words), "key", 0.3, 3.0, 42)
-    assert _poisson_infill("", "key", 0.3, 3.0, 42) == ""
+def test_poisson_infilling_masks_the_budget(spark):
+    from textpairs.operators.batches import infill_poisson
+    rows = [(n, " ".join(f"w{i}" for i in range(n))) for n in (0, 1, 2, 3, 10, 57, 400)] + [(1000, None)]
+    df = spark.createDataFrame(rows, "k long, text string")
+    got = {r["k"]: r for r in infill_poisson(df, "text", "k").collect()}
+    lengths = []
+    for n, text in rows:
+        words, out = (text or "").split(), got[n]["masked_text"].split()
+        kept = [w for w in out if w != "[MASK]"]
+        assert len(words) - len(kept) == got[n]["masked_words"] == int(len(words) * 0.3 + 0.5)
+        rest = iter(words)
+        assert all(w in rest for w in kept)  # the words that stay keep their order
+        gaps = [-1, *[int(w[1:]) for w in kept], len(words)]
+        lengths += [b - a - 1 for a, b in zip(gaps, gaps[1:]) if b - a > 1]
+    assert 2 < sum(lengths) / len(lengths) < 5  # runs of spans of mean 3
 
 
 def test_bpe_ids_by_joins(spark):
-    from textpairs.operators.bpe import _apply_merges, bpe_encode_ids, bpe_vocab, learn_segments, word_types
+    from textpairs.operators.bpe import bpe_encode, bpe_encode_ids, bpe_vocab, learn_segments, word_types
     texts = ["low lower lowest low", "new newer né newest wide", "", None, "low " * 30]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    merges, segments = learn_segments(word_types(df), 12)
+    types = word_types(df)
+    merges, segments = learn_segments(types, 12)
     pairs = [(r["left"], r["right"]) for r in merges.orderBy("rank").collect()]
     vocab = {r["token"]: r["id"] for r in bpe_vocab(merges).collect()}
     assert sorted(vocab.values()) == list(range(5 + 256 + len(pairs)))
     ranks = {p: i for i, p in enumerate(pairs)}
     back = {i: t for t, i in vocab.items()}
-    got = {r["doc_id"]: r for r in bpe_encode_ids(df, segments, bpe_vocab(merges), 12, ["doc_id"], max_len=20).collect()}
+    got = {r["doc_id"]: r for r in bpe_encode_ids(df, segments, types, bpe_vocab(merges), 12, ["doc_id"], max_len=20).collect()}
     for i, t in enumerate(texts):
-        want = [vocab[s] for w in (t or "").split() for s in _apply_merges(w, ranks)][:18]
+        want = [vocab[s] for w in (t or "").split() for s in plain_bpe(w, ranks)][:18]
         assert got[i]["input_ids"] == [0, *want, 2]
         assert got[i]["attention_mask"] == [1] * (len(want) + 2)
+    tokens = {r["doc_id"]: r["bpe_tokens"] for r in bpe_encode(df, segments, types, ["doc_id"], max_tokens=18).collect()}
+    assert tokens == {i: [s for w in (t or "").split() for s in plain_bpe(w, ranks)][:18] for i, t in enumerate(texts)}
     whole = "".join(back[i].strip("<>") for i in got[0]["input_ids"][1:-1])
     assert bytes.fromhex(whole).decode() == "lowlowerlowestlow"

@@ -6,6 +6,8 @@ states the same rules for the DuckDB oracle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,12 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once. An expression that a lambda captures would be
+    evaluated anew for every element, even if it stands in a column of its own."""
+    return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
+
+
 def strip_ws(c) -> Column:
     """Strip all leading and trailing whitespace (``trim`` strips spaces only)."""
     return F.regexp_replace(col_(c), r"^\s+|\s+$", "")

@@ -3,17 +3,14 @@ denoising text-infilling examples (B6)."""
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from textpairs.functions.hashing import u
-from textpairs.functions.text import LABEL_IGNORE, PAD_ID, SPECIAL_TOKENS, words
+from textpairs.functions.text import LABEL_IGNORE, PAD_ID, SPECIAL_TOKENS, let, words
 
 # fixed values: per-device batch sizes of the reference (train, evaluation)
 TRAIN_BATCH = 4
@@ -101,46 +98,71 @@ def infill_bernoulli(df: DataFrame, text_col: str, key_col: str, ratio: float =
             .drop("_w", "_m"))
 
 
-def _poisson_infill(text: str, key: str, ratio: float, lam: float, seed: int) -> str:
-    toks = text.split()
-    n = len(toks)
-    if n == 0:
-        return ""
-    rng = np.random.default_rng(int.from_bytes(hashlib.md5(f"{seed}|{key}".encode()).digest()[:8], "big"))
-    budget = int(round(n * ratio))
-    masked = np.zeros(n, dtype=bool)
-    spans, left = [], budget
-    while left > 0:
-        length = min(int(rng.poisson(lam)), left)
-        start = int(rng.integers(0, n))
-        spans.append((start, length))
-        left -= int((~masked[start:start + length]).sum())
-        masked[start:start + length] = True
-    out, i = [], 0
-    zero_at = {s for s, ln in spans if ln == 0}
-    while i < n:
-        if i in zero_at and not masked[i]:
-            out.append(MASK_TOKEN)
-        if masked[i]:
-            out.append(MASK_TOKEN)
-            while i < n and masked[i]:
-                i += 1
-            continue
-        out.append(toks[i])
-        i += 1
-    return " ".join(out)
+def poisson_cuts(lam: float) -> list[float]:
+    """Cumulative Poisson probabilities for 0, 1, 2, ... as far as a 32-bit uniform can tell them from 1."""
+    cuts, p, total, k = [], math.exp(-lam), 0.0, 0
+    while total < 1 - 2 ** -32:
+        total += p
+        cuts.append(round(total, 12))
+        k += 1
+        p *= lam / k
+    return cuts
 
 
-def infill_poisson(df: DataFrame, text_col: str, key_col: str, ratio: float = 0.3,
-                   lam: float = 3.0, seed: int = 42, out: str = "masked_text") -> DataFrame:
-    """B6 (span="poisson"): BART text infilling with Poisson(3) span lengths
-    until ``ratio`` of the words are masked; a zero-length span inserts a
-    ``[MASK]``. Random draws are seeded per row from md5(seed|key), so a
-    re-run (or a retried task) gives the same result. Arrow-batched pandas UDF."""
+#: Draws beyond the budget: enough for lengths to reach it although a drawn length may be 0.
+SPARE_DRAWS = 12
 
-    @F.pandas_udf(StringType())
-    def _infill(texts: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([_poisson_infill(t or "", str(k), ratio, lam, seed)
-                          for t, k in zip(texts, keys)])
 
-    return df.withColumn(out, _infill(F.col(text_col), F.col(key_col).cast("string")))
+def infill_poisson(df: DataFrame, text_col: str, key_col: str, ratio: float = 0.3,
+                   lam: float = 3.0, seed: int = 42, out: str = "masked_text") -> DataFrame:
+    """B6 (span="poisson"): text infilling with Poisson(``lam``) span lengths; built-ins only.
+
+    Of n words, ``floor(n * ratio + 0.5)`` are masked. Span lengths are drawn by
+    inverse CDF from ``u(seed, key:len:k)`` until they add up to that (the last is cut); a
+    length of 0 masks no word. Each span goes before one of the words that stay, or
+    behind the last, by ``u(seed, key:gap:k)``, so spans never overlap: with spans in the order of
+    their gaps, running sums of the lengths give the place of each. Every span
+    becomes one ``[MASK]``."""
+    key, cuts, zero = F.col(key_col).cast("string"), poisson_cuts(lam), F.lit(0)
+
+    def draw(kind: str, k: Column) -> Column:
+        return u(seed, F.concat(key, F.lit(f":{kind}:"), k.cast("string")))
+
+    def poisson(k: Column) -> Column:
+        return let(draw("len", k), lambda x: sum((F.when(x >= c, 1).otherwise(0) for c in cuts), zero))
+
+    def sums(lengths: Column) -> Column:
+        """0 and the running sums."""
+        return F.aggregate(lengths, F.array(zero), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+
+    def spans(budget: Column, stay: Column) -> Column:
+        """(gap, k, n) in the order of their places."""
+        lengths = F.transform(F.sequence(F.lit(1), budget + SPARE_DRAWS), poisson)
+
+        def placed(lengths: Column, before: Column) -> Column:
+            k_n = F.transform(lengths, lambda n, i: F.struct((i + 1).alias("k"), F.least(n, budget - F.get(before, i)).alias("n"),
+                                                            F.get(before, i).alias("before")))
+            return F.array_sort(F.transform(F.filter(k_n, lambda s: s["before"] < budget), lambda s: F.struct(
+                F.floor(draw("gap", s["k"]) * (stay + 1)).cast("int").alias("gap"), s["k"].alias("k"), s["n"].alias("n"))))
+
+        return let(lengths, lambda x: let(sums(x), lambda before: placed(x, before)))
+
+    def masked(w: Column, stay: Column, found: Column, skipped: Column) -> Column:
+        gap = lambda i: F.when(i > 0, F.get(found, i - 1)["gap"]).otherwise(zero)
+        pieces = F.transform(found, lambda s, i: F.concat(
+            F.slice(w, gap(i) + F.get(skipped, i) + 1, s["gap"] - gap(i)), F.array(F.lit(MASK_TOKEN))))
+        last = gap(F.size(found))
+        rest = F.slice(w, last + F.element_at(skipped, -1) + 1, F.greatest(stay - last, zero))
+        return F.array_join(F.concat(F.flatten(pieces), rest), " ")
+
+    def infilled(w: Column, budget: Column) -> Column:
+        def of_spans(stay: Column) -> Column:
+            return let(spans(budget, stay), lambda found: let(
+                sums(F.transform(found, lambda s: s["n"])), lambda skipped: masked(w, stay, found, skipped)))
+        return F.struct(let(F.size(w) - budget, of_spans).alias("text"), budget.cast("bigint").alias("n"))
+
+    all_words = F.coalesce(words(text_col), F.array().cast("array<string>"))
+    budget_of = lambda w: F.floor(F.size(w) * F.lit(ratio) + F.lit(0.5)).cast("int")
+    done = let(all_words, lambda w: let(budget_of(w), lambda budget: infilled(w, budget)))
+    df = df.withColumn("_done", done)
+    return df.withColumn(out, F.col("_done.text")).withColumn("masked_words", F.col("_done.n")).drop("_done")

@@ -1,32 +1,40 @@
 """Byte-level BPE merge learning (T2) and encoding with learned merges (T3,
 mode ``bpe``).
 
-The loop state is the table of word *types* with counts, not the corpus.
-A word is its UTF-8 bytes as hex symbols, each in its own brackets
-(``<61><62>``): merging a pair is a plain left-to-right ``replace`` of
-``<61><62>`` by ``<6162>``, which also merges runs correctly. Each round is
-one aggregate over the word types; the driver reads the ``_TOP`` best pairs
-(count desc, pair asc) and applies all merges that are certain from them. The
-table is checkpointed in the shared folder after every round. A table of at most
-``LOCAL_TYPES`` word types (counted first) is merged on the driver instead, where a
-merge costs no Spark job; the merges are the same.
+The learner's state is a written table of word *types* (symbols, count), not
+the corpus. Learning goes in rounds over that table, one path at any size:
+
+1. The driver holds the exact counts of the pairs (at most the symbols squared,
+   and none below ``min_freq``) and guesses the next merges by trying them on a
+   bounded head of the most frequent types.
+2. One job applies the guessed merges in order. Each task indexes the places of
+   the guessed pairs in its types, so a merge touches only types that hold it,
+   and reports by how much every merge changes the count of every pair. The
+   changes are added up in Spark.
+3. The driver replays them: as long as the guessed merge is the most frequent
+   pair by the exact counts, it is accepted and its changes are booked. The first wrong guess
+   ends the round; the next round starts with exact counts.
+
+So the head decides how many rounds are needed and nothing else: merges are
+those of plain BPE (count desc, then pair string). The types are written anew
+with their merges every few hundred merges, in the shared folder.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
-from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
+from textpairs.functions.symbols import PAIR, SymbolRuns, added_up
 from textpairs.functions.text import BOS_ID, EOS_ID, SPECIAL_TOKENS, UNK_ID, words
-from textpairs.session import broadcast_bounded, cut_lineage
+from textpairs.operators.joins import frequent, heavy_left_join
+from textpairs.session import broadcast_bounded, scratch_path
 
 
 def byte_symbols(word: Column) -> Column:
@@ -40,6 +48,13 @@ def word_types(df: DataFrame, col: str = "text") -> DataFrame:
             .select(byte_symbols(F.col("w")).alias("sym"), "cnt"))
 
 
+def counted_types(df: DataFrame, col: str = "text") -> DataFrame:
+    """``word_types``, written once for its several readers."""
+    path = scratch_path(df.sparkSession, "word-types")
+    word_types(df, col).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def pair_counts(types: DataFrame) -> DataFrame:
     """``pair, cnt``: adjacent symbol pairs weighted by word counts."""
     sy = F.regexp_extract_all(F.col("sym"), F.lit("<[^>]*>"), 0)
@@ -49,38 +64,189 @@ def pair_counts(types: DataFrame) -> DataFrame:
             .groupBy("pair").agg(F.sum("cnt").cast("bigint").alias("cnt")))
 
 
-_TOP = 64
-
 #: Merges of the registered queries.
 N_MERGES = 4000
 
-LOCAL_TYPES = 500_000
+#: Most frequent word types on which the driver tries merges before it guesses (a bound, not a switch).
+HEAD_TYPES = 200_000
+
+#: Merges after which the types are written anew, and the longest guess.
+WRITE_EVERY, LONGEST_GUESS = 512, 512
+
+_SWAPS = 24  # merges of which the order may differ from the guess
+_BLOCK = 4_000_000  # symbols that a task takes together
+
+
+class _PairCounts:
+    """Exact or estimated pair counts with their maximum (count desc, pair string asc)."""
+
+    def __init__(self, names: list[str], counts: dict[int, int]):
+        self.names, self.counts = names, counts
+        self.heap = [(-n, self.name(key), key) for key, n in counts.items()]
+        heapq.heapify(self.heap)
+
+    def name(self, key: int) -> str:
+        return f"<{self.names[key // PAIR]}><{self.names[key % PAIR]}>"
+
+    def copy(self) -> _PairCounts:
+        out = object.__new__(_PairCounts)
+        out.names, out.counts, out.heap = list(self.names), dict(self.counts), list(self.heap)
+        return out
+
+    def top(self) -> tuple[int, int] | None:
+        """(pair, count) of the most frequent pair."""
+        while self.heap:
+            n, _, key = self.heap[0]
+            if self.counts.get(key, 0) == -n:
+                return key, -n
+            heapq.heappop(self.heap)  # counted anew since
+        return None
+
+    def leading(self, most: int) -> list[tuple[int, int]]:
+        """The ``most`` most frequent pairs with their counts, in order."""
+        out: list[tuple[int, int]] = []
+        while len(out) < most and (best := self.top()):
+            out.append(best)
+            heapq.heappop(self.heap)
+            while self.heap and self.heap[0][2] == best[0]:  # the same entry twice
+                heapq.heappop(self.heap)
+        for key, n in out:
+            heapq.heappush(self.heap, (-n, self.name(key), key))
+        return out
+
+    def certain(self, guess: Sequence[int]) -> list[tuple[int, int]]:
+        """The next merges (pair, count) in their order, if they are the first few of ``guess``; else none.
+
+        That is the first pair alone, if it is the most frequent one. Or the first n pairs, if they are the
+        n most frequent ones in any order, no two share a symbol and the next pair is counted less often:
+        such merges leave each other's counts as they are, and a pair that one of them creates is counted
+        at most as often as an old pair that shares a symbol with it."""
+        best = self.top()
+        if best is None or best[0] == guess[0]:
+            return [best] if best else []
+        lead = self.leading(_SWAPS + 1)
+        used: set[int] = set()
+        for n, key in enumerate(guess[:_SWAPS], 1):
+            sides = {key // PAIR, key % PAIR}
+            if sides & used:
+                break
+            used |= sides
+            if n < len(lead) and lead[n - 1][1] > lead[n][1] and {k for k, _ in lead[:n]} == set(guess[:n]):
+                return lead[:n]
+        return []
+
+    def merge(self, key: int, changes: dict[int, int], min_freq: int) -> None:
+        """Book a merge: its new symbol's name and the changes of counts. Pairs below ``min_freq``
+        are forgotten: a pair is most frequent when the later of its symbols is made."""
+        self.names.append(self.names[key // PAIR] + self.names[key % PAIR])
+        for pair, change in changes.items():
+            now = self.counts.get(pair, 0) + change
+            if now >= min_freq and (change > 0 or pair in self.counts):
+                self.counts[pair] = now
+                heapq.heappush(self.heap, (-now, self.name(pair), pair))
+            else:
+                self.counts.pop(pair, None)
+        self.counts.pop(key, None)
+
+
+def _guess(exact: _PairCounts, head: SymbolRuns, most: int, min_freq: int) -> list[int]:
+    """The next merges as far as the head tells: its changes, scaled to each merge's count."""
+    likely, runs = exact.copy(), head.copy()
+    runs.index(None, len(exact.names))
+    out: list[int] = []
+    while len(out) < most:
+        best = likely.top()
+        if best is None or best[1] < min_freq:
+            break
+        key, count = best
+        keys, change = runs.merge(key // PAIR, key % PAIR, len(likely.names))
+        held = -int(change[keys == key].sum()) or 1
+        likely.merge(key, {int(k): round(int(c) * count / held) for k, c in zip(keys, change, strict=True)}, min_freq)
+        out.append(key)
+    return out
 
 
-def _independent(top: list[tuple[str, int]], complete: bool) -> list[tuple[str, int]]:
-    """The pairs of an ordered (count desc, pair asc) list that one round may merge.
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Consecutive rows of a task's part, about ``_BLOCK`` symbols together."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch.column("syms").flatten())
+        if size >= _BLOCK:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if size or held:
+        yield pa.Table.from_batches(held)
+
+
+def _runs_of(block: pa.Table) -> SymbolRuns:
+    lists = block.column("syms").combine_chunks()
+    return SymbolRuns(lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False),
+                      block.column("cnt").to_numpy())
+
+
+def _merge_all(runs: SymbolRuns, merges: Sequence[int], first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    runs.index(np.unique(np.array(merges, dtype=np.int64)), first)
+    for k, key in enumerate(merges):
+        yield runs.merge(key // PAIR, key % PAIR, first + k)
+
+
+def _merged_types(state: DataFrame, merges: Sequence[int], first: int) -> DataFrame:
+    """The types with ``merges`` applied; their symbols are numbered from ``first``."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            runs = _runs_of(block)
+            for _ in _merge_all(runs, merges, first):
+                pass
+            flat, lengths = runs.words()
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            merged = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))
+            out = pa.table({"word": block.column("word"), "cnt": block.column("cnt"), "syms": merged})
+            yield from out.combine_chunks().to_batches(max_chunksize=50_000)
+
+    return state.mapInArrow(apply, "word string, cnt bigint, syms array<int>")
+
+
+def _changes(state: DataFrame, done: Sequence[int], guess: Sequence[int], first: int, min_freq: int) -> list[dict[int, int]]:
+    """For each merge of ``guess``, applied after ``done``: the changes of pair counts over all types."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[list[np.ndarray]] = [[] for _ in guess]
+        values: list[list[np.ndarray]] = [[] for _ in guess]
+        for block in _blocks(batches):
+            runs = _runs_of(block)
+            for k, (pairs, change) in enumerate(_merge_all(runs, [*done, *guess], first)):
+                if k >= len(done):
+                    keys[k - len(done)].append(pairs)
+                    values[k - len(done)].append(change)
+        for k in range(len(guess)):
+            if keys[k]:
+                pairs, change = added_up(np.concatenate(keys[k]), np.concatenate(values[k]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), k, dtype=np.int32)), pa.array(pairs), pa.array(change)],
+                                                 ["step", "pair", "change"])
+
+    rows = (state.mapInArrow(count, "step int, pair bigint, change bigint").groupBy("step", "pair").agg(F.sum("change").alias("change"))
+            .filter((F.col("change") < 0) | (F.col("change") >= min_freq)).toArrow())
+    out: list[dict[int, int]] = [{} for _ in guess]
+    for step, pair, change in zip(*[rows.column(c).to_pylist() for c in ("step", "pair", "change")], strict=True):
+        out[step][pair] = change
+    return out
 
-    Pairs without a common symbol leave each other's counts as they are. A pair
-    that a merge creates holds a merged symbol, so its count is at most that of
-    a pair that shares a symbol with the round. Hence every pair before the first
-    one that shares a symbol, and counted strictly more often, would come next
-    in the same order if merged one at a time."""
-    used: set[str] = set()
-    bound = 0 if complete else top[-1][1]
-    chosen: list[tuple[str, int]] = []
-    for pair, cnt in top:
-        left, right = _sides(pair)
-        if {left, right} & used:
-            bound = max(bound, cnt)
-            break
-        used |= {left, right}
-        chosen.append((pair, cnt))
-    return [c for k, c in enumerate(chosen) if k == 0 or c[1] > bound]
 
+def _spelled(state: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``word, sym`` with the symbols spelt out."""
+    spelt = [f"<{n}>" for n in names]
 
-def _sides(pair: str) -> tuple[str, str]:
-    cut = pair.index(">") + 1
-    return pair[:cut], pair[cut:]
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("syms")
+            texts = pc.take(pa.array(spelt, pa.string()), lists.flatten())
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int32)
+            sym = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), texts), "")
+            yield pa.RecordBatch.from_arrays([batch.column("word"), sym], ["word", "sym"])
+
+    return state.mapInArrow(spell, "word string, sym string")
 
 
 def learn_bpe(types: DataFrame, n_merges: int, min_freq: int = 2) -> DataFrame:
@@ -89,89 +255,53 @@ def learn_bpe(types: DataFrame, n_merges: int, min_freq: int = 2) -> DataFrame:
     return learn_segments(types, n_merges, min_freq)[0]
 
 
-def _merge_word(syms: list[str], left: str, right: str, merged: str) -> list[str]:
-    out, i = [], 0
-    while i < len(syms):
-        if syms[i] == left and i + 1 < len(syms) and syms[i + 1] == right:
-            out.append(merged)
-            i += 2
-        else:
-            out.append(syms[i])
-            i += 1
-    return out
-
-
-def _merge_locally(syms: list[str], counts: list[int], n_merges: int, min_freq: int) -> tuple[list[tuple[int, str, str, int]], list[str]]:
-    """The merges of word types one at a time, touching only the types with the pair."""
-    words = [re.findall("<[^>]*>", s) for s in syms]
-    total: dict[tuple[str, str], int] = defaultdict(int)
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for k, w in enumerate(words):
-        for pair in zip(w, w[1:]):
-            total[pair] += counts[k]
-            where[pair].add(k)
-    heap = [(-n, a + b, a, b) for (a, b), n in total.items()]
-    heapq.heapify(heap)
-    merges: list[tuple[int, str, str, int]] = []
-    while heap and len(merges) < n_merges:
-        n, _, left, right = heapq.heappop(heap)
-        now = total.get((left, right), 0)
-        if now != -n:  # counted anew since; a higher count has an entry of its own
-            if 0 < now < -n:
-                heapq.heappush(heap, (-now, left + right, left, right))
-            continue
-        if now < min_freq:
-            break
-        merged = "<" + left[1:-1] + right[1:-1] + ">"
-        merges.append((len(merges) + 1, left, right, now))
-        grown = set()
-        for k in where.pop((left, right)):
-            old = words[k]
-            new = _merge_word(old, left, right, merged)
-            if len(new) == len(old):
-                continue
-            for pair in zip(old, old[1:]):
-                total[pair] -= counts[k]
-            for pair in zip(new, new[1:]):
-                total[pair] += counts[k]
-                if merged in pair:
-                    where[pair].add(k)
-                    grown.add(pair)
-            words[k] = new
-        total.pop((left, right), None)
-        for a, b in grown:
-            heapq.heappush(heap, (-total[a, b], a + b, a, b))
-    return merges, ["".join(w) for w in words]
-
-
-def learn_segments(types: DataFrame, n_merges: int, min_freq: int = 2,
-                   local_types: int = LOCAL_TYPES) -> tuple[DataFrame, DataFrame]:
+def learn_segments(types: DataFrame, n_merges: int, min_freq: int = 2, head_types: int = HEAD_TYPES,
+                   progress: Callable[[int, int], None] | None = None) -> tuple[DataFrame, DataFrame]:
     """T2 with its by-product: the merges, and ``word, sym``, every word type (as
-    byte symbols) with the symbols it ends in. One round counts the pairs of all
-    word types once and applies every merge that is certain from those counts."""
+    byte symbols) with the symbols it ends in. ``progress`` is told the guessed and
+    the accepted merges of every round."""
     spark = types.sparkSession
-    state = cut_lineage(types.select(F.col("sym").alias("word"), "sym", "cnt"))
-    schema = "rank int, left string, right string, cnt bigint"
-    if state.count() <= local_types:
-        held = state.toArrow()
-        merges, syms = _merge_locally(held.column("sym").to_pylist(), held.column("cnt").to_pylist(), n_merges, min_freq)
-        ends = pa.table({"word": held.column("word"), "sym": pa.array(syms, pa.string())})
-        return spark.createDataFrame(merges, schema), cut_lineage(spark.createDataFrame(ends))
-    merges = []
-    while len(merges) < n_merges:
-        top = [(r["pair"], int(r["cnt"])) for r in
-               pair_counts(state).orderBy(F.desc("cnt"), F.asc("pair")).limit(_TOP).collect()]
-        kept = [t for t in top if t[1] >= min_freq]
-        if not kept:
+    number = F.transform(F.regexp_extract_all(F.col("sym"), F.lit("<(..)>"), 1), lambda h: F.conv(h, 16, 10).cast("int"))
+
+    def written(df: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "bpe-types")
+        df.write.parquet(path)
+        return spark.read.parquet(path)
+
+    state = written(types.select(F.col("sym").alias("word"), "cnt", number.alias("syms")))
+    # at most 65,536 pairs of bytes
+    exact = _PairCounts([f"{b:02X}" for b in range(256)],
+                        {int(r["pair"][1:3], 16) * PAIR + int(r["pair"][5:7], 16): int(r["cnt"])
+                         for r in pair_counts(types).filter(F.col("cnt") >= min_freq).collect()})
+    top = state.orderBy(F.desc("cnt"), "word").limit(head_types).toArrow()
+    head = _runs_of(top) if top.num_rows else None
+    merges: list[tuple[int, str, str, int]] = []
+    keys: list[int] = []
+    saved, most = 0, 16
+    while len(merges) < n_merges and head is not None:
+        guess = _guess(exact, head, min(most, n_merges - len(merges)), min_freq)
+        if not guess:
             break
-        sym = F.col("sym")
-        for pair, cnt in _independent(kept, len(top) < _TOP)[:n_merges - len(merges)]:
-            left, right = _sides(pair)
-            merges.append((len(merges) + 1, left, right, cnt))
-            sym = F.replace(sym, F.lit(pair), F.lit("<" + left[1:-1] + right[1:-1] + ">"))
-        state = cut_lineage(state.withColumn("sym", sym))
-    learned = spark.createDataFrame(merges, schema)
-    return learned, state.select("word", "sym")
+        changes = _changes(state, keys[saved:], guess, 256 + saved, min_freq)
+        accepted = 0
+        head.index(None, len(exact.names))
+        while accepted < len(guess) and (sure := exact.certain(guess[accepted:])):
+            for key, count in sure:
+                left, right = exact.name(key)[:-1].split(">")
+                merges.append((len(merges) + 1, left + ">", right + ">", count))
+            for key in guess[accepted:accepted + len(sure)]:
+                head.merge(key // PAIR, key % PAIR, len(exact.names))
+                exact.merge(key, changes[accepted], min_freq)
+                keys.append(key)
+                accepted += 1
+        if progress:
+            progress(len(guess), accepted)
+        most = min(LONGEST_GUESS, max(16, 2 * accepted))
+        if len(keys) - saved >= WRITE_EVERY:
+            state, saved = written(_merged_types(state, keys[saved:], 256 + saved)), len(keys)
+    ends = _merged_types(state, keys[saved:], 256 + saved) if len(keys) > saved else state
+    segments = written(_spelled(ends, exact.names))
+    return spark.createDataFrame(merges, "rank int, left string, right string, cnt bigint"), segments
 
 
 def bpe_vocab(merges: DataFrame) -> DataFrame:
@@ -185,77 +315,48 @@ def bpe_vocab(merges: DataFrame) -> DataFrame:
     return specials.unionByName(of_bytes).unionByName(merged)
 
 
-def bpe_encode_ids(df: DataFrame, segments: DataFrame, vocab: DataFrame, n_merges: int, key_cols: Sequence[str],
+#: Words that hold at least this share of all words are looked up in a broadcast table.
+HEAVY_SHARE = 1e-5
+
+
+def _with_pieces(df: DataFrame, pieces: DataFrame, types: DataFrame, key_cols: Sequence[str], col: str, most: int, item: str) -> DataFrame:
+    """``key_cols, items``: the texts' first words (at most ``most``) with their ``pieces`` (word, items), joined up in order.
+
+    Very frequent words (``types`` has the counts) are looked up in a broadcast table of at most
+    ``1 / HEAVY_SHARE`` rows, the others in a shuffle join."""
+    keys = list(key_cols)
+    cut = F.coalesce(F.slice(words(col), 1, most), F.array().cast("array<string>"))
+    ex = df.select(*keys, F.posexplode_outer(cut).alias("pos", "w")).withColumn("word", byte_symbols(F.col("w")))
+    common = frequent(types.select(F.col("sym").alias("word"), "cnt"), "cnt", HEAVY_SHARE).select("word")
+    heavy = pieces.join(broadcast_bounded(common, int(1 / HEAVY_SHARE)), "word")
+    found = heavy_left_join(ex, pieces, "word", heavy, int(1 / HEAVY_SHARE), F.xxhash64(*keys, "pos"))
+    unknown = F.lit(UNK_ID) if item == "int" else F.lit(SPECIAL_TOKENS[UNK_ID])
+    placed = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("items", F.array(unknown)).alias("items")))
+    whole = found.groupBy(*keys).agg(F.array_sort(F.collect_list(placed)).alias("s"))
+    return whole.select(*keys, F.slice(F.flatten(F.transform("s", lambda x: x["items"])), 1, most).alias("items"))
+
+
+def bpe_encode(df: DataFrame, segments: DataFrame, types: DataFrame, key_cols: Sequence[str], col: str = "text",
+               max_tokens: int = 1022, out: str = "bpe_tokens") -> DataFrame:
+    """T3 (mode ``bpe``): ``key_cols``, ``out`` = the first ``max_tokens`` merged symbols, joins only."""
+    pieces = segments.select("word", F.regexp_extract_all(F.col("sym"), F.lit("<[^>]*>"), 0).alias("items"))
+    return _with_pieces(df, pieces, types, key_cols, col, max_tokens, "string").withColumnRenamed("items", out)
+
+
+def bpe_encode_ids(df: DataFrame, segments: DataFrame, types: DataFrame, vocab: DataFrame, n_merges: int, key_cols: Sequence[str],
                    col: str = "text", max_len: int = 1024, out: str = "input_ids") -> DataFrame:
     """T3 (mode ``bpe``) as joins: ``key_cols``, ``out`` = ``<s> ids </s>`` of at most
     ``max_len`` ids and its attention mask.
 
     Learning has already split every word type, so a word's ids are one join away
     (a word it has not seen is ``<unk>``). Texts are cut to ``max_len - 2`` words
-    before the join: a word has at least one id. A very frequent word is a skewed
-    join key, which AQE splits."""
+    before the join: a word has at least one id."""
     keys = list(key_cols)
     symbols = segments.select("word", F.posexplode(F.regexp_extract_all(F.col("sym"), F.lit("<[^>]*>"), 0)).alias("at", "token"))
     known = broadcast_bounded(vocab.select("token", "id"), n_merges + 256 + len(SPECIAL_TOKENS))
-    ids_of = (symbols.join(known, "token").groupBy("word")
+    pieces = (symbols.join(known, "token").groupBy("word")
               .agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("s"))
-              .select("word", F.transform("s", lambda x: x["id"]).alias("ids")))
-    cut = F.coalesce(F.slice(words(col), 1, max_len - 2), F.array().cast("array<string>"))
-    ex = df.select(*keys, F.posexplode_outer(cut).alias("pos", "w")).withColumn("word", byte_symbols(F.col("w")))
-    found = ex.join(ids_of, "word", "left")
-    ids = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("ids", F.array(F.lit(UNK_ID))).alias("ids")))
-    whole = found.groupBy(*keys).agg(F.array_sort(F.collect_list(ids)).alias("s"))
-    body = F.slice(F.flatten(F.transform("s", lambda x: x["ids"])), 1, max_len - 2)
-    return (whole.select(*keys, F.concat(F.array(F.lit(BOS_ID)), body, F.array(F.lit(EOS_ID))).alias(out))
+              .select("word", F.transform("s", lambda x: x["id"]).alias("items")))
+    body = _with_pieces(df, pieces, types, keys, col, max_len - 2, "int")
+    return (body.select(*keys, F.concat(F.array(F.lit(BOS_ID)), "items", F.array(F.lit(EOS_ID))).alias(out))
             .withColumn("attention_mask", F.array_repeat(F.lit(1), F.size(out))))
-
-
-def _apply_merges(word: str, ranks: dict) -> list[str]:
-    syms = [f"<{b:02X}>" for b in word.encode("utf-8")]
-    while len(syms) > 1:
-        best, at = None, -1
-        for i in range(len(syms) - 1):
-            r = ranks.get((syms[i], syms[i + 1]))
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            break
-        merged = "<" + syms[at][1:-1] + syms[at + 1][1:-1] + ">"
-        out, i = [], 0
-        pair = (syms[at], syms[at + 1])
-        while i < len(syms):
-            if i < len(syms) - 1 and (syms[i], syms[i + 1]) == pair:
-                out.append(merged)
-                i += 2
-            else:
-                out.append(syms[i])
-                i += 1
-        syms = out
-    return syms
-
-
-def bpe_encode(df: DataFrame, merges: Sequence[tuple[str, str]], col: str = "text",
-               out: str = "bpe_tokens", max_tokens: int | None = None) -> DataFrame:
-    """T3 (mode ``bpe``): words -> merged byte symbols in an Iterator-free,
-    Arrow-batched pandas UDF. ``merges`` (bounded by ``n_merges``) travel with
-    the function; each worker memoises words it has already split."""
-    ranks = {(a, b): i for i, (a, b) in enumerate(merges)}
-    memo: dict[str, tuple[str, ...]] = {}
-
-    def split_word(w: str) -> tuple[str, ...]:
-        got = memo.get(w)
-        if got is None:
-            got = tuple(_apply_merges(w, ranks))
-            if len(memo) < (1 << 18):
-                memo[w] = got
-        return got
-
-    @F.pandas_udf(ArrayType(StringType()))
-    def enc(ws: pd.Series) -> pd.Series:
-        res = []
-        for arr in ws:
-            toks = [t for w in (arr if arr is not None else []) for t in split_word(w)]
-            res.append(toks[:max_tokens] if max_tokens else toks)
-        return pd.Series(res)
-
-    return df.withColumn(out, enc(words(col)))

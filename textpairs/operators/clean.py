@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textpairs.functions.text import strip_ws, words
-from textpairs.session import cut_lineage
+from textpairs.operators.dedup import dedup_near
+from textpairs.session import scratch_path
 
 # fixed values: quality rules (words >= 20; mean word length 2..12; symbol
 # share <= 0.3; digit share <= 0.2; repeated-line share <= 0.3) and the common
@@ -49,17 +50,20 @@ def normalise(df: DataFrame, col: str = "text", out: str | None = None) -> DataF
     return df.withColumn(out or col, strip_ws(t))
 
 
+def exact_groups(df: DataFrame, col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(id, copies): the lowest id of each distinct text and how many documents share it, from one
+    aggregate; copies are combined map-side, so a text copied into a third of
+    the corpus is one partial row per task."""
+    return (df.groupBy(F.md5(F.col(col)).alias("_h"))
+            .agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("copies"))
+            .select(id_col, "copies"))
+
+
 def dedup_exact(df: DataFrame, col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One document per distinct text, the lowest id, with its copy count.
 
-    The per-text minimum is a map-side-combined aggregate, so a text copied
-    into a third of the corpus is one partial row per task, not one hot task;
-    the kept ids then semi-join back on the (unique) id.
-    """
-    keep = (df.groupBy(F.md5(F.col(col)).alias("_h"))
-            .agg(F.min(id_col).alias(id_col), F.count(F.lit(1)).alias("copies"))
-            .select(id_col, "copies"))
-    return df.join(keep, id_col, "inner")
+    The kept ids join back on the (unique) id, so ``df`` is read twice: give a stored table."""
+    return df.join(exact_groups(df, col, id_col), id_col, "inner")
 
 
 def quality_signals(df: DataFrame, col: str = "text") -> DataFrame:
@@ -126,25 +130,30 @@ def drop_common_lines(df: DataFrame, col: str = "text", id_col: str = "doc_id",
 
 
 def funnel(df: DataFrame, col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Rows in, removed and out per cleaning step, in the order
-    normalise -> exact dedup -> quality filter -> common lines (a document
-    left empty by line removal is removed). Near-duplicate removal (C3)
-    follows as its own iterative job. One job evaluates all step counts."""
-    # each step is written once to the shared checkpoint folder, so the
-    # counts read it instead of recomputing the steps before it
-    norm = cut_lineage(normalise(df.select(id_col, col), col))
-    dedup = cut_lineage(dedup_exact(norm, col, id_col).drop("copies"))
-    qual = cut_lineage(quality_filter(dedup, col).select(id_col, col))
-    lines = drop_common_lines(qual, col, id_col).filter(F.length(col) > 0)
-    steps = [("0_input", df), ("1_normalise", norm), ("2_dedup_exact", dedup),
-             ("3_quality", qual), ("4_common_lines", lines)]
-    counts = None
-    for name, d in steps:
-        c = d.agg(F.count(F.lit(1)).alias("rows")).withColumn("step", F.lit(name))
-        counts = c if counts is None else counts.unionByName(c)
-    from pyspark.sql import Window
-    w = Window.orderBy("step")
-    return (counts.withColumn("rows_in", F.coalesce(F.lag("rows").over(w), F.col("rows")))
-            .select("step", F.col("rows_in").cast("bigint").alias("rows_in"),
-                    (F.col("rows_in") - F.col("rows")).cast("bigint").alias("removed"),
-                    F.col("rows").cast("bigint").alias("rows_out")))
+    """Rows in, removed and out per cleaning step and per reason, in the order normalise -> exact
+    dedup -> quality filter -> common lines (a document left empty is removed) -> near dedup (C3).
+
+    Three tables are written: the normalised texts, the texts that are not copies with their failed
+    rules, and those that remain after line removal. All counts are read from narrow columns of
+    these tables; unlike counts observed on the way, they stay right when a lost task runs
+    again. ``reason`` is ``all`` for a step's total; a document can fail several rules."""
+    spark = df.sparkSession
+
+    def written(d: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        d.write.parquet(path)
+        return spark.read.parquet(path)
+
+    norm = written(normalise(df.select(id_col, col), col), "normalised")
+    judged = written(quality_reasons(quality_signals(dedup_exact(norm, col, id_col).drop("copies"), col))
+                     .select(id_col, col, "reasons", "keep"), "judged")
+    lines = written(drop_common_lines(judged.filter("keep").select(id_col, col), col, id_col).filter(F.length(col) > 0), "lines")
+    near = dedup_near(lines.select(id_col, col), col, id_col, hash_kind="md5").filter("keep")
+    rules = {r["reason"]: r["n"] for r in judged.select(F.explode("reasons").alias("reason")).groupBy("reason")
+             .agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a rule
+    n = {"in": norm.count(), "dedup": judged.count(), "quality": judged.filter("keep").count(), "lines": lines.count(), "near": near.count()}
+    steps = [("0_input", n["in"], n["in"]), ("1_normalise", n["in"], n["in"]), ("2_dedup_exact", n["in"], n["dedup"]),
+             ("3_quality", n["dedup"], n["quality"]), ("4_common_lines", n["quality"], n["lines"]), ("5_dedup_near", n["lines"], n["near"])]
+    rows = [(step, "all", before, before - after, after) for step, before, after in steps]
+    rows += [("3_quality", rule, n["dedup"], hit, n["dedup"] - hit) for rule, hit in sorted(rules.items())]
+    return spark.createDataFrame(rows, "step string, reason string, rows_in bigint, removed bigint, rows_out bigint")

@@ -3,12 +3,15 @@ verified Jaccard, connected components.
 
 Signatures are computed in-row with higher-order functions (no explode, no
 shuffle). Documents with equal shingle sets are one class, so exact copies never
-meet as pairs. Inside an LSH bucket, candidates are compared in rounds: round r
-elects about 2^r members by hash, each is compared (exact shingle Jaccard) with
-the bucket's members that are not yet in its component, and components are
+meet as pairs. Documents that share a band with another are candidates. They meet in
+a prefix-filtered inverted index of their rarest shingles (an exact Jaccard join),
+so members of a bucket that share one passage but do not reach the threshold are
+not compared. Pairs in a posting are compared in rounds: round r elects about
+4^r members by hash, each is compared (exact shingle Jaccard) with the
+members that are not yet in its component, and components are
 merged. Members that a round has joined need no comparison any more, so a large
 group of near copies costs about one comparison per member instead of all
-pairs, and no link between two components is ever left out: a bucket is done
+pairs, and no link between two components is ever left out: a posting is done
 only when all its members were elected or stand in one component. Components
 come from large-star / small-star rounds until nothing changes.
 """
@@ -19,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textpairs.functions.text import ngrams, words
+from textpairs.operators.joins import frequent, heavy_left_join
 from textpairs.session import cut_lineage
 
 # fixed values: 3-word shingles, 32 hashes in 8 bands of 4, Jaccard >= 0.7
@@ -27,6 +31,9 @@ N_HASHES = 32
 N_BANDS = 8
 THRESHOLD = 0.7
 
+#: Shingles that hold at least this share of all shared ones are looked up in a broadcast table.
+HEAVY_SHARE = 1e-5
+
 
 def with_shingles(df: DataFrame, col: str, out: str = "sh", k: int = SHINGLE) -> DataFrame:
     """Distinct k-word shingles of the lower-cased text; a text of fewer than k
@@ -122,38 +129,73 @@ def _classes(df: DataFrame, col: str, id_col: str) -> DataFrame:
     return keyed.join(least, "k").select("id", "class", "sh")
 
 
+def prefix_index(sets: DataFrame, threshold: float) -> DataFrame:
+    """(shingle, id, n, pos, indexed): the shingles under which a set (id, sh) can meet a similar one.
+
+    A set's shingles are ordered by the number of sets that hold them, then by hash. Sets of n and
+    m >= n shingles that reach the threshold t share one of the first ``m - ceil(t m) + 1`` of the
+    larger and of the first ``n - ceil(2 t / (1 + t) n) + 1`` of the smaller (``indexed``). Shingles of one set only
+    come first in that order and meet nothing, so they take their places (``pos``) and make no row."""
+    ex = sets.select("id", F.size("sh").alias("n"), F.explode("sh").alias("shingle"))
+    held = cut_lineage(ex.groupBy("shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1"))
+    shared = heavy_left_join(ex, held, "shingle", frequent(held, "held", HEAVY_SHARE), int(1 / HEAVY_SHARE), F.col("id"))
+    own = (shared.filter("held is not null").groupBy("id", "n")
+           .agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("s"))
+           .withColumn("before", F.col("n") - F.size("s")))
+    n = F.col("n").cast("double")
+    # (a hair below the product: rounding must not shorten a prefix)
+    probe = F.col("n") - F.ceil(n * threshold - 1e-9) + 1
+    index = F.col("n") - F.ceil(n * (2 * threshold / (1 + threshold)) - 1e-9) + 1
+    first = F.slice("s", F.lit(1), F.greatest(probe - F.col("before"), F.lit(0)).cast("int"))
+    return (own.select("id", "n", "before", index.alias("last"), F.posexplode(first).alias("at", "x"))
+            .select(F.col("x.shingle").alias("shingle"), "id", "n", (F.col("before") + F.col("at") + 1).alias("pos"), "last")
+            .withColumn("indexed", F.col("pos") <= F.col("last")).drop("last"))
+
+
 def verified_components(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, label) over all pairs that share a bucket and reach the Jaccard threshold.
 
-    ``members``: (bucket, id); ``sets``: (id, sh). See the module's docstring."""
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # a member's draw in (0, 1]: round r elects those with draw * n <= 2^r
-    draw = (F.pmod(F.xxhash64("bucket", "id"), F.lit(1 << 30)).cast("double") + 1) / float(1 << 30)
-    open_ = cut_lineage(members.join(sizes, "bucket").withColumn("turn", draw * F.col("n")))
-    edges = labels = None
-    turn = 1.0
+    ``members``: (bucket, id); ``sets``: (id, sh). Sets without a partner in any bucket go first. The others
+    meet on the shingles of ``prefix_index``, so members of a bucket that cannot reach the threshold
+    never meet; pairs that do are kept by length, position and a common bucket before their
+    sets are fetched. See the module's docstring for the rounds."""
+    # the members' buckets are compared as arrays, so each id's are collected: at most one a band
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    buckets = cut_lineage(members.join(shared, "bucket").groupBy("id").agg(F.collect_set("bucket").alias("buckets")))
+    nobody = buckets.select(F.col("id").alias("node")).limit(0).withColumn("label", F.col("node"))
+    full = cut_lineage(sets.join(buckets, "id"))
+    index = prefix_index(full, threshold)
+    sizes = (index.groupBy("shingle").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("indexed").cast("int")).alias("firsts"))
+             .filter("all > 1 and firsts > 0").select("shingle", "firsts"))
+    # an id's draw in (0, 1]: round r elects those with draw * firsts <= 4^r, the same ids in all their postings
+    draw = (F.pmod(F.xxhash64("id"), F.lit(1 << 30)).cast("double") + 1) / float(1 << 30)
+    open_ = cut_lineage(index.join(sizes, "shingle").withColumn("turn", draw * F.col("firsts")).drop("firsts"))
+    labels, turn = nobody, 1.0
     while True:
-        label = labels if labels is not None else open_.select(F.col("id").alias("node")).limit(0).withColumn("label", F.col("node"))
-        now = open_.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
-        # buckets that hold one component only are done
-        split = now.groupBy("bucket").agg((F.min("comp") != F.max("comp")).alias("open")).filter("open").select("bucket")
-        now = cut_lineage(now.join(split, "bucket", "left_semi"))
+        now = open_.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
+        # postings of one component only are done
+        split = now.groupBy("shingle").agg((F.min("comp") != F.max("comp")).alias("open")).filter("open").select("shingle")
+        now = cut_lineage(now.join(split, "shingle", "left_semi"))
         if now.isEmpty():
             break
-        elected = now.filter((F.col("turn") <= turn) & (F.col("turn") > (turn / 2 if turn > 1 else 0)))
-        a = elected.select("bucket", F.col("id").alias("src"), F.col("comp").alias("src_comp"))
-        b = now.select("bucket", F.col("id").alias("dst"), F.col("comp").alias("dst_comp"))
-        pairs = a.join(b, "bucket").filter("src_comp <> dst_comp").select("src", "dst").distinct()
-        near = (pairs.join(sets.select(F.col("id").alias("src"), F.col("sh").alias("sa")), "src")
-                .join(sets.select(F.col("id").alias("dst"), F.col("sh").alias("sb")), "dst")
-                .filter(_jaccard(F.col("sa"), F.col("sb")) >= F.lit(threshold)).select("src", "dst"))
-        edges = near if labels is None else near.union(labels.select(F.col("node").alias("src"), F.col("label").alias("dst")))
+        elected = now.filter(F.col("indexed") & (F.col("turn") <= turn) & (F.col("turn") > (turn / 4 if turn > 1 else 0)))
+        a = elected.select("shingle", F.col("id").alias("src"), F.col("n").alias("sn"), F.col("pos").alias("sp"), F.col("comp").alias("sc"))
+        b = now.select("shingle", F.col("id").alias("dst"), F.col("n").alias("dn"), F.col("pos").alias("dp"), F.col("comp").alias("dc"))
+        larger = (F.col("dn") > F.col("sn")) | ((F.col("dn") == F.col("sn")) & (F.col("src") != F.col("dst")))
+        fits = F.col("sn") >= F.col("dn") * threshold - 1e-9
+        left = F.least(F.col("sn") - F.col("sp"), F.col("dn") - F.col("dp")) + 1  # at most so many in common from here on
+        enough = left >= (F.col("sn") + F.col("dn")) * (threshold / (1 + threshold)) - 1e-9
+        pairs = a.join(b, "shingle").filter((F.col("sc") != F.col("dc")) & larger & fits & enough).select("src", "dst").distinct()
+        near = (pairs.join(full.select(F.col("id").alias("src"), F.col("sh").alias("sa"), F.col("buckets").alias("ba")), "src")
+                .join(full.select(F.col("id").alias("dst"), F.col("sh").alias("sb"), F.col("buckets").alias("bb")), "dst")
+                .filter(F.arrays_overlap("ba", "bb") & (_jaccard(F.col("sa"), F.col("sb")) >= F.lit(threshold))).select("src", "dst"))
+        edges = near.union(labels.select(F.col("node").alias("src"), F.col("label").alias("dst")))
         labels = cut_lineage(components(edges))
         open_ = now.drop("comp")
-        if now.filter(F.col("turn") > turn).isEmpty():
+        if now.filter(F.col("indexed") & (F.col("turn") > turn)).isEmpty():
             break
-        turn *= 2
-    return labels if labels is not None else members.select(F.col("id").alias("node")).limit(0).withColumn("label", F.col("node"))
+        turn *= 4
+    return labels
 
 
 def dedup_near(df: DataFrame, col: str = "text", id_col: str = "doc_id", hash_kind: str = "xxhash64",

@@ -3,9 +3,10 @@
 roll-up (E8) and bootstrap intervals (E9).
 
 ROUGE-N is relational: explode n-grams, count per (pair, gram) with map-side
-combine, clip with ``least`` and sum per pair. ROUGE-L needs a longest common
-subsequence, which no built-in computes; it runs in an Arrow-batched pandas
-UDF over the token arrays Spark already split.
+combine, clip with ``least`` and sum per pair; the n-grams are dealt out by pair
+first, so both counts share one shuffle. ROUGE-L is a bit-parallel expression
+over the token arrays. Only the union of ROUGE-Lsum, which needs positions, runs in
+an Arrow-batched UDF over the sentences Spark already split.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, DoubleType, StringType, StructField, StructType)
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from textpairs.functions.hashing import poisson1, u
-from textpairs.functions.lcs import rouge_l as _rouge_l
+from textpairs.functions.lcs import lcs_length
 from textpairs.functions.lcs import rouge_lsum as _rouge_lsum
-from textpairs.functions.stem import stem_token
 from textpairs.functions.text import (LABEL_IGNORE, PAD_ID, ngrams, rouge_tokens, sentences)
 from textpairs.operators.metrics import finish_metrics, gen_len
+from textpairs.operators.stems import stemmed
 from textpairs.operators.vocab import decode
 from textpairs.session import cut_lineage
 
@@ -42,41 +43,68 @@ def with_sentences(df: DataFrame, col: str, out: str | None = None) -> DataFrame
     return df.withColumn(out or col, F.array_join(sentences(col), "\n"))
 
 
-def compute_metrics(df: DataFrame, vocab: DataFrame, key_cols: Sequence[str], pred_col: str = "pred_ids",
-                    label_col: str = "labels", prefix: str = "test", vocab_size: int = 8000) -> DataFrame:
-    """The evaluation of one set of predictions as one flow, ``(name, value)``.
+#: The metrics of an evaluation, in the order in which they are reported.
+METRICS = ["rouge1", "rouge2", "rougeL", "rougeLsum"]
+
+
+def tokens(col, ascii_only: bool = True) -> Column:
+    """ROUGE tokens, unstemmed (``stems.stemmed`` stems the arrays of a table)."""
+    return rouge_tokens(col, ascii_only)
+
 
-    Masked labels back to the pad id, both sides decoded, sentences on lines
-    (E1, E2), ROUGE-1/2/L/Lsum F-measures (E3-E7, unstemmed), their corpus mean
-    times 100 (E8), the mean generated length (E10), names prefixed and values
-    rounded to four places (E11)."""
+def score_pairs(df: DataFrame, key_cols: Sequence[str], cand_col: str = "candidate", ref_col: str = "reference",
+                stem: bool = True) -> DataFrame:
+    """``key_cols`` and the F-measures of ROUGE-1, -2, -L and -Lsum of every pair of texts.
+
+    Sentences are lines (E2). ``stem`` stems the tokens of all four, as an English evaluation does."""
     keys = list(key_cols)
-    given = cut_lineage(unmask_labels(df, label_col).select(*keys, pred_col, label_col))
-    cand = with_sentences(decode(given, vocab, pred_col, keys, out="candidate", vocab_size=vocab_size), "candidate")
-    ref = with_sentences(decode(given, vocab, label_col, keys, out="reference", vocab_size=vocab_size), "reference")
-    pairs = cut_lineage(cand.join(ref, keys).select(*keys, "candidate", "reference", tokens("candidate").alias("cand_tokens"),
-                                                    tokens("reference").alias("ref_tokens")))
-    scored = rouge_lsum(rouge_l(pairs), "candidate", "reference").select(*keys, "rougeL_f", "rougeLsum_f")
+    given = df.select(*keys, tokens(cand_col).alias("cand_tokens"), tokens(ref_col).alias("ref_tokens"),
+                      sentence_tokens(cand_col).alias("_cs"), sentence_tokens(ref_col).alias("_rs"))
+    if stem:
+        # a text's tokens are those of its sentences in order, so one pass stems both forms
+        flat = given.withColumn("cand_tokens", F.flatten("_cs")).withColumn("ref_tokens", F.flatten("_rs"))
+        done = stemmed(flat, keys, ["cand_tokens", "ref_tokens"])
+        given = done.withColumn("_cs", _resplit("_cs", "cand_tokens")).withColumn("_rs", _resplit("_rs", "ref_tokens"))
+    pairs = cut_lineage(given)
+    scored = _lsum(rouge_l(pairs), F.col("_cs"), F.col("_rs"), "rougeLsum").select(*keys, "rougeL_f", "rougeLsum_f")
     for n in (1, 2):
         scored = scored.join(rouge_n(pairs, n, keys).select(*keys, f"rouge{n}_f"), keys)
-    names = ["rouge1", "rouge2", "rougeL", "rougeLsum"]
-    means = rouge_summary(scored.select(*[F.col(f"{m}_f").alias(m) for m in names]), names)
-    # one row of means and one of the mean length
-    wide = means.withColumn("_one", F.lit(1)).join(gen_len(given, pred_col).withColumn("_one", F.lit(1)), "_one")
-    return finish_metrics(wide, [*names, "gen_len"], prefix)
+    return scored.select(*keys, *[F.col(f"{m}_f").alias(m) for m in METRICS])
+
+
+def _resplit(sentences_col: str, tokens_col: str) -> Column:
+    """Stemmed tokens cut into sentences of the lengths of ``sentences_col``."""
+    start = F.struct(F.array().cast("array<array<string>>").alias("out"), F.lit(0).alias("at"))
+    return F.aggregate(sentences_col, start, lambda s, x: F.struct(
+        F.concat(s["out"], F.array(F.slice(F.col(tokens_col), s["at"] + 1, F.size(x)))).alias("out"),
+        (s["at"] + F.size(x)).alias("at")), lambda s: s["out"])
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _stem_arrays(tokens: pd.Series) -> pd.Series:
-    return pd.Series([[stem_token(t) for t in toks] if toks is not None else None
-                      for toks in tokens])
+def evaluate(df: DataFrame, vocab: DataFrame, key_cols: Sequence[str], pred_col: str = "pred_ids", label_col: str = "labels",
+             vocab_size: int = 8000, stem: bool = True, by: Sequence[str] = ()) -> DataFrame:
+    """One row (a group of ``by``): corpus ROUGE-1/2/L/Lsum times 100, ``gen_len`` and ``pairs``, unrounded.
+
+    Masked labels back to the pad id, both sides decoded, sentences on lines (E1, E2), tokens stemmed (E3),
+    F-measures (E4-E7) and their corpus mean times 100 (E8), the mean generated length (E10)."""
+    keys = list(key_cols)
+    given = cut_lineage(unmask_labels(df, label_col).select(*keys, pred_col, label_col))
+    cand = with_sentences(decode(given, vocab, pred_col, keys, out="candidate", vocab_size=vocab_size), "candidate")
+    ref = with_sentences(decode(given, vocab, label_col, keys, out="reference", vocab_size=vocab_size), "reference")
+    scored = score_pairs(cand.join(ref, keys), keys, stem=stem)
+    means = rouge_summary(scored, METRICS, by)
+    lengths = gen_len(given, pred_col, by=by)
+    if by:
+        return means.join(lengths, list(by))
+    # one row of means and one of the mean length
+    return means.withColumn("_one", F.lit(1)).join(lengths.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
-def tokens(col, stem: bool = False, ascii_only: bool = True) -> Column:
-    """ROUGE tokens; ``stem`` applies Porter stemming to tokens longer than
-    three characters (memoised per worker, so each distinct token once)."""
-    t = rouge_tokens(col, ascii_only)
-    return _stem_arrays(t) if stem else t
+def compute_metrics(df: DataFrame, vocab: DataFrame, key_cols: Sequence[str], pred_col: str = "pred_ids",
+                    label_col: str = "labels", prefix: str = "test", vocab_size: int = 8000, stem: bool = True) -> DataFrame:
+    """The evaluation of one set of predictions as one flow, ``(name, value)``: ``evaluate`` with
+    names prefixed and values rounded to four places (E11)."""
+    wide = evaluate(df, vocab, key_cols, pred_col, label_col, vocab_size, stem)
+    return finish_metrics(wide, [*METRICS, "gen_len"], prefix)
 
 
 def rouge_n(df: DataFrame, n: int, key: str | Sequence[str], cand_tokens: str = "cand_tokens",
@@ -89,7 +117,7 @@ def rouge_n(df: DataFrame, n: int, key: str | Sequence[str], cand_tokens: str =
     prefix = prefix or f"rouge{n}"
     cand = F.transform(ngrams(F.col(cand_tokens), n), lambda g: F.struct(g.alias("g"), F.lit(1).alias("c"), F.lit(0).alias("r")))
     ref = F.transform(ngrams(F.col(ref_tokens), n), lambda g: F.struct(g.alias("g"), F.lit(0).alias("c"), F.lit(1).alias("r")))
-    ex = df.select(*keys, F.explode_outer(F.concat(cand, ref)).alias("x"))
+    ex = df.repartition(*keys).select(*keys, F.explode_outer(F.concat(cand, ref)).alias("x"))
     per_gram = ex.groupBy(*keys, F.col("x.g").alias("g")).agg(
         F.sum(F.coalesce(F.col("x.c"), F.lit(0))).alias("c"),
         F.sum(F.coalesce(F.col("x.r"), F.lit(0))).alias("r"))
@@ -107,13 +135,6 @@ def prf_columns(df: DataFrame, hits: str, n_cand: str, n_ref: str, prefix: str)
     return df.withColumn(f"{prefix}_f", F.when(pp + rr > 0, F.lit(2.0) * pp * rr / (pp + rr)).otherwise(F.lit(0.0)))
 
 
-@F.pandas_udf(PRF)
-def _rouge_l_udf(cand: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    rows = [_rouge_l(list(c) if c is not None else [], list(r) if r is not None else [])
-            for c, r in zip(cand, ref)]
-    return pd.DataFrame(rows, columns=["precision", "recall", "fmeasure"])
-
-
 @F.pandas_udf(PRF)
 def _rouge_lsum_udf(cand: pd.Series, ref: pd.Series) -> pd.DataFrame:
     rows = [_rouge_lsum([list(s) for s in c] if c is not None else [],
@@ -124,11 +145,11 @@ def _rouge_lsum_udf(cand: pd.Series, ref: pd.Series) -> pd.DataFrame:
 
 def rouge_l(df: DataFrame, cand_tokens: str = "cand_tokens", ref_tokens: str = "ref_tokens",
             prefix: str = "rougeL") -> DataFrame:
-    """ROUGE-L from the LCS length (bit-parallel, in an Arrow UDF)."""
-    s = _rouge_l_udf(F.col(cand_tokens), F.col(ref_tokens))
-    return (df.withColumn("_l", s).withColumn(f"{prefix}_p", F.col("_l.precision"))
-            .withColumn(f"{prefix}_r", F.col("_l.recall"))
-            .withColumn(f"{prefix}_f", F.col("_l.fmeasure")).drop("_l"))
+    """ROUGE-L from the LCS length, bit-parallel in JVM expressions for texts of any length."""
+    size = lambda c: F.size(F.coalesce(F.col(c), F.array().cast("array<string>")))
+    hits = df.withColumn("_hits", lcs_length(F.col(cand_tokens), F.col(ref_tokens)))
+    counted = hits.withColumn("_n_cand", size(cand_tokens)).withColumn("_n_ref", size(ref_tokens))
+    return prf_columns(counted, "_hits", "_n_cand", "_n_ref", prefix).drop("_hits", "_n_cand", "_n_ref")
 
 
 def sentence_tokens(col, ascii_only: bool = True) -> Column:
@@ -140,8 +161,11 @@ def sentence_tokens(col, ascii_only: bool = True) -> Column:
 def rouge_lsum(df: DataFrame, cand_col: str, ref_col: str, prefix: str = "rougeLsum",
                ascii_only: bool = True) -> DataFrame:
     """ROUGE-Lsum over newline-separated sentences (E2 output)."""
-    s = _rouge_lsum_udf(sentence_tokens(cand_col, ascii_only=ascii_only),
-                        sentence_tokens(ref_col, ascii_only=ascii_only))
+    return _lsum(df, sentence_tokens(cand_col, ascii_only=ascii_only), sentence_tokens(ref_col, ascii_only=ascii_only), prefix)
+
+
+def _lsum(df: DataFrame, cand: Column, ref: Column, prefix: str) -> DataFrame:
+    s = _rouge_lsum_udf(cand, ref)
     return (df.withColumn("_l", s).withColumn(f"{prefix}_p", F.col("_l.precision"))
             .withColumn(f"{prefix}_r", F.col("_l.recall"))
             .withColumn(f"{prefix}_f", F.col("_l.fmeasure")).drop("_l"))

@@ -9,50 +9,87 @@ from pyspark.sql import functions as F
 
 from textpairs.functions.hashing import seeded_md5
 from textpairs.operators.ranking import sharded_row_number
+from textpairs.session import cut_lineage, scratch_path
 
 # fixed values: caps of the reference (train rows per source; evaluation rows
 # per source, used for validation and for test)
 TRAIN_CAP = 1000
 EVAL_CAP = 200
+_LAST = (1 << 62)  # place of a row without a position
 REFERENCE_CAPS = {"train": TRAIN_CAP, "validation": EVAL_CAP, "test": EVAL_CAP}
 
 
-def cap(df: DataFrame, caps: Mapping[str, int | None], order: Sequence[str] = ("row_no",),
-        by: Sequence[str] = ("source", "split"), split_col: str = "split",
-        fanout: int = 256) -> DataFrame:
-    """Keep the first ``min(cap, n)`` rows of each (source, split) by ``order``.
-
-    Splits sharing a cap are handled by windows with a *literal* limit, so the
-    optimizer turns ``row_number() <= cap`` into per-task group limits (up to
-    the session's spark.sql.optimizer.windowGroupLimitThreshold). Two
-    levels: first per (group, bucket of input tasks), then per group, so the
-    last reducer of a huge group receives at most ``fanout * cap`` rows instead
-    of ``cap`` rows from every input task. Membership in a bucket does not
-    change the result (the first ``cap`` rows of a group are among the first
-    ``cap`` of their bucket), so the cap is exact. Splits whose cap is None or
-    that ``caps`` does not name pass through untouched, as do null splits.
+#: Bins of one refinement round: 12 bits of the position.
+BINS = 4096
+
+
+def cutoffs(keys: DataFrame, caps: Mapping[str, int], by: Sequence[str], order: str, split_col: str = "split",
+            bins: int = BINS) -> DataFrame:
+    """(``by``, cutoff, below) of each group that has more rows than its cap: the position of
+    its cap-th row and the number of rows before that position.
+
+    Histogram refinement: every round counts the rows of each group's interval in
+    ``bins`` equal bins (map-side combined) and goes on with the bin that holds the cap-th row, until
+    intervals are single positions. No row is moved or sorted; the interval table has a row a group."""
+    limit = F.create_map(*[x for k, v in caps.items() for x in (F.lit(k), F.lit(v).cast("long"))])
+    groups = [*by]
+    now = (keys.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi"))
+           .withColumn("cap", limit[F.col(split_col)]).filter((F.col("n") > F.col("cap")) & (F.col("cap") > 0))
+           .select(*groups, "cap", F.lit(0).cast("long").alias("below"), "lo", "hi"))
+    # positions span less than 2^63, so widths are found by exact integer arithmetic
+    while True:
+        now = cut_lineage(now)
+        if now.filter("hi > lo").isEmpty():
+            return now.select(*groups, F.col("lo").alias("cutoff"), "cap", "below")
+        width = F.expr(f"(hi - lo) div {bins} + 1")
+        binned = (keys.join(F.broadcast(now.withColumn("width", width)), groups)
+                  .filter(F.col(order).between(F.col("lo"), F.col("hi")))
+                  .groupBy(*groups, "cap", "below", "lo", "hi", "width", F.expr(f"({order} - lo) div width").alias("bin"))
+                  .agg(F.count(F.lit(1)).alias("n")))
+        upto = Window.partitionBy(*groups).orderBy("bin")  # at most ``bins`` rows a group
+        now = (binned.withColumn("upto", F.col("below") + F.sum("n").over(upto))
+               .filter((F.col("upto") >= F.col("cap")) & (F.col("upto") - F.col("n") < F.col("cap")))
+               .select(*groups, "cap", (F.col("upto") - F.col("n")).alias("below"),
+                       (F.col("lo") + F.col("bin") * F.col("width")).alias("lo"),
+                       F.least("hi", F.col("lo") + (F.col("bin") + 1) * F.col("width") - 1).alias("hi")))
+
+
+def cap(df: DataFrame, caps: Mapping[str, int | None], order: str = "row_no",
+        by: Sequence[str] = ("source", "split"), split_col: str = "split", fanout: int = 256) -> DataFrame:
+    """Keep the first ``min(cap, n)`` rows of each (source, split) by ``order``, an
+    integer position.
+
+    Each group's cutoff position is found by counting (``cutoffs``); the cap is
+    then a filter, so no task sees more than its own rows however large the cap
+    or the group is. Where several rows stand at the cutoff itself, as many
+    of them as still fit are kept, in the order of their hashes. Splits whose cap is None or that ``caps`` does not name
+    pass through untouched, as do null splits; null positions come last and are
+    dropped from a group that has more rows than its cap.
     """
-    by_cap: dict[int, list[str]] = {}
-    for split, c in caps.items():
-        if c is not None:
-            by_cap.setdefault(c, []).append(split)
-    capped = [s for splits in by_cap.values() for s in splits]
-    if not capped:
+    wanted = {s: int(c) for s, c in caps.items() if c is not None}
+    if not wanted:
         return df
-    parts = [df.filter(~F.coalesce(F.col(split_col).isin(capped), F.lit(False)))]
-    w = Window.partitionBy(*by).orderBy(*order)
-    w_sub = Window.partitionBy(*by, "_task_bucket").orderBy(*order)
-    for c, splits in by_cap.items():
-        part = df.filter(F.col(split_col).isin(splits))
-        parts.append(part.withColumn("_task_bucket", F.spark_partition_id() % F.lit(fanout))
-                     .withColumn("_rn", F.row_number().over(w_sub)).filter(F.col("_rn") <= F.lit(c))
-                     .drop("_rn", "_task_bucket")
-                     .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.lit(c))
-                     .drop("_rn"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    spark = df.sparkSession
+    capped = F.coalesce(F.col(split_col).isin(sorted(wanted)), F.lit(False))
+    path = scratch_path(spark, "cap-keys")
+    df.filter(capped).select(*by, F.coalesce(F.col(order).cast("long"), F.lit(_LAST)).alias(order)).write.parquet(path)
+    found = cutoffs(spark.read.parquet(path), wanted, by, order, split_col)
+    # one row per (source, split): bounded by the registry
+    none_kept = [s for s, c in wanted.items() if c <= 0]
+    marked = (df.filter(~F.col(split_col).isin(none_kept) | F.col(split_col).isNull() if none_kept else F.lit(True))
+              .join(F.broadcast(found.select(*[F.col(c).alias(f"_{c}") for c in by], "cutoff", "cap", "below")),
+                    [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left")
+              .withColumn("_at", F.coalesce(F.col(order).cast("long"), F.lit(_LAST))))
+    cols = [F.col(c) for c in df.columns]
+    inside = marked.filter(~capped | F.col("cutoff").isNull() | (F.col("_at") < F.col("cutoff"))).select(*cols)
+    # rows at the cutoff: one a group where positions are unique
+    tied = marked.filter(capped & (F.col("_at") == F.col("cutoff"))).withColumn("_h", F.xxhash64(*df.columns))
+    piece = Window.partitionBy(*by, F.pmod(F.col("_h"), F.lit(fanout))).orderBy("_h")
+    whole = Window.partitionBy(*by).orderBy("_h")
+    fits = F.col("_rn") <= F.col("cap") - F.col("below")
+    last = (tied.withColumn("_rn", F.row_number().over(piece)).filter(fits)
+            .withColumn("_rn", F.row_number().over(whole)).filter(fits).select(*cols))
+    return inside.unionByName(last)
 
 
 def with_shuffle_key(df: DataFrame, seed: int = 42, key: str = "row_key",

@@ -12,14 +12,15 @@ reference's neural model and are not presented as such.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpairs.functions.text import lm_tokens
+from textpairs.operators.joins import heavy_left_join
 from textpairs.operators.metrics import background_counts, background_p
 from textpairs.operators.ranking import average_rank
 from textpairs.session import cut_lineage
@@ -30,45 +31,76 @@ SCRIPT_SCORE_BATCH = 4
 LAMBDA = 0.5
 
 
+#: Words that hold at least this share of the corpus are looked up in a broadcast table.
+HEAVY_SHARE = 1e-5
+
+
 class LM:
-    """A fitted background model: word probabilities and the unseen floor."""
+    """A fitted background model: word probabilities, those of the frequent words apart, and the unseen floor."""
 
-    def __init__(self, p: DataFrame, C: int, V: int):
-        self.p, self.C, self.V = p, C, V
+    def __init__(self, p: DataFrame, C: int, V: int, heavy: DataFrame):
+        self.p, self.C, self.V, self.heavy = p, C, V, heavy
         self.floor = 1.0 / float(C + V + 1)
 
 
 def fit_lm(corpus: DataFrame, text_col: str = "text") -> LM:
     """G2 (fit): unigram background model of a corpus."""
     cf, C, V = background_counts(corpus, text_col)
-    return LM(background_p(cf, C, V), C, V)
+    heavy = cf.filter(F.col("cf") >= F.lit(HEAVY_SHARE * C))  # at most 1 / HEAVY_SHARE words
+    return LM(background_p(cf, C, V), C, V, background_p(heavy, C, V))
 
 
-def lm_score(df: DataFrame, lm: LM, key: str | Sequence[str], source_col: str = "document",
-             target_col: str = "summary", lam: float = LAMBDA, out: str = "score") -> DataFrame:
-    """G2 (score): one row per pair with ``score`` and ``score_error``.
+def lm_scores(df: DataFrame, lm: LM, key: str | Sequence[str], source_col: str, target_cols: Mapping[str, str],
+              lam: float = LAMBDA) -> DataFrame:
+    """G2 (score) of several targets of one source: ``key``, and for each name in ``target_cols`` the columns
+    ``score_<name>`` and ``n_<name>`` (words of the target; the score of an empty one is null).
 
-    Rows are dealt by pair first; then both sides are exploded to (pair, word)
-    and counted where they are, which is linear in the words of either side. One
-    row per distinct target word joins the background table. An empty summary
-    gives a null score and the reason instead of dropping the pair.
-    """
+    Rows are dealt by pair first; then source and targets are exploded to (pair, word)
+    and counted where they are, so a source is counted once for all targets. Only words of
+    a target look up p(w): frequent ones in a broadcast table, the others in a
+    shuffle join of one row per distinct word of a pair."""
     keys = [key] if isinstance(key, str) else list(key)
-    base = df.select(*keys, lm_tokens(source_col).alias("_d"), lm_tokens(target_col).alias("_s")).repartition(*keys)
-    tagged = F.concat(F.transform(F.coalesce("_d", F.array().cast("array<string>")), lambda x: F.struct(x.alias("w"), F.lit(1).alias("d"), F.lit(0).alias("s"))),
-                      F.transform(F.coalesce("_s", F.array().cast("array<string>")), lambda x: F.struct(x.alias("w"), F.lit(0).alias("d"), F.lit(1).alias("s"))))
-    ex = base.select(*keys, F.greatest(F.coalesce(F.size("_d"), F.lit(0)), F.lit(0)).alias("_len"), F.explode_outer(tagged).alias("z"))
-    counted = ex.groupBy(*keys, F.col("z.w").alias("w")).agg(
-        F.max("_len").alias("_len"), F.sum("z.d").alias("_tf"), F.sum("z.s").alias("_ns"))
-    # a pair whose target has no word keeps its rows, with weight 0
-    j = counted.join(lm.p, "w", "left")
+    names = list(target_cols)
+    toks = [lm_tokens(source_col).alias("_t0"), *[lm_tokens(target_cols[n]).alias(f"_t{i}") for i, n in enumerate(names, 1)]]
+    base = df.select(*keys, *toks).repartition(*keys)
+    none = F.array().cast("array<string>")
+
+    def side(i: int) -> Column:
+        return F.transform(F.coalesce(f"_t{i}", none), lambda x: F.struct(x.alias("w"), F.lit(i).alias("t")))
+
+    # one entry without a word keeps pairs whose targets are all empty
+    entries = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("w"), F.lit(-1).alias("t"))), *[side(i) for i in range(len(names) + 1)])
+    ex = base.select(*keys, F.greatest(F.coalesce(F.size("_t0"), F.lit(0)), F.lit(0)).alias("_len"), F.explode(entries).alias("z"))
+    times = lambda i: F.sum(F.when(F.col("z.t") == i, 1).otherwise(0))
+    counted = (ex.groupBy(*keys, F.col("z.w").alias("w"))
+               .agg(F.max("_len").alias("_len"), *[times(i).alias(f"_n{i}") for i in range(len(names) + 1)])
+               .filter(" or ".join(["w is null", *[f"_n{i} > 0" for i in range(1, len(names) + 1)]])))
+    j = heavy_left_join(counted, lm.p, "w", lm.heavy, int(1 / HEAVY_SHARE), F.xxhash64(*keys, "w"))
     p = F.coalesce(F.col("p"), F.lit(lm.floor))
-    rel = F.when(F.col("_len") > 0, F.col("_tf") / F.col("_len")).otherwise(F.lit(0.0))
-    n = F.coalesce(F.col("_ns"), F.lit(0))
-    ll = F.when(n > 0, n * F.log(F.lit(lam) * rel + F.lit(1.0 - lam) * p))
-    g = j.groupBy(*keys).agg(F.sum(ll).alias("_ll"), F.sum(n).alias("_n"))
-    return g.select(*keys, (F.col("_ll") / F.when(F.col("_n") > 0, F.col("_n"))).alias(out),
-                    F.when(F.col("_n") == 0, F.lit("empty_target")).otherwise(F.lit(None).cast("string")).alias("score_error"))
+    rel = F.when(F.col("_len") > 0, F.col("_n0") / F.col("_len")).otherwise(F.lit(0.0))
+    ll = F.log(F.lit(lam) * rel + F.lit(1.0 - lam) * p)
+    sums = [x for i in range(1, len(names) + 1) for x in (
+        F.sum(F.when(F.col(f"_n{i}") > 0, F.col(f"_n{i}") * ll)).alias(f"_ll{i}"), F.sum(f"_n{i}").alias(f"_all{i}"))]
+    g = j.groupBy(*keys).agg(*sums)
+    return g.select(*keys, *[x for i, n in enumerate(names, 1) for x in (
+        (F.col(f"_ll{i}") / F.when(F.col(f"_all{i}") > 0, F.col(f"_all{i}"))).alias(f"score_{n}"), F.col(f"_all{i}").alias(f"n_{n}"))])
+
+
+def lm_score(df: DataFrame, lm: LM, key: str | Sequence[str], source_col: str = "document",
+             target_col: str = "summary", lam: float = LAMBDA, out: str = "score") -> DataFrame:
+    """G2 (score): one row per pair with ``score`` and ``score_error``. An empty summary
+    gives a null score and the reason instead of dropping the pair."""
+    keys = [key] if isinstance(key, str) else list(key)
+    g = lm_scores(df, lm, keys, source_col, {"t": target_col}, lam)
+    return g.select(*keys, F.col("score_t").alias(out),
+                    F.when(F.col("n_t") == 0, F.lit("empty_target")).otherwise(F.lit(None).cast("string")).alias("score_error"))
+
+
+def score_systems(df: DataFrame, lm: LM, key: str, source_col: str, systems: Mapping[str, str], lam: float = LAMBDA) -> DataFrame:
+    """``key, system, score`` of every system's summary of a document (``systems``: name -> column)."""
+    wide = lm_scores(df, lm, key, source_col, systems, lam)
+    return wide.select(key, F.explode(F.array(*[F.struct(F.lit(n).alias("system"), F.col(f"score_{n}").alias("score"))
+                                                for n in systems])).alias("x")).select(key, "x.system", "x.score")
 
 
 def directed(df: DataFrame, direction: str, document_col: str = "document",

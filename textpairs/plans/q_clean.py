@@ -64,7 +64,7 @@ def q_c1(spark: SparkSession, sf: str) -> DataFrame:
 @register("c2_dedup_exact", f"WITH {NORM} SELECT min(doc_id) AS doc_id, count(*)::BIGINT AS copies FROM norm GROUP BY md5(text)")
 def q_c2(spark: SparkSession, sf: str) -> DataFrame:
     """Exact duplicates of the normalised text; lowest id kept, copies counted."""
-    return C.dedup_exact(C.normalise(_docs(spark, sf))).select("doc_id", "copies")
+    return C.exact_groups(C.normalise(_docs(spark, sf))).select("doc_id", "copies")
 
 
 @register("c4_quality", f"""WITH {NORM}, {sql_signals('norm', 'sg')}
@@ -85,20 +85,7 @@ def q_c5(spark: SparkSession, sf: str) -> DataFrame:
     return C.drop_common_lines(_docs(spark, sf))
 
 
-@register("c6_funnel", f"""WITH {NORM},
-dd AS (SELECT n.doc_id, n.text FROM norm n JOIN (SELECT min(doc_id) AS doc_id FROM norm GROUP BY md5(text)) k USING (doc_id)),
-{sql_signals('dd', 'sg')}, q AS (SELECT doc_id, text FROM sg WHERE keep), {sql_common_lines('q', 'cl')},
-c AS (SELECT '0_input' AS step, count(*) AS rows FROM documents UNION ALL SELECT '1_normalise', count(*) FROM norm
-      UNION ALL SELECT '2_dedup_exact', count(*) FROM dd UNION ALL SELECT '3_quality', count(*) FROM q
-      UNION ALL SELECT '4_common_lines', count(*) FROM cl WHERE length(text) > 0),
-l AS (SELECT step, rows, coalesce(lag(rows) OVER (ORDER BY step), rows) AS rows_in FROM c)
-SELECT step, rows_in::BIGINT AS rows_in, (rows_in - rows)::BIGINT AS removed, rows::BIGINT AS rows_out FROM l""")
-def q_c6(spark: SparkSession, sf: str) -> DataFrame:
-    """Cleaning funnel: rows in, removed and out per step."""
-    return C.funnel(_docs(spark, sf))
-
-
-def _sql_minhash() -> str:
+def _sql_minhash(source: str = "documents") -> str:
     w = S.words("lower(text)")
     hx = ", ".join(f"list_transform(sh, lambda s: md5('{g}|' || s)) AS h{g}" for g in range(8))
     mins = [f"list_min(list_transform(h{j // 4}, lambda x: substr(x, {8 * (j % 4) + 1}, 8)))" for j in range(32)]
@@ -106,11 +93,40 @@ def _sql_minhash() -> str:
     bands = ", ".join(f"struct_pack(band := {b}, band_key := {sep.join(mins[4 * b:4 * b + 4])})"
                       for b in range(8))
     return (f"sh AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct({S.ngrams('w', 3)}) "
-            f"ELSE [array_to_string(w, ' ')] END AS sh FROM (SELECT doc_id, {w} AS w FROM documents)), "
+            f"ELSE [array_to_string(w, ' ')] END AS sh FROM (SELECT doc_id, {w} AS w FROM {source})), "
             f"hx AS (SELECT doc_id, {hx} FROM sh), "
             f"bk AS (SELECT doc_id, unnest([{bands}]) AS b FROM hx)")
 
 
+def _sql_near() -> str:
+    """CTEs ending in ``nd(doc_id, component, keep)``: pairs of ``sh``/``bk`` that share a band and reach
+    Jaccard 0.7, and their components (needs WITH RECURSIVE)."""
+    return (f"bp AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM bk a JOIN bk b ON a.b.band = b.b.band AND a.b.band_key = b.b.band_key "
+            f"AND a.doc_id < b.doc_id), "
+            f"vp AS (SELECT x, y FROM (SELECT x, y, len(list_intersect(s.sh, t.sh)) AS i, len(s.sh) + len(t.sh) AS n FROM bp "
+            f"JOIN sh s ON s.doc_id = x JOIN sh t ON t.doc_id = y) WHERE i::DOUBLE / (n - i) >= {D.THRESHOLD}), "
+            f"bo AS (SELECT x, y FROM vp UNION ALL SELECT y, x FROM vp), "
+            f"rc AS (SELECT doc_id AS x, doc_id AS y FROM sh UNION SELECT rc.x, bo.y FROM rc JOIN bo ON rc.y = bo.x), "
+            f"nd AS (SELECT x AS doc_id, min(y) AS component, min(y) = x AS keep FROM rc GROUP BY x)")
+
+
+@register("c6_funnel", f"""WITH RECURSIVE {NORM},
+dd AS (SELECT n.doc_id, n.text FROM norm n JOIN (SELECT min(doc_id) AS doc_id FROM norm GROUP BY md5(text)) k USING (doc_id)),
+{sql_signals('dd', 'sg')}, q AS (SELECT doc_id, text FROM sg WHERE keep), {sql_common_lines('q', 'cl')},
+kl AS (SELECT doc_id, text FROM cl WHERE length(text) > 0), {_sql_minhash('kl')}, {_sql_near()},
+c AS (SELECT '0_input' AS step, count(*) AS rows FROM documents UNION ALL SELECT '1_normalise', count(*) FROM norm
+      UNION ALL SELECT '2_dedup_exact', count(*) FROM dd UNION ALL SELECT '3_quality', count(*) FROM q
+      UNION ALL SELECT '4_common_lines', count(*) FROM kl
+      UNION ALL SELECT '5_dedup_near', count(*) FROM nd WHERE keep),
+l AS (SELECT step, rows, coalesce(lag(rows) OVER (ORDER BY step), rows) AS rows_in FROM c),
+rr AS (SELECT reason, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM sg) GROUP BY reason)
+SELECT step, 'all' AS reason, rows_in::BIGINT AS rows_in, (rows_in - rows)::BIGINT AS removed, rows::BIGINT AS rows_out FROM l
+UNION ALL SELECT '3_quality', reason, (SELECT count(*) FROM dd)::BIGINT, n::BIGINT, ((SELECT count(*) FROM dd) - n)::BIGINT FROM rr""")
+def q_c6(spark: SparkSession, sf: str) -> DataFrame:
+    """Cleaning funnel: rows in, removed and out per step and reason, near duplicates included."""
+    return C.funnel(_docs(spark, sf))
+
+
 @register("c3_minhash", f"WITH {_sql_minhash()} SELECT doc_id, b.band::BIGINT AS band, b.band_key AS band_key FROM bk")
 def q_c3m(spark: SparkSession, sf: str) -> DataFrame:
     """C3 (signatures): md5 MinHash, 32 hashes in 8 bands of 4, per document."""
@@ -123,6 +139,12 @@ def q_c3(spark: SparkSession, sf: str) -> DataFrame:
     return D.dedup_near(_docs(spark, sf))
 
 
+@register("c3_dedup_near_md5", f"WITH RECURSIVE {_sql_minhash()}, {_sql_near()} SELECT doc_id, component, keep FROM nd")
+def q_c3_md5(spark: SparkSession, sf: str) -> DataFrame:
+    """C3 with repeatable (md5) signatures: the same operator, comparable with SQL."""
+    return D.dedup_near(_docs(spark, sf), hash_kind="md5")
+
+
 @register("t2_pair_counts", f"""WITH wt AS (SELECT regexp_replace(hex(encode(w)), '(..)', '<\\1>', 'g') AS sym, count(*) AS cnt
    FROM (SELECT unnest({S.words('text')}) AS w FROM documents) GROUP BY w),
 sy AS (SELECT regexp_extract_all(sym, '<[^>]*>') AS s, cnt FROM wt),
@@ -136,16 +158,16 @@ def q_t2p(spark: SparkSession, sf: str) -> DataFrame:
 @register("t2_learn_bpe")
 def q_t2(spark: SparkSession, sf: str) -> DataFrame:
     """The first ``N_MERGES`` exact BPE merges over the corpus's word types."""
-    return BP.learn_bpe(BP.word_types(_docs(spark, sf)), BP.N_MERGES)
+    return BP.learn_bpe(BP.counted_types(_docs(spark, sf)), BP.N_MERGES)
 
 
 @register("t3_encode_bpe")
 def q_t3b(spark: SparkSession, sf: str) -> DataFrame:
     """T3 (bpe mode): documents split by the learned merges (first 1022 tokens)."""
     docs = _docs(spark, sf)
-    m = BP.learn_bpe(BP.word_types(docs), BP.N_MERGES)
-    merges = [(r["left"], r["right"]) for r in m.orderBy("rank").collect()]
-    e = BP.bpe_encode(docs, merges, max_tokens=1022)
+    types = BP.counted_types(docs)
+    _, segments = BP.learn_segments(types, BP.N_MERGES)
+    e = BP.bpe_encode(docs, segments, types, ["doc_id"], max_tokens=1022)
     return e.select("doc_id", F.size("bpe_tokens").cast("bigint").alias("n_tokens"),
                     F.array_join("bpe_tokens", " ").alias("bpe_tokens"))
 
@@ -155,7 +177,8 @@ def q_t3b_ids(spark: SparkSession, sf: str) -> DataFrame:
     """T3 (bpe mode) to ids: bytes and ``N_MERGES`` learned merges, at most 1024 ids with
     <s> and </s>; joins only, no Python (tested by brute force)."""
     docs = _docs(spark, sf)
-    merges, segments = BP.learn_segments(BP.word_types(docs), BP.N_MERGES)
-    e = BP.bpe_encode_ids(docs, segments, BP.bpe_vocab(merges), BP.N_MERGES, ["doc_id"])
+    types = BP.counted_types(docs)
+    merges, segments = BP.learn_segments(types, BP.N_MERGES)
+    e = BP.bpe_encode_ids(docs, segments, types, BP.bpe_vocab(merges), BP.N_MERGES, ["doc_id"])
     return e.select("doc_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
                     F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"))

@@ -11,12 +11,13 @@ from textpairs.functions.text import LABEL_IGNORE, PAD_ID, sentences
 from textpairs.operators import batches as B
 from textpairs.operators import metrics as M
 from textpairs.operators import rouge as RG
+from textpairs.operators import stems as ST
 from textpairs.plans import fixtures as FX
 from textpairs.plans import sqlbits as S
 from textpairs.plans.catalog import PREP_CTES, VOCAB_SIZE, _vocab, r6, register
 from textpairs.plans.prepare import joined_ids
 from textpairs.plans.q_tokens import B1_CTE, _batched
-from textpairs.session import read_table
+from textpairs.session import cut_lineage, read_table
 
 
 def _pair_tokens(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,12 +81,22 @@ def q_e3(spark: SparkSession, sf: str) -> DataFrame:
                     F.array_join("ref_tokens", " ").alias("ref_tokens"))
 
 
-@register("e3_rouge_tokens_stemmed")
+def _sql_stemmed(side: str) -> str:
+    """Stemmed tokens of one side as one string a pair, from ``pt`` and ``st`` (token, stem)."""
+    return (f"(SELECT pair_id, string_agg(CASE WHEN length(t) > {ST.LONGER_THAN} THEN stem ELSE t END, ' ' ORDER BY place) AS s "
+            f"FROM (SELECT pair_id, unnest({side}) AS t, unnest(range(len({side}))) AS place FROM pt) x JOIN st ON x.t = st.token GROUP BY pair_id)")
+
+
+@register("e3_rouge_tokens_stemmed", f"""WITH {PAIR_TOKENS},
+dt AS (SELECT DISTINCT token FROM (SELECT unnest(c) AS token FROM pt UNION ALL SELECT unnest(r) FROM pt)),
+{ST.sql_stem_table('dt', 'st')}
+SELECT pt.pair_id, coalesce(a.s, '') AS cand_tokens, coalesce(b.s, '') AS ref_tokens
+FROM pt LEFT JOIN {_sql_stemmed('c')} a USING (pair_id) LEFT JOIN {_sql_stemmed('r')} b USING (pair_id)""")
 def q_e3s(spark: SparkSession, sf: str) -> DataFrame:
-    """E3 (stemmed): Porter stems of tokens longer than 3 (unit-tested, no SQL)."""
-    p = FX.fx_pair(spark, sf)
-    return p.select("pair_id", F.array_join(RG.tokens("candidate", stem=True), " ").alias("cand_tokens"),
-                    F.array_join(RG.tokens("reference", stem=True), " ").alias("ref_tokens"))
+    """E3 (stemmed): Porter stems of tokens longer than 3, made on the distinct tokens and joined back."""
+    t = ST.stemmed(_pair_tokens(spark, sf), ["pair_id"], ["cand_tokens", "ref_tokens"])
+    return t.select("pair_id", F.array_join("cand_tokens", " ").alias("cand_tokens"),
+                    F.array_join("ref_tokens", " ").alias("ref_tokens"))
 
 
 @register("e4_rouge1", f"WITH {PAIR_TOKENS}, {sql_rouge_n(1, 'r1')} "
@@ -102,9 +113,22 @@ def q_e5(spark: SparkSession, sf: str) -> DataFrame:
     return _r6_cols(_rouge(spark, sf, 2), "pair_id", ["rouge2_p", "rouge2_r", "rouge2_f"])
 
 
-@register("e6_rougeL")
+#: The plain table of the longest common subsequence, a row at a time (``pt`` has the tokens).
+_LCS_CELL = "greatest(acc[-1], above[x[1] + 1], above[x[1]] + same[x[1]])"
+_LCS_ROW = f"list_reduce(list_prepend([0], list_transform(range(1, len(r) + 1), lambda j: [j])), lambda acc, x: list_append(acc, {_LCS_CELL}))"
+SQL_ROUGE_L = f"""lc AS (SELECT pair_id, len(c) AS nc, len(r) AS nr, CASE WHEN len(c) = 0 OR len(r) = 0 THEN 0 ELSE
+  (list_reduce(list_prepend(list_transform(range(len(r) + 1), lambda j: 0),
+                            list_transform(c, lambda t: list_transform(r, lambda w: (w = t)::INTEGER))),
+               lambda above, same: {_LCS_ROW}))[-1] END AS hits FROM
+  (SELECT pair_id, c, r FROM pt)),
+lp AS (SELECT pair_id, CASE WHEN nc > 0 THEN hits / nc ELSE 0.0 END AS p, CASE WHEN nr > 0 THEN hits / nr ELSE 0.0 END AS r FROM lc),
+rl AS (SELECT pair_id, p, r, CASE WHEN p + r > 0 THEN 2.0 * p * r / (p + r) ELSE 0.0 END AS f FROM lp)"""
+
+
+@register("e6_rougeL", f"WITH {PAIR_TOKENS}, {SQL_ROUGE_L} "
+          f"SELECT pair_id, {S.r6('p')} AS rougeL_p, {S.r6('r')} AS rougeL_r, {S.r6('f')} AS rougeL_f FROM rl")
 def q_e6(spark: SparkSession, sf: str) -> DataFrame:
-    """ROUGE-L per pair (LCS in an Arrow UDF; checked against DP in tests)."""
+    """ROUGE-L per pair (bit-parallel LCS in JVM expressions; the oracle fills the plain table)."""
     return _r6_cols(RG.rouge_l(_pair_tokens(spark, sf)), "pair_id", ["rougeL_p", "rougeL_r", "rougeL_f"])
 
 
@@ -116,16 +140,26 @@ def q_e7(spark: SparkSession, sf: str) -> DataFrame:
                     ["rougeLsum_p", "rougeLsum_r", "rougeLsum_f"])
 
 
-@register("e8_rouge_summary", f"""WITH {PAIR_TOKENS}, {sql_rouge_n(1, 'r1')}, {sql_rouge_n(2, 'r2')}
-SELECT {S.r6('avg(r1.f) * 100.0')} AS rouge1, {S.r6('avg(r2.f) * 100.0')} AS rouge2, count(*)::BIGINT AS pairs
-FROM r1 JOIN r2 USING (pair_id)""")
+THREE = ["rouge1", "rouge2", "rougeL"]
+SQL_THREE = f"{sql_rouge_n(1, 'r1')}, {sql_rouge_n(2, 'r2')}, {SQL_ROUGE_L}"
+
+
+def _summary(spark: SparkSession, sf: str) -> DataFrame:
+    pairs = cut_lineage(_pair_tokens(spark, sf))
+    scored = RG.rouge_l(pairs).select("pair_id", F.col("rougeL_f").alias("rougeL"))
+    for n in (1, 2):
+        scored = scored.join(RG.rouge_n(pairs, n, "pair_id").select("pair_id", F.col(f"rouge{n}_f").alias(f"rouge{n}")), "pair_id")
+    return RG.rouge_summary(scored, THREE)
+
+
+@register("e8_rouge_summary", f"""WITH {PAIR_TOKENS}, {SQL_THREE}
+SELECT {S.r6('avg(r1.f) * 100.0')} AS rouge1, {S.r6('avg(r2.f) * 100.0')} AS rouge2, {S.r6('avg(rl.f) * 100.0')} AS rougeL,
+       count(*)::BIGINT AS pairs
+FROM r1 JOIN r2 USING (pair_id) JOIN rl USING (pair_id)""")
 def q_e8(spark: SparkSession, sf: str) -> DataFrame:
     """Corpus roll-up of F-measures x 100."""
-    j = (_rouge(spark, sf, 1).select("pair_id", F.col("rouge1_f").alias("rouge1"))
-         .join(_rouge(spark, sf, 2).select("pair_id", F.col("rouge2_f").alias("rouge2")), "pair_id"))
-    s = RG.rouge_summary(j, ["rouge1", "rouge2"])
-    return s.select(r6(F.col("rouge1")).alias("rouge1"), r6(F.col("rouge2")).alias("rouge2"),
-                    F.col("pairs").cast("bigint").alias("pairs"))
+    s = _summary(spark, sf)
+    return s.select(*[r6(F.col(c)).alias(c) for c in THREE], F.col("pairs").cast("bigint").alias("pairs"))
 
 
 BOOT_N = 200
@@ -150,28 +184,33 @@ SELECT split, {S.r6('avg(n_in)')} AS gen_len, {S.r6('avg(tll)')} AS gen_len_refe
 def q_e10(spark: SparkSession, sf: str) -> DataFrame:
     """Mean non-pad length of padded id rows; the reference rule on labels
     padded with -100 counts the -100s (finding Q7), the default does not."""
-    p = B.pad_labels(B.pad_batch(_batched(spark, sf), "input_ids", out="padded_ids"))
-    keep = lambda x: (x != F.lit(PAD_ID)) & (x != F.lit(LABEL_IGNORE))
-    return p.groupBy("split").agg(
-        r6(F.avg(F.size(F.filter("padded_ids", keep)))).alias("gen_len"),
-        r6(F.avg(F.size(F.filter("labels", lambda x: x != F.lit(PAD_ID))))).alias("gen_len_reference"))
+    p = cut_lineage(B.pad_labels(B.pad_batch(_batched(spark, sf), "input_ids", out="padded_ids")).select("split", "padded_ids", "labels"))
+    plain = M.gen_len(p, "padded_ids", by=["split"])
+    strict = M.gen_len(p, "labels", strict_reference=True, by=["split"]).withColumnRenamed("gen_len", "gen_len_reference")
+    return plain.join(strict, "split").select("split", r6(F.col("gen_len")).alias("gen_len"),
+                                              r6(F.col("gen_len_reference")).alias("gen_len_reference"))
+
+
+def sql_finished(prefix: str) -> str:
+    parts = [f"SELECT '{prefix}_{m}' AS name, round(avg({t}.f) * 100.0, 4) AS value FROM {t}" for m, t in zip(THREE, ("r1", "r2", "rl"))]
+    return (f"WITH {PAIR_TOKENS}, {SQL_THREE} " + " UNION ALL ".join(parts)
+            + f" UNION ALL SELECT '{prefix}_gen_len', (WITH {PREP_CTES}, {B1_CTE} SELECT round(avg(n_in), 4) FROM b1)")
 
 
-@register("e11_finish_metrics", f"""WITH {PAIR_TOKENS}, {sql_rouge_n(1, 'r1')}, {sql_rouge_n(2, 'r2')},
-s AS (SELECT avg(r1.f) * 100.0 AS rouge1, avg(r2.f) * 100.0 AS rouge2 FROM r1 JOIN r2 USING (pair_id))
-SELECT 'test_rouge1' AS name, round(rouge1, 4) AS value FROM s
-UNION ALL SELECT 'test_rouge2', round(rouge2, 4) FROM s""")
+@register("e11_finish_metrics", sql_finished("test"))
 def q_e11(spark: SparkSession, sf: str) -> DataFrame:
-    """Metric names prefixed with the split, values rounded to 4 places."""
-    j = (_rouge(spark, sf, 1).select("pair_id", F.col("rouge1_f").alias("rouge1"))
-         .join(_rouge(spark, sf, 2).select("pair_id", F.col("rouge2_f").alias("rouge2")), "pair_id"))
-    return M.finish_metrics(RG.rouge_summary(j, ["rouge1", "rouge2"]), ["rouge1", "rouge2"], "test")
+    """Metric names prefixed with the split, values rounded to 4 places; the means of E8
+    and the mean length of the padded batches."""
+    padded = B.pad_batch(_batched(spark, sf), "input_ids", out="padded_ids").select("padded_ids")
+    # one row each
+    wide = _summary(spark, sf).withColumn("_one", F.lit(1)).join(M.gen_len(padded, "padded_ids").withColumn("_one", F.lit(1)), "_one")
+    return M.finish_metrics(wide, [*THREE, "gen_len"], "test")
 
 
 @register("compute_metrics")
 def q_compute_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """E1-E11 as one flow over the padded batches: the first 128 input ids stand
-    in for generated ids, the labels are the reference (tested by brute force)."""
+    in for generated ids, the labels are the reference, tokens stemmed (tested by brute force)."""
     batched = B.pad_labels(_batched(spark, sf)).withColumn("pred_ids", F.slice("input_ids", 1, 128))
     return RG.compute_metrics(batched, _vocab(spark, sf), ["split", "row_key"], vocab_size=VOCAB_SIZE)
 

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpairs.operators import clean as C
-from textpairs.operators.bpe import N_MERGES, learn_bpe, word_types
+from textpairs.operators.bpe import N_MERGES, counted_types, learn_bpe
 from textpairs.plans import fixtures as FX
 from textpairs.plans.catalog import ORACLES, PREPARE_SQL, VOCAB_SIZE, _vocab, register, sql_vocab
 from textpairs.plans.prepare import joined_ids, prepare_pairs
 from textpairs.plans.q_clean import NORM
 from textpairs.plans.q_eval import q_e11
-from textpairs.session import read_table, scratch_path
+from textpairs.session import cut_lineage, read_table, scratch_path
 from textpairs.sources import arrow_ipc, registry, sinks
 
 # fixed values: split directory names of the Arrow-file source layout
@@ -34,6 +34,40 @@ def q_s1_dirs(spark: SparkSession, sf: str) -> DataFrame:
     return registry.read_sources(spark, specs)
 
 
+def _damage(spark: SparkSession, folder: str, change) -> None:
+    """Overwrite the Parquet file of a folder by ``change`` of its bytes (fixture files of a few rows)."""
+    one = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select("path", "content").first()
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(one["path"])
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(bytearray(change(bytes(one["content"]))))
+    stream.close()
+
+
+@register("s5_damaged_files", f"""WITH {FX.sql_pairs()}
+SELECT source, split, CASE WHEN split = 'train' AND source IN ('set_a', 'set_b') THEN 'damaged' ELSE 'ok' END AS status,
+  sum(CASE WHEN split = 'train' AND (source = 'set_a' AND row_no % 2 = 1 OR source = 'set_b' AND row_no % 2 = 0) THEN 0 ELSE 1 END)::BIGINT AS rows,
+  CASE WHEN split = 'train' AND source IN ('set_a', 'set_b') THEN 1 ELSE 0 END::BIGINT AS lost_files
+FROM fx_pairs GROUP BY source, split""")
+def q_s5_damaged(spark: SparkSession, sf: str) -> DataFrame:
+    """S5 at run time: two files a split; one train file is cut in half, one is no Parquet file at
+    all. Both are reported and skipped, everything else is loaded."""
+    base = scratch_path(spark, "sources")
+    specs = []
+    for s in FX.fixture_specs(sf):
+        rows = cut_lineage(s.loader(spark))
+        for split in registry.SPLITS:
+            for k in range(2):
+                part = rows.filter((F.col("stored_split") == split) & (F.col("row_no") % 2 == k)).drop("stored_split")
+                part.coalesce(1).write.parquet(f"{base}/{s.name}/{split}/p{k}")
+        specs.append(registry.SourceSpec(
+            name=s.name, document_col=s.document_col, summary_col=s.summary_col, split_map=s.split_map, order_col="row_no",
+            path=f"{base}/{s.name}", format="parquet", split_dirs={sp: f"{sp}/p*" for sp in registry.SPLITS}))
+    _damage(spark, f"{base}/set_a/train/p1", lambda data: data[:len(data) // 2])
+    _damage(spark, f"{base}/set_b/train/p0", lambda data: b"not a table")
+    return registry.load_with_report(spark, specs)[1].drop("error")
+
+
 @register("s2_arrow_scan", f"WITH {FX.sql_stored()} SELECT doc_id, stored_split, text FROM fx_stored")
 def q_s2(spark: SparkSession, sf: str) -> DataFrame:
     """Documents written as Arrow IPC files, one directory per stored split,
@@ -61,12 +95,17 @@ def q_k1(spark: SparkSession, sf: str) -> DataFrame:
     return joined_ids(back.select("split", "source", "row_key", "shuffle_rank", "input_ids", "labels"))
 
 
-@register("k2_write_metrics", f"SELECT * FROM ({ORACLES['e11_finish_metrics']})")
+@register("k2_write_metrics", f"SELECT 'base' AS run, 'test' AS split, name, value FROM ({ORACLES['e11_finish_metrics']}) "
+          f"UNION ALL SELECT 'other', 'test', name, value FROM ({ORACLES['e11_finish_metrics']}) WHERE name = 'test_rouge1'")
 def q_k2(spark: SparkSession, sf: str) -> DataFrame:
-    """K2: finished test metrics appended as JSON under a run folder, read back."""
+    """K2: finished test metrics keyed by run, split and name; one run written twice, another
+    beside it, all read back."""
     path = scratch_path(spark, "metrics")
-    sinks.write_metrics(q_e11(spark, sf), path)
-    return spark.read.schema("name string, value double").json(path)
+    found = cut_lineage(q_e11(spark, sf)).withColumn("split", F.lit("test"))
+    sinks.write_metrics(found.withColumn("run", F.lit("other")).filter("name = 'test_rouge1'"), path)
+    for _ in range(2):
+        sinks.write_metrics(found.withColumn("run", F.lit("base")), path)
+    return sinks.read_metrics(spark, path)
 
 
 @register("k3_write_text", f"WITH {NORM} SELECT replace(text, chr(10), ' ') AS value FROM norm")
@@ -79,9 +118,13 @@ def q_k3(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("k4_write_vocab", f"WITH {sql_vocab()} SELECT token, id, cnt FROM vocab")
 def q_k4(spark: SparkSession, sf: str) -> DataFrame:
-    """K4: vocabulary and BPE merges written as tables; the vocabulary read back."""
+    """K4: vocabulary and BPE merges written as tables; the vocabulary read back, and
+    the merges read back and compared with what was learned."""
     path = scratch_path(spark, "vocab")
-    docs = read_table(spark, sf, "documents").select("text")
-    sinks.write_vocab(_vocab(spark, sf), learn_bpe(word_types(docs), N_MERGES), path)
+    merges = learn_bpe(counted_types(read_table(spark, sf, "documents").select("text")), N_MERGES)
+    sinks.write_vocab(_vocab(spark, sf), merges, path)
+    stored = spark.read.parquet(f"{path}/merges").select(*merges.columns)
+    if stored.exceptAll(merges).union(merges.exceptAll(stored)).count():  # both bounded by the number of merges
+        raise RuntimeError("stored merges differ from the learned ones")
     v = spark.read.parquet(f"{path}/vocab")
     return v.select("token", F.col("id").cast("bigint").alias("id"), "cnt")

@@ -93,13 +93,7 @@ SELECT system, count(*)::BIGINT AS pairs, {S.r6('avg(score)')} AS mean_score,
 FROM n GROUP BY system""")
 def q_g5(spark: SparkSession, sf: str) -> DataFrame:
     """First sentence (A) against last sentence (B) as summaries of a document."""
-    sy = FX.fx_systems(spark, sf)
-    lm = _doc_lm(spark, sf)
-    long = sy.select("pair_id", "document", F.explode(F.array(
-        F.struct(F.lit("A").alias("system"), F.col("A").alias("summary")),
-        F.struct(F.lit("B").alias("system"), F.col("B").alias("summary")))).alias("x"))
-    long = long.select("pair_id", "document", "x.system", "x.summary")
-    scored = G.lm_score(long, lm, ["pair_id", "system"], "document", "summary")
+    scored = G.score_systems(FX.fx_systems(spark, sf), _doc_lm(spark, sf), "pair_id", "document", {"A": "A", "B": "B"})
     c = G.compare_systems(scored)
     return c.select("system", "pairs", r6(F.col("mean_score")).alias("mean_score"), "wins", "ties",
                     r6(F.col("win_rate")).alias("win_rate"))

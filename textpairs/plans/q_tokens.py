@@ -177,8 +177,28 @@ def q_b6(spark: SparkSession, sf: str) -> DataFrame:
     return B.infill_bernoulli(d, "text", "doc_id").select("doc_id", "masked_text", "masked_words")
 
 
-@register("b6_infill_poisson")
+def _sql_poisson(uexpr: str, lam: float) -> str:
+    return f"len(list_filter([{', '.join(map(repr, B.poisson_cuts(lam)))}], lambda c: {uexpr} >= c))::BIGINT"
+
+
+def _sql_draw(kind: str) -> str:
+    return S.u(42, f"CAST(doc_id AS VARCHAR) || ':{kind}:' || CAST(k AS VARCHAR)")
+
+
+@register("b6_infill_poisson", f"""WITH w AS (SELECT doc_id, {S.words('text')} AS w FROM documents),
+b AS (SELECT *, floor(len(w) * 0.3::DOUBLE + 0.5::DOUBLE)::BIGINT AS budget FROM w),
+d AS (SELECT doc_id, budget, len(w) - budget AS stay, k, {_sql_poisson(_sql_draw('len'), 3.0)} AS n, {_sql_draw('gap')} AS ug
+      FROM (SELECT *, unnest(range(1, budget + {B.SPARE_DRAWS} + 1)) AS k FROM b)),
+c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
+s AS (SELECT doc_id, k, least(n, budget - before) AS n, floor(ug * (stay + 1))::BIGINT AS gap FROM c WHERE before < budget),
+p AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY gap, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS skipped FROM s),
+m AS (SELECT doc_id, gap + skipped AS place, 0 AS kind, k, '[MASK]' AS word FROM p),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM b),
+g AS (SELECT doc_id, gap + skipped AS a, gap + skipped + n AS z FROM p WHERE n > 0),
+y AS (SELECT x.doc_id, x.i AS place, 1 AS kind, 0 AS k, x.word FROM x WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = x.doc_id AND x.i >= a AND x.i < z)),
+o AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place, kind, k) AS t FROM (SELECT * FROM m UNION ALL SELECT * FROM y) GROUP BY doc_id)
+SELECT b.doc_id, coalesce(o.t, '') AS masked_text, b.budget AS masked_words FROM b LEFT JOIN o USING (doc_id)""")
 def q_b6p(spark: SparkSession, sf: str) -> DataFrame:
-    """B6 (Poisson spans, lambda 3): seeded per document; no SQL oracle."""
+    """B6 (Poisson spans, lambda 3): seeded per document."""
     d = read_table(spark, sf, "documents").select("doc_id", "text")
-    return B.infill_poisson(d, "text", "doc_id").select("doc_id", "masked_text")
+    return B.infill_poisson(d, "text", "doc_id").select("doc_id", "masked_text", "masked_words")
