@@ -17,10 +17,10 @@ pairs of similarity s, which misses about two pairs in a hundred thousand at
 2. Only keys that another set shares can form a table key, so keys met once go
    before the pairs of keys are formed.
 3. ``_resolve`` verifies candidates on full sets, in rounds that elect members of a
-   bucket: first one, which all others are compared with; then ``elect`` times
-   more in every round, compared with members that are not yet in their
-   component. It ends when every bucket is of one component or all members were
-   elected, so no pair is capped and a group of near copies costs about one
+   bucket: first one, which all others are compared with; then members outside the
+   bucket's largest component, ``elect`` times more in every round, compared with
+   members of other components. It ends when every bucket
+   is of one component or all those members were elected, so no pair is capped and a group of near copies costs about one
    comparison a member.
 4. A large bucket of members that did not link (documents that only share a passage)
    is not compared pair by pair: its members get further, longer keys from a
@@ -44,7 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpairs.llm.arrow_words import slices, split_words
@@ -168,47 +168,74 @@ def _alike_in_size(percent: int, n: str, m: str):
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
-def _unresolved(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (bucket, set_id, n, root, size) of buckets that hold more than one component."""
-    placed = (members.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
-              .withColumn("root", F.coalesce("root", "set_id")))
-    open_buckets = (placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size"))
-                    .filter("lo <> hi").select("bucket", "size"))
-    return placed.join(open_buckets, "bucket")
+def _placed(members: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``members`` with ``root``, the component of each set by ``links``."""
+    if links is None:
+        return members.withColumn("root", F.col("set_id"))
+    roots = connected_components(links).select(F.col("node").alias("set_id"), "root")
+    return members.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+
+
+def _unresolved(members: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Placed members of the buckets that hold more than one component, with the bucket's ``size``
+    and whether each is an ``outsider``: not of the bucket's largest component."""
+    placed = _placed(members, links)
+    parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("of_root"))
+    buckets = (parts.groupBy("bucket").agg(F.sum("of_root").alias("size"), F.count("*").alias("roots"),
+                                           F.max(F.struct("of_root", "root")).alias("most")).filter("roots > 1"))
+    return (placed.join(buckets, "bucket").withColumn("outsiders", F.col("size") - F.col("most.of_root"))
+            .withColumn("outsider", F.col("root") != F.col("most.root")).drop("roots", "most"))
+
+
+def _forget(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files and checkpoints of rounds that nothing refers to any more: it
+    acts on the driver's garbage collection, which a loop of small jobs may not cause for a long time."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def _resolve(members: DataFrame, sets: DataFrame, links: DataFrame | None, percent: int,
-             whole: int | None, elect: int = 32) -> tuple[DataFrame, DataFrame | None]:
+             whole: int | None, elect: int = 64) -> tuple[DataFrame, DataFrame | None]:
     """(links, members of large buckets): verifies the buckets of ``members`` (bucket, set_id, n).
 
-    With ``whole``, buckets of more members than that which hold several components
-    after the first round are returned unfinished; else every bucket is finished."""
-    # round 1: all members meet the smallest of their bucket, unless they are known to be of its component
-    placed = _unresolved(members, connected_components(links)) if links else members.withColumn("root", F.col("set_id"))
-    heads = placed.groupBy("bucket").agg(F.min(F.struct("set_id", "n", "root")).alias("head"))
-    pairs = (placed.join(heads, "bucket").filter(F.col("root") != F.col("head.root"))
-             .filter(_alike_in_size(percent, "n", "head.n"))
-             .select(F.col("head.set_id").alias("a"), F.col("set_id").alias("b")).distinct())
-    found = _linked(pairs, sets, percent)
-    links = cut_lineage((links.union(found) if links else found).distinct())
-    left = cut_lineage(_unresolved(members, connected_components(links)))
+    Every member first meets the smallest of its buckets that it shares most buckets with, then
+    the smallest of its other buckets where they are of other components. What holds several
+    components after that goes on in rounds: members outside the bucket's largest component are elected, and
+    meet all that are of other components. When all of them were elected, no pair is left. With
+    ``whole``, buckets of more members than that are returned unfinished instead."""
+    if links:
+        members = cut_lineage(_unresolved(members, links).select("bucket", "set_id", "n"))
+    heads = members.groupBy("bucket").agg(F.min(F.struct("set_id", "n")).alias("head"))
+    shared = (members.join(heads, "bucket").filter(F.col("set_id") != F.col("head.set_id")).filter(_alike_in_size(percent, "n", "head.n"))
+              .groupBy(F.col("head.set_id").alias("a"), F.col("set_id").alias("b")).agg(F.count("*").alias("buckets")))
+    shared = cut_lineage(shared)
+    best = shared.groupBy("b").agg(F.max(F.struct("buckets", "a")).alias("x")).select("x.a", "b")
+    for pairs in (best, shared.select("a", "b").join(best, ["a", "b"], "left_anti")):
+        if links:
+            roots = connected_components(links)
+            ra, rb = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+            pairs = (pairs.join(ra, "a", "left").join(rb, "b", "left")
+                     .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+        found = _linked(pairs, sets, percent)
+        links = cut_lineage((links.union(found) if links else found).distinct())
+        _forget(sets.sparkSession)
+    left = cut_lineage(_unresolved(members, links))
     large = left.filter(F.col("size") > whole).select("bucket", "set_id", "n") if whole else None
-    left = left.filter(F.col("size") <= whole) if whole else left
-    # a member's number, from 0 to 1, elects it in the round in which the share of the bucket reaches it
-    number = (F.xxhash64("bucket", "set_id").cast("double") + float(1 << 63)) / float(1 << 64)
-    before, upto = 0.0, float(elect)
-    while not left.isEmpty():
-        left = left.withColumn("number", number)
-        elected = (left.filter((F.col("number") >= before / F.col("size")) & (F.col("number") < upto / F.col("size")))
-                   .select("bucket", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("number").alias("xa")))
-        # a member elected earlier has met all of its bucket
-        later = (F.col("number") > F.col("xa")) | ((F.col("number") == F.col("xa")) & (F.col("set_id") > F.col("a")))
-        pairs = (left.join(elected, "bucket").filter((F.col("root") != F.col("ra")) & later & _alike_in_size(percent, "n", "na"))
+    left = (left.filter(F.col("size") <= whole) if whole else left).withColumn("met", F.lit(False))
+    # a member's number, from 0 to 1 and the same in all its buckets, elects it in the round whose share it is below
+    number = (F.xxhash64("set_id").cast("double") + float(1 << 63)) / float(1 << 64)
+    upto = float(elect)
+    while not left.filter("outsider and not met").isEmpty():
+        now = left.withColumn("elected", F.col("outsider") & ~F.col("met") & (number < upto / F.col("outsiders")))
+        a = now.filter("elected").select("bucket", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+        # a member elected in an earlier round has met all; two that are elected now meet once
+        open_ = ~F.col("met") & (~F.col("elected") | (F.col("set_id") > F.col("a")))
+        pairs = (now.join(a, "bucket").filter((F.col("root") != F.col("ra")) & open_ & _alike_in_size(percent, "n", "na"))
                  .select("a", F.col("set_id").alias("b")).distinct())
         links = cut_lineage(links.union(_linked(pairs, sets, percent)).distinct())
-        rest = left.filter(F.col("size") > upto).select("bucket", "set_id", "n")
-        before, upto = upto, upto * elect
-        left = cut_lineage(_unresolved(rest, connected_components(links)))
+        upto *= elect
+        rest = now.select("bucket", "set_id", "n", (F.col("met") | F.col("elected")).alias("met"))
+        left = cut_lineage(_unresolved(rest, links))
+        _forget(sets.sparkSession)
     return links, large
 
 
