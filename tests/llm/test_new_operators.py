@@ -158,18 +158,18 @@ def crowd():
 def test_large_buckets_lose_no_link(spark, whole, monkeypatch):
     texts = crowd()
     want = brute_groups(brute_sets(texts))
-    links = minhash.near_duplicate_links
-    monkeypatch.setattr(minhash, "near_duplicate_links", lambda *a: links(*a, whole=whole))
+    classes = minhash.near_duplicate_classes
+    monkeypatch.setattr(minhash, "near_duplicate_classes", lambda *a: classes(*a, whole=whole))
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r.id: r.component_id for r in minhash.near_duplicate_groups(rows).collect()}
     assert [got[i] for i in range(len(texts))] == want
 
 
 def test_verification_is_exact(spark):
-    sets = spark.createDataFrame([(b"a", list(range(100))), (b"b", list(range(15, 100))), (b"c", list(range(16, 100)))],
-                                 "set_id binary, shingles array<long>")
-    pairs = spark.createDataFrame([(b"a", b"b"), (b"a", b"c")], "a binary, b binary")
-    assert [bytes(r.dst) for r in minhash._linked(pairs, sets, 85).collect()] == [b"b"]
+    sets = spark.createDataFrame([(1, list(range(100))), (2, list(range(15, 100))), (3, list(range(16, 100)))],
+                                 "set_no long, shingles array<long>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "a long, b long")
+    assert [r.b for r in minhash._linked(pairs, sets, 85).collect()] == [2]
 
 
 def test_shingles_of_short_texts():

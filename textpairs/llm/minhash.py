@@ -44,7 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpairs.llm.arrow_words import slices, split_words
@@ -156,35 +156,40 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ``a`` may stand in very many pairs: its set is sent to one piece per salt."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(_SALTS)))
     wanted = salted.select("a", "salt").distinct()
-    of_a = wanted.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("set_a")), "a")
-    both = (salted.join(sets.select(F.col("set_id").alias("b"), F.col("shingles").alias("set_b")), "b")
+    of_a = wanted.join(sets.select(F.col("set_no").alias("a"), F.col("shingles").alias("set_a")), "a")
+    both = (salted.join(sets.select(F.col("set_no").alias("b"), F.col("shingles").alias("set_b")), "b")
             .join(of_a, ["a", "salt"]))
     # 100 c >= percent (|a| + |b| - c) for c common shingles
     total = (F.size("set_a") + F.size("set_b")).cast("long")
-    return both.filter(F.size(F.array_intersect("set_a", "set_b")).cast("long") * (100 + percent) >= total * percent).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return both.filter(F.size(F.array_intersect("set_a", "set_b")).cast("long") * (100 + percent) >= total * percent).select("a", "b")
 
 
-def _alike_in_size(percent: int, n: str, m: str):
+def _alike_in_size(percent: int, n: str, m: str) -> Column:
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
-def _placed(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``members`` with ``root``, the component of each set by ``links``."""
-    if links is None:
-        return members.withColumn("root", F.col("set_id"))
-    roots = connected_components(links).select(F.col("node").alias("set_id"), "root")
-    return members.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+def _roots_of(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) of sets in different components, with these (ra, rb)."""
+    ra, rb = (comp.select(F.col("set_no").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    return pairs.join(ra, "a").join(rb, "b").filter("ra <> rb")
 
 
-def _unresolved(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """Placed members of the buckets that hold more than one component, with the bucket's ``size``
+def _merged(comp: DataFrame, found: DataFrame) -> DataFrame:
+    """``comp`` (set_no, root) after the links ``found`` (a, b): components of the roots they connect."""
+    links = _roots_of(found, comp).select(F.col("ra").alias("src"), F.col("rb").alias("dst"))
+    moved = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return cut_lineage(comp.join(moved, "root", "left").select("set_no", F.coalesce("to", "root").alias("root")))
+
+
+def _unresolved(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Members of the buckets that hold more than one component, with their ``root``, the bucket's ``size``
     and whether each is an ``outsider``: not of the bucket's largest component."""
-    placed = _placed(members, links)
+    placed = members.join(comp, "set_no")
     parts = placed.groupBy("bucket", "root").agg(F.count("*").alias("of_root"))
-    buckets = (parts.groupBy("bucket").agg(F.sum("of_root").alias("size"), F.count("*").alias("roots"),
-                                           F.max(F.struct("of_root", "root")).alias("most")).filter("roots > 1"))
-    return (placed.join(buckets, "bucket").withColumn("outsiders", F.col("size") - F.col("most.of_root"))
-            .withColumn("outsider", F.col("root") != F.col("most.root")).drop("roots", "most"))
+    buckets = (parts.groupBy("bucket").agg(F.sum("of_root").alias("size"), F.count("*").alias("roots"), F.max("of_root").alias("most"),
+                                           F.max_by("root", F.struct("of_root", "root")).alias("largest")).filter("roots > 1"))
+    return (placed.join(buckets, "bucket").withColumn("outsiders", F.col("size") - F.col("most"))
+            .withColumn("outsider", F.col("root") != F.col("largest")).drop("roots", "most", "largest"))
 
 
 def _forget(spark: SparkSession) -> None:
@@ -193,88 +198,82 @@ def _forget(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _resolve(members: DataFrame, sets: DataFrame, links: DataFrame | None, percent: int,
+def _resolve(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: int,
              whole: int | None, elect: int = 64) -> tuple[DataFrame, DataFrame | None]:
-    """(links, members of large buckets): verifies the buckets of ``members`` (bucket, set_id, n).
+    """(components, members of large buckets): verifies the buckets of ``members`` (bucket, set_no, n).
 
     Every member first meets the smallest of its buckets that it shares most buckets with, then
     the smallest of its other buckets where they are of other components. What holds several
     components after that goes on in rounds: members outside the bucket's largest component are elected, and
     meet all that are of other components. When all of them were elected, no pair is left. With
     ``whole``, buckets of more members than that are returned unfinished instead."""
-    if links:
-        members = cut_lineage(_unresolved(members, links).select("bucket", "set_id", "n"))
-    heads = members.groupBy("bucket").agg(F.min(F.struct("set_id", "n")).alias("head"))
-    shared = (members.join(heads, "bucket").filter(F.col("set_id") != F.col("head.set_id")).filter(_alike_in_size(percent, "n", "head.n"))
-              .groupBy(F.col("head.set_id").alias("a"), F.col("set_id").alias("b")).agg(F.count("*").alias("buckets")))
-    shared = cut_lineage(shared)
-    best = shared.groupBy("b").agg(F.max(F.struct("buckets", "a")).alias("x")).select("x.a", "b")
-    for pairs in (best, shared.select("a", "b").join(best, ["a", "b"], "left_anti")):
-        if links:
-            roots = connected_components(links)
-            ra, rb = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-            pairs = (pairs.join(ra, "a", "left").join(rb, "b", "left")
-                     .filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
-        found = _linked(pairs, sets, percent)
-        links = cut_lineage((links.union(found) if links else found).distinct())
-        _forget(sets.sparkSession)
-    left = cut_lineage(_unresolved(members, links))
-    large = left.filter(F.col("size") > whole).select("bucket", "set_id", "n") if whole else None
+    heads = members.groupBy("bucket").agg(F.min("set_no").alias("a"), F.min_by("n", "set_no").alias("na"))
+    shared = cut_lineage(members.join(heads, "bucket").filter((F.col("set_no") != F.col("a")) & _alike_in_size(percent, "n", "na"))
+                         .groupBy("a", F.col("set_no").alias("b")).agg(F.count("*").alias("buckets")))
+    best = shared.groupBy("b").agg(F.max_by("a", F.struct("buckets", "a")).alias("a"))
+    comp = _merged(comp, _linked(_roots_of(best, comp).select("a", "b"), sets, percent))
+    others = shared.join(best, ["a", "b"], "left_anti")
+    comp = _merged(comp, _linked(_roots_of(others, comp).select("a", "b"), sets, percent))
+    _forget(sets.sparkSession)
+    left = cut_lineage(_unresolved(members, comp))
+    large = left.filter(F.col("size") > whole).select("bucket", "set_no", "n") if whole else None
     left = (left.filter(F.col("size") <= whole) if whole else left).withColumn("met", F.lit(False))
     # a member's number, from 0 to 1 and the same in all its buckets, elects it in the round whose share it is below
-    number = (F.xxhash64("set_id").cast("double") + float(1 << 63)) / float(1 << 64)
+    number = (F.xxhash64("set_no").cast("double") + float(1 << 63)) / float(1 << 64)
     upto = float(elect)
     while not left.filter("outsider and not met").isEmpty():
         now = left.withColumn("elected", F.col("outsider") & ~F.col("met") & (number < upto / F.col("outsiders")))
-        a = now.filter("elected").select("bucket", F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+        a = now.filter("elected").select("bucket", F.col("set_no").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
         # a member elected in an earlier round has met all; two that are elected now meet once
-        open_ = ~F.col("met") & (~F.col("elected") | (F.col("set_id") > F.col("a")))
+        open_ = ~F.col("met") & (~F.col("elected") | (F.col("set_no") > F.col("a")))
         pairs = (now.join(a, "bucket").filter((F.col("root") != F.col("ra")) & open_ & _alike_in_size(percent, "n", "na"))
-                 .select("a", F.col("set_id").alias("b")).distinct())
-        links = cut_lineage(links.union(_linked(pairs, sets, percent)).distinct())
+                 .select("a", F.col("set_no").alias("b")).distinct())
+        comp = _merged(comp, _linked(pairs, sets, percent))
+        # a bucket of which all outsiders were elected is done: components only grow together
+        rest = now.filter(F.col("outsiders") > upto).select("bucket", "set_no", "n", (F.col("met") | F.col("elected")).alias("met"))
         upto *= elect
-        rest = now.select("bucket", "set_id", "n", (F.col("met") | F.col("elected")).alias("met"))
-        left = cut_lineage(_unresolved(rest, links))
+        left = cut_lineage(_unresolved(rest, comp))
         _forget(sets.sparkSession)
-    return links, large
+    return comp, large
+
 
+def _shared(keyed: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` stands in more than one row."""
+    often = keyed.groupBy(key).agg(F.count("*").alias("_times")).filter("_times > 1").select(key)
+    return keyed.join(often, key)
 
-def near_duplicate_links(docs: DataFrame, distinct: DataFrame, shingle: int, percent: int, whole: int = 64,
-                         longer_groups: int = 48, longer_rows: int = 8) -> DataFrame:
-    """Verified links (src, dst) between the distinct sets of ``distinct``, enough to connect every group.
 
-    ``distinct`` has columns set_id, n, first, second and rep (id and text hash of a row that has the set)."""
-    parts = distinct.select("set_id", F.explode(F.concat(
+def near_duplicate_classes(docs: DataFrame, distinct: DataFrame, shingle: int, percent: int, whole: int = 64,
+                           longer_groups: int = 48, longer_rows: int = 8) -> DataFrame:
+    """(set_no, root) of the sets of ``distinct`` that may have a near copy: the component of each.
+
+    ``distinct`` has columns set_no, set_id, n, first, second and rep (id and text hash of a row that has the set)."""
+    spark = docs.sparkSession
+    parts = distinct.select("set_no", F.explode(F.concat(
         F.transform("first", lambda k: F.struct(F.lit(True).alias("one"), k.alias("key"))),
         F.transform("second", lambda k: F.struct(F.lit(False).alias("one"), k.alias("key"))))).alias("part")
-    ).select("set_id", "part.one", "part.key")
-    shared = parts.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1").select("key")
-    met = (parts.join(shared, "key").groupBy("set_id")
+    ).select("set_no", "part.one", "part.key")
+    met = (_shared(parts, "key").groupBy("set_no")
            .agg(F.collect_list(F.when(F.col("one"), F.col("key"))).alias("first"),
                 F.collect_list(F.when(~F.col("one"), F.col("key"))).alias("second"))
            .filter((F.size("first") > 0) & (F.size("second") > 0)))
-    tables = (met.select("set_id", F.explode("first").alias("x"), "second").select("set_id", "x", F.explode("second").alias("y"))
-              .select(F.xxhash64("x", "y").alias("bucket"), "set_id"))
-    tables = cut_lineage(tables)
-    shared_tables = tables.groupBy("bucket").agg(F.count("*").alias("sets")).filter("sets > 1").select("bucket")
-    members = cut_lineage(tables.join(shared_tables, "bucket").join(distinct.select("set_id", "n"), "set_id"))
-    candidates = members.select("set_id").distinct().join(distinct.select("set_id", "rep"), "set_id")
-    spark = docs.sparkSession
+    tables = (met.select("set_no", F.explode("first").alias("x"), "second").select("set_no", "x", F.explode("second").alias("y"))
+              .select(F.xxhash64("x", "y").alias("bucket"), "set_no"))
+    members = cut_lineage(_shared(cut_lineage(tables), "bucket").join(distinct.select("set_no", "n"), "set_no"))
+    candidates = cut_lineage(members.select("set_no").distinct().join(distinct.select("set_no", "set_id", "rep"), "set_no"))
     path = scratch_path(spark, "shingle-sets")
     rows = docs.join(candidates.select(F.col("rep.id").alias("cid"), F.col("rep.text_hash").alias("ch")).hint("shuffle_hash"),
                      (F.col("ch") == F.col("text_hash")) & F.col("cid").eqNullSafe(F.col("id")), "left_semi")
-    found = full_sets(rows, shingle, longer_groups, longer_rows).join(candidates.select("set_id"), "set_id", "left_semi")
-    found.groupBy("set_id").agg(F.first("shingles").alias("shingles"), F.first("longer").alias("longer")).write.parquet(path)
+    found = full_sets(rows, shingle, longer_groups, longer_rows).join(candidates.select("set_id", "set_no"), "set_id")
+    found.groupBy("set_no").agg(F.first("shingles").alias("shingles"), F.first("longer").alias("longer")).write.parquet(path)
     sets = spark.read.parquet(path)
-    links, large = _resolve(members, sets, None, percent, whole)
+    comp, large = _resolve(members, sets, candidates.select("set_no", F.col("set_no").alias("root")), percent, whole)
     if large.isEmpty():
-        return links
-    again = (sets.join(large.select("set_id", "n").distinct(), "set_id")
-             .select("set_id", "n", F.explode("longer").alias("bucket")))
-    again = cut_lineage(again)
-    shared_again = again.groupBy("bucket").agg(F.count("*").alias("sets")).filter("sets > 1").select("bucket")
-    links, _ = _resolve(cut_lineage(again.join(shared_again, "bucket")), sets, links, percent, None)
-    return links
+        return comp
+    again = (sets.join(large.select("set_no", "n").distinct(), "set_no")
+             .select("set_no", "n", F.explode("longer").alias("bucket")))
+    open_ = cut_lineage(_unresolved(_shared(again, "bucket"), comp).select("bucket", "set_no", "n"))
+    return _resolve(open_, sets, comp, percent, None)[0]
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
@@ -286,14 +285,16 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     path = scratch_path(spark, "sketches")
     sketches(plain, shingle, groups, rows).write.parquet(path)
     sketched = spark.read.parquet(path)
-    # the keys follow from the set, so any row's will do
-    distinct = cut_lineage(sketched.filter("n > 0").groupBy("set_id").agg(
+    # the keys follow from the set, so any row's will do; a set gets a number of its own once, when written
+    table = scratch_path(spark, "distinct-sets")
+    (sketched.filter("n > 0").groupBy("set_id").agg(
         F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("rep"),
-        F.first("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second")))
-    roots = connected_components(near_duplicate_links(plain, distinct, shingle, percent))
-    member = (distinct.select("set_id", F.col("rep.id").alias("least"))
-              .join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
-              .select("set_id", "least", F.coalesce("root", "set_id").alias("root")))
+        F.first("n").alias("n"), F.first("first").alias("first"), F.first("second").alias("second"))
+     .withColumn("set_no", F.monotonically_increasing_id()).write.parquet(table))
+    distinct = spark.read.parquet(table)
+    comp = near_duplicate_classes(plain, distinct, shingle, percent)
+    member = (distinct.select("set_no", "set_id", F.col("rep.id").alias("least")).join(comp, "set_no", "left")
+              .select("set_id", "least", F.coalesce("root", "set_no").alias("root")))
     ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = member.select("set_id", "root").join(ids, "root").select("set_id", "component_id")
     return (sketched.select("id", "set_id", F.col("n").alias("n_shingles")).join(classes, "set_id", "left")
