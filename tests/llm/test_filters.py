@@ -43,11 +43,11 @@ def test_op3(spark, docs, small_dir):
 def test_shards_of_odd_rows(spark, odd, none, tmp_path):
     narrow = odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     hot = spark.createDataFrame([(7, "hot")] * 9000, "doc_id long, text string")
-    rows = sharding.with_slots(sharding.assign_shards(narrow.union(hot), ["doc_id"], 5), ["doc_id"], 5).toPandas()
+    rows = sharding.with_slots(sharding.assign_shards(narrow.union(hot), ["doc_id"], 5), 5).toPandas()
     assert len(rows) == odd.count() + 9000
     assert all(sorted(g) == list(range(len(g))) for _, g in rows.groupby("shard").slot)
     assert rows[rows.doc_id == 7].shard.nunique() == 1 and rows[rows.doc_id.isna()].shard.nunique() == 1
-    assert sharding.with_slots(sharding.assign_shards(none.select("doc_id"), ["doc_id"], 5), ["doc_id"], 5).count() == 0
+    assert sharding.with_slots(sharding.assign_shards(none.select("doc_id"), ["doc_id"], 5), 5).count() == 0
     path = str(tmp_path / "shards")
     sharding.write_shards(odd, path, ["doc_id"], 5, files_per_shard=2)
     assert spark.read.parquet(path).count() == odd.count()

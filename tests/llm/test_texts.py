@@ -1,3 +1,6 @@
+import time
+from dataclasses import replace
+
 import numpy as np
 import pytest
 
@@ -34,6 +37,19 @@ def test_templates_catch_other_parameters(spark, odd, none):
     assert decontaminate.contaminated(none.select("doc_id", "text"), bench).count() == 0
 
 
+def test_other_letter_case_is_found(spark, small_dir):
+    """Every item of the table, all small, all capitals and in title case, inside another text."""
+    bench = spark.read.parquet(f"{small_dir}/benchmark.parquet").select("item_id", "text")
+    items = bench.collect()
+    docs, want = [], set()
+    for k, change in enumerate((str.lower, str.upper, str.title)):
+        for r in items:
+            docs.append((1000 * k + r.item_id, "Before it " + change(r.text) + " and after it."))
+            want.add((1000 * k + r.item_id, r.item_id))
+    got = {(r.id, r.item) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert want <= got
+
+
 def test_slots_must_agree(spark):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     docs = spark.createDataFrame([(1, SWAPPED), (2, INCONSISTENT)], "doc_id long, text string")
@@ -129,6 +145,16 @@ def test_odd_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_parser_is_linear_in_unclosed_tags():
+    for piece in ("<svg>", "<div>", "</p>", "<iframe><p>"):
+        took = []
+        for n in (20_000, 40_000):
+            forest, began = Forest(), time.perf_counter()
+            parse(forest, 0, piece * n + ("<div>" * 2000 + "</p>" * n if piece == "</p>" else ""))
+            took.append(time.perf_counter() - began)
+        assert took[1] < 6
+
+
 # ------------------------------------------------------------------ masked language model
 
 def test_training_raises_held_out_likelihood(spark):
@@ -148,16 +174,19 @@ def test_scores_are_brute_force(spark, docs, small_dir):
     got = {r.doc_id: r for r in op2_masked_lm(spark, small_dir).collect()}
     assert len(got) == docs.count()
     model = masked_lm.fit(docs)
-    net = masked_lm.Network(model.matrix, model.n_symbols)
+    net, log_share = masked_lm.Network(model.matrix.astype(np.float64), model.n_symbols), model.log_share
+    counts = {r.word: r.n for r in masked_lm.word_counts(docs).collect()}
+    known = set(model.words)
     for r in docs.orderBy("doc_id").limit(20).collect():
         ids, total = model.ids(r.text), 0.0
         for t in range(len(ids)):
             around = [ids[t + k] if 0 <= t + k < len(ids) else model.n_symbols for k in (-2, -1, 1, 2)]
             hidden = np.tanh(np.concatenate([net.embedding[s] for s in around]) @ net.w1 + net.b1[0])
             z = hidden @ net.w2 + net.b2[0]
-            total += z[model.class_of[ids[t]]] - np.log(np.exp(z).sum()) + model.log_share[ids[t]]
+            total += z[model.class_of[ids[t]]] - np.log(np.exp(z).sum()) + log_share[ids[t]]
+        total += sum(np.log(counts[w]) for w in masked_lm.tokens_of(r.text) if w not in known)
         assert got[r.doc_id].n_tokens == len(ids)
-        assert got[r.doc_id].log_likelihood == pytest.approx(total, rel=1e-2)
+        assert got[r.doc_id].log_likelihood == pytest.approx(total, rel=1e-5)
 
 
 def test_every_word_has_its_own_share(spark):
@@ -169,14 +198,15 @@ def test_every_word_has_its_own_share(spark):
     some = [(r.doc_id, r.text) for r in docs.orderBy("doc_id").limit(30).collect()]
     own = spark.createDataFrame([*some, some[0], (-1, " ".join(rare)), (-2, " ".join(unseen)), (-3, None)], docs.schema)
     model = masked_lm.fit(docs)
-    net = masked_lm.Network(model.matrix, model.n_symbols)
     words = set(model.words)
     assert 0 < len(words) < len(counts) and not words & set(rare)
     got = masked_lm.score(own, model).collect()
     assert len(got) == len(some) + 4
+    alone = {r.doc_id: r.log_likelihood for r in masked_lm.score(own, replace(model, tail=model.tail.limit(0))).collect()}
+    texts = {r.doc_id: r.text or "" for r in own.collect()}
     for r in got:
-        tail = sum(np.log(counts.get(w, 1)) for w in masked_lm.tokens_of(r.text or "") if w not in words)
-        assert r.log_likelihood == pytest.approx(model.score(r.text or "", net)[1] + tail, rel=1e-6)
+        tail = sum(np.log(counts.get(w, 1)) for w in masked_lm.tokens_of(texts[r.doc_id]) if w not in words)
+        assert r.log_likelihood == pytest.approx(alone[r.doc_id] + tail, rel=1e-6)
     mean = {r.doc_id: r.mean_log_likelihood for r in got}
     assert mean[-2] < mean[-1] < min(mean[i] for i, t in some if len(t.split()) > 20)
     # the shares of a hash symbol: its words and one count for all others
@@ -189,6 +219,24 @@ def test_every_word_has_its_own_share(spark):
     assert np.allclose(np.exp(model.log_share[len(words):]) * in_class[model.class_of[len(words):]], 1.0, rtol=1e-4)
 
 
+def test_every_position_is_a_target_once():
+    text = np.arange(1000)
+    flat, at = masked_lm.padded([text[:0], text[:3], text[3:]], 5000)
+    assert flat[at].tolist() == text.tolist() and (np.delete(flat, at) == 5000).all()
+    assert all(flat[at[0] + k] == 5000 for k in (-1, -2)) and flat[at[2] + 1] == flat[at[3] - 2] == 5000
+    # the rounds deal the positions of a text among them
+    dealt = [np.random.default_rng(77).integers(0, masked_lm.ROUNDS, 1000, dtype=np.int8) == turn for turn in range(masked_lm.ROUNDS)]
+    assert (np.sum(dealt, axis=0) == 1).all()
+
+
+def test_classes_follow_contexts():
+    rnd = np.random.default_rng(1)
+    centres = rnd.standard_normal((4, masked_lm.DIM)) * 5
+    points = np.repeat(centres, 50, axis=0) + rnd.standard_normal((200, masked_lm.DIM)) * 0.1
+    of = masked_lm._clusters(points, np.ones(200), 4, 3)
+    assert all(len(set(of[a:a + 50])) == 1 for a in range(0, 200, 50)) and len(set(of)) == 4
+
+
 def test_gradient_step_by_finite_difference():
     rng = np.random.default_rng(1)
     symbols = 20

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 TAG = re.compile(
@@ -67,6 +68,12 @@ def parse(forest: Forest, page: int, html: str) -> None:
     linked: list[str] = []
     in_link = 0
     at = 0
+    endless: set[str] = set()
+    n_open: Counter[str] = Counter()  # of each tag among the open blocks
+
+    def close(k: int) -> None:
+        n_open.subtract(tag for tag, _ in open_blocks[k:])
+        del open_blocks[k:]
 
     def end_run() -> None:
         nonlocal in_link
@@ -97,7 +104,10 @@ def parse(forest: Forest, page: int, html: str) -> None:
         closing = bool(m.group(1) or m.group(4))
         if name in SKIPPED:
             if not closing:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
+                # a kind without an end tag from here on has none further on either
+                end = None if name in endless else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
+                if end is None:
+                    endless.add(name)
                 if end:
                     at = end.end()
                 elif name in ("script", "style", "textarea", "title"):
@@ -109,10 +119,10 @@ def parse(forest: Forest, page: int, html: str) -> None:
             text(" ")
         elif name in BLOCK:
             if closing:
-                for k in range(len(open_blocks) - 1, 0, -1):
+                for k in range(len(open_blocks) - 1, 0, -1) if n_open[name] else ():
                     if open_blocks[k][0] == name:
                         end_run()
-                        del open_blocks[k:]
+                        close(k)
                         break
                 in_link = 0
                 continue
@@ -123,7 +133,7 @@ def parse(forest: Forest, page: int, html: str) -> None:
                 for k in range(len(open_blocks) - 1, 0, -1):
                     tag = open_blocks[k][0]
                     if tag in ended:
-                        del open_blocks[k:]
+                        close(k)
                         if name not in _CLOSES_OVER:
                             break
                     elif tag in BOUNDS:
@@ -132,4 +142,5 @@ def parse(forest: Forest, page: int, html: str) -> None:
                 continue
             attributes = m.group(3) if m.group(2) else m.group(6)
             open_blocks.append((name, forest.add(page, open_blocks[-1][1], name, attributes or "")))
+            n_open[name] += 1
     end_run()

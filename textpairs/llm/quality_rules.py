@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from textpairs.session import scratch_path
 
 WINDOW = 5
+MAX_BROADCAST_IDS = 1_000_000
 #: Cutoffs of every ratio, from the most lenient to the strictest.
 GRID = [0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.015, 0.01]
 RULES = ["symbols", "exclamations", "capitals", "dup_lines", "repeats"]
@@ -166,31 +167,38 @@ def thresholds(good: DataFrame, max_false_rejection: float = 0.05, error: float
               .agg(F.count("*").alias("n")))
     # every rule of a stratum sees the same documents, so one rule counts them
     strata = counts.filter(F.col("rule") == RULES[0]).groupBy("stratum").agg(F.sum("n").alias("total"))
-    tests = F.lit(1).alias("one")
-    n_tests = strata.groupBy(tests).agg((F.count("*") * len(RULES)).alias("tests"))
+    tests = strata.count() * len(RULES)
     steps = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(g)).alias("cutoff")) for j, g in enumerate(grid)]))
     lost = (counts.select("stratum", "rule", "level", "n", steps.alias("s")).select("stratum", "rule", "s.j", "s.cutoff", "level", "n")
             .groupBy("stratum", "rule", "j", "cutoff")
             .agg(F.sum(F.when(F.col("level") <= F.col("j"), F.col("n")).otherwise(0)).alias("k")))
-    tested = (lost.join(strata, "stratum").withColumn("one", F.lit(1)).join(n_tests, "one")
-              .withColumn("passes", binomial_tail(F.col("k"), F.col("total"), alpha) <= F.lit(error) / F.col("tests")))
+    tested = (lost.join(strata, "stratum")
+              .withColumn("passes", binomial_tail(F.col("k"), F.col("total"), alpha) <= F.lit(error / max(tests, 1))))
     so_far = Window.partitionBy("stratum", "rule").orderBy("j")
     passed = tested.withColumn("all_pass", F.min(F.col("passes").cast("int")).over(so_far) == 1).filter("all_pass")
     return passed.groupBy("stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
 
 
+def good_ids(labels: DataFrame, label_col: str = "quality") -> DataFrame:
+    """(id) of the documents labelled good."""
+    return (labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id"))
+            .agg(F.max(label_col).alias("good")).filter("good = 1").select("id"))
+
+
 def good_documents(measured: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:
-    """Ratios of the documents labelled good; ``measured`` has (id, stratum, ratios)."""
-    label = (labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id"))
-             .agg(F.max(label_col).alias("good")).filter("good = 1").select("id"))
-    return measured.join(label, "id").select("stratum", *RULES)
+    """Ratios of the documents labelled good; ``measured`` has (id, stratum, text_hash, ratios).
+
+    Equal texts of a stratum are one trial: the binomial bound counts independent documents."""
+    return (measured.join(good_ids(labels, label_col), "id").groupBy("stratum", "text_hash")
+            .agg(*[F.first(r).alias(r) for r in RULES]).drop("text_hash"))
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """Narrow table (id, stratum, metrics, ratios) of every document."""
+    """Narrow table (id, stratum, text_hash, metrics, ratios) of every document."""
+    text = F.col(text_col)
     m = with_metrics(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias("stratum"),
-                                 F.col(text_col).alias("text")))
-    flat = m.select("id", "stratum", *[metric(c).alias(c) for c in METRIC_COLUMNS])
+                                 F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text")))
+    flat = m.select("id", "stratum", "text_hash", *[metric(c).alias(c) for c in METRIC_COLUMNS])
     return flat.select("*", *[c.alias(r) for r, c in ratios(F.col).items()])
 
 
@@ -209,9 +217,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
               stratum_col: str = "lang", **control: float) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns.
 
-    Cutoffs come from a narrow table of metrics; the texts themselves are then
+    Cutoffs come from the documents labelled good, which alone are measured for them. Their ids are
+    broadcast only after they were counted. The texts themselves are then
     filtered where they are, and never shuffled."""
-    cuts = thresholds(good_documents(measure(docs, id_col, text_col, stratum_col), labels), **control)
+    good = good_ids(labels)
+    small = good.count() <= MAX_BROADCAST_IDS
+    plain = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(stratum_col).alias("stratum"))
+    labelled = plain.join(F.broadcast(good) if small else good, "id", "left_semi")
+    cuts = thresholds(good_documents(measure(labelled, "id", "text", "stratum"), labels), **control)
     path = scratch_path(docs.sparkSession, "quality-cutoffs")
     cuts.write.parquet(path)  # written so that Spark knows its size: a row per stratum
     cuts = docs.sparkSession.read.schema("stratum string, " + ", ".join(f"cut_{r} double" for r in RULES)).parquet(path)

@@ -24,7 +24,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return masked_lm.score(docs, masked_lm.fit(docs)).drop("text")
+    return masked_lm.fit_and_score(docs)
 
 
 SHARDS = 24
@@ -36,7 +36,7 @@ def op3_jump_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"),
                          F.crc32(text.cast("binary")).alias("text_crc32"))
     placed = sharding.assign_shards(digest, ["doc_id"], SHARDS)
-    return sharding.with_slots(placed.withColumn("law", F.lit("key")), ["doc_id"], SHARDS)
+    return sharding.with_slots(placed.withColumn("law", F.lit("key")), SHARDS)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,8 @@ shard, with probability 1/(n+1). ``assign_shards`` is a narrow map over the key
 column; ``with_slots`` numbers the rows of each shard from 0 without gaps;
 ``write_shards`` writes whole rows, one folder per shard.
 
-Numbering never sorts a shard in one task. Rows are dealt into ``bins`` hash
-ranges of each shard, identical rows are counted first (map-side combined, so
+Numbering never sorts a shard in one task. Rows are dealt into ``bins`` ranges of a hash of all
+their columns in each shard, identical rows are counted first (map-side combined, so
 one repeated row costs one row), each (shard, bin) is numbered on its own and
 shifted by the counts of the earlier bins. The offset table has at most
 shards x bins rows, which is why it may be broadcast.
@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 _STEP = np.uint64(2862933555777941757)  # fixed value of the published algorithm
 _REPEAT_BLOCK = 4096
@@ -68,15 +69,15 @@ def assign_shards(df: DataFrame, key_cols: list[str], shards: int,
     return out.withColumn(grown, shard_of(stable_key(*key_cols), shards + 1)) if grown else out
 
 
-def with_slots(rows: DataFrame, key_cols: list[str], shards: int, shard: str = "shard",
+def with_slots(rows: DataFrame, shards: int, shard: str = "shard",
                slot: str = "slot", bins: int = 1024) -> DataFrame:
     """Narrow rows (no map columns) numbered from 0 within each shard.
 
-    The order is that of the key's hash, then of all columns, so it is the same
-    whenever the same rows are given."""
+    The order is that of a hash of all columns, then of the columns, so it is the same
+    whenever the same rows are given. Rows of one hot key fall into all bins of their shard."""
     cols = rows.columns
     counted = rows.groupBy(*cols).agg(F.count("*").alias("_n"))
-    keyed = counted.withColumn("_h", F.xxhash64(stable_key(*key_cols), F.lit(7)))
+    keyed = counted.withColumn("_h", F.xxhash64(stable_key(*cols), F.lit(7)))
     width = (1 << 64) // bins
     binned = keyed.withColumn("_bin", F.floor((F.col("_h").cast("double") + float(1 << 63)) / float(width)).cast("int"))
     per_bin = binned.groupBy(shard, "_bin").agg(F.sum("_n").alias("_rows"))
@@ -97,8 +98,9 @@ def with_slots(rows: DataFrame, key_cols: list[str], shards: int, shard: str = "
 def write_shards(df: DataFrame, path: str, key_cols: list[str], shards: int, files_per_shard: int = 1) -> None:
     """Whole rows as Parquet, one ``shard=k`` folder per shard.
 
-    Each shard is dealt over ``files_per_shard`` tasks by the key's hash."""
+    Each shard is dealt over ``files_per_shard`` tasks by a hash of all columns that can be cast to a text."""
     placed = assign_shards(df, key_cols, shards, grown=None)
-    piece = F.pmod(F.xxhash64(stable_key(*key_cols), F.lit(7)), F.lit(files_per_shard))
+    plain = [f.name for f in df.schema.fields if isinstance(f.dataType, AtomicType)]
+    piece = F.pmod(F.xxhash64(stable_key(*plain), F.lit(7)), F.lit(files_per_shard))
     (placed.repartition(shards * files_per_shard, "shard", piece)
      .write.partitionBy("shard").mode("overwrite").parquet(path))

@@ -166,7 +166,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clea
     # at most max_toxic + max_clean rows of two numbers
     found = cut_lineage(texts.join(F.broadcast(picked), "id").withColumn("copy", _near_copy_key(F.col("text"))))
     one = found.groupBy("copy", "label").agg(F.min("id").alias("id")).drop("copy")
-    return found.join(F.broadcast(one), ["id", "label"]).select("text", "label")
+    # rows that repeat an id: its smallest text, so that the sample's bound holds
+    return found.join(F.broadcast(one), ["id", "label"]).groupBy("id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
 def choose_voters(counts: DataFrame, n_toxic: int, n_clean: int, max_voters: int, least_log_odds: float = 1.0) -> Evidence:
