@@ -31,10 +31,11 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.union(own).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 1) -> DataFrame:
     """(node, root) for every node that has an edge to another node; root is the
     smallest node of its component. ``edges`` has columns src and dst (orderable,
-    no nulls); self-loops and repeats are allowed."""
+    no nulls); self-loops and repeats are allowed. ``rounds`` rounds are made
+    between two looks at whether the table still changes."""
     now = cut_lineage(edges.filter("src <> dst")
                       .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     state = None
@@ -43,6 +44,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if new_state == state or new_state[0] == 0:
             break
         state = new_state
-        now = cut_lineage(_small_star(_large_star(now)))
+        for _ in range(rounds):
+            now = _small_star(_large_star(now))
+        now = cut_lineage(now)
     roots = now.select(F.col("dst").alias("node"), F.col("dst").alias("root")).distinct()
     return now.select(F.col("src").alias("node"), F.col("dst").alias("root")).union(roots)

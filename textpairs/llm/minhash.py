@@ -16,9 +16,8 @@ pairs of similarity s, which misses about two pairs in a hundred thousand at
    counted and grouped by a 128-bit digest of the set).
 2. Only keys that another set shares can form a table key, so keys met once go
    before the pairs of keys are formed.
-3. ``_resolve`` verifies candidates on full sets, in rounds that elect members of a
-   bucket: first one, which all others are compared with; then members outside the
-   bucket's largest component, ``elect`` times more in every round, compared with
+3. ``_resolve`` verifies candidates on full sets: first each member with one head of its
+   buckets, then in rounds that elect members outside the bucket's largest component, ``elect`` times more in every round, compared with
    members of other components. It ends when every bucket
    is of one component or all those members were elected, so no pair is capped and a group of near copies costs about one
    comparison a member.
@@ -177,7 +176,7 @@ def _roots_of(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 def _merged(comp: DataFrame, found: DataFrame) -> DataFrame:
     """``comp`` (set_no, root) after the links ``found`` (a, b): components of the roots they connect."""
     links = _roots_of(found, comp).select(F.col("ra").alias("src"), F.col("rb").alias("dst"))
-    moved = connected_components(links).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    moved = connected_components(links, rounds=2).select(F.col("node").alias("root"), F.col("root").alias("to"))
     return cut_lineage(comp.join(moved, "root", "left").select("set_no", F.coalesce("to", "root").alias("root")))
 
 
@@ -202,18 +201,15 @@ def _resolve(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: int,
              whole: int | None, elect: int = 64) -> tuple[DataFrame, DataFrame | None]:
     """(components, members of large buckets): verifies the buckets of ``members`` (bucket, set_no, n).
 
-    Every member first meets the smallest of its buckets that it shares most buckets with, then
-    the smallest of its other buckets where they are of other components. What holds several
-    components after that goes on in rounds: members outside the bucket's largest component are elected, and
+    Every member first meets one set: among the smallest of its buckets, the one it shares most buckets with. What
+    holds several components after that goes on in rounds: members outside the bucket's largest component are elected, and
     meet all that are of other components. When all of them were elected, no pair is left. With
     ``whole``, buckets of more members than that are returned unfinished instead."""
     heads = members.groupBy("bucket").agg(F.min("set_no").alias("a"), F.min_by("n", "set_no").alias("na"))
-    shared = cut_lineage(members.join(heads, "bucket").filter((F.col("set_no") != F.col("a")) & _alike_in_size(percent, "n", "na"))
-                         .groupBy("a", F.col("set_no").alias("b")).agg(F.count("*").alias("buckets")))
-    best = shared.groupBy("b").agg(F.max_by("a", F.struct("buckets", "a")).alias("a"))
+    best = (members.join(heads, "bucket").filter((F.col("set_no") != F.col("a")) & _alike_in_size(percent, "n", "na"))
+            .groupBy("a", F.col("set_no").alias("b")).agg(F.count("*").alias("buckets"))
+            .groupBy("b").agg(F.max_by("a", F.struct("buckets", "a")).alias("a")))
     comp = _merged(comp, _linked(_roots_of(best, comp).select("a", "b"), sets, percent))
-    others = shared.join(best, ["a", "b"], "left_anti")
-    comp = _merged(comp, _linked(_roots_of(others, comp).select("a", "b"), sets, percent))
     _forget(sets.sparkSession)
     left = cut_lineage(_unresolved(members, comp))
     large = left.filter(F.col("size") > whole).select("bucket", "set_no", "n") if whole else None
@@ -260,14 +256,14 @@ def near_duplicate_classes(docs: DataFrame, distinct: DataFrame, shingle: int, p
     tables = (met.select("set_no", F.explode("first").alias("x"), "second").select("set_no", "x", F.explode("second").alias("y"))
               .select(F.xxhash64("x", "y").alias("bucket"), "set_no"))
     members = cut_lineage(_shared(cut_lineage(tables), "bucket").join(distinct.select("set_no", "n"), "set_no"))
-    candidates = cut_lineage(members.select("set_no").distinct().join(distinct.select("set_no", "set_id", "rep"), "set_no"))
+    candidates = members.select("set_no").distinct().join(distinct.select("set_no", "set_id", "rep"), "set_no")
     path = scratch_path(spark, "shingle-sets")
     rows = docs.join(candidates.select(F.col("rep.id").alias("cid"), F.col("rep.text_hash").alias("ch")).hint("shuffle_hash"),
                      (F.col("ch") == F.col("text_hash")) & F.col("cid").eqNullSafe(F.col("id")), "left_semi")
     found = full_sets(rows, shingle, longer_groups, longer_rows).join(candidates.select("set_id", "set_no"), "set_id")
     found.groupBy("set_no").agg(F.first("shingles").alias("shingles"), F.first("longer").alias("longer")).write.parquet(path)
     sets = spark.read.parquet(path)
-    comp, large = _resolve(members, sets, candidates.select("set_no", F.col("set_no").alias("root")), percent, whole)
+    comp, large = _resolve(members, sets, sets.select("set_no", F.col("set_no").alias("root")), percent, whole)
     if large.isEmpty():
         return comp
     again = (sets.join(large.select("set_no", "n").distinct(), "set_no")
