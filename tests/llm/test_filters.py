@@ -153,6 +153,55 @@ def test_thresholds_bound_false_rejection(spark):
     assert cuts["a"].cut_capitals == 0.01
 
 
+def test_kept_is_the_brute_force_verdict_where_cutoffs_bind(spark):
+    """Two strata with enough good labels, copies among them, and one without: cutoffs and verdicts by hand."""
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(400)]
+
+    def text(marks):
+        body = list(rng.choice(words, 30))
+        for k in rng.choice(30, marks, replace=False):
+            body[k] += "#!"
+        return " ".join(body)
+
+    rows, good = [], []
+    for lang, n in (("en", 1500), ("de", 900), ("fr", 60)):
+        for _ in range(n):
+            rows.append((len(rows), text(int(rng.choice([0, 0, 0, 0, 1, 6]) if rng.random() < 0.02 else 0)), lang))
+            good.append(rows[-1][0])
+        for _ in range(100):
+            rows.append((len(rows), text(int(rng.integers(0, 12))), lang))
+    copy = next(r for r in rows if "#" in r[1])
+    for _ in range(200):  # copies of one text are one trial
+        rows.append((len(rows), copy[1], "en"))
+        good.append(rows[-1][0])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in good], "doc_id long, quality int")
+    ratios = {r.id: r for r in quality_rules.measure(docs).collect()}
+    trials = {}
+    for i, t, lang in rows:
+        if i in set(good):
+            trials.setdefault(lang, {})[t] = ratios[i]
+    tests = len(trials) * len(quality_rules.RULES)
+    alpha, cuts = 0.05 / len(quality_rules.RULES), {}
+    for lang, of in trials.items():
+        for rule in quality_rules.RULES:
+            for cutoff in quality_rules.GRID:
+                k, n = sum(r[rule] > cutoff for r in of.values()), len(of)
+                p = 1.0 if k >= n * alpha else sum(math.comb(n, i) * alpha ** i * (1 - alpha) ** (n - i) for i in range(k + 1))
+                if p > 0.05 / tests:
+                    break
+                cuts[lang, rule] = cutoff
+    assert {lang for lang, _ in cuts} == {"en", "de"}
+    want = {i for i, t, lang in rows if all(ratios[i][rule] <= cuts.get((lang, rule), 1e9) for rule in quality_rules.RULES)
+            and counts_by_hand(t)[0] >= 10 and 100 * counts_by_hand(t)[4] <= 20 * counts_by_hand(t)[0]}
+    kept = {r.doc_id for r in quality_rules.keep_good(docs, labels).collect()}
+    assert kept == want and 0 < len(want) < len(rows)
+    measured = quality_rules.measure(docs)
+    judged = quality_rules.verdict(measured, quality_rules.thresholds(quality_rules.good_documents(measured, labels)))
+    assert {r.id for r in judged.filter("kept").collect()} == want
+
+
 # ------------------------------------------------------------------ toxicity
 
 def test_op4_on_held_out_rows(spark):
@@ -174,6 +223,15 @@ def test_toxicity_of_odd_rows(spark, odd, none, labels):
     assert given.score("you stupid idiot, you pathetic moron") > 0.5 > given.score("a quiet morning by the river")
 
 
+def test_sample_holds_one_row_an_id(spark):
+    rows = [(1, "you stupid idiot " + str(k), "en") for k in range(50)] + [(k, f"a calm text number {k} by the river", "en") for k in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int(k == 1)) for k in range(1, 60)], "doc_id long, toxic int")
+    first, second = (toxicity.fit(docs.repartition(n), labels) for n in (2, 5))
+    for text in ("you stupid idiot", "a calm text by the river"):
+        assert first.score(text) == second.score(text)  # which row of the repeated id is taken does not depend on the order
+
+
 def test_label_model_weighs_correlated_voters_once():
     rng = np.random.default_rng(0)
     y = (rng.random(4000) < 0.2).astype(int)

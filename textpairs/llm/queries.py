@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpairs.llm import bpe_codec, decontaminate, html_extract, importance, masked_lm, minhash, prefix_trie, quality_rules, sharding, simhash, token_files, toxicity, url_filters
+from textpairs.llm import bpe_codec, decontaminate, html_extract, importance, masked_lm, minhash, oracles, prefix_trie, quality_rules, sharding, simhash, token_files, toxicity, url_filters
 from textpairs.session import apply_job_conf, cut_lineage, scratch_path
 
 
@@ -161,4 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op5_url_filters": _op5_sql(),
+    "op11_importance": oracles.importance_sql(),
+    "op12_minhash": oracles.minhash_sql(3, 85),
+    "op13_prefix_trie": oracles.trie_sql(),
 }
