@@ -68,7 +68,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("bpe", encode),
 ]
 
-#: No SQL: classifier training, components and BPE have no SQL form (tested by brute force).
+#: No SQL: classifier training and BPE have no SQL form. A test compares run() with the stages by brute force, one after the other.
 ORACLE_SQL: str | None = None
 
 
