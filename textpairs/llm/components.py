@@ -9,7 +9,7 @@ a node with very many edges is never collected into one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textpairs.session import cut_lineage
@@ -31,11 +31,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.union(own).distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 1) -> DataFrame:
+def forget(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files and checkpoints of rounds that nothing refers to any more: it
+    acts on the driver's garbage collection, which a loop of small jobs may not cause for a long time."""
+    spark.sparkContext._jvm.System.gc()
+
+
+def connected_components(edges: DataFrame, rounds: int = 1, tidy: bool = False) -> DataFrame:
     """(node, root) for every node that has an edge to another node; root is the
     smallest node of its component. ``edges`` has columns src and dst (orderable,
     no nulls); self-loops and repeats are allowed. ``rounds`` rounds are made
-    between two looks at whether the table still changes."""
+    between two looks at whether the table still changes; ``tidy`` removes the files of each before the next."""
     now = cut_lineage(edges.filter("src <> dst")
                       .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     state = None
@@ -47,5 +53,7 @@ def connected_components(edges: DataFrame, rounds: int = 1) -> DataFrame:
         for _ in range(rounds):
             now = _small_star(_large_star(now))
         now = cut_lineage(now)
+        if tidy:
+            forget(now.sparkSession)
     roots = now.select(F.col("dst").alias("node"), F.col("dst").alias("root")).distinct()
     return now.select(F.col("src").alias("node"), F.col("dst").alias("root")).union(roots)

@@ -43,11 +43,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textpairs.llm.arrow_words import slices, split_words
-from textpairs.llm.components import connected_components
+from textpairs.llm.components import connected_components, forget
 from textpairs.session import cut_lineage, scratch_path
 
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -176,8 +176,10 @@ def _roots_of(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 def _merged(comp: DataFrame, found: DataFrame) -> DataFrame:
     """``comp`` (set_no, root) after the links ``found`` (a, b): components of the roots they connect."""
     links = _roots_of(found, comp).select(F.col("ra").alias("src"), F.col("rb").alias("dst"))
-    moved = connected_components(links, rounds=2).select(F.col("node").alias("root"), F.col("root").alias("to"))
-    return cut_lineage(comp.join(moved, "root", "left").select("set_no", F.coalesce("to", "root").alias("root")))
+    moved = connected_components(links, rounds=2, tidy=True).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    out = cut_lineage(comp.join(moved, "root", "left").select("set_no", F.coalesce("to", "root").alias("root")))
+    forget(comp.sparkSession)
+    return out
 
 
 def _unresolved(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -191,12 +193,6 @@ def _unresolved(members: DataFrame, comp: DataFrame) -> DataFrame:
             .withColumn("outsider", F.col("root") != F.col("largest")).drop("roots", "most", "largest"))
 
 
-def _forget(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files and checkpoints of rounds that nothing refers to any more: it
-    acts on the driver's garbage collection, which a loop of small jobs may not cause for a long time."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def _resolve(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: int,
              whole: int | None, elect: int = 64) -> tuple[DataFrame, DataFrame | None]:
     """(components, members of large buckets): verifies the buckets of ``members`` (bucket, set_no, n).
@@ -210,7 +206,7 @@ def _resolve(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: int,
             .groupBy("a", F.col("set_no").alias("b")).agg(F.count("*").alias("buckets"))
             .groupBy("b").agg(F.max_by("a", F.struct("buckets", "a")).alias("a")))
     comp = _merged(comp, _linked(_roots_of(best, comp).select("a", "b"), sets, percent))
-    _forget(sets.sparkSession)
+    forget(sets.sparkSession)
     left = cut_lineage(_unresolved(members, comp))
     large = left.filter(F.col("size") > whole).select("bucket", "set_no", "n") if whole else None
     left = (left.filter(F.col("size") <= whole) if whole else left).withColumn("met", F.lit(False))
@@ -229,7 +225,7 @@ def _resolve(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: int,
         rest = now.filter(F.col("outsiders") > upto).select("bucket", "set_no", "n", (F.col("met") | F.col("elected")).alias("met"))
         upto *= elect
         left = cut_lineage(_unresolved(rest, comp))
-        _forget(sets.sparkSession)
+        forget(sets.sparkSession)
     return comp, large
 
 
@@ -256,6 +252,7 @@ def near_duplicate_classes(docs: DataFrame, distinct: DataFrame, shingle: int, p
     tables = (met.select("set_no", F.explode("first").alias("x"), "second").select("set_no", "x", F.explode("second").alias("y"))
               .select(F.xxhash64("x", "y").alias("bucket"), "set_no"))
     members = cut_lineage(_shared(cut_lineage(tables), "bucket").join(distinct.select("set_no", "n"), "set_no"))
+    forget(spark)
     candidates = members.select("set_no").distinct().join(distinct.select("set_no", "set_id", "rep"), "set_no")
     path = scratch_path(spark, "shingle-sets")
     rows = docs.join(candidates.select(F.col("rep.id").alias("cid"), F.col("rep.text_hash").alias("ch")).hint("shuffle_hash"),
@@ -263,6 +260,7 @@ def near_duplicate_classes(docs: DataFrame, distinct: DataFrame, shingle: int, p
     found = full_sets(rows, shingle, longer_groups, longer_rows).join(candidates.select("set_id", "set_no"), "set_id")
     found.groupBy("set_no").agg(F.first("shingles").alias("shingles"), F.first("longer").alias("longer")).write.parquet(path)
     sets = spark.read.parquet(path)
+    forget(spark)
     comp, large = _resolve(members, sets, sets.select("set_no", F.col("set_no").alias("root")), percent, whole)
     if large.isEmpty():
         return comp
