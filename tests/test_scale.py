@@ -145,3 +145,14 @@ def test_damaged_files_are_named(spark, tmp_path):
     with pytest.raises(RuntimeError, match="train files"):
         load_with_report(spark, [SourceSpec(name="s", document_col="document", summary_col="summary", path=str(base), order_col="row_no",
                                             split_dirs={"train": "nowhere", "validation": "dev", "test": "test/p*"})])
+
+
+def test_a_file_is_cut_in_half_without_being_held(spark, tmp_path, monkeypatch):
+    from textpairs.plans import q_io
+    rows = spark.range(50_000).select(F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    whole, part = str(tmp_path / "whole"), str(tmp_path / "part")
+    rows.coalesce(1).write.parquet(whole)
+    monkeypatch.setattr(type(rows), "first", lambda self: 1 / 0)  # no row, so no file's content, comes to the driver
+    q_io._cut_in_half(spark, whole, part)
+    data, cut = (next((tmp_path / d).glob("*.parquet")).read_bytes() for d in ("whole", "part"))
+    assert cut == data[:len(data) // 2]

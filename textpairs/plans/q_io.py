@@ -4,6 +4,8 @@ checkpoint location and returns what reads back."""
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +36,30 @@ def q_s1_dirs(spark: SparkSession, sf: str) -> DataFrame:
     return registry.read_sources(spark, specs)
 
 
-def _damage(spark: SparkSession, folder: str, change) -> None:
-    """Overwrite the Parquet file of a folder by ``change`` of its bytes (fixture files of a few rows)."""
-    one = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder).select("path", "content").first()
+def _one_file(spark: SparkSession, folder: str):
+    """(file system, path) of the one Parquet file of a folder."""
     jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(one["path"])
-    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
-    stream.write(bytearray(change(bytes(one["content"]))))
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{folder}/*.parquet")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, fs.globStatus(pattern)[0].getPath()
+
+
+def _cut_in_half(spark: SparkSession, folder: str, to: str) -> None:
+    """The first half of the bytes of a folder's one file, copied to a file of the same name in ``to``: from
+    stream to stream through a buffer of a fixed size, so no file is ever held."""
+    jvm = spark.sparkContext._jvm
+    fs, path = _one_file(spark, folder)
+    source, target = fs.open(path), fs.create(jvm.org.apache.hadoop.fs.Path(to, path.getName()), True)
+    jvm.org.apache.commons.io.IOUtils.copyLarge(source, target, 0, fs.getFileStatus(path).getLen() // 2)
+    target.close()
+    source.close()
+
+
+def _overwrite(spark: SparkSession, folder: str, data: bytes) -> None:
+    """``data`` in place of a folder's one Parquet file."""
+    fs, path = _one_file(spark, folder)
+    stream = fs.create(path, True)
+    stream.write(bytearray(data))
     stream.close()
 
 
@@ -50,21 +69,32 @@ SELECT source, split, CASE WHEN split = 'train' AND source IN ('set_a', 'set_b')
   CASE WHEN split = 'train' AND source IN ('set_a', 'set_b') THEN 1 ELSE 0 END::BIGINT AS lost_files
 FROM fx_pairs GROUP BY source, split""")
 def q_s5_damaged(spark: SparkSession, sf: str) -> DataFrame:
-    """S5 at run time: two files a split; one train file is cut in half, one is no Parquet file at
-    all. Both are reported and skipped, everything else is loaded."""
+    """S5 at run time: two folders of files a split. Of the train files, set_a's second folder is one
+    file cut in half and set_b's first one that is no Parquet file at all. Both are reported and skipped, everything else is loaded.
+
+    A source is split up in one write; only the two files that get damaged are written by one task each."""
     base = scratch_path(spark, "sources")
+    single = {"set_a": 1, "set_b": 0}  # the half of the train rows that stands in one file
     specs = []
     for s in FX.fixture_specs(sf):
-        rows = cut_lineage(s.loader(spark))
-        for split in registry.SPLITS:
-            for k in range(2):
-                part = rows.filter((F.col("stored_split") == split) & (F.col("row_no") % 2 == k)).drop("stored_split")
-                part.coalesce(1).write.parquet(f"{base}/{s.name}/{split}/p{k}")
+        rows = s.loader(spark).withColumn("half", F.col("row_no") % 2).filter(F.col("half").isin(0, 1))
+        alone = (F.col("stored_split") == "train") & (F.col("half") == single.get(s.name, -1))
+        rows.filter(~alone).write.partitionBy("stored_split", "half").parquet(f"{base}/{s.name}")
         specs.append(registry.SourceSpec(
             name=s.name, document_col=s.document_col, summary_col=s.summary_col, split_map=s.split_map, order_col="row_no",
-            path=f"{base}/{s.name}", format="parquet", split_dirs={sp: f"{sp}/p*" for sp in registry.SPLITS}))
-    _damage(spark, f"{base}/set_a/train/p1", lambda data: data[:len(data) // 2])
-    _damage(spark, f"{base}/set_b/train/p0", lambda data: b"not a table")
+            path=f"{base}/{s.name}", format="parquet", split_dirs={sp: f"stored_split={sp}/half=*" for sp in registry.SPLITS}))
+        if s.name in single:
+            folder = f"{base}/{s.name}/stored_split=train/half={single[s.name]}"
+            whole = f"{base}/whole/{s.name}" if s.name == "set_a" else folder
+            rows.filter(alone).drop("stored_split", "half").repartition(1).write.parquet(whole)
+            if s.name == "set_a":
+                _cut_in_half(spark, whole, folder)
+            else:
+                _overwrite(spark, folder, b"not a table")
+        for split, half in itertools.product(registry.SPLITS, (0, 1)):  # a folder without rows holds an empty file
+            folder = f"{base}/{s.name}/stored_split={split}/half={half}"
+            if not registry.path_exists(spark, folder):
+                rows.limit(0).drop("stored_split", "half").write.parquet(folder)
     return registry.load_with_report(spark, specs)[1].drop("error")
 
 

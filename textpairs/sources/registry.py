@@ -74,7 +74,7 @@ def read_with_schema(spark: SparkSession, paths: Sequence[str], schema: StructTy
     return reader.load(list(paths))
 
 
-def _path_exists(spark: SparkSession, pattern: str) -> bool:
+def path_exists(spark: SparkSession, pattern: str) -> bool:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(pattern)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -121,7 +121,7 @@ def _stored_rows(spark: SparkSession, spec: SourceSpec, wanted: set[str],
             if sub is None:
                 continue
             pattern = f"{base}/{sub}"
-            if not _path_exists(spark, pattern):
+            if not path_exists(spark, pattern):
                 msg = f"source '{spec.name}': no files for split '{stored}' at {pattern}"
                 log.warning(msg)
                 if warnings is not None:
@@ -202,7 +202,7 @@ def lost_files(spark: SparkSession, specs: Sequence[SourceSpec], splits: Sequenc
         for stored in sorted({spec.split_map[s] for s in splits if s in spec.split_map}):
             sub = spec.split_dirs.get(stored)
             pattern = f"{spec.path.rstrip('/')}/{sub}"
-            if sub is None or not _path_exists(spark, pattern):
+            if sub is None or not path_exists(spark, pattern):
                 continue
             planned = spark.read.format("binaryFile").load(pattern).select(F.col("_metadata.file_path").alias("file"))
             needed = [c for c in (spec.document_col, spec.summary_col, spec.order_col) if c]
