@@ -544,3 +544,31 @@ def test_bpe_ids_by_joins(spark):
     assert tokens == {i: [s for w in (t or "").split() for s in plain_bpe(w, ranks)][:18] for i, t in enumerate(texts)}
     whole = "".join(back[i].strip("<>") for i in got[0]["input_ids"][1:-1])
     assert bytes.fromhex(whole).decode() == "lowlowerlowestlow"
+
+
+def test_whitespace_rules_and_first_sentence(spark):
+    from textpairs.functions.text import lead_sentence, sentences, strip_ws, words
+    texts = ["", " \t\n\x0b\f\r ", "a", " a  b\n\nc\x0bd\r", "One. Two! ", " \n Three?\n", "1.5 is. \n x", "no end\n then", "..", ". . a", "e.g.x !? y", "  z  ", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    old = F.regexp_replace("t", r"^\s+|\s+$", "")
+    got = df.select("i", "t", strip_ws("t").alias("s"), old.alias("o"), words("t").alias("w"),
+                    F.filter(F.split(old, r"\s+"), lambda x: x != "").alias("ow"), lead_sentence("t").alias("l"), F.get(sentences("t"), 0).alias("ol")).collect()
+    for r in got:
+        assert (r.s, r.w, r.l) == (r.o, r.ow, r.ol), r.t
+
+
+def test_encode_looks_rows_up_where_they_stand(spark, monkeypatch):
+    from textpairs.operators import vocab as V
+    monkeypatch.setattr(V, "_SLICE", 40)  # several slices a batch
+    vocab = spark.createDataFrame([("<s>", 0), ("a", 5), ("b", 6), ("é", 7)], "token string, id int")
+    texts = ["", None, " a\x0bb\tz ", "é  é\r\n a", "a " * 50, "b"] * 3
+    df = spark.createDataFrame([(i // 2, t, "b") for i, t in enumerate(texts)], "k int, t string, u string").coalesce(1)
+    e = V.encode(df, vocab, [("t", "x", 6), ("u", "y", 3)], ["k"], vocab_size=4)
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan  # no token is a row
+    known = {"a": 5, "b": 6, "é": 7}
+    want = [(i // 2, [0, *[known.get(w, 3) for w in (t or "").split()][:4], 2], [0, 6, 2]) for i, t in enumerate(texts)]
+    assert sorted(map(repr, map(tuple, e.collect()))) == sorted(map(repr, want))
+    assert V.encode(df.limit(0), vocab, [("t", "x", 6)], ["k"], vocab_size=4).collect() == []
+    with pytest.raises(ValueError, match="vocabulary"):
+        V.encode(df, vocab, [("t", "x", 6)], ["k"], vocab_size=3)

@@ -30,14 +30,18 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
 
 
+#: What ``\\s`` matches in a Java pattern.
+WHITESPACE = " \t\n\x0B\f\r"
+
+
 def strip_ws(c) -> Column:
     """Strip all leading and trailing whitespace (``trim`` strips spaces only)."""
-    return F.regexp_replace(col_(c), r"^\s+|\s+$", "")
+    return F.btrim(col_(c), F.lit(WHITESPACE))
 
 
 def words(c) -> Column:
-    """Word mode: split stripped text on whitespace runs, empties dropped, case kept."""
-    return F.filter(F.split(strip_ws(c), r"\s+"), lambda x: x != F.lit(""))
+    """Word mode: split on whitespace runs, empties dropped, case kept."""
+    return F.array_remove(F.split(col_(c), r"\s+"), "")
 
 
 def sentences(c) -> Column:
@@ -49,8 +53,9 @@ def sentences(c) -> Column:
 
 
 def lead_sentence(c) -> Column:
-    """First sentence; null for a blank text."""
-    return F.get(sentences(c), 0)
+    """First of the ``sentences``; null for a blank text. The text is read as far as that sentence goes."""
+    first = strip_ws(F.get(F.split(F.ltrim(col_(c), F.lit(WHITESPACE)), r"(?<=[.!?])\s+|\n", 2), 0))
+    return F.when(first != F.lit(""), first)
 
 
 def rouge_tokens(c, ascii_only: bool = True) -> Column:

@@ -81,13 +81,15 @@ def split_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     blank = lambda c: strip_ws(F.col(c)) == F.lit("")
     repeated = (pairs.filter(F.col("row_key").isNotNull()).groupBy("split", "row_key").agg(F.count(F.lit(1)).alias("_key_n"))
                 .filter(F.col("_key_n") > 1))
+    # (a side's fault is found before the join, so that a reader of keys only does not shuffle texts)
+    side = (F.when(F.col("input_text").isNull(), F.lit("missing_document"))
+            .when(F.col("target_text").isNull(), F.lit("missing_summary"))
+            .when(blank("input_text"), F.lit("blank_document"))
+            .when(blank("target_text"), F.lit("blank_summary")))
     reason = (F.when(F.col("row_key").isNull(), F.lit("missing_key"))
-              .when(F.col("_key_n").isNotNull(), F.lit("duplicate_key"))
-              .when(F.col("input_text").isNull(), F.lit("missing_document"))
-              .when(F.col("target_text").isNull(), F.lit("missing_summary"))
-              .when(blank("input_text"), F.lit("blank_document"))
-              .when(blank("target_text"), F.lit("blank_summary")))
-    marked = pairs.join(repeated, ["split", "row_key"], "left").withColumn("_reason", reason).drop("_key_n")
+              .when(F.col("_key_n").isNotNull(), F.lit("duplicate_key")).otherwise(F.col("_side")))
+    marked = (pairs.withColumn("_side", side).join(repeated, ["split", "row_key"], "left").withColumn("_reason", reason)
+              .drop("_key_n", "_side"))
     valid = marked.filter(F.col("_reason").isNull()).select(*pairs.columns)
     rejects = marked.filter(F.col("_reason").isNotNull())
     return valid, rejects.select("source", "split", "row_key", F.col("_reason").alias("reason"))

@@ -1,21 +1,23 @@
 """Vocabulary (T1), encoding with truncation (T3, T4), decoding (T5),
 truncation report (T6) and id audit (T7), in word mode.
 
-Token ids come from a broadcast join with the vocabulary. The vocabulary is
-bounded by its ``size`` parameter, which is the proof that it may be
-broadcast. Re-collection after the join groups by the caller's key columns; when
-the input is already hash-partitioned on a prefix of those keys (as after the
-shuffle-rank window) Spark plans no extra exchange for it.
+The vocabulary is bounded by its ``size`` parameter, which is the proof that it may go to
+every task. Encoding looks words up in their own row; decoding joins ids with the vocabulary
+and collects them again by the caller's key columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from textpairs.functions.text import (BOS_ID, EOS_ID, SPECIAL_TOKENS, UNK_ID, words)
+from textpairs.functions.text import BOS_ID, EOS_ID, SPECIAL_TOKENS, UNK_ID, words
 from textpairs.session import broadcast_bounded, cut_lineage
 
 # fixed values: token limits of the reference (inputs, targets)
@@ -57,49 +59,59 @@ def _count_threshold(counts: DataFrame, k: int) -> int:
     return int(row["t"]) if row and row["t"] is not None else 0
 
 
-def _token_struct(field_no: int, arr):
-    return F.transform(arr, lambda t, i: F.struct(F.lit(field_no).alias("f"),
-                                                   i.alias("pos"), t.alias("token")))
+#: Bytes of text that a task looks up together.
+_SLICE = 1 << 22
+
+
+def _ids_of(texts: pa.Array, limit: int, tokens: pa.Array, ids: np.ndarray) -> pa.ListArray:
+    """``<s> ids </s>`` of the first ``limit`` words of every text; ``ids[k]`` belongs to ``tokens[k]``."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))  # splits at the characters of ``words``
+    flat = lists.flatten()
+    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    offsets = lists.offsets.to_numpy()
+    starts = np.concatenate([[0], np.cumsum(full)])[offsets - offsets[0]]
+    n = np.diff(starts)
+    full[full] = np.arange(len(full[full])) - np.repeat(starts[:-1], n) < limit
+    found = pc.fill_null(pc.index_in(flat.filter(pa.array(full)), value_set=tokens), len(ids)).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(np.minimum(n, limit) + 2)]).astype(np.int32)
+    out = np.empty(ends[-1], dtype=np.int32)
+    inner = np.ones(len(out), dtype=bool)
+    inner[ends[:-1]] = inner[ends[1:] - 1] = False
+    out[ends[:-1]], out[ends[1:] - 1], out[inner] = BOS_ID, EOS_ID, np.append(ids, np.int32(UNK_ID))[found]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(out))
 
 
 def encode(df: DataFrame, vocab: DataFrame, fields: Sequence[tuple[str, str, int]],
            key_cols: Sequence[str], carry_cols: Sequence[str] = (), vocab_size: int = 8000,
-           prefix: dict[str, str] | None = None, keyed: bool = False) -> DataFrame:
+           prefix: dict[str, str] | None = None) -> DataFrame:
     """T3 + T4 in one pass: for each (text column, output column, max length)
     emit ``<s> ids </s>``, truncated so the whole array fits ``max length``.
 
-    Unknown words map to ``<unk>``. Only keys, small carried columns and the
-    truncated token arrays are exploded (texts are not carried per token).
-    ``keyed`` says that ``df`` is hash-partitioned on a prefix of ``key_cols``;
-    otherwise its rows are, before the explode, so tokens are never shuffled.
-    """
+    Unknown words map to ``<unk>``, a null side has no words. Every row is looked up where it stands, by Arrow
+    kernels over a few MB of text: nothing is exploded or shuffled. The vocabulary, at most
+    ``vocab_size`` rows, goes to the tasks with the function."""
     prefix = prefix or {}
-    arrays = []
-    for i, (src, _out, max_len) in enumerate(fields):
-        c = F.col(src)
-        if src in prefix:
-            c = F.concat(F.lit(prefix[src]), c)
-        # a null side has no tokens; without the empty array it would void the other sides
-        taken = F.coalesce(F.slice(words(c), 1, max_len - 2), F.array().cast("array<string>"))
-        arrays.append(_token_struct(i, taken))
-    toks = F.flatten(F.array(*arrays)) if len(arrays) > 1 else arrays[0]
-    if not keyed:
-        # rows, not tokens, go to the partition in which the tokens meet again
-        df = df.repartition(*key_cols)
-    ex = df.select(*key_cols, *carry_cols, F.explode_outer(toks).alias("t"))
-    ex = ex.select(*key_cols, *carry_cols, F.col("t.f").alias("f"), F.col("t.pos").alias("pos"),
-                   F.col("t.token").alias("token"))
-    v = broadcast_bounded(vocab.select("token", "id"), vocab_size)
-    j = ex.join(v, "token", "left")
-    aggs = [F.first(c).alias(c) for c in carry_cols]
-    for i, (_src, out, _n) in enumerate(fields):
-        aggs.append(F.array_sort(F.collect_list(F.when(
-            F.col("f") == F.lit(i), F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))))
-        ).alias(f"_{out}"))
-    g = j.groupBy(*key_cols).agg(*aggs)
-    outs = [F.concat(F.array(F.lit(BOS_ID)), F.transform(f"_{out}", lambda s: s["id"]),
-                     F.array(F.lit(EOS_ID))).alias(out) for _s, out, _n in fields]
-    return g.select(*key_cols, *carry_cols, *outs)
+    kept = [*key_cols, *carry_cols]
+    texts = [F.concat(F.lit(prefix[c]), F.col(c)) if c in prefix else F.col(c) for c, _out, _n in fields]
+    rows = df.select(*kept, *[t.alias(f"_text{i}") for i, t in enumerate(texts)])
+    # (one row more than the bound, so that a larger vocabulary is an error and not cut)
+    table = vocab.select("token", "id").filter("token is not null").limit(vocab_size + 1).toArrow()
+    if table.num_rows > vocab_size:
+        raise ValueError(f"the vocabulary has more than {vocab_size} rows")
+    tokens, ids = table.column("token").combine_chunks().cast(pa.string()), table.column("id").to_numpy().astype(np.int32)
+    names = [*kept, *[out for _c, out, _n in fields]]
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [batch.column(f"_text{i}") for i in range(len(fields))]
+            size = sum(pc.fill_null(pc.binary_length(side), 0).to_numpy(zero_copy_only=False).astype(np.int64) for side in sides)
+            cuts = np.flatnonzero(np.diff(np.cumsum(size) // _SLICE, prepend=-1))  # a first row always begins a slice
+            for a, b in zip(cuts, [*cuts[1:], len(batch)], strict=True):
+                made = [_ids_of(side.slice(a, b - a), n - 2, tokens, ids) for side, (_c, _out, n) in zip(sides, fields, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in kept], *made], names)
+
+    schema = StructType([*[rows.schema[c] for c in kept], *[StructField(out, ArrayType(IntegerType())) for _c, out, _n in fields]])
+    return rows.mapInArrow(look_up, schema)
 
 
 def decode(df: DataFrame, vocab: DataFrame, ids_col: str, key_cols: Sequence[str],

@@ -4,10 +4,8 @@ read sources -> canonical pair -> split resolution -> rejects out -> (head cap,
 only where one is asked for) -> task prefix -> encode inputs and targets ->
 concatenate splits -> seeded shuffle rank.
 
-Shuffles: the row-identity check on the row key, the shuffle-rank window on
-(split, md5 shard), and the token re-collect, which groups by (split, shard,
-row_key) and therefore reuses the window's partitioning instead of shuffling
-tokens again.
+Shuffles: the row-identity check on the row key and the shuffle-rank window on
+(split, md5 shard). Rows are encoded where the window leaves them.
 """
 
 from __future__ import annotations
@@ -40,9 +38,9 @@ def prepare_pairs(spark: SparkSession, specs: Sequence[SourceSpec], vocab: DataF
                                 out="shuffle_rank", max_shards=(16 ** shard_digits) * 8)
     enc = encode(ranked, vocab,
                  [("input_text", "input_ids", max_input), ("target_text", "labels", max_target)],
-                 key_cols=["split", "shuffle_shard", "row_key"],
+                 key_cols=["split", "row_key"],
                  carry_cols=["source", "shuffle_rank"], vocab_size=vocab_size,
-                 prefix={"input_text": prefix}, keyed=True)
+                 prefix={"input_text": prefix})
     return enc.select("split", "source", "row_key", "shuffle_rank", "input_ids", "labels")
 
 

@@ -75,6 +75,9 @@ def ship_package(spark: SparkSession) -> None:
 def apply_job_conf(spark: SparkSession) -> None:
     """Set the SQL settings the operators rely on, on an existing session."""
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "0")) <= int(DEFAULT_CONF[key]):
+        spark.conf.set(key, DEFAULT_CONF[key])
     key = "spark.sql.optimizer.windowGroupLimitThreshold"
     if int(spark.conf.get(key, "0")) < int(DEFAULT_CONF[key]):
         spark.conf.set(key, DEFAULT_CONF[key])
