@@ -572,3 +572,31 @@ def test_encode_looks_rows_up_where_they_stand(spark, monkeypatch):
     assert V.encode(df.limit(0), vocab, [("t", "x", 6)], ["k"], vocab_size=4).collect() == []
     with pytest.raises(ValueError, match="vocabulary"):
         V.encode(df, vocab, [("t", "x", 6)], ["k"], vocab_size=3)
+
+
+def test_signatures_equal_the_built_ins(spark, monkeypatch):
+    import hashlib
+
+    from textpairs.operators import dedup as D
+    monkeypatch.setattr(D, "_BLOCK", 7)  # several blocks a batch
+    df = spark.createDataFrame([(1, ["a", "b c", "é"]), (2, ["a"]), (3, []), (4, None), (5, [None]), (6, [None, "x", "a"])] * 2, "i int, sh array<string>")
+    for r in D.minhash_md5(df.coalesce(1)).join(df.distinct(), "i").collect():
+        have = [x for x in r.sh or [] if x is not None]
+        assert r.mins == ([min(hashlib.md5(f"{j // 4}|{x}".encode()).hexdigest()[8 * (j % 4):8 * (j % 4) + 8] for x in have) for j in range(32)]
+                          if have else None)
+    longs = spark.createDataFrame([(1, [0, -1, 1 << 62]), (2, [-(1 << 63)]), (3, [5, 6, 7, 8])], "i int, sh array<long>")
+    want = F.array(*[F.array_min(F.transform("sh", (lambda g: lambda s: F.xxhash64(F.lit(g), s))(g))) for g in range(32)])
+    assert {r.i: r.mins for r in D.minhash_xx(longs).collect()} == {r.i: r.w for r in longs.select("i", want.alias("w")).collect()}
+
+
+def test_md5_of_many_strings():
+    import hashlib
+
+    from textpairs.functions.md5 import prefixed_md5
+    rng = random.Random(5)
+    texts = [rng.randbytes(n) for n in [*range(0, 140), 53, 54, 55, 119, 700]] + [b""] * 3
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    for prefixes in ([b"0|", b"7|"], [b"10|"]):
+        for prefix, found in zip(prefixes, prefixed_md5(data, np.array([len(t) for t in texts]), prefixes)):
+            assert ["".join(f"{x:08x}" for x in row) for row in found.tolist()] == [hashlib.md5(prefix + t).hexdigest() for t in texts]
+    assert len(prefixed_md5(data[:0], np.zeros(0, dtype=np.int64), [b"0|"])[0]) == 0

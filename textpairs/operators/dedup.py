@@ -1,7 +1,7 @@
 """Near-duplicate removal (C3): word shingles, MinHash signatures, banded LSH,
 verified Jaccard, connected components.
 
-Signatures are computed in-row with higher-order functions (no explode, no
+Signatures are computed in-row by Arrow functions on some 250,000 shingles at a time (no explode, no
 shuffle). Documents with equal shingle sets are one class, so exact copies never
 meet as pairs. Documents that share a band with another are candidates. They meet in
 a prefix-filtered inverted index of their rarest shingles (an exact Jaccard join),
@@ -18,9 +18,17 @@ come from large-star / small-star rounds until nothing changes.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from textpairs.functions.md5 import prefixed_md5
 from textpairs.functions.text import ngrams, words
 from textpairs.operators.joins import frequent, heavy_left_join
 from textpairs.session import cut_lineage
@@ -45,52 +53,106 @@ def with_shingles(df: DataFrame, col: str, out: str = "sh", k: int = SHINGLE) ->
                          .otherwise(F.array(F.array_join(w, " ")))).drop("_w")
 
 
-def minhash_md5(df: DataFrame, sh: str = "sh", n_hashes: int = N_HASHES) -> tuple[DataFrame, list[str]]:
-    """Repeatable signature: hash j is the minimum over shingles of the
+#: Shingles (hashes) that a task works on together.
+_BLOCK = 1 << 18
+
+
+def _minima(df: DataFrame, sh: str, n_hashes: int, hashes: Callable[[pa.Array], Iterator[np.ndarray]], kind: str,
+            shown: Callable[[np.ndarray], pa.Array]) -> DataFrame:
+    """``df`` without ``sh`` and with ``mins``: for every hash function its minimum over the row's
+    values, null for a row without any. ``hashes`` gives the functions' values of a flat array a few at a time, as (values x functions);
+    rows are taken some 250,000 values at a time."""
+    kept = [c for c in df.columns if c != sh]
+    rows = df.select(*kept, sh)
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(sh)
+            size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(np.cumsum(size) // _BLOCK, prepend=-1))  # a first row always begins a block
+            for a, b in zip(cuts, [*cuts[1:], len(batch)], strict=True):
+                flat, n = lists.slice(a, b - a).flatten(), size[a:b]
+                if flat.null_count:  # a null text's one shingle
+                    n = np.bincount(np.repeat(np.arange(len(n)), n)[pc.is_valid(flat).to_numpy(zero_copy_only=False)], minlength=len(n))
+                    flat = flat.drop_null()
+                some = np.flatnonzero(n)
+                starts = (np.cumsum(n) - n)[some]
+                mins = [np.minimum.reduceat(h, starts, axis=0) for h in hashes(flat)] if len(some) else []
+                table = np.concatenate(mins, axis=1) if mins else np.zeros((0, n_hashes), dtype=np.int64)
+                ends = np.concatenate([[0], np.cumsum(np.where(n > 0, n_hashes, 0))]).astype(np.int32)
+                found = pa.ListArray.from_arrays(pa.array(ends), shown(table.ravel()), mask=pa.array(n == 0))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in kept], found], [*kept, "mins"])
+
+    return rows.mapInArrow(least, StructType([*[rows.schema[c] for c in kept], StructField("mins", ArrayType(kind))]))
+
+
+def minhash_md5(df: DataFrame, sh: str = "sh", n_hashes: int = N_HASHES) -> DataFrame:
+    """Repeatable signature ``mins``: hash j is the minimum over shingles of the
     (j mod 4)-th 8-hex-digit slice of md5(j div 4 | shingle). Fixed-width hex
-    compares like the number, so the minimum is taken on strings.
+    compares like the number, so the minimum is taken on numbers."""
+    def hashes(flat: pa.Array) -> Iterator[np.ndarray]:
+        strings = pa.array(flat.cast(pa.large_binary()))
+        ends = np.frombuffer(strings.buffers()[1], dtype=np.int64)[strings.offset:strings.offset + len(strings) + 1]
+        data = np.frombuffer(strings.buffers()[2] or b"", dtype=np.uint8)[ends[0]:ends[-1]]
+        prefixes = [f"{g}|".encode() for g in range((n_hashes + 3) // 4)]
+        for _, alike in groupby(enumerate(prefixes), lambda x: len(x[1])):  # padded once for prefixes of one length
+            numbers, some = zip(*alike, strict=True)
+            for g, found in zip(numbers, prefixed_md5(data, np.diff(ends), list(some)), strict=True):
+                yield found[:, :n_hashes - 4 * g].astype(np.int64)
+
+    return _minima(df, sh, n_hashes, hashes, StringType(), lambda m: pa.array([f"{x:08x}" for x in m.tolist()], pa.string()))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)  # fixed values: XXH64's finaliser
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
+    return h ^ (h >> np.uint64(32))
+
 
-    Staged projections: the md5 arrays are columns of their own, so each
-    md5 is computed once, not once per hash that reads it."""
-    groups = (n_hashes + 3) // 4
-    # (one-argument lambdas built by factories: a second parameter would be
-    # taken for the element index)
-    def md5_of(g):
-        return lambda s: F.md5(F.concat(F.lit(f"{g}|"), s))
+def _rotated(h: np.ndarray, by: int) -> np.ndarray:
+    return (h << np.uint64(by)) | (h >> np.uint64(64 - by))
 
-    def slice_of(j):
-        return lambda x: F.substring(x, 8 * (j % 4) + 1, 8)
 
-    hx = df.select("*", *[F.transform(sh, md5_of(g)).alias(f"_hx{g}") for g in range(groups)])
-    names = [f"_m{j}" for j in range(n_hashes)]
-    mins = [F.array_min(F.transform(f"_hx{j // 4}", slice_of(j))).alias(names[j]) for j in range(n_hashes)]
-    return hx.select(*[c for c in df.columns], *mins), names
+def xxhash64_of(seeds: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """``xxhash64(seed, value)`` of Spark for every int seed and long value (values x seeds)."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
+                                                 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values: XXH64's primes
+    with np.errstate(over="ignore"):
+        h = np.uint64(42) + p5 + np.uint64(4) ^ (seeds.astype(np.uint64) * p1)
+        start = _mixed(_rotated(h, 23) * p2 + p3)
+        word = _rotated(values.astype(np.int64).view(np.uint64) * p2, 31) * p1
+        return _mixed(_rotated((start + p5 + np.uint64(8))[None, :] ^ word[:, None], 27) * p1 + p4).view(np.int64)
 
 
-def minhash_xx(df: DataFrame, sh: str = "sh", n_hashes: int = N_HASHES) -> tuple[DataFrame, list[str]]:
-    """Production signature: xxhash64 per seed (fast, Spark-only)."""
-    names = [f"_m{i}" for i in range(n_hashes)]
+def minhash_xx(df: DataFrame, sh: str = "sh", n_hashes: int = N_HASHES) -> DataFrame:
+    """Production signature ``mins`` of sets of longs: hash i is the minimum of xxhash64(i, value)."""
 
-    def xx_of(i):
-        return lambda s: F.xxhash64(F.lit(i), s)
+    def hashes(flat: pa.Array) -> Iterator[np.ndarray]:
+        values = flat.to_numpy(zero_copy_only=False)
+        for g in range(0, n_hashes, 4):
+            yield xxhash64_of(np.arange(g, min(g + 4, n_hashes)), values)
 
-    return df.select("*", *[F.array_min(F.transform(sh, xx_of(i))).cast("string").alias(names[i])
-                            for i in range(n_hashes)]), names
+    return _minima(df, sh, n_hashes, hashes, LongType(), lambda m: pa.array(m, pa.int64()))
 
 
 def band_keys(df: DataFrame, col: str = "text", id_col: str = "doc_id", hash_kind: str = "md5",
               n_hashes: int = N_HASHES, n_bands: int = N_BANDS) -> DataFrame:
     """One row per (document, band) with the band's key."""
     base = with_shingles(df.select(id_col, col), col).select(id_col, "sh")
-    sig, names = (minhash_md5 if hash_kind == "md5" else minhash_xx)(base, "sh", n_hashes)
-    r = n_hashes // n_bands
-    bands = F.array(*[F.struct(F.lit(b).alias("band"),
-                               F.concat_ws("-", *[F.col(n) for n in names[b * r:(b + 1) * r]]).alias("band_key"))
-                      for b in range(n_bands)])
-    return sig.select(id_col, F.explode(bands).alias("b")).select(
+    if hash_kind != "md5":
+        base = base.withColumn("sh", F.transform("sh", lambda s: F.xxhash64(s)))
+    sig = (minhash_md5 if hash_kind == "md5" else minhash_xx)(base, "sh", n_hashes)
+    return sig.select(id_col, F.explode(_bands(n_hashes, n_bands)).alias("b")).select(
         id_col, F.col("b.band").cast("bigint").alias("band"), F.col("b.band_key").alias("band_key"))
 
 
+def _bands(n_hashes: int = N_HASHES, n_bands: int = N_BANDS) -> Column:
+    """(band, key) of every band of a signature ``mins``."""
+    r = n_hashes // n_bands
+    return F.array(*[F.struct(F.lit(b).alias("band"), F.concat_ws("-", F.slice(F.col("mins").cast("array<string>"), b * r + 1, r)).alias("band_key"))
+                     for b in range(n_bands)])
+
+
 def _jaccard(a: Column, b: Column) -> Column:
     shared = F.size(F.array_intersect(a, b))
     return shared / (F.size(a) + F.size(b) - shared)
@@ -208,10 +270,10 @@ def dedup_near(df: DataFrame, col: str = "text", id_col: str = "doc_id", hash_ki
         of_class = df.select(F.col(id_col).alias("id"), F.col(col)).join(sets.select("id"), "id", "left_semi")
         keys = band_keys(of_class, col, "id", "md5").select(F.xxhash64("band", "band_key").alias("bucket"), "id")
     else:
-        sig, names = minhash_xx(sets, "sh")
         r = N_HASHES // N_BANDS
-        bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(n) for n in names[b * r:(b + 1) * r]]) for b in range(N_BANDS)])
-        keys = sig.select(F.explode(bands).alias("bucket"), "id")
+        least = [F.col("mins")[j].cast("string") for j in range(N_HASHES)]
+        bands = F.array(*[F.xxhash64(F.lit(b), *least[b * r:(b + 1) * r]) for b in range(N_BANDS)])
+        keys = minhash_xx(sets, "sh").select(F.explode(bands).alias("bucket"), "id")
     labels = verified_components(keys.distinct(), sets, threshold)
     comp = (docs.select("id", "class").join(labels.withColumnRenamed("node", "class"), "class", "left")
             .withColumn("component", F.coalesce("label", "class")))
