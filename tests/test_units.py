@@ -600,3 +600,24 @@ def test_md5_of_many_strings():
         for prefix, found in zip(prefixes, prefixed_md5(data, np.array([len(t) for t in texts]), prefixes)):
             assert ["".join(f"{x:08x}" for x in row) for row in found.tolist()] == [hashlib.md5(prefix + t).hexdigest() for t in texts]
     assert len(prefixed_md5(data[:0], np.zeros(0, dtype=np.int64), [b"0|"])[0]) == 0
+
+
+def test_texts_in_nfc_stay_in_the_jvm(spark):
+    import unicodedata
+
+    from textpairs.operators import clean as C
+    assert all(unicodedata.is_normalized("NFC", a + chr(b)) for a in ("", "e", "é") for b in range(0x300))
+    texts = ["plain", "é ü ˿", "é x", "ﬁ Å", None, "", "a\U0001F600ë"]
+    got = {r.i: r.text for r in C.normalise(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()}
+    assert got == {i: t if t is None else unicodedata.normalize("NFC", t) for i, t in enumerate(texts)}
+
+    @F.pandas_udf("string")
+    def strict(s):
+        if any(x is not None and max(x, default="") < "\u0300" for x in s):
+            raise ValueError("a text in NFC came to Python")
+        return s
+    plain, C.nfc = C.nfc, strict
+    try:
+        C.normalise(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()
+    finally:
+        C.nfc = plain

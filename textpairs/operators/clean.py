@@ -41,8 +41,9 @@ def nfc(s: pd.Series) -> pd.Series:
 def normalise(df: DataFrame, col: str = "text", out: str | None = None) -> DataFrame:
     """NFC; control characters out (newline and tab kept); runs of spaces,
     tabs and carriage returns to one space; spaces around newlines and runs of
-    newlines collapsed; stripped."""
-    t = nfc(F.col(col))
+    newlines collapsed; stripped. Texts of code points below U+0300 only are in NFC as they are and do not go to Python."""
+    t = F.col(col)
+    t = F.coalesce(nfc(F.when(t.rlike(r"[^\x00-\u02FF]"), t)), t)
     t = F.regexp_replace(t, CONTROL, "")
     t = F.regexp_replace(t, r"[ \t\r]+", " ")
     t = F.regexp_replace(t, r" ?\n ?", "\n")
