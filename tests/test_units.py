@@ -621,3 +621,14 @@ def test_texts_in_nfc_stay_in_the_jvm(spark):
         C.normalise(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).collect()
     finally:
         C.nfc = plain
+
+
+def test_bpe_ids_number_pieces_in_their_row(spark, monkeypatch):
+    from textpairs.operators import bpe as B
+    segments = spark.createDataFrame([("<61><62><63>", "<6162><63>"), ("<64>", "<64>"), ("<65>", "<7A7A>")], "word string, sym string")
+    types = spark.createDataFrame([("<61><62><63>", 3), ("<64>", 1), ("<65>", 1)], "sym string, cnt bigint")
+    vocab = spark.createDataFrame([("<63>", 9), ("<6162>", 7), ("<64>", 8)], "token string, id int")
+    df = spark.createDataFrame([(1, "abc d x"), (2, "e abc"), (3, "")], "doc_id int, text string")
+    monkeypatch.setattr(type(df), "groupBy", (lambda f: lambda self, *c: 1 / 0 if c == ("word",) else f(self, *c))(type(df).groupBy))
+    got = {r.doc_id: r.input_ids for r in B.bpe_encode_ids(df, segments, types, vocab, 3, ["doc_id"]).collect()}
+    assert got == {1: [0, 7, 9, 8, 3, 2], 2: [0, 3, 7, 9, 2], 3: [0, 2]}

@@ -348,15 +348,29 @@ def bpe_encode_ids(df: DataFrame, segments: DataFrame, types: DataFrame, vocab:
     """T3 (mode ``bpe``) as joins: ``key_cols``, ``out`` = ``<s> ids </s>`` of at most
     ``max_len`` ids and its attention mask.
 
-    Learning has already split every word type, so a word's ids are one join away
+    Learning has already split every word type and its symbols are numbered in its own row, so a word's ids are one join away
     (a word it has not seen is ``<unk>``). Texts are cut to ``max_len - 2`` words
     before the join: a word has at least one id."""
     keys = list(key_cols)
-    symbols = segments.select("word", F.posexplode(F.regexp_extract_all(F.col("sym"), F.lit("<[^>]*>"), 0)).alias("at", "token"))
-    known = broadcast_bounded(vocab.select("token", "id"), n_merges + 256 + len(SPECIAL_TOKENS))
-    pieces = (symbols.join(known, "token").groupBy("word")
-              .agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("s"))
-              .select("word", F.transform("s", lambda x: x["id"]).alias("items")))
+    bound = n_merges + 256 + len(SPECIAL_TOKENS)
+    known = vocab.select("token", "id").limit(bound + 1).toArrow()
+    if known.num_rows > bound:
+        raise ValueError(f"the vocabulary has more than {bound} rows")
+    tokens, ids = known.column("token").combine_chunks().cast(pa.string()), known.column("id").combine_chunks().cast(pa.int32())
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("items")
+            found = pc.index_in(lists.flatten(), value_set=tokens)
+            upto = np.concatenate([[0], np.cumsum(pc.is_valid(found).to_numpy(zero_copy_only=False))])
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])
+            items = pa.ListArray.from_arrays(pa.array(upto[ends].astype(np.int32)), pc.take(ids, found.drop_null()))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), items], ["word", "items"])
+
+    path = scratch_path(df.sparkSession, "bpe-pieces")  # read for the frequent words and for the others
+    (segments.select("word", F.regexp_extract_all(F.col("sym"), F.lit("<[^>]*>"), 0).alias("items"))
+     .mapInArrow(numbered, "word string, items array<int>").filter(F.size("items") > 0).write.parquet(path))
+    pieces = df.sparkSession.read.parquet(path)
     body = _with_pieces(df, pieces, types, keys, col, max_len - 2, "int")
     return (body.select(*keys, F.concat(F.array(F.lit(BOS_ID)), "items", F.array(F.lit(EOS_ID))).alias(out))
             .withColumn("attention_mask", F.array_repeat(F.lit(1), F.size(out))))
