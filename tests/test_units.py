@@ -5,6 +5,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -632,3 +633,25 @@ def test_bpe_ids_number_pieces_in_their_row(spark, monkeypatch):
     monkeypatch.setattr(type(df), "groupBy", (lambda f: lambda self, *c: 1 / 0 if c == ("word",) else f(self, *c))(type(df).groupBy))
     got = {r.doc_id: r.input_ids for r in B.bpe_encode_ids(df, segments, types, vocab, 3, ["doc_id"]).collect()}
     assert got == {1: [0, 7, 9, 8, 3, 2], 2: [0, 3, 7, 9, 2], 3: [0, 2]}
+
+
+def test_ngrams_are_counted_in_their_row(spark, monkeypatch):
+    """Random pairs, some of which share a key or miss a side, against counts a key; one shuffle for all n."""
+    from textpairs.functions import multisets
+    from textpairs.operators.rouge import clipped_counts, rouge_ns
+    monkeypatch.setattr(multisets, "_SLICE", 7)
+    rng = random.Random(5)
+    side = lambda: None if rng.random() < 0.1 else [rng.choice("abc") for _ in range(rng.choice([0, 1, 2, 5, 40]))]
+    rows = [(rng.choice([None, k, k, k, 0]), side(), side()) for k in range(60)]
+    df = spark.createDataFrame(rows, "k int, cand_tokens array<string>, ref_tokens array<string>").repartition(3)
+    for ns in ((1,), (2, 1, 4)):
+        got = {r["k"]: r for r in clipped_counts(df, ns, "k").collect()}
+        assert set(got) == {k for k, _c, _r in rows}
+        for k, n in ((k, n) for k in got for n in ns):
+            mine = [[Counter(tuple(x[i:i + n]) for i in range(len(x) - n + 1)) for x in r[1:]] for r in rows if r[0] == k and None not in r[1:]]
+            cand, ref = (sum((m[s] for m in mine), Counter()) for s in (0, 1))
+            if not any(None in r[1:] for r in rows if r[0] == k):
+                assert [got[k][f"{c}{n}"] for c in ("overlap", "n_cand", "n_ref")] == [(cand & ref).total(), cand.total(), ref.total()]
+    assert rouge_ns(df, (1, 2), "k")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert multisets.clipped_overlap(*(pa.array([r[s] for r in rows if None not in r[1:]], pa.list_(pa.string())) for s in (1, 2)), (2,)).to_pylist() == [
+        [sum((Counter(zip(c, c[1:])) & Counter(zip(r, r[1:]))).values())] for _k, c, r in rows if None not in (c, r)]

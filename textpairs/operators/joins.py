@@ -7,7 +7,9 @@ by another expression, so that no frequent value and no null is one shuffle key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textpairs.session import broadcast_bounded
@@ -35,3 +37,8 @@ def heavy_left_join(left: DataFrame, right: DataFrame, key: str, heavy: DataFram
     found = keyed.join(tail, ["_key", "_part"], "left")
     got = [F.coalesce(F.col("_head")[v], F.col("_tail")[v]).alias(v) for v in values]
     return found.select(*left.columns, *got)
+
+
+def with_key_rows(df: DataFrame, keys: Sequence[str], out: str) -> DataFrame:
+    """``df`` dealt out by ``keys``, with the number of rows that have the same ones (nulls are equal)."""
+    return df.withColumn(out, F.count(F.lit(1)).over(Window.partitionBy(*keys)))

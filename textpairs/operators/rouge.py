@@ -2,10 +2,9 @@
 (E2), ROUGE tokens (E3), ROUGE-1/2 (E4, E5), ROUGE-L/Lsum (E6, E7), corpus
 roll-up (E8) and bootstrap intervals (E9).
 
-ROUGE-N is relational: explode n-grams, count per (pair, gram) with map-side
-combine, clip with ``least`` and sum per pair; the n-grams are dealt out by pair
-first, so both counts share one shuffle. ROUGE-L is a bit-parallel expression
-over the token arrays. Only the union of ROUGE-Lsum, which needs positions, runs in
+ROUGE-N deals the pairs out by key and counts the n-grams of each in its own row;
+only those of pairs that share a key are exploded, counted per (key, gram), clipped
+with ``least`` and summed. ROUGE-L is a bit-parallel expression over the token arrays. Only the union of ROUGE-Lsum, which needs positions, runs in
 an Arrow-batched UDF over the sentences Spark already split.
 """
 
@@ -14,14 +13,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from textpairs.functions.hashing import poisson1, u
 from textpairs.functions.lcs import lcs_length
 from textpairs.functions.lcs import rouge_lsum as _rouge_lsum
+from textpairs.functions.multisets import clipped_overlap
 from textpairs.functions.text import (LABEL_IGNORE, PAD_ID, ngrams, rouge_tokens, sentences)
+from textpairs.operators.joins import with_key_rows
 from textpairs.operators.metrics import finish_metrics, gen_len
 from textpairs.operators.stems import stemmed
 from textpairs.operators.vocab import decode
@@ -67,8 +69,7 @@ def score_pairs(df: DataFrame, key_cols: Sequence[str], cand_col: str = "candida
         given = done.withColumn("_cs", _resplit("_cs", "cand_tokens")).withColumn("_rs", _resplit("_rs", "ref_tokens"))
     pairs = cut_lineage(given)
     scored = _lsum(rouge_l(pairs), F.col("_cs"), F.col("_rs"), "rougeLsum").select(*keys, "rougeL_f", "rougeLsum_f")
-    for n in (1, 2):
-        scored = scored.join(rouge_n(pairs, n, keys).select(*keys, f"rouge{n}_f"), keys)
+    scored = scored.join(rouge_ns(pairs, (1, 2), keys), keys)
     return scored.select(*keys, *[F.col(f"{m}_f").alias(m) for m in METRICS])
 
 
@@ -113,20 +114,70 @@ def rouge_n(df: DataFrame, n: int, key: str | Sequence[str], cand_tokens: str =
 
     Pairs with no n-grams on either side score 0 (never dropped).
     """
-    keys = [key] if isinstance(key, str) else list(key)
     prefix = prefix or f"rouge{n}"
-    cand = F.transform(ngrams(F.col(cand_tokens), n), lambda g: F.struct(g.alias("g"), F.lit(1).alias("c"), F.lit(0).alias("r")))
-    ref = F.transform(ngrams(F.col(ref_tokens), n), lambda g: F.struct(g.alias("g"), F.lit(0).alias("c"), F.lit(1).alias("r")))
-    ex = df.repartition(*keys).select(*keys, F.explode_outer(F.concat(cand, ref)).alias("x"))
-    per_gram = ex.groupBy(*keys, F.col("x.g").alias("g")).agg(
-        F.sum(F.coalesce(F.col("x.c"), F.lit(0))).alias("c"),
-        F.sum(F.coalesce(F.col("x.r"), F.lit(0))).alias("r"))
-    per_pair = per_gram.groupBy(*keys).agg(
-        F.sum(F.least("c", "r")).cast("bigint").alias("overlap"),
-        F.sum("c").cast("bigint").alias("n_cand"), F.sum("r").cast("bigint").alias("n_ref"))
+    per_pair = clipped_counts(df, [n], key, cand_tokens, ref_tokens)
+    for c in ("overlap", "n_cand", "n_ref"):
+        per_pair = per_pair.withColumnRenamed(f"{c}{n}", c)
     return prf_columns(per_pair, "overlap", "n_cand", "n_ref", prefix)
 
 
+def rouge_ns(df: DataFrame, ns: Sequence[int], key: str | Sequence[str]) -> DataFrame:
+    """Keys and ``rouge<n>_f`` of every ``n`` in one pass over the pairs."""
+    scored = clipped_counts(df, ns, key)
+    for n in ns:
+        scored = prf_columns(scored, f"overlap{n}", f"n_cand{n}", f"n_ref{n}", f"rouge{n}")
+    return scored.select(*([key] if isinstance(key, str) else key), *[f"rouge{n}_f" for n in ns])
+
+
+def clipped_counts(df: DataFrame, ns: Sequence[int], key: str | Sequence[str], cand_tokens: str = "cand_tokens",
+                   ref_tokens: str = "ref_tokens") -> DataFrame:
+    """One row a key: ``overlap<n>``, ``n_cand<n>`` and ``n_ref<n>`` for each ``n``.
+
+    A row that has its key for itself is counted where it stands. The n-grams of rows that share a key
+    count together: they are exploded and added up."""
+    keys = [key] if isinstance(key, str) else list(key)
+    # (counted before rows are dealt out: what follows a Python step would be dealt out anew)
+    rows = df.select(*keys, F.col(cand_tokens).alias("_c"), F.col(ref_tokens).alias("_r")).withColumn("_hits", _overlap_udf(tuple(ns))("_c", "_r"))
+    rows = with_key_rows(rows, keys, "_rows")
+    zero = F.lit(0).cast("bigint")
+
+    def entry(n: int, c: Column, r: Column, hits: Column, g: Column) -> Column:
+        return F.struct(F.lit(n).alias("n"), g.cast("string").alias("g"), c.cast("bigint").alias("c"), r.cast("bigint").alias("r"), hits.cast("bigint").alias("hits"))
+
+    def many(col: str, n: int) -> Column:
+        return F.greatest(F.coalesce(F.size(col), F.lit(0)) - F.lit(n - 1), F.lit(0))
+
+    def counted(k: int, n: int) -> Column:
+        return F.array(entry(n, many("_c", n), many("_r", n), F.col("_hits")[k], F.lit(None)))
+
+    def spread(n: int) -> Column:
+        one, none = F.lit(1), F.lit(None)
+        grams = F.concat(F.transform(ngrams(F.col("_c"), n), lambda g: entry(n, one, zero, none, g)),
+                         F.transform(ngrams(F.col("_r"), n), lambda g: entry(n, zero, one, none, g)))
+        first = F.array(entry(n, zero, zero, zero, none))  # keeps a key without n-grams
+        return F.concat(first, F.coalesce(grams, F.slice(first, 1, 0)))
+
+    alone = F.col("_rows") == 1
+    ex = rows.select(*keys, F.explode(F.when(alone, F.concat(*[counted(k, n) for k, n in enumerate(ns)]))
+                                      .otherwise(F.concat(*[spread(n) for n in ns]))).alias("x"))
+    per_gram = ex.groupBy(*keys, F.col("x.n").alias("_n"), F.col("x.g").alias("_g")).agg(
+        F.sum("x.c").alias("_c"), F.sum("x.r").alias("_r"), F.sum("x.hits").alias("_hits"))
+
+    def total(n: int, c: Column, name: str) -> Column:
+        return F.sum(F.when(F.col("_n") == n, c).otherwise(0)).cast("bigint").alias(f"{name}{n}")
+
+    return per_gram.groupBy(*keys).agg(*[x for n in ns for x in (
+        total(n, F.coalesce("_hits", F.least("_c", "_r")), "overlap"), total(n, F.col("_c"), "n_cand"), total(n, F.col("_r"), "n_ref"))])
+
+
+def _overlap_udf(ns: tuple[int, ...]):
+    @F.arrow_udf(ArrayType(LongType()))
+    def overlap(cand: pa.Array, ref: pa.Array) -> pa.Array:
+        return clipped_overlap(cand, ref, ns)
+
+    return overlap
+
+
 def prf_columns(df: DataFrame, hits: str, n_cand: str, n_ref: str, prefix: str) -> DataFrame:
     p = F.when(F.col(n_cand) > 0, F.col(hits) / F.col(n_cand)).otherwise(F.lit(0.0))
     r = F.when(F.col(n_ref) > 0, F.col(hits) / F.col(n_ref)).otherwise(F.lit(0.0))

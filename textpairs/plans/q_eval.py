@@ -147,8 +147,7 @@ SQL_THREE = f"{sql_rouge_n(1, 'r1')}, {sql_rouge_n(2, 'r2')}, {SQL_ROUGE_L}"
 def _summary(spark: SparkSession, sf: str) -> DataFrame:
     pairs = cut_lineage(_pair_tokens(spark, sf))
     scored = RG.rouge_l(pairs).select("pair_id", F.col("rougeL_f").alias("rougeL"))
-    for n in (1, 2):
-        scored = scored.join(RG.rouge_n(pairs, n, "pair_id").select("pair_id", F.col(f"rouge{n}_f").alias(f"rouge{n}")), "pair_id")
+    scored = scored.join(RG.rouge_ns(pairs, (1, 2), "pair_id"), "pair_id").withColumnsRenamed({"rouge1_f": "rouge1", "rouge2_f": "rouge2"})
     return RG.rouge_summary(scored, THREE)
 
 
