@@ -655,3 +655,49 @@ def test_ngrams_are_counted_in_their_row(spark, monkeypatch):
     assert rouge_ns(df, (1, 2), "k")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert multisets.clipped_overlap(*(pa.array([r[s] for r in rows if None not in r[1:]], pa.list_(pa.string())) for s in (1, 2)), (2,)).to_pylist() == [
         [sum((Counter(zip(c, c[1:])) & Counter(zip(r, r[1:]))).values())] for _k, c, r in rows if None not in (c, r)]
+
+
+def test_words_of_a_pair_are_scored_in_their_row(spark, monkeypatch):
+    """Random pairs, some of which share a key or miss a side, with frequent, rare and unseen words, against the formula."""
+    from textpairs.functions import multisets
+    from textpairs.operators import scoring
+    monkeypatch.setattr(multisets, "_SLICE", 9)
+    monkeypatch.setattr(scoring, "HEAVY_SHARE", 0.2)
+    corpus = Counter("a a a a b b b c d".split())
+    lm = scoring.fit_lm(spark.createDataFrame([(" ".join(corpus.elements()),)], "text string"))
+    assert sorted(r["w"] for r in lm.heavy.collect()) == ["a", "b"]
+    rng = random.Random(3)
+    side = lambda: None if rng.random() < 0.1 else " ".join(rng.choice("aabcde") for _ in range(rng.choice([0, 1, 3, 30])))
+    rows = [(rng.choice([None, k, k, k, 0]), side(), side(), side()) for k in range(50)]
+    df = spark.createDataFrame(rows, "k int, s string, t1 string, t2 string").repartition(3)
+    got = {r["k"]: r for r in scoring.lm_scores(df, lm, "k", "s", {"x": "t1", "y": "t2"}).collect()}
+    assert len(got) == len({r[0] for r in rows})
+    for k, r in got.items():
+        source, *targets = (sum((Counter((x[i] or "").split()) for x in rows if x[0] == k), Counter()) for i in (1, 2, 3))
+        longest = max(len((x[1] or "").split()) for x in rows if x[0] == k)
+        for name, words in zip("xy", targets):
+            assert r[f"n_{name}"] == words.total()
+            want = sum(n * np.log(0.5 * (source[w] / longest if longest else 0.0) + 0.5 * (corpus[w] + 1 if w in corpus else 1) / (lm.C + lm.V + 1)) for w, n in words.items())
+            assert r[f"score_{name}"] == (pytest.approx(want / words.total()) if words else None)
+
+
+def test_settled_words_do_not_leave_their_row(spark, monkeypatch):
+    from textpairs.operators import scoring
+    lm = scoring.fit_lm(spark.createDataFrame([("a b c " * 9,)], "text string"))
+    seen = []
+    monkeypatch.setattr(scoring, "heavy_left_join", lambda left, *rest, f=scoring.heavy_left_join: seen.append(left) or f(left, *rest))
+    df = spark.createDataFrame([(k, "a b a", "a b c") for k in range(5)], "k int, s string, t string")
+    assert scoring.lm_score(df, lm, "k", "s", "t").count() == 5
+    assert seen[0].count() == 5
+
+
+def test_second_sentence_and_tokens_in_one_reading(spark):
+    from textpairs.functions.text import has_second_sentence, lm_tokens, rouge_tokens, sentences
+    rng = random.Random(8)
+    texts = [None, "", " ", "a.", "a. ", "a.\n", "\n a.b", "a\n\n", "a\n \nb", "?! ?", "É-ß 9_x", "\x0b.\x0ca", "a. b"]
+    texts += ["".join(rng.choice("ab.!? \n\t\réİ_9") for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    replaced = lambda pat: F.filter(F.split(F.regexp_replace(F.lower("t"), pat, " "), " "), lambda x: x != "")
+    for r in df.select(has_second_sentence("t").alias("two"), (F.size(sentences("t")) >= 2).alias("plain"), rouge_tokens("t").alias("a"),
+                       replaced("[^a-z0-9]+").alias("a2"), lm_tokens("t").alias("l"), replaced(r"[^\p{L}\p{N}]+").alias("l2"), "t").collect():
+        assert (bool(r["two"]), r["a"], r["l"]) == (bool(r["plain"]), r["a2"], r["l2"]), r["t"]

@@ -58,6 +58,11 @@ def lead_sentence(c) -> Column:
     return F.when(first != F.lit(""), first)
 
 
+def has_second_sentence(c) -> Column:
+    """Whether a text has two ``sentences`` or more: something stands after the first. The text is read as far as that."""
+    return F.get(F.split(F.ltrim(col_(c), F.lit(WHITESPACE)), r"(?<=[.!?])\s+|\n", 2), 1).rlike(r"\S")
+
+
 def rouge_tokens(c, ascii_only: bool = True) -> Column:
     """ROUGE tokens: lower case, every run of other characters becomes a break.
 
@@ -65,8 +70,7 @@ def rouge_tokens(c, ascii_only: bool = True) -> Column:
     splits accented letters); ``False`` keeps any Unicode letter or digit.
     """
     pat = "[^a-z0-9]+" if ascii_only else r"[^\p{L}\p{N}]+"
-    return F.filter(F.split(F.regexp_replace(F.lower(col_(c)), pat, " "), " "),
-                    lambda x: x != F.lit(""))
+    return F.array_remove(F.split(F.lower(col_(c)), pat), "")
 
 
 def lm_tokens(c) -> Column:

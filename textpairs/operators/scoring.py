@@ -15,12 +15,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
+from textpairs.functions.multisets import codes, lengths, token_slices
 from textpairs.functions.text import lm_tokens
-from textpairs.operators.joins import heavy_left_join
+from textpairs.operators.joins import heavy_left_join, with_key_rows
 from textpairs.operators.metrics import background_counts, background_p
 from textpairs.operators.ranking import average_rank
 from textpairs.session import cut_lineage
@@ -55,37 +60,93 @@ def lm_scores(df: DataFrame, lm: LM, key: str | Sequence[str], source_col: str,
     """G2 (score) of several targets of one source: ``key``, and for each name in ``target_cols`` the columns
     ``score_<name>`` and ``n_<name>`` (words of the target; the score of an empty one is null).
 
-    Rows are dealt by pair first; then source and targets are exploded to (pair, word)
-    and counted where they are, so a source is counted once for all targets. Only words of
-    a target look up p(w): frequent ones in a broadcast table, the others in a
-    shuffle join of one row per distinct word of a pair."""
+    Texts are dealt out by key and counted in their own row, a source once for all targets. The frequent words of a
+    target, at most ``1 / HEAVY_SHARE`` of them, find p(w) there too; a row leaves one entry with their sums and one
+    for each other distinct word of its targets, which look up p(w) in a shuffle join. Rows that
+    share a key count together: all their words become entries."""
     keys = [key] if isinstance(key, str) else list(key)
     names = list(target_cols)
-    toks = [lm_tokens(source_col).alias("_t0"), *[lm_tokens(target_cols[n]).alias(f"_t{i}") for i, n in enumerate(names, 1)]]
-    base = df.select(*keys, *toks).repartition(*keys)
-    none = F.array().cast("array<string>")
-
-    def side(i: int) -> Column:
-        return F.transform(F.coalesce(f"_t{i}", none), lambda x: F.struct(x.alias("w"), F.lit(i).alias("t")))
-
-    # one entry without a word keeps pairs whose targets are all empty
-    entries = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("w"), F.lit(-1).alias("t"))), *[side(i) for i in range(len(names) + 1)])
-    ex = base.select(*keys, F.greatest(F.coalesce(F.size("_t0"), F.lit(0)), F.lit(0)).alias("_len"), F.explode(entries).alias("z"))
-    times = lambda i: F.sum(F.when(F.col("z.t") == i, 1).otherwise(0))
-    counted = (ex.groupBy(*keys, F.col("z.w").alias("w"))
-               .agg(F.max("_len").alias("_len"), *[times(i).alias(f"_n{i}") for i in range(len(names) + 1)])
-               .filter(" or ".join(["w is null", *[f"_n{i} > 0" for i in range(1, len(names) + 1)]])))
+    texts = [F.col(source_col).alias("_t0"), *[F.col(target_cols[n]).alias(f"_t{i}") for i, n in enumerate(names, 1)]]
+    dealt = with_key_rows(df.select(*keys, *texts), keys, "_rows")
+    rows = dealt.select(*keys, (F.col("_rows") == 1).alias("_alone"), *[lm_tokens(f"_t{i}").alias(f"_t{i}") for i in range(len(names) + 1)])
+    counts = [f"_n{i}" for i in range(len(names) + 1)]
+    sums = [x for i in range(1, len(names) + 1) for x in (f"_ll{i}", f"_all{i}")]
+    ex = (rows.mapInArrow(_count_words(keys, len(names), lm, lam), StructType([*[rows.schema[k] for k in keys], *_counted(counts, sums)]))
+          .select(*keys, "_len", *sums, F.explode("_entries").alias("z")).select(*keys, "_len", *sums, "z.*"))
+    # the entry without a word carries its row's sums
+    counted = (ex.groupBy(*keys, "w")
+               .agg(F.max("_len").alias("_len"), *[F.sum(c).alias(c) for c in counts], *[F.sum(F.when(F.col("w").isNull(), F.col(c))).alias(c) for c in sums])
+               .filter(" or ".join(["w is null", *[f"{c} > 0" for c in counts[1:]]])))
     j = heavy_left_join(counted, lm.p, "w", lm.heavy, int(1 / HEAVY_SHARE), F.xxhash64(*keys, "w"))
     p = F.coalesce(F.col("p"), F.lit(lm.floor))
     rel = F.when(F.col("_len") > 0, F.col("_n0") / F.col("_len")).otherwise(F.lit(0.0))
     ll = F.log(F.lit(lam) * rel + F.lit(1.0 - lam) * p)
-    sums = [x for i in range(1, len(names) + 1) for x in (
-        F.sum(F.when(F.col(f"_n{i}") > 0, F.col(f"_n{i}") * ll)).alias(f"_ll{i}"), F.sum(f"_n{i}").alias(f"_all{i}"))]
-    g = j.groupBy(*keys).agg(*sums)
+    totals = [x for i in range(1, len(names) + 1) for x in (
+        F.sum(F.coalesce(F.col(f"_ll{i}"), F.when(F.col(f"_n{i}") > 0, F.col(f"_n{i}") * ll))).alias(f"_ll{i}"),
+        F.sum(F.coalesce(F.col(f"_all{i}"), F.col(f"_n{i}"))).alias(f"_all{i}"))]
+    g = j.groupBy(*keys).agg(*totals)
     return g.select(*keys, *[x for i, n in enumerate(names, 1) for x in (
         (F.col(f"_ll{i}") / F.when(F.col(f"_all{i}") > 0, F.col(f"_all{i}"))).alias(f"score_{n}"), F.col(f"_all{i}").alias(f"n_{n}"))])
 
 
+def _counted(counts: Sequence[str], sums: Sequence[str]) -> list[StructField]:
+    """What ``_count_words`` adds to the keys."""
+    entry = StructType([StructField("w", StringType()), *[StructField(c, LongType()) for c in counts]])
+    return [StructField("_len", LongType()), *[StructField(c, DoubleType() if c.startswith("_ll") else LongType()) for c in sums],
+            StructField("_entries", ArrayType(entry))]
+
+
+def _count_words(keys: Sequence[str], n_targets: int, lm: LM, lam: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts the words of each row's source ``_t0`` and targets ``_t1``, ... (see ``lm_scores``)."""
+    heavy = lm.heavy.select("w", "p").limit(int(1 / HEAVY_SHARE) + 1).toArrow()  # at most 1 / HEAVY_SHARE words
+    frequent, shares = heavy.column("w").combine_chunks().cast(pa.string()), heavy.column("p").to_numpy()
+
+    def part(alone: np.ndarray, sides: list[pa.Array]) -> list[pa.Array]:
+        n = len(alone)
+        sizes = [lengths(side) for side in sides]
+        owners = [np.repeat(np.arange(n), size) for size in sizes]
+        words, single = codes(sides)
+        many = max(len(words), 1)
+        # (row, word) of every word of a target, and of every word where a key is shared
+        held = [o * many + c for o, c in zip(owners, single, strict=True)]
+        pairs = np.unique(np.concatenate([held[0][~alone[owners[0]]], *held[1:]]))
+        found = []
+        for h in held:
+            at = np.searchsorted(pairs, h)
+            at = at[np.append(pairs, -1)[at] == h]
+            found.append(np.bincount(at, minlength=len(pairs)))
+        row, word = pairs // many, pairs % many
+        place = pc.index_in(words, value_set=frequent).to_numpy(zero_copy_only=False)
+        p = np.where(np.isnan(place), np.nan, np.append(shares, np.nan)[np.nan_to_num(place, nan=len(shares)).astype(np.int64)])[word]
+        here = alone[row] & ~np.isnan(p)
+        rel = found[0][here] / np.maximum(sizes[0], 1)[row[here]]
+        ll = np.log(lam * rel + (1.0 - lam) * p[here])
+        sums = []
+        for times in found[1:]:
+            sums += [pa.array(np.bincount(row[here], weights=times[here] * ll, minlength=n)),
+                     pa.array(np.bincount(row[here], weights=times[here], minlength=n).astype(np.int64))]
+        # one entry without a word before those of each row
+        left = np.flatnonzero(~here)
+        before = np.searchsorted(row[left], np.arange(n + 1))
+        ends = before + np.arange(n + 1)
+        order = np.full(ends[-1], -1, dtype=np.int64)
+        order[np.arange(len(left)) + row[left] + 1] = left
+        entry_words = words.take(pa.array(np.append(word, 0)[order], mask=order < 0))
+        entry_counts = [pa.array(np.append(times, 0)[order]) for times in found]
+        entries = pa.StructArray.from_arrays([entry_words, *entry_counts], ["w", *[f"_n{i}" for i in range(n_targets + 1)]])
+        return [pa.array(sizes[0]), *sums, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [*keys, "_len", *[x for i in range(1, n_targets + 1) for x in (f"_ll{i}", f"_all{i}")], "_entries"]
+        for batch in batches:
+            for a, b in token_slices([batch.column(f"_t{i}") for i in range(n_targets + 1)]):
+                rows = batch.slice(a, b - a)
+                made = part(rows.column("_alone").to_numpy(zero_copy_only=False).astype(bool), [rows.column(f"_t{i}") for i in range(n_targets + 1)])
+                yield pa.RecordBatch.from_arrays([*[rows.column(k) for k in keys], *made], names)
+
+    return run
+
+
 def lm_score(df: DataFrame, lm: LM, key: str | Sequence[str], source_col: str = "document",
              target_col: str = "summary", lam: float = LAMBDA, out: str = "score") -> DataFrame:
     """G2 (score): one row per pair with ``score`` and ``score_error``. An empty summary

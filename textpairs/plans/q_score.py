@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textpairs.functions.text import lead_sentence, sentences
+from textpairs.functions.text import has_second_sentence, lead_sentence
 from textpairs.operators import scoring as G
 from textpairs.operators.pairs import expand_references
 from textpairs.operators.ranking import numeric_shard, sharded_row_number
 from textpairs.plans import fixtures as FX
 from textpairs.plans import sqlbits as S
 from textpairs.plans.catalog import r6, register
-from textpairs.session import read_table
+from textpairs.session import cut_lineage, read_table
 
 
 def _lead_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Documents with 2+ sentences: document = text, summary = lead sentence."""
     d = read_table(spark, sf, "documents")
-    return (d.filter(F.size(sentences("text")) >= 2)
+    return (d.filter(has_second_sentence("text"))
             .select(F.col("doc_id").cast("string").alias("pair_id"), "doc_id",
                     F.col("text").alias("document"), lead_sentence("text").alias("summary")))
 
@@ -127,8 +127,10 @@ def q_g7(spark: SparkSession, sf: str) -> DataFrame:
     """Numbered report, 50-character document preview, score to 4 places."""
     lp = _lead_pairs(spark, sf)
     s = G.lm_score(lp, _doc_lm(spark, sf), "pair_id", "document", "summary")
-    j = lp.join(s, "pair_id")
-    j = j.withColumn("_shard", numeric_shard(lp, "doc_id", 256))
+    # the report needs the head of a document; it is scored once and written, since numbering reads it twice
+    head = lp.select("pair_id", "doc_id", F.substring("document", 1, 50).alias("document"), "summary")
+    j = cut_lineage(head.join(s, "pair_id"))
+    j = j.withColumn("_shard", numeric_shard(j, "doc_id", 256))
     j = sharded_row_number(j, ["doc_id"], "_shard", out="pair_no")
     return G.score_report(j, "pair_no", "document", "summary", "score", 50)
 
