@@ -172,6 +172,46 @@ def test_verification_is_exact(spark):
     assert [r.b for r in minhash._linked(pairs, sets, 85).collect()] == [2]
 
 
+def test_sketches_lose_no_link(spark):
+    rnd = random.Random(3)
+    sets = []
+    for n in (1, 2, 40, 64, 65, 120, 700):
+        base = rnd.sample(range(1 << 62), n)
+        sets += [base, *[sorted({*rnd.sample(base, max(1, n - k)), *rnd.sample(range(1 << 62), j)}) for k in (0, 1, n // 20, n // 7) for j in (0, 1, n // 12)]]
+    odd = minhash.odd_sketches([np.array(s, dtype=np.uint64) for s in sets])
+    rows = spark.createDataFrame([(i, s, o) for i, (s, o) in enumerate(zip(sets, odd.to_pylist(), strict=True))],
+                                 "set_no long, shingles array<long>, odd array<long>")
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
+    for percent in (85, 30):
+        linked = {(i, j) for i, j in pairs if 100 * len({*sets[i]} & {*sets[j]}) >= percent * len({*sets[i]} | {*sets[j]})}
+        got = {(r.a, r.b) for r in minhash._close(spark.createDataFrame(pairs, "a long, b long"), rows, percent).collect()}
+        assert linked <= got
+    assert len(linked) < len(pairs)
+
+
+def test_few_sets_of_a_group_below_the_threshold_are_compared(spark, monkeypatch):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choices("abcdefghij", k=6))
+    base, texts = [word() for _ in range(60)], []
+    for _ in range(150):
+        copy = list(base)
+        for at in rnd.sample(range(0, 60, 3), 3):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    compared, linked = [], minhash._linked
+
+    def seen(pairs, sets, percent):
+        compared.append(pairs.count())
+        return linked(pairs, sets, percent)
+
+    monkeypatch.setattr(minhash, "_linked", seen)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.id: r.component_id for r in minhash.near_duplicate_groups(rows).collect()}
+    want = brute_groups(brute_sets(texts))
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(compared) < 3 * len(texts)  # of 11,175 pairs
+
+
 def test_shingles_of_short_texts():
     hashes, offsets = minhash.shingle_hashes(pa.array(["a b c d a b c", "a b", "b a", "", None, "a\tB "]), 3)
     assert np.diff(offsets).tolist() == [5, 1, 1, 0, 0, 1]

@@ -21,7 +21,10 @@ pairs of similarity s, which misses about two pairs in a hundred thousand at
    members of other components. It ends when every bucket
    is of one component or all those members were elected, so no pair is capped and a group of near copies costs about one
    comparison a member.
-4. A large bucket of members that did not link (documents that only share a passage)
+4. Before sets are fetched or compared, a pair must pass its sketches: parities of the shingle
+   hashes that fall on each of about as many cells as the set has shingles (odd sketches). Cells that differ are never more than
+   the shingles that only one of the two sets has, so the test loses no link, and what it lets pass is mostly linked.
+5. A large bucket of members that did not link (documents that only share a passage)
    is not compared pair by pair: its members get further, longer keys from a
    third collection, which separate them, and only members that meet again are
    candidates.
@@ -110,6 +113,17 @@ def _distinct(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [np.unique(hashes[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
 
 
+def odd_sketches(sets: list[np.ndarray]) -> pa.ListArray:
+    """For every set, parities of the hashes on its cells as 64-bit words: the least power of two cells that is as large as the set."""
+    words = []
+    for s in sets:
+        cells = max(64, 1 << max(len(s) - 1, 0).bit_length())
+        odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+        words.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"))
+    bounds = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(words) if words else np.zeros(0, np.int64)))
+
+
 def sketches(docs: DataFrame, shingle: int, groups: int, rows: int) -> DataFrame:
     """(id, text_hash, set_id, n, first, second): digest and size of a row's set, its keys of two collections."""
     id_type = docs.schema["id"].dataType.simpleString()
@@ -131,7 +145,7 @@ def sketches(docs: DataFrame, shingle: int, groups: int, rows: int) -> DataFrame
 
 
 def full_sets(docs: DataFrame, shingle: int, groups: int, rows: int) -> DataFrame:
-    """(set_id, shingles, longer): whole sets of texts, and ``groups`` further keys of ``rows`` minhashes."""
+    """(set_id, shingles, longer, odd): whole sets of texts, ``groups`` further keys of ``rows`` minhashes, and the odd sketch."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,9 +158,9 @@ def full_sets(docs: DataFrame, shingle: int, groups: int, rows: int) -> DataFram
                     pa.array(band_keys(hashes, offsets, groups, rows, 2).ravel()), groups).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)), longer], ["set_id", "shingles", "longer"])
+                     pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)), longer, odd_sketches(sets)], ["set_id", "shingles", "longer", "odd"])
 
-    return docs.mapInArrow(sets_of, "set_id binary, shingles array<long>, longer array<long>")
+    return docs.mapInArrow(sets_of, "set_id binary, shingles array<long>, longer array<long>, odd array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -167,6 +181,31 @@ def _alike_in_size(percent: int, n: str, m: str) -> Column:
     return (F.col(n) * 100 >= F.col(m) * percent) & (F.col(m) * 100 >= F.col(n) * percent)
 
 
+def _may_link(percent: int, n: str, odd: str, m: str, other: str) -> Column:
+    """Whether sets of ``n`` and ``m`` shingles may have that similarity, by their odd sketches; false only if they have not.
+
+    The cells of a sketch twice as long as the other are added up, so that both have the same ones."""
+    least = F.least(F.size(odd), F.size(other))
+    xor = lambda x, y: x.bitwiseXOR(y)
+
+    def halved(c: str) -> Column:
+        return F.when(F.size(c) > least, F.zip_with(F.slice(c, F.lit(1), least), F.slice(c, least + 1, least), xor)).otherwise(F.col(c))
+
+    apart = F.aggregate(F.zip_with(halved(odd), halved(other), xor), F.lit(0), lambda k, x: k + F.bit_count(x).cast("int"))
+    alike = apart.cast("long") * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent)
+    return F.when(F.greatest(F.size(odd), F.size(other)) <= 2 * least, alike).otherwise(F.lit(True))
+
+
+def _sketched(sets: DataFrame, c: str) -> DataFrame:
+    return sets.select(F.col("set_no").alias(c), F.size("shingles").cast("long").alias(f"n_{c}"), F.col("odd").alias(f"odd_{c}"))
+
+
+def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches let pass."""
+    return (pairs.join(_sketched(sets, "a"), "a").join(_sketched(sets, "b"), "b")
+            .filter(_may_link(percent, "n_a", "odd_a", "n_b", "odd_b")).select("a", "b"))
+
+
 def _roots_of(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     """``pairs`` (a, b) of sets in different components, with these (ra, rb)."""
     ra, rb = (comp.select(F.col("set_no").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
@@ -176,7 +215,7 @@ def _roots_of(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 def _merged(comp: DataFrame, found: DataFrame) -> DataFrame:
     """``comp`` (set_no, root) after the links ``found`` (a, b): components of the roots they connect."""
     links = _roots_of(found, comp).select(F.col("ra").alias("src"), F.col("rb").alias("dst"))
-    moved = connected_components(links, rounds=2, tidy=True).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    moved = connected_components(links, tidy=True).select(F.col("node").alias("root"), F.col("root").alias("to"))
     out = cut_lineage(comp.join(moved, "root", "left").select("set_no", F.coalesce("to", "root").alias("root")))
     forget(comp.sparkSession)
     return out
@@ -205,7 +244,7 @@ def _resolve(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: int,
     best = (members.join(heads, "bucket").filter((F.col("set_no") != F.col("a")) & _alike_in_size(percent, "n", "na"))
             .groupBy("a", F.col("set_no").alias("b")).agg(F.count("*").alias("buckets"))
             .groupBy("b").agg(F.max_by("a", F.struct("buckets", "a")).alias("a")))
-    comp = _merged(comp, _linked(_roots_of(best, comp).select("a", "b"), sets, percent))
+    comp = _merged(comp, _linked(_close(_roots_of(best, comp).select("a", "b"), sets, percent), sets, percent))
     forget(sets.sparkSession)
     left = cut_lineage(_unresolved(members, comp))
     large = left.filter(F.col("size") > whole).select("bucket", "set_no", "n") if whole else None
@@ -215,10 +254,12 @@ def _resolve(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: int,
     upto = float(elect)
     while not left.filter("outsider and not met").isEmpty():
         now = left.withColumn("elected", F.col("outsider") & ~F.col("met") & (number < upto / F.col("outsiders")))
-        a = now.filter("elected").select("bucket", F.col("set_no").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+        known = now.join(sets.select("set_no", "odd"), "set_no")
+        a = known.filter("elected").select("bucket", F.col("set_no").alias("a"), F.col("n").alias("na"), F.col("odd").alias("odd_a"), F.col("root").alias("ra"))
         # a member elected in an earlier round has met all; two that are elected now meet once
         open_ = ~F.col("met") & (~F.col("elected") | (F.col("set_no") > F.col("a")))
-        pairs = (now.join(a, "bucket").filter((F.col("root") != F.col("ra")) & open_ & _alike_in_size(percent, "n", "na"))
+        pairs = (known.join(a, "bucket").filter((F.col("root") != F.col("ra")) & open_ & _alike_in_size(percent, "n", "na")
+                                                & _may_link(percent, "n", "odd", "na", "odd_a"))
                  .select("a", F.col("set_no").alias("b")).distinct())
         comp = _merged(comp, _linked(pairs, sets, percent))
         # a bucket of which all outsiders were elected is done: components only grow together
@@ -258,7 +299,8 @@ def near_duplicate_classes(docs: DataFrame, distinct: DataFrame, shingle: int, p
     rows = docs.join(candidates.select(F.col("rep.id").alias("cid"), F.col("rep.text_hash").alias("ch")).hint("shuffle_hash"),
                      (F.col("ch") == F.col("text_hash")) & F.col("cid").eqNullSafe(F.col("id")), "left_semi")
     found = full_sets(rows, shingle, longer_groups, longer_rows).join(candidates.select("set_id", "set_no"), "set_id")
-    found.groupBy("set_no").agg(F.first("shingles").alias("shingles"), F.first("longer").alias("longer")).write.parquet(path)
+    found.groupBy("set_no").agg(F.first("shingles").alias("shingles"), F.first("longer").alias("longer"),
+                                F.first("odd").alias("odd")).write.parquet(path)
     sets = spark.read.parquet(path)
     forget(spark)
     comp, large = _resolve(members, sets, sets.select("set_no", F.col("set_no").alias("root")), percent, whole)
