@@ -106,6 +106,30 @@ def test_stems_join_back_in_order(spark):
     assert got == {k: (plain(a), plain(b)) for k, a, b in rows}
 
 
+def test_stems_of_shared_and_null_keys(spark):
+    from textpairs.operators.stems import stemmed
+    rows = [(1, "x", ["cats", "dogs"]), (1, "y", ["ponies"]), (None, "z", ["cats"]), (None, "n", None), (2, "e", []), (3, "o", ["ponies", None])]
+    df = spark.createDataFrame(rows, "k long, other string, a array<string>")
+    got = {r["other"]: r["a"] for r in stemmed(df, ["k"], ["a"]).collect()}
+    assert got == {"x": ["cat", "poni", "dog"], "y": ["cat", "poni", "dog"], "z": [], "n": None, "e": [], "o": ["poni", None]}
+
+
+def test_stems_move_distinct_tokens(spark, monkeypatch):
+    from textpairs.operators import stems as ST
+    words = ["running", "cats", "ponies", "was", "hopeful"]
+    df = spark.createDataFrame([(k, words * 100) for k in range(40)], "k long, a array<string>").repartition(2)
+    moved, joined = [], type(df).join
+
+    def seen(self, other, *args, **kw):
+        moved.append(max(self.count(), other.count()))
+        return joined(self, other, *args, **kw)
+
+    monkeypatch.setattr(type(df), "join", seen)
+    got = ST.stemmed(df, ["k"], ["a"]).collect()
+    assert all(r["a"] == ["run", "cat", "poni", "was", "hope"] * 100 for r in got) and len(got) == 40
+    assert max(moved) <= 40  # of 20,000 tokens
+
+
 # ---------------------------------------------------------------- ranking, cap, shuffle
 
 def test_sharded_row_number_equals_global(spark):

@@ -11,12 +11,18 @@ joined back (``stemmed``).
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from textpairs.operators.joins import frequent, heavy_left_join
+from textpairs.functions.multisets import codes, lengths, token_slices
+from textpairs.operators.joins import with_key_rows
 from textpairs.session import cut_lineage
 
 # fixed values: suffix rules of the published algorithm, steps 2, 3 and 4
@@ -33,9 +39,6 @@ STEP4 = ["al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment
 #: Tokens longer than this are stemmed (the ROUGE convention).
 LONGER_THAN = 3
 
-#: Tokens that hold at least this share of all tokens are looked up in a broadcast table.
-HEAVY_SHARE = 1e-5
-
 
 def _ends(suffix: str) -> str:
     return f"right(w, {len(suffix)}) = '{suffix}'"
@@ -126,28 +129,74 @@ def sql_stem_table(words: str, name: str, token: str = "token") -> str:
 def stemmed(df: DataFrame, key_cols: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """``df`` with the token arrays ``cols`` stemmed; ``key_cols`` name a row.
 
-    Tokens are counted, each distinct one is stemmed once, and the stems are joined back:
-    those of frequent tokens from a broadcast table of at most ``1 / HEAVY_SHARE`` rows."""
-    keys = list(key_cols)
-    given = cut_lineage(df)
-
-    def side(k: int, c: str):
-        return F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")),
-                           _placed(k))
-
-    all_tokens = F.concat(*[side(k, c) for k, c in enumerate(cols)])
-    ex = given.select(*keys, F.explode(all_tokens).alias("x")).select(*keys, "x.side", "x.at", "x.token")
-    long = F.length("token") > LONGER_THAN
-    counted = cut_lineage(ex.filter(long).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    stems = cut_lineage(stem_table(counted)).filter("stem <> token")
-    heavy = frequent(stems, "n", HEAVY_SHARE).select("token", "stem")
-    found = heavy_left_join(ex, stems.select("token", "stem"), "token", heavy, int(1 / HEAVY_SHARE), F.xxhash64(*keys, "side", "at"))
-    whole = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("side", "at", F.coalesce("stem", "token").alias("t")))).alias("_all"))
-    parts = [F.when(F.col(c).isNotNull(), F.transform(F.filter(F.coalesce("_all", F.array().cast(whole.schema["_all"].dataType)), _of_side(k)),
-                                                      lambda x: x["t"])).alias(c) for k, c in enumerate(cols)]
-    rest = [F.col(c) for c in df.columns if c not in cols]
-    joined = given.join(whole, keys, "left")
-    return joined.select(*rest, *parts).select(*df.columns)
+    Rows stay whole: tasks cut them into slices of about a million tokens, each distinct token of a slice is a row
+    that looks up its stem (each distinct token of the table is stemmed once), and a slice's rows meet its stems again.
+    Rows that share a key have their tokens merged by place, those of a null key none."""
+    keys, names = list(key_cols), df.columns
+    rows = with_key_rows(df, keys, "_rows")
+    given = cut_lineage(rows.mapInArrow(_sliced(list(cols)), StructType([
+        *rows.schema.fields, StructField("_slice", LongType()), StructField("_tokens", ArrayType(StringType()))])))
+    tokens = cut_lineage(given.select("_slice", F.explode("_tokens").alias("token")))
+    # (written before it is filtered, or every stem would be made twice)
+    stems = cut_lineage(stem_table(tokens.select("token").distinct())).filter("stem <> token")
+    found = cut_lineage(tokens.join(stems, "token"))
+
+    schema = StructType([StructField(f.name, ArrayType(StringType())) if f.name in cols else f for f in df.schema])
+
+    def with_stems(part: DataFrame) -> DataFrame:
+        return part.select("_slice", *names).groupBy("_slice").cogroup(found.groupBy("_slice")).applyInArrow(_replaced(list(cols), names), schema)
+
+    alone = F.col("_rows") == 1
+    for k in keys:
+        alone = alone & F.col(k).isNotNull()
+    return with_stems(given.filter(alone)).union(_merged(with_stems(given.filter(~alone)), keys, cols))
+
+
+def _merged(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
+    """Rows that share a key with the tokens of all of them, in the order of their places."""
+    all_tokens = F.concat(*[F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), _placed(k)) for k, c in enumerate(cols)])
+    whole = (df.select(*keys, F.explode(all_tokens).alias("x"))
+             .groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("_all")))
+    parts = {c: F.when(F.col(c).isNotNull(), F.transform(F.filter(F.coalesce("_all", F.array().cast(whole.schema["_all"].dataType)), _of_side(k)),
+                                                         lambda x: x["token"])).alias(c) for k, c in enumerate(cols)}
+    return df.join(whole, list(keys), "left").select(*[parts.get(c, F.col(c)) for c in df.columns])
+
+
+def _sliced(cols: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with the number of their slice; a slice's first row has its distinct tokens that may have a stem."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for a, b in token_slices([batch.column(c) for c in cols]):
+                part = batch.slice(a, b - a)
+                distinct = codes([part.column(c) for c in cols])[0]
+                long = distinct.filter(pc.fill_null(pc.greater(pc.utf8_length(distinct), LONGER_THAN), False))
+                ends = np.full(len(part) + 1, len(long), dtype=np.int32)
+                ends[0] = 0
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(len(part), number)),
+                                                  pa.ListArray.from_arrays(pa.array(ends), long.cast(pa.string()))],
+                                                 [*part.schema.names, "_slice", "_tokens"])
+                number += 1
+
+    return run
+
+
+def _replaced(cols: Sequence[str], names: Sequence[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The rows of a slice, their tokens replaced by stems."""
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        token, stem = (found.column(c).combine_chunks().cast(pa.string()) for c in ("token", "stem"))
+        out = {}
+        for c in cols:
+            lists = rows.column(c).combine_chunks()
+            coded = lists.flatten().cast(pa.string()).dictionary_encode()
+            known = pc.coalesce(stem.take(pc.index_in(coded.dictionary, value_set=token)), coded.dictionary)
+            ends = np.concatenate([[0], np.cumsum(lengths(lists))]).astype(np.int32)
+            out[c] = pa.ListArray.from_arrays(pa.array(ends), known.take(coded.indices), mask=lists.is_null())
+        return pa.table([out.get(c, rows.column(c)) for c in names], names=list(names))
+
+    return run
 
 
 def _placed(side: int) -> Callable:
