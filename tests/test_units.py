@@ -495,6 +495,24 @@ def test_near_dedup_joins_every_verified_bucket_pair(spark):
     assert {r["doc_id"]: r["component"] for r in dedup_near(docs, hash_kind="md5").collect()} == {d: find(d) for d in sh}
 
 
+def test_compute_metrics_counts_the_vocabulary_once(spark, tmp_path, monkeypatch):
+    from textpairs.operators import vocab as V
+    from textpairs.plans.catalog import QUERIES
+    text = "The cats were running home. They saw ponies there. "
+    rows = [(k, text * (k % 3 + 1), "en", "web", len(text)) for k in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    built, build = [], V.build_vocab
+
+    def seen(*args, **kw):
+        built.append(1)
+        return build(*args, **kw)
+
+    monkeypatch.setattr(V, "build_vocab", seen)
+    got = {r["name"]: r["value"] for r in QUERIES["compute_metrics"](spark, str(tmp_path)).collect()}
+    assert len(built) == 1
+    assert got["test_gen_len"] > 0 and 0 < got["test_rouge1"] < 100
+
+
 def test_compute_metrics_by_hand(spark):
     from textpairs.functions.lcs import rouge_lsum
     from textpairs.operators.rouge import compute_metrics

@@ -210,8 +210,9 @@ def q_e11(spark: SparkSession, sf: str) -> DataFrame:
 def q_compute_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """E1-E11 as one flow over the padded batches: the first 128 input ids stand
     in for generated ids, the labels are the reference, tokens stemmed (tested by brute force)."""
-    batched = B.pad_labels(_batched(spark, sf)).withColumn("pred_ids", F.slice("input_ids", 1, 128))
-    return RG.compute_metrics(batched, _vocab(spark, sf), ["split", "row_key"], vocab_size=VOCAB_SIZE)
+    vocab = cut_lineage(_vocab(spark, sf))  # made once, for encoding and decoding
+    batched = B.pad_labels(_batched(spark, sf, vocab)).withColumn("pred_ids", F.slice("input_ids", 1, 128))
+    return RG.compute_metrics(batched, vocab, ["split", "row_key"], vocab_size=VOCAB_SIZE)
 
 
 @register("e12_perplexity", f"""WITH {FX.sql_stored()},

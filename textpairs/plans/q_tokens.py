@@ -17,8 +17,8 @@ from textpairs.session import read_table
 from textpairs.sources import registry as R
 
 
-def _prep(spark: SparkSession, sf: str) -> DataFrame:
-    return prepare_pairs(spark, FX.fixture_specs(sf), _vocab(spark, sf), VOCAB_SIZE)
+def _prep(spark: SparkSession, sf: str, vocab: DataFrame | None = None) -> DataFrame:
+    return prepare_pairs(spark, FX.fixture_specs(sf), _vocab(spark, sf) if vocab is None else vocab, VOCAB_SIZE)
 
 
 def _valid(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,8 +110,8 @@ B1_CTE = (f"b1 AS (SELECT *, ((shuffle_rank - 1) // {BATCH})::BIGINT AS batch_id
           f"len(string_split(input_ids, ' ')) AS n_in, len(string_split(labels, ' ')) AS n_lab FROM prep)")
 
 
-def _batched(spark: SparkSession, sf: str) -> DataFrame:
-    return B.assign_batches(_prep(spark, sf))
+def _batched(spark: SparkSession, sf: str, vocab: DataFrame | None = None) -> DataFrame:
+    return B.assign_batches(_prep(spark, sf, vocab))
 
 
 @register("b1_assign_batches", f"WITH {PREP_CTES}, {B1_CTE} SELECT split, row_key, shuffle_rank, batch_id FROM b1")
