@@ -743,3 +743,36 @@ def test_second_sentence_and_tokens_in_one_reading(spark):
     for r in df.select(has_second_sentence("t").alias("two"), (F.size(sentences("t")) >= 2).alias("plain"), rouge_tokens("t").alias("a"),
                        replaced("[^a-z0-9]+").alias("a2"), lm_tokens("t").alias("l"), replaced(r"[^\p{L}\p{N}]+").alias("l2"), "t").collect():
         assert (bool(r["two"]), r["a"], r["l"]) == (bool(r["plain"]), r["a2"], r["l2"]), r["t"]
+
+
+def test_prepared_pairs_shuffle_no_text(spark, monkeypatch):
+    """Repeated keys go to the texts, and rows are encoded before they are ranked."""
+    from textpairs.operators import pairs as P
+    from textpairs.operators.vocab import build_vocab
+    from textpairs.plans import prepare
+    rows = [("s", "train", k, f"s:{k}", f"\x0ba{k} b\nb", "c") for k in range(9)] + [("s", "train", 3, "s:3", "d", "c"), ("s", "test", 3, "s:3", None, "c")]
+    pairs = spark.createDataFrame(rows, "source string, split string, row_no long, row_key string, input_text string, target_text string")
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    valid = P.split_pairs(pairs)[0]
+    assert sorted(r["row_key"] for r in valid.collect()) == [f"s:{k}" for k in range(9) if k != 3]
+    assert exchanges(valid) == 0
+    monkeypatch.setattr(P, "FEW_KEYS", 0)  # many keys that repeat are joined
+    many = P.split_pairs(pairs)[0]
+    assert sorted(many.collect()) == sorted(valid.collect())
+    monkeypatch.setattr(prepare, "read_sources", lambda *_: pairs)
+    vocab = build_vocab(pairs, "input_text", 50, 1)
+    assert {r["token"]: r["cnt"] for r in vocab.collect() if r["cnt"]} == {"b": 18, "d": 1, **{f"a{k}": 1 for k in range(9)}}
+    ready = prepare.prepare_pairs(spark, [], vocab, 50)
+    assert "MapInArrow" not in ready._jdf.queryExecution().executedPlan().toString()
+    got = ready.collect()
+    assert sorted(r["shuffle_rank"] for r in got) == list(range(1, 9))
+    assert all(r["input_ids"][2:] == [next(v["id"] for v in vocab.collect() if v["token"] == w) for w in (f"a{r['row_key'][2:]}", "b", "b")] + [2] for r in got)
+
+
+def test_first_sentence_of_a_long_text(spark):
+    from textpairs.functions.text import has_second_sentence, lead_sentence
+    df = spark.createDataFrame([("a " * 500_000,), ("b " * 500_000 + "b.\n c",)], "t string")
+    got = df.select(F.length(lead_sentence("t")).alias("n"), has_second_sentence("t").alias("two")).collect()
+    assert [(r["n"], r["two"]) for r in got] == [(999_999, False), (1_000_002, True)]
+    plan = df.select(lead_sentence("t").alias("l"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract(") + plan.count(" split(") == 1  # the text is read once

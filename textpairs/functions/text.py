@@ -54,13 +54,13 @@ def sentences(c) -> Column:
 
 def lead_sentence(c) -> Column:
     """First of the ``sentences``; null for a blank text. The text is read as far as that sentence goes."""
-    first = strip_ws(F.get(F.split(F.ltrim(col_(c), F.lit(WHITESPACE)), r"(?<=[.!?])\s+|\n", 2), 0))
-    return F.when(first != F.lit(""), first)
+    first = F.regexp_extract(F.ltrim(col_(c), F.lit(WHITESPACE)), r"(?s)^(.*?)(?:(?<=[.!?])\s|\n|\z)", 1)
+    return F.nullif(strip_ws(first), F.lit(""))
 
 
 def has_second_sentence(c) -> Column:
     """Whether a text has two ``sentences`` or more: something stands after the first. The text is read as far as that."""
-    return F.get(F.split(F.ltrim(col_(c), F.lit(WHITESPACE)), r"(?<=[.!?])\s+|\n", 2), 1).rlike(r"\S")
+    return F.ltrim(col_(c), F.lit(WHITESPACE)).rlike(r"(?:[.!?]\s|\n)\s*\S")
 
 
 def rouge_tokens(c, ascii_only: bool = True) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from textpairs.functions.text import strip_ws
+from textpairs.session import cut_lineage
 
 log = logging.getLogger(__name__)
 
@@ -19,6 +20,9 @@ log = logging.getLogger(__name__)
 SUMMARIZATION_PREFIX = "summarize: "
 ENGINE_COLS = ["source", "split", "row_no", "row_key"]
 
+#: Repeated keys, counted before, that may go to every task.
+FEW_KEYS = 100_000
+
 
 class ColumnMappingError(ValueError):
     pass
@@ -77,10 +81,12 @@ def split_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     A pair is rejected when a side is missing or blank, when it has no row key,
     or when its row key stands more than once in its split (encoding groups by
     that key and would merge the rows). The key count is a map-side combined
-    aggregate; the texts are joined on the key only to the keys that repeat."""
+    aggregate; the keys that repeat are written and counted, and unless they are
+    many, they go to the texts: no text is shuffled."""
     blank = lambda c: strip_ws(F.col(c)) == F.lit("")
-    repeated = (pairs.filter(F.col("row_key").isNotNull()).groupBy("split", "row_key").agg(F.count(F.lit(1)).alias("_key_n"))
-                .filter(F.col("_key_n") > 1))
+    repeated = cut_lineage(pairs.filter(F.col("row_key").isNotNull()).groupBy("split", "row_key").agg(F.count(F.lit(1)).alias("_key_n"))
+                           .filter(F.col("_key_n") > 1))
+    repeated = F.broadcast(repeated) if repeated.count() <= FEW_KEYS else repeated
     # (a side's fault is found before the join, so that a reader of keys only does not shuffle texts)
     side = (F.when(F.col("input_text").isNull(), F.lit("missing_document"))
             .when(F.col("target_text").isNull(), F.lit("missing_summary"))

@@ -5,7 +5,8 @@ only where one is asked for) -> task prefix -> encode inputs and targets ->
 concatenate splits -> seeded shuffle rank.
 
 Shuffles: the row-identity check on the row key and the shuffle-rank window on
-(split, md5 shard). Rows are encoded where the window leaves them.
+(split, md5 shard). Rows are encoded where they are read and written once; the
+window and its offsets read the ids, and no text is shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from textpairs.operators.pairs import SUMMARIZATION_PREFIX, split_pairs
 from textpairs.operators.ranking import sharded_row_number
 from textpairs.operators.sampling import cap, with_shuffle_key
 from textpairs.operators.vocab import MAX_INPUT_LENGTH, MAX_TARGET_LENGTH, encode
+from textpairs.session import cut_lineage
 from textpairs.sources.registry import SourceSpec, read_sources
 
 
@@ -33,15 +35,14 @@ def prepare_pairs(spark: SparkSession, specs: Sequence[SourceSpec], vocab: DataF
     the others with their reasons."""
     pairs, _rejects = split_pairs(read_sources(spark, specs))
     capped = cap(pairs, caps) if caps else pairs
-    keyed = with_shuffle_key(capped, seed, "row_key", shard_digits)
+    enc = cut_lineage(encode(capped, vocab,
+                             [("input_text", "input_ids", max_input), ("target_text", "labels", max_target)],
+                             key_cols=["split", "row_key"], carry_cols=["source"], vocab_size=vocab_size,
+                             prefix={"input_text": prefix}))
+    keyed = with_shuffle_key(enc, seed, "row_key", shard_digits)
     ranked = sharded_row_number(keyed, ["shuffle_key", "row_key"], "shuffle_shard", ["split"],
                                 out="shuffle_rank", max_shards=(16 ** shard_digits) * 8)
-    enc = encode(ranked, vocab,
-                 [("input_text", "input_ids", max_input), ("target_text", "labels", max_target)],
-                 key_cols=["split", "row_key"],
-                 carry_cols=["source", "shuffle_rank"], vocab_size=vocab_size,
-                 prefix={"input_text": prefix})
-    return enc.select("split", "source", "row_key", "shuffle_rank", "input_ids", "labels")
+    return ranked.select("split", "source", "row_key", "shuffle_rank", "input_ids", "labels")
 
 
 def rejected_pairs(spark: SparkSession, specs: Sequence[SourceSpec]) -> DataFrame:
