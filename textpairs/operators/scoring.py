@@ -37,7 +37,7 @@ LAMBDA = 0.5
 
 
 #: Words that hold at least this share of the corpus are looked up in a broadcast table.
-HEAVY_SHARE = 1e-5
+HEAVY_SHARE = 1e-6
 
 
 class LM:
@@ -62,8 +62,9 @@ def lm_scores(df: DataFrame, lm: LM, key: str | Sequence[str], source_col: str,
 
     Texts are dealt out by key and counted in their own row, a source once for all targets. The frequent words of a
     target, at most ``1 / HEAVY_SHARE`` of them, find p(w) there too; a row leaves one entry with their sums and one
-    for each other distinct word of its targets, which look up p(w) in a shuffle join. Rows that
-    share a key count together: all their words become entries."""
+    for each other distinct word of its targets, which look up p(w) in a shuffle join (hashed: a word stands there
+    once) and are summed by key where they meet it. Rows that
+    share a key count together: all their words become entries and are added up by word first."""
     keys = [key] if isinstance(key, str) else list(key)
     names = list(target_cols)
     texts = [F.col(source_col).alias("_t0"), *[F.col(target_cols[n]).alias(f"_t{i}") for i, n in enumerate(names, 1)]]
@@ -71,32 +72,37 @@ def lm_scores(df: DataFrame, lm: LM, key: str | Sequence[str], source_col: str,
     rows = dealt.select(*keys, (F.col("_rows") == 1).alias("_alone"), *[lm_tokens(f"_t{i}").alias(f"_t{i}") for i in range(len(names) + 1)])
     counts = [f"_n{i}" for i in range(len(names) + 1)]
     sums = [x for i in range(1, len(names) + 1) for x in (f"_ll{i}", f"_all{i}")]
-    ex = (rows.mapInArrow(_count_words(keys, len(names), lm, lam), StructType([*[rows.schema[k] for k in keys], *_counted(counts, sums)]))
-          .select(*keys, "_len", *sums, F.explode("_entries").alias("z")).select(*keys, "_len", *sums, "z.*"))
-    # the entry without a word carries its row's sums
-    counted = (ex.groupBy(*keys, "w")
-               .agg(F.max("_len").alias("_len"), *[F.sum(c).alias(c) for c in counts], *[F.sum(F.when(F.col("w").isNull(), F.col(c))).alias(c) for c in sums])
-               .filter(" or ".join(["w is null", *[f"{c} > 0" for c in counts[1:]]])))
-    j = heavy_left_join(counted, lm.p, "w", lm.heavy, int(1 / HEAVY_SHARE), F.xxhash64(*keys, "w"))
+    kept = [*keys, "_alone"]
+    ex = (rows.mapInArrow(_count_words(kept, len(names), lm, lam), StructType([*[rows.schema[k] for k in kept], *_counted(counts, sums)]))
+          .select(*kept, "_len", *sums, F.explode("_entries").alias("z")).select(*kept, "_len", *sums, "z.*"))
+    j = heavy_left_join(ex, lm.p.hint("shuffle_hash"), "w", lm.heavy, int(1 / HEAVY_SHARE), F.xxhash64(*keys, "w"))
     p = F.coalesce(F.col("p"), F.lit(lm.floor))
     rel = F.when(F.col("_len") > 0, F.col("_n0") / F.col("_len")).otherwise(F.lit(0.0))
     ll = F.log(F.lit(lam) * rel + F.lit(1.0 - lam) * p)
-    totals = [x for i in range(1, len(names) + 1) for x in (
-        F.sum(F.coalesce(F.col(f"_ll{i}"), F.when(F.col(f"_n{i}") > 0, F.col(f"_n{i}") * ll))).alias(f"_ll{i}"),
-        F.sum(F.coalesce(F.col(f"_all{i}"), F.col(f"_n{i}"))).alias(f"_all{i}"))]
-    g = j.groupBy(*keys).agg(*totals)
+    scored = [F.when(F.col(f"_n{i}") > 0, F.col(f"_n{i}") * ll) for i in range(1, len(names) + 1)]
+    # the entry without a word carries its row's sums; a word's entry is a sum of its own unless the key is shared
+    whole, settled = F.col("w").isNull(), F.col("w").isNull() | F.col("_alone")
+    by_word = j.groupBy(*keys, F.when(~settled, F.col("w")).alias("_word")).agg(
+        F.max("_len").alias("_len"), F.max("p").alias("p"), *[F.sum(c).alias(c) for c in counts],
+        *[x for i, s in enumerate(scored, 1) for x in (
+            F.sum(F.when(whole, F.col(f"_ll{i}")).when(settled, s)).alias(f"_ll{i}"),
+            F.sum(F.when(whole, F.col(f"_all{i}")).when(settled, F.col(f"_n{i}"))).alias(f"_all{i}"))])
+    done = F.col("_word").isNull()
+    g = by_word.groupBy(*keys).agg(*[x for i, s in enumerate(scored, 1) for x in (
+        F.sum(F.when(done, F.col(f"_ll{i}")).otherwise(s)).alias(f"_ll{i}"),
+        F.sum(F.when(done, F.col(f"_all{i}")).otherwise(F.col(f"_n{i}"))).alias(f"_all{i}"))])
     return g.select(*keys, *[x for i, n in enumerate(names, 1) for x in (
         (F.col(f"_ll{i}") / F.when(F.col(f"_all{i}") > 0, F.col(f"_all{i}"))).alias(f"score_{n}"), F.col(f"_all{i}").alias(f"n_{n}"))])
 
 
 def _counted(counts: Sequence[str], sums: Sequence[str]) -> list[StructField]:
-    """What ``_count_words`` adds to the keys."""
+    """What ``_count_words`` adds to the columns kept."""
     entry = StructType([StructField("w", StringType()), *[StructField(c, LongType()) for c in counts]])
     return [StructField("_len", LongType()), *[StructField(c, DoubleType() if c.startswith("_ll") else LongType()) for c in sums],
             StructField("_entries", ArrayType(entry))]
 
 
-def _count_words(keys: Sequence[str], n_targets: int, lm: LM, lam: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _count_words(kept: Sequence[str], n_targets: int, lm: LM, lam: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts the words of each row's source ``_t0`` and targets ``_t1``, ... (see ``lm_scores``)."""
     heavy = lm.heavy.select("w", "p").limit(int(1 / HEAVY_SHARE) + 1).toArrow()  # at most 1 / HEAVY_SHARE words
     frequent, shares = heavy.column("w").combine_chunks().cast(pa.string()), heavy.column("p").to_numpy()
@@ -108,13 +114,13 @@ def _count_words(keys: Sequence[str], n_targets: int, lm: LM, lam: float) -> Cal
         words, single = codes(sides)
         many = max(len(words), 1)
         # (row, word) of every word of a target, and of every word where a key is shared
-        held = [o * many + c for o, c in zip(owners, single, strict=True)]
-        pairs = np.unique(np.concatenate([held[0][~alone[owners[0]]], *held[1:]]))
+        held = [np.unique(o * many + c, return_counts=True) for o, c in zip(owners, single, strict=True)]
+        pairs = np.sort(np.concatenate([held[0][0][~alone[held[0][0] // many]], *[h for h, _n in held[1:]]]))
+        pairs = pairs[np.diff(pairs, prepend=-1) > 0]
         found = []
-        for h in held:
-            at = np.searchsorted(pairs, h)
-            at = at[np.append(pairs, -1)[at] == h]
-            found.append(np.bincount(at, minlength=len(pairs)))
+        for h, times in held:
+            at = np.searchsorted(h, pairs)
+            found.append(np.where(np.append(h, -1)[at] == pairs, np.append(times, 0)[at], 0))
         row, word = pairs // many, pairs % many
         place = pc.index_in(words, value_set=frequent).to_numpy(zero_copy_only=False)
         p = np.where(np.isnan(place), np.nan, np.append(shares, np.nan)[np.nan_to_num(place, nan=len(shares)).astype(np.int64)])[word]
@@ -137,12 +143,12 @@ def _count_words(keys: Sequence[str], n_targets: int, lm: LM, lam: float) -> Cal
         return [pa.array(sizes[0]), *sums, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), entries)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*keys, "_len", *[x for i in range(1, n_targets + 1) for x in (f"_ll{i}", f"_all{i}")], "_entries"]
+        names = [*kept, "_len", *[x for i in range(1, n_targets + 1) for x in (f"_ll{i}", f"_all{i}")], "_entries"]
         for batch in batches:
             for a, b in token_slices([batch.column(f"_t{i}") for i in range(n_targets + 1)]):
                 rows = batch.slice(a, b - a)
                 made = part(rows.column("_alone").to_numpy(zero_copy_only=False).astype(bool), [rows.column(f"_t{i}") for i in range(n_targets + 1)])
-                yield pa.RecordBatch.from_arrays([*[rows.column(k) for k in keys], *made], names)
+                yield pa.RecordBatch.from_arrays([*[rows.column(k) for k in kept], *made], names)
 
     return run
 
