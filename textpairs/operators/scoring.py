@@ -129,7 +129,8 @@ def _count_words(kept: Sequence[str], n_targets: int, lm: LM, lam: float) -> Cal
         ll = np.log(lam * rel + (1.0 - lam) * p[here])
         sums = []
         for times in found[1:]:
-            sums += [pa.array(np.bincount(row[here], weights=times[here] * ll, minlength=n)),
+            # (without a single frequent word, bincount counts in integers)
+            sums += [pa.array(np.bincount(row[here], weights=times[here] * ll, minlength=n).astype(np.float64)),
                      pa.array(np.bincount(row[here], weights=times[here], minlength=n).astype(np.int64))]
         # one entry without a word before those of each row
         left = np.flatnonzero(~here)
