@@ -794,3 +794,37 @@ def test_words_of_a_lone_key_are_summed_where_they_find_p(spark, monkeypatch):
         terms = [np.log(0.5 * rel + 0.5 * p(w)) for rel, w in want.pop(r["k"])]
         assert (r["score_t"], r["n_t"]) == (pytest.approx(np.mean(terms)) if terms else None, len(terms))
     assert not want
+
+
+def test_bpe_slices_meet_the_words_pieces(spark, monkeypatch):
+    """Random texts, repeated and null keys, unknown words and small slices against words looked up one by one; no word is a row."""
+    from textpairs.operators import bpe as B
+    monkeypatch.setattr(B, "_SLICE", 40)
+    monkeypatch.setattr(B, "_TEXT", 60)
+    monkeypatch.setattr(F, "posexplode_outer", lambda *c: 1 / 0)
+    rnd = random.Random(9)
+    known = {"".join(rnd.choices("abé", k=rnd.randint(1, 6))) for _ in range(60)}
+    symbols = {w: [f"<{b:02X}>" for b in w.encode()] if rnd.random() < 0.5 else [f"<{w.encode().hex().upper()}>"] for w in known}
+    numbers = {s: i + 10 for i, s in enumerate(sorted({s for x in symbols.values() for s in x}))}
+    pool = [*known, "zz", "no"]
+    texts = [None if rnd.random() < 0.1 else rnd.choice(["", " \n "]) + rnd.choice([" ", "\t\r\n"]).join(rnd.choices(pool, k=rnd.randint(0, 30))) for _ in range(80)]
+    rows = [(k if k > 12 else rnd.choice([None, 1, 2]), "x", t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "k int, j string, text string").repartition(3)
+    spelt = lambda w: "".join(f"<{b:02X}>" for b in w.encode())
+    segments = spark.createDataFrame([(spelt(w), "".join(s)) for w, s in symbols.items()], "word string, sym string")
+    types = spark.createDataFrame([(spelt(w), 1) for w in known], "sym string, cnt bigint")
+    vocab = spark.createDataFrame(list(numbers.items()), "token string, id int")
+    for most in (1, 7, 500):
+        want = {}
+        for key in {r[0] for r in rows}:
+            words = sorted((p, symbols.get(w, ["<unk>"])) for r in rows if r[0] == key for p, w in enumerate((r[2] or "").split()[:most]))
+            ids = sorted((p, [numbers.get(s, 3) for s in x]) for p, x in words)
+            want[key] = ([s for _, x in words for s in x][:most], [0, *[i for _, x in ids for i in x][:most], 2])
+        got = {r.k: r.bpe_tokens for r in B.bpe_encode(df, segments, types, ["k", "j"], max_tokens=most).collect()}
+        assert got == {k: t for k, (t, _) in want.items()}
+        coded = B.bpe_encode_ids(df, segments, types, vocab, 500, ["k", "j"], max_len=most + 2).collect()
+        assert {r.k: r.input_ids for r in coded} == {k: i for k, (_, i) in want.items()} and len(coded) == len(want)
+    empty = df.limit(0)
+    assert B.bpe_encode(empty, segments, types, ["k"]).count() == 0
+    assert {tuple(r.bpe_tokens) for r in B.bpe_encode(df.filter("k > 12"), segments.limit(0), types.limit(0), ["k"], max_tokens=2).collect()} <= {
+        (), ("<unk>",), ("<unk>", "<unk>")}

@@ -28,13 +28,16 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pandas.util import hash_array
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from textpairs.functions.symbols import PAIR, SymbolRuns, added_up
 from textpairs.functions.text import BOS_ID, EOS_ID, SPECIAL_TOKENS, UNK_ID, words
-from textpairs.operators.joins import frequent, heavy_left_join
-from textpairs.session import broadcast_bounded, scratch_path
+from textpairs.operators.pairs import FEW_KEYS
+from textpairs.session import cut_lineage, scratch_path
 
 
 def byte_symbols(word: Column) -> Column:
@@ -166,12 +169,12 @@ def _guess(exact: _PairCounts, head: SymbolRuns, most: int, min_freq: int) -> li
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Consecutive rows of a task's part, about ``_BLOCK`` symbols together."""
+def _blocks(batches: Iterator[pa.RecordBatch], lists: str = "syms") -> Iterator[pa.Table]:
+    """Consecutive rows of a task's part, about ``_BLOCK`` symbols (of ``lists``) together."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
-        size += len(batch.column("syms").flatten())
+        size += len(batch.column(lists).flatten())
         if size >= _BLOCK:
             yield pa.Table.from_batches(held)
             held, size = [], 0
@@ -315,30 +318,176 @@ def bpe_vocab(merges: DataFrame) -> DataFrame:
     return specials.unionByName(of_bytes).unionByName(merged)
 
 
-#: Words that hold at least this share of all words are looked up in a broadcast table.
-HEAVY_SHARE = 1e-5
+#: Words of texts that a task looks up together, bytes of text that it splits together, and the corpus's words for each bucket.
+_SLICE, _TEXT, _BUCKET_WORDS = 1 << 20, 1 << 22, 4_000_000
+
+
+def _first_words(texts: pa.Array, most: int) -> tuple[pa.Array, np.ndarray]:
+    """The first ``most`` words of every text one after the other, and how many they are."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))  # splits at the characters of ``words``
+    flat = lists.flatten()
+    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    offsets = lists.offsets.to_numpy()
+    starts = np.concatenate([[0], np.cumsum(full)])[offsets - offsets[0]]
+    n = np.diff(starts)
+    full[full] = np.arange(starts[-1]) - np.repeat(starts[:-1], n) < most
+    return flat.filter(pa.array(full)), np.minimum(n, most)
+
+
+def _listed(lengths: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), values)
+
+
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(blocks: pa.ChunkedArray, schema: pa.Schema) -> tuple[pa.Table, list[int]]:
+    """The rows of all blocks, and how many each has."""
+    tables = [pa.ipc.open_stream(b.as_buffer()).read_all().cast(schema) for b in blocks]
+    return pa.concat_tables([schema.empty_table(), *tables]).combine_chunks(), [len(t) for t in tables]
+
+
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else column.combine_chunks()
+
+
+def _bucketed(table: pa.Table, word: str, n: int) -> tuple[np.ndarray, list[tuple[int, pa.Table]]]:
+    """The rows by the bucket of their word, of ``n``: the order they stand in then, and the rows of every bucket there is."""
+    bucket = (hash_array(table.column(word).to_numpy(), categorize=False) % np.uint64(n)).astype(np.int32)
+    order = pc.sort_indices(pa.table({"bucket": bucket, "word": table.column(word)}),
+                            sort_keys=[("bucket", "ascending"), ("word", "ascending")]).to_numpy()
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    rows = table.take(pa.array(order))
+    return order, [(int(bucket[order[a]]), rows.slice(a, b - a)) for a, b in zip(cuts, [*cuts, len(order)][1:], strict=True)]
+
+
+_WORD = pa.schema([("word", pa.binary())])
+
+
+def _cut_texts(keys: Sequence[str], most: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows with the number of their slice and their first words as places in the slice's distinct words; a slice's
+    first row has these, in packed blocks by bucket."""
+
+    def slice_of(number: int, rows: list[pa.RecordBatch], words: list[pa.Array], n: list[np.ndarray]) -> pa.RecordBatch:
+        coded = pa.concat_arrays(words).cast(pa.binary()).dictionary_encode()
+        order, parts = _bucketed(pa.table({"word": coded.dictionary}), "word", buckets)
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        blocks = pa.StructArray.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([_packed(t) for _, t in parts], pa.binary())],
+                                            ["bucket", "words"])
+        kept = pa.Table.from_batches(rows).combine_chunks()
+        of_first = np.zeros(len(kept), dtype=np.int32)
+        of_first[0] = len(parts)
+        codes = _listed(np.concatenate(n), pa.array(place[coded.indices.to_numpy(zero_copy_only=False)]))
+        return pa.RecordBatch.from_arrays([*[_whole(kept.column(k)) for k in keys], pa.array(np.full(len(kept), number)), codes,
+                                           _listed(of_first, blocks)], [*keys, "_slice", "_codes", "_blocks"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        rows, words, n, size = [], [], [], 0
+        for batch in batches:
+            text = pc.fill_null(pc.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(np.cumsum(text) // _TEXT, prepend=-1))
+            for a, b in zip(cuts, [*cuts[1:], len(batch)], strict=True):
+                part = batch.slice(a, b - a)
+                some, counts = _first_words(part.column("_text"), most)
+                rows.append(part.select(list(keys)))
+                words.append(some)
+                n.append(counts)
+                size += len(some) + len(part)
+                if size >= _SLICE:
+                    yield slice_of(number, rows, words, n)
+                    rows, words, n, size, number = [], [], [], 0, number + 1
+        if rows:
+            yield slice_of(number, rows, words, n)
+
+    return run
 
 
 def _with_pieces(df: DataFrame, pieces: DataFrame, types: DataFrame, key_cols: Sequence[str], col: str, most: int, item: str) -> DataFrame:
     """``key_cols, items``: the texts' first words (at most ``most``) with their ``pieces`` (word, items), joined up in order.
 
-    Very frequent words (``types`` has the counts) are looked up in a broadcast table of at most
-    ``1 / HEAVY_SHARE`` rows, the others in a shuffle join."""
-    keys = list(key_cols)
-    cut = F.coalesce(F.slice(words(col), 1, most), F.array().cast("array<string>"))
-    ex = df.select(*keys, F.posexplode_outer(cut).alias("pos", "w")).withColumn("word", byte_symbols(F.col("w")))
-    common = frequent(types.select(F.col("sym").alias("word"), "cnt"), "cnt", HEAVY_SHARE).select("word")
-    heavy = pieces.join(broadcast_bounded(common, int(1 / HEAVY_SHARE)), "word")
-    found = heavy_left_join(ex, pieces, "word", heavy, int(1 / HEAVY_SHARE), F.xxhash64(*keys, "pos"))
-    unknown = F.lit(UNK_ID) if item == "int" else F.lit(SPECIAL_TOKENS[UNK_ID])
-    placed = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("items", F.array(unknown)).alias("items")))
-    whole = found.groupBy(*keys).agg(F.array_sort(F.collect_list(placed)).alias("s"))
-    return whole.select(*keys, F.slice(F.flatten(F.transform("s", lambda x: x["items"])), 1, most).alias("items"))
+    Rows stay whole: tasks cut them into slices of about a million words and write a row's words as places in its slice's
+    distinct words. Only these leave the slice, packed by bucket, to meet the pieces of their bucket, and only pieces come back, in the same order.
+    ``types`` has the counts by which the buckets are made as many as bound their size. Rows that share a key have
+    their words merged by place, nulls are one key."""
+    spark, keys = df.sparkSession, list(key_cols)
+    corpus = types.agg(F.sum("cnt").alias("n")).first()["n"] or 0  # one number
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-corpus // _BUCKET_WORDS))
+    kind, arrow = (ArrayType(IntegerType()), pa.int32()) if item == "int" else (ArrayType(StringType()), pa.string())
+    unknown = pa.array([[UNK_ID if item == "int" else SPECIAL_TOKENS[UNK_ID]]], pa.list_(arrow))
+    items_of, known_of = pa.schema([("items", pa.list_(arrow))]), pa.schema([("word", pa.binary()), ("items", pa.list_(arrow))])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, "items"):
+            _, parts = _bucketed(block.cast(known_of), "word", buckets)
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([_packed(t) for _, t in parts], pa.binary())],
+                                             ["bucket", "known"])
+
+    def look_up(blocks: pa.Table, known: pa.Table) -> pa.Table:
+        wanted, sizes = _unpacked(blocks.column("words"), _WORD)
+        found, _ = _unpacked(known.column("known"), known_of)
+        at = pc.fill_null(pc.index_in(_whole(wanted.column("word")), value_set=_whole(found.column("word"))), len(found))
+        items = pa.concat_arrays([_whole(found.column("items")), unknown]).take(at)
+        ends = np.cumsum(sizes)
+        return pa.table({"_slice": blocks.column("_slice"), "bucket": blocks.column("bucket"), "items": pa.array(
+            [_packed(pa.table({"items": items.slice(e - n, n)})) for e, n in zip(ends, sizes, strict=True)], pa.binary())})
+
+    def placed(rows: pa.Table, found: pa.Table) -> tuple[pa.ListArray, np.ndarray]:
+        """The items of all words one after the other, and how many words a row has."""
+        items, _ = _unpacked(found.sort_by("bucket").column("items"), items_of)
+        codes = _whole(rows.column("_codes"))
+        return _whole(items.column("items")).take(codes.flatten()), pc.list_value_length(codes).to_numpy(zero_copy_only=False)
+
+    def join_up(rows: pa.Table, found: pa.Table) -> pa.Table:
+        taken, n = placed(rows, found)
+        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(taken).to_numpy(zero_copy_only=False))])[np.concatenate([[0], np.cumsum(n)])]
+        size = np.diff(starts)
+        first = np.arange(starts[-1]) - np.repeat(starts[:-1], size) < most
+        return pa.table([*[rows.column(k) for k in keys], _listed(np.minimum(size, most), taken.flatten().filter(pa.array(first)))], [*keys, "items"])
+
+    def number(rows: pa.Table, found: pa.Table) -> pa.Table:
+        taken, n = placed(rows, found)
+        pos = np.arange(len(taken)) - np.repeat(np.cumsum(n) - n, n)
+        words = _listed(n, pa.StructArray.from_arrays([pa.array(pos.astype(np.int32)), taken], ["pos", "items"]))
+        return pa.table([*[rows.column(k) for k in keys], words], [*keys, "s"])
+
+    texts = df.select(*keys, F.col(col).alias("_text"))
+    key_fields = [texts.schema[k] for k in keys]
+    blocks_of = ArrayType(StructType([StructField("bucket", IntegerType()), StructField("words", BinaryType())]))
+    path = scratch_path(spark, "bpe-slices")  # read for the words and for the rows
+    texts.mapInArrow(_cut_texts(keys, most, buckets), StructType([*key_fields, StructField("_slice", LongType()), StructField(
+        "_codes", ArrayType(IntegerType())), StructField("_blocks", blocks_of)])).write.option("compression", "zstd").parquet(path)
+    given = spark.read.parquet(path)
+    words_by_bucket = given.select("_slice", F.explode("_blocks").alias("b")).select("_slice", "b.bucket", "b.words").groupBy("bucket")
+    by_bucket = (pieces.filter(F.col("items").isNotNull()).select(F.unhex(F.regexp_replace("word", "[<>]", "")).alias("word"), "items")
+                 .mapInArrow(pack, "bucket int, known binary").groupBy("bucket"))
+    found = words_by_bucket.cogroup(by_bucket).applyInArrow(look_up, "_slice bigint, bucket int, items binary").groupBy("_slice")
+    rows = given.select(*keys, "_slice", "_codes")
+    # (null is a key like another)
+    named = {k: f"_key{i}" for i, k in enumerate(keys)}
+    alike = [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()]
+    repeated = cut_lineage(given.select(*[F.col(k).alias(n) for k, n in named.items()]).groupBy(*named.values()).agg(F.count(F.lit(1)).alias("_n"))
+                           .filter("_n > 1").drop("_n"))
+    many = repeated.count()
+    repeated = F.broadcast(repeated) if many <= FEW_KEYS else repeated
+    alone = rows.join(repeated, alike, "left_anti") if many else rows
+    out = alone.groupBy("_slice").cogroup(found).applyInArrow(join_up, StructType([*key_fields, StructField("items", kind)]))
+    if many:
+        shared = rows.join(repeated, alike, "left_semi").groupBy("_slice").cogroup(found).applyInArrow(number, StructType(
+            [*key_fields, StructField("s", ArrayType(StructType([StructField("pos", IntegerType()), StructField("items", kind)])))]))
+        merged = shared.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("s"))
+        out = out.union(merged.select(*keys, F.slice(F.flatten(F.transform("s", lambda x: x["items"])), 1, most).alias("items")))
+    return out
 
 
 def bpe_encode(df: DataFrame, segments: DataFrame, types: DataFrame, key_cols: Sequence[str], col: str = "text",
                max_tokens: int = 1022, out: str = "bpe_tokens") -> DataFrame:
-    """T3 (mode ``bpe``): ``key_cols``, ``out`` = the first ``max_tokens`` merged symbols, joins only."""
+    """T3 (mode ``bpe``): ``key_cols``, ``out`` = the first ``max_tokens`` merged symbols."""
     pieces = segments.select("word", F.regexp_extract_all(F.col("sym"), F.lit("<[^>]*>"), 0).alias("items"))
     return _with_pieces(df, pieces, types, key_cols, col, max_tokens, "string").withColumnRenamed("items", out)
 
@@ -367,10 +516,8 @@ def bpe_encode_ids(df: DataFrame, segments: DataFrame, types: DataFrame, vocab:
             items = pa.ListArray.from_arrays(pa.array(upto[ends].astype(np.int32)), pc.take(ids, found.drop_null()))
             yield pa.RecordBatch.from_arrays([batch.column("word"), items], ["word", "items"])
 
-    path = scratch_path(df.sparkSession, "bpe-pieces")  # read for the frequent words and for the others
-    (segments.select("word", F.regexp_extract_all(F.col("sym"), F.lit("<[^>]*>"), 0).alias("items"))
-     .mapInArrow(numbered, "word string, items array<int>").filter(F.size("items") > 0).write.parquet(path))
-    pieces = df.sparkSession.read.parquet(path)
+    pieces = (segments.select("word", F.regexp_extract_all(F.col("sym"), F.lit("<[^>]*>"), 0).alias("items"))
+              .mapInArrow(numbered, "word string, items array<int>").filter(F.size("items") > 0))
     body = _with_pieces(df, pieces, types, keys, col, max_len - 2, "int")
     return (body.select(*keys, F.concat(F.array(F.lit(BOS_ID)), "items", F.array(F.lit(EOS_ID))).alias(out))
             .withColumn("attention_mask", F.array_repeat(F.lit(1), F.size(out))))

@@ -175,7 +175,7 @@ def q_t3b(spark: SparkSession, sf: str) -> DataFrame:
 @register("t3_encode_bpe_ids")
 def q_t3b_ids(spark: SparkSession, sf: str) -> DataFrame:
     """T3 (bpe mode) to ids: bytes and ``N_MERGES`` learned merges, at most 1024 ids with
-    <s> and </s>; joins only, no Python (tested by brute force)."""
+    <s> and </s>; words look up their ids by slices of rows (tested by brute force)."""
     docs = _docs(spark, sf)
     types = BP.counted_types(docs)
     merges, segments = BP.learn_segments(types, BP.N_MERGES)
