@@ -828,3 +828,18 @@ def test_bpe_slices_meet_the_words_pieces(spark, monkeypatch):
     assert B.bpe_encode(empty, segments, types, ["k"]).count() == 0
     assert {tuple(r.bpe_tokens) for r in B.bpe_encode(df.filter("k > 12"), segments.limit(0), types.limit(0), ["k"], max_tokens=2).collect()} <= {
         (), ("<unk>",), ("<unk>", "<unk>")}
+
+
+def test_bpe_learning_keeps_one_table_of_types(spark, monkeypatch, tmp_path):
+    from textpairs.operators import bpe as B
+    monkeypatch.setattr(B, "WRITE_EVERY", 5)
+    paths = []
+    monkeypatch.setattr(B, "scratch_path", lambda _spark, name: paths.append(str(tmp_path / f"{name}-{len(paths)}")) or paths[-1])
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcd", k=rnd.randint(2, 7))) for _ in range(60)]
+    df = spark.createDataFrame([(" ".join(rnd.choices(words, k=500)),)], "text string")
+    merges, segments = B.learn_segments(B.word_types(df), 40, head_types=5)
+    assert len(paths) > 3 and [p.name for p in tmp_path.iterdir()] == [paths[-1].rsplit("/", 1)[1]]
+    ranks = {(r["left"], r["right"]): r["rank"] for r in merges.collect()}
+    spelt = {"".join(f"<{b:02X}>" for b in w.encode()): "".join(plain_bpe(w, ranks)) for w in df.first()[0].split()}
+    assert {r["word"]: r["sym"] for r in segments.collect()} == spelt

@@ -17,7 +17,7 @@ the corpus. Learning goes in rounds over that table, one path at any size:
 
 So the head decides how many rounds are needed and nothing else: merges are
 those of plain BPE (count desc, then pair string). The types are written anew
-with their merges every few hundred merges, in the shared folder.
+with their merges every few hundred merges, in the shared folder, in place of those before.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 from textpairs.functions.symbols import PAIR, SymbolRuns, added_up
 from textpairs.functions.text import BOS_ID, EOS_ID, SPECIAL_TOKENS, UNK_ID, words
 from textpairs.operators.pairs import FEW_KEYS
-from textpairs.session import cut_lineage, scratch_path
+from textpairs.session import cut_lineage, remove_scratch, scratch_path
 
 
 def byte_symbols(word: Column) -> Column:
@@ -54,7 +54,7 @@ def word_types(df: DataFrame, col: str = "text") -> DataFrame:
 def counted_types(df: DataFrame, col: str = "text") -> DataFrame:
     """``word_types``, written once for its several readers."""
     path = scratch_path(df.sparkSession, "word-types")
-    word_types(df, col).write.parquet(path)
+    word_types(df, col).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -267,10 +267,14 @@ def learn_segments(types: DataFrame, n_merges: int, min_freq: int = 2, head_type
     number = F.transform(F.regexp_extract_all(F.col("sym"), F.lit("<(..)>"), 1), lambda h: F.conv(h, 16, 10).cast("int"))
 
     def written(df: DataFrame) -> DataFrame:
-        path = scratch_path(spark, "bpe-types")
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
+        paths.append(scratch_path(spark, "bpe-types"))
+        df.write.option("compression", "zstd").parquet(paths[-1])
+        for path in paths[:-1]:  # what was written before has been read for the last time
+            remove_scratch(spark, path)
+        del paths[:-1]
+        return spark.read.parquet(paths[-1])
+
+    paths: list[str] = []
     state = written(types.select(F.col("sym").alias("word"), "cnt", number.alias("syms")))
     # at most 65,536 pairs of bytes
     exact = _PairCounts([f"{b:02X}" for b in range(256)],

@@ -109,6 +109,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_base(spark)}/textpairs-scratch/{uuid.uuid4().hex}/{name}"
 
 
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a table written at ``path`` (a ``scratch_path``) that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder (survives executor loss)."""
     checkpoint_base(df.sparkSession)
