@@ -843,3 +843,36 @@ def test_bpe_learning_keeps_one_table_of_types(spark, monkeypatch, tmp_path):
     ranks = {(r["left"], r["right"]): r["rank"] for r in merges.collect()}
     spelt = {"".join(f"<{b:02X}>" for b in w.encode()): "".join(plain_bpe(w, ranks)) for w in df.first()[0].split()}
     assert {r["word"]: r["sym"] for r in segments.collect()} == spelt
+
+
+def test_funnel_leaves_no_table_and_shingles_only_of_partners(spark, monkeypatch, tmp_path):
+    """The texts of no step stay written, and a shingle set is written only for a text that shares a band."""
+    from textpairs.operators import clean as C
+    from textpairs.operators import dedup as D
+    monkeypatch.setattr(C, "scratch_path", lambda _spark, name: str(tmp_path / name))
+    sets = []
+    cut = D.cut_lineage
+    monkeypatch.setattr(D, "cut_lineage", lambda d: sets.append(sorted(r["id"] for r in d.select("id").collect())) or cut(d) if "sh" in d.columns else cut(d))
+    rnd = random.Random(6)
+    text = lambda n: " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(n))
+    base, line = text(80), "this line stands in every text of some"
+    rows = [(1, base), (2, base), (3, base + " tail"), (4, text(60)), (5, text(60)), (6, text(3)), (7, None)]
+    rows += [(k, f"{line}\n{text(40)}") for k in range(10, 16)]
+    got = {(r.step, r.reason): (r.rows_in, r.removed, r.rows_out) for r in C.funnel(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {("0_input", "all"): (13, 0, 13), ("1_normalise", "all"): (13, 0, 13), ("2_dedup_exact", "all"): (13, 1, 12),
+                   ("3_quality", "all"): (12, 2, 10), ("4_common_lines", "all"): (10, 0, 10), ("5_dedup_near", "all"): (10, 1, 9),
+                   ("3_quality", "too_few_words"): (12, 1, 11), ("3_quality", "word_length"): (12, 1, 11)}
+    assert list(tmp_path.iterdir()) == [] and sets == [[1, 3]]
+
+
+def test_common_lines_are_counted_by_digest(spark, monkeypatch):
+    from textpairs.operators.clean import drop_common_lines
+    rnd = random.Random(8)
+    pool = [f"{k} is a line that may be common" for k in range(6)] + ["short", "  0 is a line that may be common\t", "", "ünïcödé line of twenty chars"]
+    rows = [(k, None if k == 3 else "\n".join(rnd.choices(pool, k=rnd.randint(0, 7)))) for k in range(40)]
+    held = Counter(s for _, t in rows for s in {x.strip() for x in (t or "").split("\n")} if len(s) >= 20)
+    for least in (1, 14, 18):
+        gone = {s for s, n in held.items() if n >= least}
+        want = {k: [x for x in t.split("\n") if x.strip() not in gone] if t is not None else [] for k, t in rows}
+        got = {r.doc_id: (r.text, r.lines_removed) for r in drop_common_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=least).collect()}
+        assert got == {k: ("\n".join(want[k]), len((t or "").split("\n")) - len(want[k]) if t is not None else 0) for k, t in rows}

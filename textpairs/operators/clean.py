@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType
 
 from textpairs.functions.text import strip_ws, words
 from textpairs.operators.dedup import dedup_near
-from textpairs.session import scratch_path
+from textpairs.session import collect_garbage, remove_scratch, scratch_path
 
 # fixed values: quality rules (words >= 20; mean word length 2..12; symbol
 # share <= 0.3; digit share <= 0.2; repeated-line share <= 0.3) and the common
@@ -110,23 +110,24 @@ def drop_common_lines(df: DataFrame, col: str = "text", id_col: str = "doc_id",
     """Remove lines (stripped, >= ``min_len`` characters) found in at least
     ``min_docs`` documents; the other lines keep their order.
 
+    Lines long enough to be common leave their row as md5 digests, one a document (blank and short lines never do).
     Document frequency is a two-level aggregate (line, doc) then line, both
     map-side combined, so boilerplate present in a third of the corpus does
-    not gather in one task. Only lines long enough to be common take part in the
-    join (blank and short lines never leave their row); the few that hit come
-    back per document and are filtered out of the text in its own row. AQE
+    not gather in one task. The few digests that hit come
+    back per document and their lines are filtered out of the text in its own row: a text is shuffled once. AQE
     splits a hot line's partition.
     """
     lines = F.split(F.col(col), "\n")
-    keys = F.array_distinct(F.filter(F.transform(lines, lambda x: strip_ws(x)), lambda x: F.length(x) >= F.lit(min_len)))
+    digest = lambda x: F.unhex(F.md5(x))
+    keys = F.array_distinct(F.transform(F.filter(F.transform(lines, lambda x: strip_ws(x)), lambda x: F.length(x) >= F.lit(min_len)), digest))
     long_lines = df.select(id_col, F.explode(keys).alias("key"))
     common = (long_lines.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"))
               .filter(F.col("n_docs") >= F.lit(min_docs)).select("key"))
     hits = long_lines.join(common, "key").groupBy(id_col).agg(F.collect_set("key").alias("_hits"))
     none = F.array().cast("array<string>")
-    kept = F.filter("_lines", lambda x: ~F.array_contains("_hits", strip_ws(x)))
-    return (df.select(id_col, F.coalesce(lines, none).alias("_lines")).join(hits, id_col, "left")
-            .select(id_col, "_lines", F.coalesce("_hits", none).alias("_hits")).withColumn("_kept", kept)
+    stays = lambda x: (F.length(strip_ws(x)) < F.lit(min_len)) | ~F.array_contains("_hits", digest(strip_ws(x)))
+    kept = F.when(F.col("_hits").isNull(), F.col("_lines")).otherwise(F.filter("_lines", stays))
+    return (df.select(id_col, F.coalesce(lines, none).alias("_lines")).join(hits, id_col, "left").withColumn("_kept", kept)
             .select(id_col, F.array_join("_kept", "\n").alias(col), (F.size("_lines") - F.size("_kept")).cast("bigint").alias("lines_removed")))
 
 
@@ -134,27 +135,33 @@ def funnel(df: DataFrame, col: str = "text", id_col: str = "doc_id") -> DataFram
     """Rows in, removed and out per cleaning step and per reason, in the order normalise -> exact
     dedup -> quality filter -> common lines (a document left empty is removed) -> near dedup (C3).
 
-    Three tables are written: the normalised texts, the texts that are not copies with their failed
-    rules, and those that remain after line removal. All counts are read from narrow columns of
+    Three tables are written: the normalised texts with their failed rules, the ids of those that are not copies with the
+    same, and the texts that remain after line removal, whereupon the first goes. All counts are read from narrow columns of
     these tables; unlike counts observed on the way, they stay right when a lost task runs
     again. ``reason`` is ``all`` for a step's total; a document can fail several rules."""
     spark = df.sparkSession
+    paths = {name: scratch_path(spark, name) for name in ("normalised", "judged", "lines")}
 
     def written(d: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(spark, name)
-        d.write.parquet(path)
-        return spark.read.parquet(path)
-
-    norm = written(normalise(df.select(id_col, col), col), "normalised")
-    judged = written(quality_reasons(quality_signals(dedup_exact(norm, col, id_col).drop("copies"), col))
-                     .select(id_col, col, "reasons", "keep"), "judged")
-    lines = written(drop_common_lines(judged.filter("keep").select(id_col, col), col, id_col).filter(F.length(col) > 0), "lines")
+        d.write.option("compression", "zstd").parquet(paths[name])
+        return spark.read.parquet(paths[name])
+
+    norm = written(quality_reasons(quality_signals(normalise(df.select(id_col, col), col), col)).select(id_col, col, "reasons", "keep"), "normalised")
+    unique = dedup_exact(norm, col, id_col).drop("copies")
+    judged = written(unique.select(id_col, "reasons", "keep"), "judged")
+    lines = written(drop_common_lines(unique.filter("keep").select(id_col, col), col, id_col).filter(F.length(col) > 0), "lines")
+    n_in = norm.count()
+    remove_scratch(spark, paths["normalised"])
+    del norm, unique
+    collect_garbage(spark)
     near = dedup_near(lines.select(id_col, col), col, id_col, hash_kind="md5").filter("keep")
     rules = {r["reason"]: r["n"] for r in judged.select(F.explode("reasons").alias("reason")).groupBy("reason")
              .agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a rule
-    n = {"in": norm.count(), "dedup": judged.count(), "quality": judged.filter("keep").count(), "lines": lines.count(), "near": near.count()}
+    n = {"in": n_in, "dedup": judged.count(), "quality": judged.filter("keep").count(), "lines": lines.count(), "near": near.count()}
     steps = [("0_input", n["in"], n["in"]), ("1_normalise", n["in"], n["in"]), ("2_dedup_exact", n["in"], n["dedup"]),
              ("3_quality", n["dedup"], n["quality"]), ("4_common_lines", n["quality"], n["lines"]), ("5_dedup_near", n["lines"], n["near"])]
     rows = [(step, "all", before, before - after, after) for step, before, after in steps]
     rows += [("3_quality", rule, n["dedup"], hit, n["dedup"] - hit) for rule, hit in sorted(rules.items())]
+    for name in ("judged", "lines"):
+        remove_scratch(spark, paths[name])
     return spark.createDataFrame(rows, "step string, reason string, rows_in bigint, removed bigint, rows_out bigint")

@@ -2,7 +2,8 @@
 verified Jaccard, connected components.
 
 Signatures are computed in-row by Arrow functions on some 250,000 shingles at a time (no explode, no
-shuffle). Documents with equal shingle sets are one class, so exact copies never
+shuffle); a document leaves its bands and a key of its shingle set, and its shingles are made again
+if another shares a band. Documents with equal shingle sets are one class, so exact copies never
 meet as pairs. Documents that share a band with another are candidates. They meet in
 a prefix-filtered inverted index of their rarest shingles (an exact Jaccard join),
 so members of a bucket that share one passage but do not reach the threshold are
@@ -31,7 +32,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from textpairs.functions.md5 import prefixed_md5
 from textpairs.functions.text import ngrams, words
 from textpairs.operators.joins import frequent, heavy_left_join
-from textpairs.session import cut_lineage
+from textpairs.session import broadcast_bounded, cut_lineage
 
 # fixed values: 3-word shingles, 32 hashes in 8 bands of 4, Jaccard >= 0.7
 SHINGLE = 3
@@ -181,14 +182,25 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("src").alias("node"), F.col("dst").alias("label")).union(roots)
 
 
-def _classes(df: DataFrame, col: str, id_col: str) -> DataFrame:
-    """(id, class, sh): the class is the smallest id with the same shingle set;
-    ``sh`` holds the sorted hashes of the shingles."""
-    sh = with_shingles(df.select(id_col, col), col).select(
-        F.col(id_col).alias("id"), F.array_sort(F.array_distinct(F.transform("sh", lambda s: F.xxhash64(s)))).alias("sh"))
-    keyed = cut_lineage(sh.withColumn("k", F.struct(F.xxhash64("sh"), F.xxhash64(F.lit("again"), "sh"))))
-    least = keyed.groupBy("k").agg(F.min("id").alias("class"))
-    return keyed.join(least, "k").select("id", "class", "sh")
+def _shingled(df: DataFrame, col: str) -> DataFrame:
+    """(id, words, sh, k) of (id, ``col``): the shingles, their sorted hashes and the key of these."""
+    hashes = F.array_sort(F.array_distinct(F.transform("words", lambda s: F.xxhash64(s))))
+    return (with_shingles(df, col, "words").select("id", "words", hashes.alias("sh"))
+            .withColumn("k", F.struct(F.xxhash64("sh").alias("a"), F.xxhash64(F.lit("again"), "sh").alias("b"))))
+
+
+def _signed(df: DataFrame, col: str, hash_kind: str) -> DataFrame:
+    """(id, k, buckets): a text's key by its shingle set and the bucket of each of its bands. No shingle leaves its row."""
+    rows = _shingled(df, col)
+    if hash_kind == "md5":
+        sig = minhash_md5(rows.select("id", "k", "words"), "words")
+        buckets = F.transform(_bands(), lambda b: F.xxhash64(b["band"].cast("bigint"), b["band_key"]))
+    else:
+        sig = minhash_xx(rows.select("id", "k", "sh"), "sh")
+        r = N_HASHES // N_BANDS
+        least = [F.col("mins")[j].cast("string") for j in range(N_HASHES)]
+        buckets = F.array(*[F.xxhash64(F.lit(b), *least[b * r:(b + 1) * r]) for b in range(N_BANDS)])
+    return sig.select("id", "k", buckets.alias("buckets"))
 
 
 def prefix_index(sets: DataFrame, threshold: float) -> DataFrame:
@@ -214,10 +226,11 @@ def prefix_index(sets: DataFrame, threshold: float) -> DataFrame:
             .withColumn("indexed", F.col("pos") <= F.col("last")).drop("last"))
 
 
-def verified_components(members: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def verified_components(members: DataFrame, sets: DataFrame | Callable[[DataFrame], DataFrame], threshold: float = THRESHOLD) -> DataFrame:
     """(node, label) over all pairs that share a bucket and reach the Jaccard threshold.
 
-    ``members``: (bucket, id); ``sets``: (id, sh). Sets without a partner in any bucket go first. The others
+    ``members``: (bucket, id); ``sets``: (id, sh), or what adds ``sh`` to the (id, buckets) that it is given.
+    Sets without a partner in any bucket go first. The others
     meet on the shingles of ``prefix_index``, so members of a bucket that cannot reach the threshold
     never meet; pairs that do are kept by length, position and a common bucket before their
     sets are fetched. See the module's docstring for the rounds."""
@@ -225,7 +238,7 @@ def verified_components(members: DataFrame, sets: DataFrame, threshold: float =
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     buckets = cut_lineage(members.join(shared, "bucket").groupBy("id").agg(F.collect_set("bucket").alias("buckets")))
     nobody = buckets.select(F.col("id").alias("node")).limit(0).withColumn("label", F.col("node"))
-    full = cut_lineage(sets.join(buckets, "id"))
+    full = cut_lineage(sets(buckets) if callable(sets) else sets.join(buckets, "id"))
     index = prefix_index(full, threshold)
     sizes = (index.groupBy("shingle").agg(F.count(F.lit(1)).alias("all"), F.sum(F.col("indexed").cast("int")).alias("firsts"))
              .filter("all > 1 and firsts > 0").select("shingle", "firsts"))
@@ -264,17 +277,19 @@ def dedup_near(df: DataFrame, col: str = "text", id_col: str = "doc_id", hash_ki
                threshold: float = THRESHOLD) -> DataFrame:
     """Every document with its component (lowest id of its near-duplicate
     group) and ``keep`` (true for the lowest id of each group)."""
-    docs = cut_lineage(_classes(df, col, id_col))
-    sets = docs.filter("id = class").select("id", "sh")
-    if hash_kind == "md5":
-        of_class = df.select(F.col(id_col).alias("id"), F.col(col)).join(sets.select("id"), "id", "left_semi")
-        keys = band_keys(of_class, col, "id", "md5").select(F.xxhash64("band", "band_key").alias("bucket"), "id")
-    else:
-        r = N_HASHES // N_BANDS
-        least = [F.col("mins")[j].cast("string") for j in range(N_HASHES)]
-        bands = F.array(*[F.xxhash64(F.lit(b), *least[b * r:(b + 1) * r]) for b in range(N_BANDS)])
-        keys = minhash_xx(sets, "sh").select(F.explode(bands).alias("bucket"), "id")
-    labels = verified_components(keys.distinct(), sets, threshold)
+    texts = df.select(F.col(id_col).alias("id"), F.col(col))
+    signed = cut_lineage(_signed(texts, col, hash_kind))
+    docs = signed.join(signed.groupBy("k").agg(F.min("id").alias("class")), "k")  # the smallest id with the same shingle set
+    first = docs.filter("id = class").select("id", "k").distinct()
+    own = signed.join(first.select("id").distinct(), "id", "left_semi") if hash_kind == "md5" else docs.filter("id = class")
+    members = own.select(F.explode("buckets").alias("bucket"), "id").distinct()
+
+    def sets(buckets: DataFrame) -> DataFrame:
+        """Shingles are made anew for texts with a partner; their ids go to the texts if they are few."""
+        some = texts.join(broadcast_bounded(buckets.select("id"), buckets.count()), "id", "left_semi")
+        return _shingled(some, col).select("id", "k", "sh").join(buckets.join(first, "id"), ["id", "k"]).select("id", "sh", "buckets")
+
+    labels = verified_components(members, sets, threshold)
     comp = (docs.select("id", "class").join(labels.withColumnRenamed("node", "class"), "class", "left")
             .withColumn("component", F.coalesce("label", "class")))
     return comp.select(F.col("id").alias(id_col), "component", (F.col("component") == F.col("id")).alias("keep"))

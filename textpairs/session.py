@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -115,6 +116,12 @@ def remove_scratch(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of tables that are out of use now, not when the driver's memory fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder (survives executor loss)."""
     checkpoint_base(df.sparkSession)
