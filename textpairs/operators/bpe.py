@@ -37,7 +37,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 from textpairs.functions.symbols import PAIR, SymbolRuns, added_up
 from textpairs.functions.text import BOS_ID, EOS_ID, SPECIAL_TOKENS, UNK_ID, words
 from textpairs.operators.pairs import FEW_KEYS
-from textpairs.session import cut_lineage, remove_scratch, scratch_path
+from textpairs.session import collect_garbage, cut_lineage, remove_scratch, scratch_path
 
 
 def byte_symbols(word: Column) -> Column:
@@ -272,6 +272,7 @@ def learn_segments(types: DataFrame, n_merges: int, min_freq: int = 2, head_type
         for path in paths[:-1]:  # what was written before has been read for the last time
             remove_scratch(spark, path)
         del paths[:-1]
+        collect_garbage(spark)  # shuffle files of the rounds
         return spark.read.parquet(paths[-1])
 
     paths: list[str] = []
