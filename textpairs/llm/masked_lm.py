@@ -462,12 +462,13 @@ def score_encoded(encoded: DataFrame, model: MaskedLM) -> DataFrame:
 
 
 def score(docs: DataFrame, model: MaskedLM, text_col: str = "text") -> DataFrame:
-    """``docs`` without the text, with n_tokens, log_likelihood and mean_log_likelihood by ``model``."""
-    return score_encoded(encode(docs, model, text_col), model)
+    """``docs`` with n_tokens, log_likelihood and mean_log_likelihood by ``model``."""
+    texts = docs.withColumn("_text", F.col(text_col))  # ``encode`` leaves the text itself out
+    return score_encoded(encode(texts, model, text_col), model).withColumnRenamed("_text", text_col)
 
 
 def fit_and_score(docs: DataFrame, text_col: str = "text", share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
-    """``score`` of the documents by the model that is trained on them, with one pass that encodes them."""
+    """``score`` of the documents, without their texts, by the model that is trained on them, with one pass that encodes them."""
     model = initial_model(cut_lineage(word_counts(docs, text_col)), share)
     encoded = encode(docs, model, text_col)
     return score_encoded(encoded, fit_encoded(encoded, model, rounds))
